@@ -183,3 +183,30 @@ def historical_forecasts_from_orders(orders: DataFrame) -> DataFrame:
              F.round(F.min("price"), 4).alias("lower_bound"),
              F.round(F.max("price"), 4).alias("upper_bound"))
     )
+
+
+def requests_from_orders(orders: DataFrame) -> DataFrame:
+    """Forecast requests: every priority x granularity x period (5 = a hit, 5000 = a gap).
+
+    Built with ``explode`` over literal arrays, not cross joins."""
+    combos = F.array(*[F.struct(F.lit(g).alias("granularity"), F.lit(n).alias("period"))
+                       for g in ("daily", "monthly", "yearly") for n in (5, 5000)])
+    return (orders.select(F.col("o_orderpriority").alias("category_id")).distinct()
+            .select("category_id", F.explode(combos).alias("r"))
+            .select(F.concat_ws(":", "category_id", "r.granularity",
+                                F.col("r.period").cast("string")).alias("request_id"),
+                    "category_id", F.col("r.granularity").alias("granularity"),
+                    F.col("r.period").alias("period")))
+
+
+def performance_from_orders(orders: DataFrame) -> DataFrame:
+    """forecast_performance rows (long format): one metric per order."""
+    return orders.select(
+        F.col("o_orderkey").alias("id"),
+        (F.col("o_custkey") % 50).alias("model_version_id"),
+        F.col("o_orderdate").alias("evaluation_period_start"),
+        (F.col("o_orderdate") + F.expr("INTERVAL 7 DAYS")).alias("evaluation_period_end"),
+        F.when(F.col("o_orderkey") % 2 == 0, F.lit("mape")).otherwise(F.lit("rmse"))
+        .alias("metric_name"),
+        (F.col("o_totalprice") / 1000).alias("metric_value"),
+    )
