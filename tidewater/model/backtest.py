@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..util import sized_broadcast
+from ..util import materialize, sized_broadcast
 from . import fit, predict, stats
 
 METRICS = ["mse", "rmse", "mae", "mape", "mdape", "smape", "coverage"]
@@ -38,7 +38,8 @@ def backtest_forecasts(train: DataFrame, promo_feats: DataFrame,
     """M5: (category_id, cutoff, ds, y, yhat, yhat_lower, yhat_upper) for every cutoff.
 
     ``params`` may hold already-fitted cutoff models (from a joint training run)."""
-    cutoffs = stats.cv_cutoffs(stats.cv_params(train))
+    train = materialize(train.select("category_id", "ds", "y"))
+    cutoffs = materialize(stats.cv_cutoffs(stats.cv_params(train)))
     if params is None:
         params = fit.fit_models(train, promo_feats, cutoffs, include_full=False)
     targets = backtest_targets(train, cutoffs)
@@ -68,7 +69,7 @@ def performance_metrics(cv: DataFrame, rolling_window: float = ROLLING_WINDOW) -
     Output: category_id, horizon_s, horizon (text), mse, rmse, mae, mape, mdape, smape,
     coverage.
     """
-    e = error_rows(cv)
+    e = materialize(error_rows(cv))
     means = ["mse", "mae", "mape", "smape", "coverage"]
     per_cat = (e.groupBy("category_id")
                .agg(F.count(F.lit(1)).alias("N"), F.min("_absy").alias("_miny"))

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..util import ship_package, sized_broadcast
+from ..util import materialize, ship_package, sized_broadcast
 from . import stats
 from .design import design, map_solve, n_features, prior_terms
 
@@ -74,12 +74,14 @@ def promo_day_names(promo_feats: DataFrame) -> DataFrame:
             .agg(F.sort_array(F.collect_set("promotion_name")).alias("promo_names")))
 
 
-def fit_params(rows: DataFrame, train: DataFrame, promo_feats: DataFrame) -> DataFrame:
+def fit_params(rows: DataFrame, train: DataFrame, promo_feats: DataFrame,
+               ranked: DataFrame | None = None) -> DataFrame:
     """Per fit: n, origin/scale of t, y scale, changepoints (scaled), orders, names."""
     st = (rows.groupBy("fit_id", "category_id", "cutoff")
           .agg(F.count(F.lit(1)).alias("n"), F.min("ds").alias("ds_min"),
                F.max("ds").alias("ds_max"), F.max(F.abs("y")).alias("y_absmax")))
-    cps = stats.changepoints(stats.ranked_rows(train), st.select("fit_id", "category_id", "n"))
+    ranked = ranked if ranked is not None else stats.ranked_rows(train)
+    cps = stats.changepoints(ranked, st.select("fit_id", "category_id", "n"))
     cfg = stats.seasonality_config(train)
     names = (promo_feats.groupBy("category_id")
              .agg(F.sort_array(F.collect_set("promotion_name")).alias("hol_names")))
@@ -149,21 +151,30 @@ def _solve_fit(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 # ------------------------------------------------------------------------ public API
-def partial_grams(rows: DataFrame, params: DataFrame, promo_feats: DataFrame) -> DataFrame:
-    """Step 3: X'X, X'y, y'y, n per (fit, calendar month)."""
+BLOCK_ROWS = 2000
+
+
+def partial_grams(rows: DataFrame, params: DataFrame, promo_feats: DataFrame,
+                  ranked: DataFrame) -> DataFrame:
+    """Step 3: X'X, X'y, y'y, n per (fit, block of BLOCK_ROWS consecutive rows).
+
+    A block is a run of row positions of the category, so memory per task is bounded by
+    BLOCK_ROWS x K whatever the series length; a long series spreads over many tasks."""
     spark = rows.sparkSession
     ship_package(spark)
     p = sized_broadcast(params.select("fit_id", "t0_s", "t_scale_s", "y_scale", "cp_t",
                                       "yearly_order", "weekly_order", "daily_order",
                                       "hol_names"))
     days = sized_broadcast(promo_day_names(promo_feats))
+    blk = ranked.select(F.col("category_id").alias("_rc"), F.col("ds").alias("_rds"),
+                        F.floor(F.col("pos") / BLOCK_ROWS).alias("_blk"))
     x = (rows.join(p, "fit_id")
+         .join(blk, (rows["category_id"] == blk["_rc"]) & (rows["ds"] == blk["_rds"]))
          .join(days, (rows["category_id"] == days["category_id"])
                & (F.to_date(rows["ds"]) == days["day"]), "left")
          .select("fit_id", stats.epoch_s(F.col("ds")).alias("ds_s"), "y", "t0_s",
                  "t_scale_s", "y_scale", "cp_t", "yearly_order", "weekly_order",
-                 "daily_order", "hol_names", "promo_names",
-                 F.date_trunc("month", F.col("ds")).alias("_blk")))
+                 "daily_order", "hol_names", "promo_names", "_blk"))
     return x.groupBy("fit_id", "_blk").applyInPandas(_gram_block, GRAM_SCHEMA)
 
 
@@ -180,8 +191,10 @@ def fit_models(train: DataFrame, promo_feats: DataFrame,
     Columns: fit_id, category_id, cutoff, n, ds_min, ds_max, t0_s, t_scale_s, y_scale, cp_t,
     yearly/weekly/daily_order, hol_names, status, error, sigma, beta, lambda_mean.
     """
+    train = materialize(train.select("category_id", "ds", "y"))
+    ranked = materialize(stats.ranked_rows(train))
     rows = fit_rows(train, cutoffs, include_full)
-    params = fit_params(rows, train, promo_feats)
-    sol = solve(partial_grams(rows, params, promo_feats))
-    return params.join(sol, "fit_id", "left").withColumn(
-        "status", F.coalesce("status", F.lit("FAILED")))
+    params = materialize(fit_params(rows, train, promo_feats, ranked))
+    sol = solve(partial_grams(rows, params, promo_feats, ranked))
+    return materialize(params.join(sol, "fit_id", "left").withColumn(
+        "status", F.coalesce("status", F.lit("FAILED"))))

@@ -44,7 +44,8 @@ def future_after(last: DataFrame, ts_col: str = "ds_max") -> DataFrame:
               .when(F.col("granularity") == "monthly",
                     F.last_day(F.add_months(m0, m_off + i - 1)))
               .otherwise(F.make_date(F.year(base) + y_off + i - 1, F.lit(12), F.lit(31))))
-    return (last.withColumn("step", F.explode(F.sequence(F.lit(1), F.col("periods"))))
+    return (last.withColumn("step", F.explode(F.sequence(F.lit(1),
+                                                         F.col("periods").cast("int"))))
             .withColumn("ds", _at(date_i, _tod_s(last_ts))))
 
 
@@ -57,7 +58,8 @@ def future_from(start: DataFrame, start_col: str = "start_date") -> DataFrame:
               .when(F.col("granularity") == "monthly",
                     F.last_day(F.add_months(F.trunc(s, "month"), i - 1)))
               .otherwise(F.make_date(F.year(s) + i - 1, F.lit(12), F.lit(31))))
-    return (start.withColumn("step", F.explode(F.sequence(F.lit(1), F.col("periods"))))
+    return (start.withColumn("step", F.explode(F.sequence(F.lit(1),
+                                                          F.col("periods").cast("int"))))
             .withColumn("ds", date_i.cast("timestamp_ntz")))
 
 

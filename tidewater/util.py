@@ -24,6 +24,15 @@ def sized_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFr
     return F.broadcast(df) if n <= max_rows else df
 
 
+def materialize(df: DataFrame) -> DataFrame:
+    """Cut lineage: write ``df`` to the shared checkpoint folder (``spark.checkpoint.dir``)
+    and continue from the written copy. Reliable checkpoints survive executor loss; used at
+    natural boundaries (training fact, fitted parameters, back-test errors) that several
+    later steps read."""
+    checkpoint_root(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 _SHIPPED: set = set()
 
 
