@@ -10,10 +10,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.formatting import rfc3339
 from ..functions.parsing import hour_of, parse_int, parse_price, parse_sale_ts
-from ..schemas import MONEY
+from ..schemas import MONEY, PRICE
 
 
 def clean_sales(raw: DataFrame) -> DataFrame:
@@ -30,9 +31,9 @@ def clean_sales(raw: DataFrame) -> DataFrame:
     typed = raw.select(
         *extra,
         "transaction_id", "product_id", "category_id",
-        parse_int(F.col("quantity")).alias("quantity"),
-        parse_price(F.col("price_per_unit")).alias("price_per_unit"),
-        parse_sale_ts(F.col("timestamp")).alias("ts"),
+        _quantity(raw).alias("quantity"),
+        _price(raw).alias("price_per_unit"),
+        _stamp(raw).alias("ts"),
     )
     return (
         typed.where((F.col("quantity") > 0) & (F.col("price_per_unit") > 0)
@@ -41,6 +42,35 @@ def clean_sales(raw: DataFrame) -> DataFrame:
     )
 
 
+def _type_of(raw: DataFrame, name: str):
+    return raw.schema[name].dataType
+
+
+def _quantity(raw: DataFrame):
+    """Text is parsed strictly; an already integral column (typed source) is used as is."""
+    dt = _type_of(raw, "quantity")
+    if isinstance(dt, (T.IntegerType, T.LongType, T.ShortType, T.ByteType)):
+        return F.col("quantity").try_cast("int")
+    return parse_int(F.col("quantity").cast("string"))
+
+
+def _price(raw: DataFrame):
+    dt = _type_of(raw, "price_per_unit")
+    if isinstance(dt, (T.DecimalType, T.IntegerType, T.LongType)):
+        return F.col("price_per_unit").try_cast(PRICE)
+    if isinstance(dt, (T.DoubleType, T.FloatType)):
+        v = F.col("price_per_unit")
+        return F.when(~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))), v.try_cast(PRICE))
+    return parse_price(F.col("price_per_unit").cast("string"))
+
+
+def _stamp(raw: DataFrame):
+    dt = _type_of(raw, "timestamp")
+    if isinstance(dt, (T.TimestampNTZType, T.TimestampType)):
+        return F.col("timestamp").cast("timestamp_ntz")
+    return parse_sale_ts(F.col("timestamp").cast("string"))
+
+
 def rejected_sales(raw: DataFrame) -> DataFrame:
     """Rows that clean_sales drops, with the reason (for counting, Q2)."""
     q = parse_int(F.col("quantity"))
