@@ -28,7 +28,7 @@ HEADLINE = [
     "tail_forecast",
     "forecast_gaps",
     "rolling_metrics",
-    "model_fits",            # additive model, 25 brands
+    "fit_models",            # additive model, 25 brands
     "backtest_metrics",      # 25 brands x all cutoffs, fit + score + rolling metrics
     "live_forecasts",        # standard 90/24/5 set
     "delta_forecast",

@@ -172,7 +172,7 @@ def q_future_with_promos(spark, sf_dir):
                     F.array_join("promo_names", ",").alias("promo_names")))
 
 
-@register("model_fits")
+@register("fit_models")
 def q_model_fits(spark, sf_dir):
     """One fitted model per category (status, size, noise scale)."""
     m = fit.fit_models(brand_train(spark, sf_dir), brand_feats(spark, sf_dir))
@@ -181,7 +181,7 @@ def q_model_fits(spark, sf_dir):
                     "daily_order", F.size("hol_names").alias("n_promotions"), "sigma")
 
 
-@register("model_fits_hourly")
+@register("fit_models_hourly")
 def q_model_fits_hourly(spark, sf_dir):
     """M3 on the hourly events series (daily + weekly seasonality, no promotions)."""
     train = stats.training_frame(events_fact(spark, sf_dir))

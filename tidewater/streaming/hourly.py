@@ -4,8 +4,10 @@ Sale messages (one JSON object per sale, the fields of a sales CSV line) are cle
 same ``clean_sales`` as the batch path, rolled up in 1-hour tumbling windows per category
 with a watermark, and upserted into a stream-owned table. Update mode emits the *full*
 total of every window that changed, so the sink *replaces* (hour, category) rows — adding
-would double count. Rows later than the watermark are dropped by Spark; the nightly batch
-recount over the files stays authoritative (T4).
+would double count. Rows within the watermark are always counted; Spark may still count or
+may drop a row later than the watermark (its documented guarantee), and state of windows
+older than the watermark is evicted, so memory stays bounded. The nightly batch recount over
+the files stays authoritative (T4).
 """
 
 from __future__ import annotations
