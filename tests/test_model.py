@@ -34,11 +34,11 @@ def synthetic(spark, n_days=400, seed=7, cats=("A",), hourly=False, noise=1.0):
 
 def test_gram_matches_numpy(spark):
     train, feats, pdf = synthetic(spark, n_days=120)
-    rows = fit.fit_rows(train, None)
     ranked = stats.ranked_rows(train)
-    params = fit.fit_params(rows, train, feats, ranked).first()
-    grams = fit.partial_grams(rows, fit.fit_params(rows, train, feats, ranked), feats,
-                              ranked).collect()
+    rows = fit.fit_rows(ranked, None)
+    params = fit.fit_params(rows, ranked, feats, ranked).first()
+    grams = fit.partial_grams(rows, fit.fit_params(rows, ranked, feats, ranked),
+                              feats).collect()
     k = D.n_features(len(params.cp_t), (params.yearly_order, params.weekly_order,
                                         params.daily_order), len(params.hol_names))
     xtx = sum(np.array(g.xtx).reshape(k, k) for g in grams)

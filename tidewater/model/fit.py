@@ -50,16 +50,18 @@ SOLUTION_SCHEMA = T.StructType([
 # ------------------------------------------------------------------------- fit rows
 def fit_rows(train: DataFrame, cutoffs: DataFrame | None,
              include_full: bool = True) -> DataFrame:
-    """(fit_id, category_id, cutoff, ds, y): every category's full history, plus for each
-    back-test cutoff the rows at or before it."""
+    """(fit_id, category_id, cutoff, ds, y[, pos]): every category's full history, plus for
+    each back-test cutoff the rows at or before it. Cutoffs are a small table (bounded by
+    categories x cutoffs) broadcast after a size check, so rows never move for this."""
+    extra = ["pos"] if "pos" in train.columns else []
     full = train.select(F.col("category_id").alias("fit_id"), "category_id",
-                        F.lit(None).cast("timestamp_ntz").alias("cutoff"), "ds", "y")
+                        F.lit(None).cast("timestamp_ntz").alias("cutoff"), "ds", "y", *extra)
     if cutoffs is None:
         return full
     cuts = sized_broadcast(cutoffs.select("category_id", "cutoff"))
     cv = (train.join(cuts, "category_id")
           .where(F.col("ds") <= F.col("cutoff"))
-          .select(cv_fit_id().alias("fit_id"), "category_id", "cutoff", "ds", "y"))
+          .select(cv_fit_id().alias("fit_id"), "category_id", "cutoff", "ds", "y", *extra))
     return full.unionByName(cv) if include_full else cv
 
 
@@ -154,8 +156,7 @@ def _solve_fit(pdf: pd.DataFrame) -> pd.DataFrame:
 BLOCK_ROWS = 2000
 
 
-def partial_grams(rows: DataFrame, params: DataFrame, promo_feats: DataFrame,
-                  ranked: DataFrame) -> DataFrame:
+def partial_grams(rows: DataFrame, params: DataFrame, promo_feats: DataFrame) -> DataFrame:
     """Step 3: X'X, X'y, y'y, n per (fit, block of BLOCK_ROWS consecutive rows).
 
     A block is a run of row positions of the category, so memory per task is bounded by
@@ -166,10 +167,8 @@ def partial_grams(rows: DataFrame, params: DataFrame, promo_feats: DataFrame,
                                       "yearly_order", "weekly_order", "daily_order",
                                       "hol_names"))
     days = sized_broadcast(promo_day_names(promo_feats))
-    blk = ranked.select(F.col("category_id").alias("_rc"), F.col("ds").alias("_rds"),
-                        F.floor(F.col("pos") / BLOCK_ROWS).alias("_blk"))
-    x = (rows.join(p, "fit_id")
-         .join(blk, (rows["category_id"] == blk["_rc"]) & (rows["ds"] == blk["_rds"]))
+    x = (rows.withColumn("_blk", F.floor(F.col("pos") / BLOCK_ROWS))
+         .join(p, "fit_id")
          .join(days, (rows["category_id"] == days["category_id"])
                & (F.to_date(rows["ds"]) == days["day"]), "left")
          .select("fit_id", stats.epoch_s(F.col("ds")).alias("ds_s"), "y", "t0_s",
@@ -191,10 +190,9 @@ def fit_models(train: DataFrame, promo_feats: DataFrame,
     Columns: fit_id, category_id, cutoff, n, ds_min, ds_max, t0_s, t_scale_s, y_scale, cp_t,
     yearly/weekly/daily_order, hol_names, status, error, sigma, beta, lambda_mean.
     """
-    train = materialize(train.select("category_id", "ds", "y"))
-    ranked = materialize(stats.ranked_rows(train))
-    rows = fit_rows(train, cutoffs, include_full)
-    params = materialize(fit_params(rows, train, promo_feats, ranked))
-    sol = solve(partial_grams(rows, params, promo_feats, ranked))
+    ranked = materialize(stats.ranked_rows(train.select("category_id", "ds", "y")))
+    rows = fit_rows(ranked, cutoffs, include_full)
+    params = materialize(fit_params(rows, ranked, promo_feats, ranked))
+    sol = solve(partial_grams(rows, params, promo_feats))
     return materialize(params.join(sol, "fit_id", "left").withColumn(
         "status", F.coalesce("status", F.lit("FAILED"))))

@@ -149,11 +149,11 @@ def cv_cutoffs(params: DataFrame) -> DataFrame:
 
 # --------------------------------------------------------------------- changepoint stamps
 def ranked_rows(train: DataFrame) -> DataFrame:
-    """Position (0-based, by ds) of every row within its category, without a window over
-    the whole series: counts per (category, month) give offsets, and only the rows of one
-    month are ordered together."""
+    """``train`` plus the position (0-based, by ds) of every row within its category,
+    without a window over the whole series: counts per (category, month) give offsets,
+    and only the rows of one month are ordered together."""
     blk = F.date_trunc("month", F.col("ds")).cast("timestamp_ntz")
-    rows = train.select("category_id", "ds", blk.alias("_blk"))
+    rows = train.withColumn("_blk", blk)
     counts = rows.groupBy("category_id", "_blk").agg(F.count(F.lit(1)).alias("_c"))
     w_off = (Window.partitionBy("category_id").orderBy("_blk")
              .rowsBetween(Window.unboundedPreceding, -1))
@@ -161,7 +161,7 @@ def ranked_rows(train: DataFrame) -> DataFrame:
     w_in = Window.partitionBy("category_id", "_blk").orderBy("ds")
     return (rows.join(offsets.select("category_id", "_blk", "_off"), ["category_id", "_blk"])
             .withColumn("pos", F.col("_off") + F.row_number().over(w_in) - 1)
-            .select("category_id", "ds", "pos"))
+            .drop("_blk", "_off"))
 
 
 def changepoints(ranked: DataFrame, fits: DataFrame) -> DataFrame:
@@ -177,7 +177,7 @@ def changepoints(ranked: DataFrame, fits: DataFrame) -> DataFrame:
                .select("fit_id", "category_id", "_j",
                        F.round(F.col("_j") * (F.col("_h") - 1) / F.col("_ncp"))
                        .cast("long").alias("pos")))
-    return (targets.join(ranked, ["category_id", "pos"])
+    return (targets.join(ranked.select("category_id", "pos", "ds"), ["category_id", "pos"])
             .groupBy("fit_id")
             .agg(F.sort_array(F.collect_list(F.struct("_j", "ds"))).alias("_cps"))
             .select("fit_id", F.transform("_cps", lambda x: x["ds"]).alias("cp_ds")))

@@ -47,15 +47,11 @@ def typed_promotions(raw: DataFrame) -> DataFrame:
 
 def dim_promotions(raw: DataFrame) -> DataFrame:
     """The promotions table — valid rows, or no rows at all if any discount is
-    fractional (the whole file is refused, Q11). The refusal is a join on a one-row
-    aggregate, so it stays distributed."""
+    fractional (the whole file is refused, Q11). The verdict is one boolean computed by a
+    distributed ``isEmpty`` probe; only that boolean reaches the driver."""
     typed = typed_promotions(raw)
-    # One-row verdict for the whole load, matched to every row on a constant key.
-    accepted = (typed.agg(F.max(F.col("fractional").cast("int")).alias("_refused"))
-                .where(F.coalesce(F.col("_refused"), F.lit(0)) == 0)
-                .select(F.lit(1).alias("_load")))
-    return (typed.where("valid").withColumn("_load", F.lit(1))
-            .join(F.broadcast(accepted), "_load", "left_semi")
+    refused = not typed.where(F.col("fractional")).isEmpty()
+    return (typed.where(F.col("valid") & F.lit(not refused))
             .select("promotion_id", "promotion_name", "start_date", "end_date",
                     "discount_percentage", "target_type", "target_id"))
 

@@ -79,7 +79,7 @@ def _daily_csv_dir(spark, sf_dir):
     """Derive one sales CSV file per day from ``events`` under the shared scratch folder."""
     out = scratch_path(spark, "sales-csv")
     sales_files.write_daily_sales_csv(
-        sales_lines_from_events(read_table(spark, sf_dir, "events")), out)
+        sales_lines_from_events(read_table(spark, sf_dir, "events"), as_text=True), out)
     return out
 
 

@@ -17,7 +17,7 @@ def q_stream_hourly(spark, sf_dir):
     update mode, foreachBatch replace-upsert) -> the stream-owned table. Equals the batch
     roll-up because no message is later than the watermark."""
     src = scratch_path(spark, "sale-messages")
-    lines = sales_lines_from_events(read_table(spark, sf_dir, "events"))
+    lines = sales_lines_from_events(read_table(spark, sf_dir, "events"), as_text=True)
     (lines.withColumn("_day", F.substring("timestamp", 1, 10))
      .repartition("_day").sortWithinPartitions("timestamp")
      .write.mode("overwrite").partitionBy("_day").json(src))

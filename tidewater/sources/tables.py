@@ -23,15 +23,22 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 # ---------------------------------------------------------------- A. sales lines from events
-def sales_lines_from_events(events: DataFrame) -> DataFrame:
-    """Raw, all-text sale lines (the CSV/stream shape) from the ``events`` table."""
+def sales_lines_from_events(events: DataFrame, as_text: bool = False) -> DataFrame:
+    """Sale lines from the ``events`` table. The quantity is the JSON text at ``$.k`` (it
+    is parsed strictly by ``clean_sales``); price and stamp are typed, or rendered as text
+    with ``as_text`` (the CSV / stream message shape)."""
+    price = F.col("value").cast("decimal(20,8)")
+    ts = F.col("ts")
+    if as_text:
+        price = price.cast("string")
+        ts = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
     return events.select(
         F.col("event_id").cast("string").alias("transaction_id"),
         F.col("user_id").cast("string").alias("product_id"),
         F.col("event_type").alias("category_id"),
         F.get_json_object("props", "$.k").alias("quantity"),
-        F.col("value").cast("decimal(20,8)").cast("string").alias("price_per_unit"),
-        F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("timestamp"),
+        price.alias("price_per_unit"),
+        ts.alias("timestamp"),
     )
 
 
