@@ -37,7 +37,7 @@ def test_gram_matches_numpy(spark):
     ranked = stats.ranked_rows(train)
     rows = fit.fit_rows(ranked, None)
     params = fit.fit_params(rows, ranked, feats, ranked).first()
-    grams = fit.partial_grams(rows, fit.fit_params(rows, ranked, feats, ranked),
+    grams = fit.partial_grams(ranked, fit.fit_params(rows, ranked, feats, ranked),
                               feats).collect()
     k = D.n_features(len(params.cp_t), (params.yearly_order, params.weekly_order,
                                         params.daily_order), len(params.hol_names))

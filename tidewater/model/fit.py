@@ -5,8 +5,9 @@ Plan (all categories and all back-test cutoffs in one job):
      cutoffs are a small table broadcast after a size check, so no row moves for this;
   2. fit parameters: n, time origin and scale, y scale, changepoints, seasonal orders and
      promotion names per fit (aggregates and joins over hours x categories);
-  3. partial Grams: ``groupBy(fit, month).applyInPandas`` builds X for one month of one
-     fit and returns X'X, X'y, y'y, n — memory per task is one month of hourly rows;
+  3. partial Grams: rows and fit parameters are cogrouped on (category, block of 2000
+     consecutive rows); X of every fit that uses the block is built in numpy and only
+     X'X, X'y, y'y, n leave the task — each row crosses to Python once;
   4. solve: ``groupBy(fit).applyInPandas`` adds the month Grams of one fit (bounded by
      months x K^2, independent of the number of sale lines) and solves K x K.
 A failing fit returns status FAILED with the error text; other fits are unaffected.
@@ -107,20 +108,30 @@ def fit_params(rows: DataFrame, train: DataFrame, promo_feats: DataFrame,
 
 
 # --------------------------------------------------------------------- pandas steps
-def _gram_block(pdf: pd.DataFrame) -> pd.DataFrame:
-    first = pdf.iloc[0]
-    orders = (int(first["yearly_order"]), int(first["weekly_order"]), int(first["daily_order"]))
-    cp_t = np.asarray(first["cp_t"] if first["cp_t"] is not None else [], dtype=float)
-    names = list(first["hol_names"]) if first["hol_names"] is not None else []
-    x = design(pdf["ds_s"].to_numpy(float), float(first["t0_s"]), float(first["t_scale_s"]),
-               cp_t, orders, names, pdf["promo_names"].tolist())
-    y = pdf["y"].to_numpy(float) / float(first["y_scale"])
-    return pd.DataFrame({
-        "fit_id": [first["fit_id"]], "n": [len(y)], "yty": [float(y @ y)],
-        "xty": [(x.T @ y).tolist()], "xtx": [(x.T @ x).ravel().tolist()],
-        "n_cp": [len(cp_t)], "yearly_order": [orders[0]], "weekly_order": [orders[1]],
-        "daily_order": [orders[2]], "n_hol": [len(names)],
-    })
+def _gram_blocks(rows: pd.DataFrame, fits: pd.DataFrame) -> pd.DataFrame:
+    """One block of one category's rows, and every fit of that category that uses it
+    (the full history and each back-test cutoff): X'X, X'y, y'y, n per fit."""
+    out = []
+    if rows.empty or fits.empty:
+        return pd.DataFrame(columns=[f.name for f in GRAM_SCHEMA.fields])
+    ds_all = rows["ds_s"].to_numpy(float)
+    y_all = rows["y"].to_numpy(float)
+    names_all = rows["promo_names"].tolist()
+    for f in fits.itertuples(index=False):
+        mask = np.ones(len(ds_all), bool) if pd.isna(f.cutoff_s) else ds_all <= f.cutoff_s
+        if not mask.any():
+            continue
+        orders = (int(f.yearly_order), int(f.weekly_order), int(f.daily_order))
+        cp_t = np.asarray(f.cp_t if f.cp_t is not None else [], dtype=float)
+        names = list(f.hol_names) if f.hol_names is not None else []
+        x = design(ds_all[mask], float(f.t0_s), float(f.t_scale_s), cp_t, orders, names,
+                   [n for n, m in zip(names_all, mask) if m])
+        y = y_all[mask] / float(f.y_scale)
+        out.append({"fit_id": f.fit_id, "n": int(mask.sum()), "yty": float(y @ y),
+                    "xty": (x.T @ y).tolist(), "xtx": (x.T @ x).ravel().tolist(),
+                    "n_cp": len(cp_t), "yearly_order": orders[0], "weekly_order": orders[1],
+                    "daily_order": orders[2], "n_hol": len(names)})
+    return pd.DataFrame(out, columns=[f.name for f in GRAM_SCHEMA.fields])
 
 
 def _solve_fit(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -156,25 +167,40 @@ def _solve_fit(pdf: pd.DataFrame) -> pd.DataFrame:
 BLOCK_ROWS = 2000
 
 
-def partial_grams(rows: DataFrame, params: DataFrame, promo_feats: DataFrame) -> DataFrame:
+def partial_grams(ranked: DataFrame, params: DataFrame, promo_feats: DataFrame) -> DataFrame:
     """Step 3: X'X, X'y, y'y, n per (fit, block of BLOCK_ROWS consecutive rows).
 
-    A block is a run of row positions of the category, so memory per task is bounded by
-    BLOCK_ROWS x K whatever the series length; a long series spreads over many tasks."""
-    spark = rows.sparkSession
+    ``ranked`` is the fact with row positions (each row once). Rows and fit parameters are
+    cogrouped on (category, block): every row crosses to Python once, and the function
+    builds the Grams of all fits of the category that use the block (a back-test fit uses
+    the rows up to its cutoff). Memory per task: one block x K, whatever the series length.
+    """
+    spark = ranked.sparkSession
     ship_package(spark)
-    p = sized_broadcast(params.select("fit_id", "t0_s", "t_scale_s", "y_scale", "cp_t",
-                                      "yearly_order", "weekly_order", "daily_order",
-                                      "hol_names"))
-    days = sized_broadcast(promo_day_names(promo_feats))
-    x = (rows.withColumn("_blk", F.floor(F.col("pos") / BLOCK_ROWS))
-         .join(p, "fit_id")
-         .join(days, (rows["category_id"] == days["category_id"])
-               & (F.to_date(rows["ds"]) == days["day"]), "left")
-         .select("fit_id", stats.epoch_s(F.col("ds")).alias("ds_s"), "y", "t0_s",
-                 "t_scale_s", "y_scale", "cp_t", "yearly_order", "weekly_order",
-                 "daily_order", "hol_names", "promo_names", "_blk"))
-    return x.groupBy("fit_id", "_blk").applyInPandas(_gram_block, GRAM_SCHEMA)
+    days = sized_broadcast(promo_day_names(promo_feats).withColumnRenamed("category_id",
+                                                                          "_dcat"))
+    blk = F.floor(F.col("pos") / BLOCK_ROWS).cast("long")
+    rows = (ranked.withColumn("_blk", blk).withColumn("_day", F.to_date("ds"))
+            .join(days, (F.col("category_id") == F.col("_dcat"))
+                  & (F.col("_day") == F.col("day")), "left")
+            .select(F.col("category_id").alias("category_id"), F.col("_blk").alias("_blk"),
+                    stats.epoch_s(F.col("ds")).alias("ds_s"), "y", "promo_names"))
+    blocks = (ranked.withColumn("_blk", blk).groupBy("category_id", "_blk")
+              .agg(F.min("ds").alias("_first")))
+    fits = (sized_broadcast(params.select(
+                "fit_id", "category_id", "cutoff", "t0_s", "t_scale_s", "y_scale", "cp_t",
+                "yearly_order", "weekly_order", "daily_order", "hol_names"))
+            .join(blocks, "category_id")
+            .where(F.col("cutoff").isNull() | (F.col("_first") <= F.col("cutoff")))
+            # fresh column ids: both cogroup sides descend from the same fact
+            .select(F.col("category_id").alias("category_id"), F.col("_blk").alias("_blk"),
+                    "fit_id", stats.epoch_s(F.col("cutoff")).alias("cutoff_s"), "t0_s",
+                    "t_scale_s",
+                    "y_scale", "cp_t", "yearly_order", "weekly_order", "daily_order",
+                    "hol_names"))
+    return (rows.groupBy("category_id", "_blk")
+            .cogroup(fits.groupBy("category_id", "_blk"))
+            .applyInPandas(_gram_blocks, GRAM_SCHEMA))
 
 
 def solve(grams: DataFrame) -> DataFrame:
@@ -193,6 +219,6 @@ def fit_models(train: DataFrame, promo_feats: DataFrame,
     ranked = materialize(stats.ranked_rows(train.select("category_id", "ds", "y")))
     rows = fit_rows(ranked, cutoffs, include_full)
     params = materialize(fit_params(rows, ranked, promo_feats, ranked))
-    sol = solve(partial_grams(rows, params, promo_feats))
+    sol = solve(partial_grams(ranked, params, promo_feats))
     return materialize(params.join(sol, "fit_id", "left").withColumn(
         "status", F.coalesce("status", F.lit("FAILED"))))
