@@ -104,3 +104,50 @@ def test_short_header_skips_rows(spark, tmpdir_path):
         spark, d, f"{tmpdir_path}/fact", f"{tmpdir_path}/ledger", "2024-02-01").collect()}
     assert out == {"short.csv": "SUCCESS"}
     assert not os.path.exists(f"{tmpdir_path}/fact/source_file=short.csv")
+
+
+def test_rewritten_file_reloads_by_mtime(spark, tmpdir_path):
+    d = f"{tmpdir_path}/sales"
+    fact, ledger = f"{tmpdir_path}/fact", f"{tmpdir_path}/ledger"
+    write_text(f"{d}/a.csv", HEADER + good(2))
+    os.utime(f"{d}/a.csv", (1_700_000_000, 1_700_000_000))
+    etl.load_sales(spark, d, fact, ledger, "2024-02-01 00:00:00", by_name_only=False)
+    # same name, new content and modification time: loaded again, delta replaced
+    write_text(f"{d}/a.csv", HEADER + good(5))
+    os.utime(f"{d}/a.csv", (1_700_000_500, 1_700_000_500))
+    assert {r.file_name for r in etl.pending_files(spark, d, ledger).collect()} == set()
+    assert {r.file_name for r in etl.pending_files(spark, d, ledger, by_name_only=False)
+            .collect()} == {"a.csv"}
+    etl.load_sales(spark, d, fact, ledger, "2024-02-02 00:00:00", by_name_only=False)
+    assert _fact(spark, fact) == {("2024-01-01 10:00:00", "C1"): (12.5, 5)}
+
+
+def test_metadata_refresh_all_or_nothing(spark, tmpdir_path):
+    cats = spark.createDataFrame([("C1", "one")], "category_id string, category_name string")
+    good_p = spark.createDataFrame([("X1", "x", "d", "C1")], "product_id string, "
+                                   "product_name string, description string, category_id string")
+    bad_p = spark.createDataFrame([("X1", "x", "d", "C1"), ("X2", "y", "d", "C9")],
+                                  good_p.schema)
+    cp, pp, lp = f"{tmpdir_path}/cats", f"{tmpdir_path}/prods", f"{tmpdir_path}/ledger"
+    assert etl.refresh_metadata(spark, cats, good_p, cp, pp, lp, "2024-01-01").count() == 0
+    assert store.read_current(spark, pp).count() == 1
+    assert etl.refresh_metadata(spark, cats, bad_p, cp, pp, lp, "2024-01-02").count() == 1
+    assert store.read_current(spark, pp).count() == 1          # previous snapshot kept
+    latest = {r.file_name: r.status for r in
+              ingest.ledger_latest(spark.read.parquet(lp)).collect()}
+    assert latest == {"categories.csv": "FAILED", "products.csv": "FAILED"}
+
+
+def test_promotions_file_refused(spark, tmpdir_path):
+    schema = ("promotion_id string, promotion_name string, start_date string, "
+              "end_date string, discount_percentage string, target_type string, "
+              "target_id string")
+    ok = spark.createDataFrame([("P1", "a", "2024-03-01", "2024-03-02", "10", "category",
+                                 "C1")], schema)
+    frac = ok.union(spark.createDataFrame([("P2", "b", "2024-03-01", "2024-03-02", "12.5",
+                                            "category", "C1")], schema))
+    pp, lp = f"{tmpdir_path}/promos", f"{tmpdir_path}/ledger"
+    etl.load_promotions(spark, ok, pp, lp, "2024-01-01")
+    etl.load_promotions(spark, frac, pp, lp, "2024-01-02")
+    assert store.read_current(spark, pp).count() == 1
+    assert {r.status for r in ingest.ledger_latest(spark.read.parquet(lp)).collect()} == {"FAILED"}

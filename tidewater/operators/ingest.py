@@ -73,9 +73,9 @@ def _stamp(raw: DataFrame):
 
 def rejected_sales(raw: DataFrame) -> DataFrame:
     """Rows that clean_sales drops, with the reason (for counting, Q2)."""
-    q = parse_int(F.col("quantity"))
-    p = parse_price(F.col("price_per_unit"))
-    ts = parse_sale_ts(F.col("timestamp"))
+    q = _quantity(raw)
+    p = _price(raw)
+    ts = _stamp(raw)
     reason = (F.when(q.isNull(), F.lit("bad_quantity"))
               .when(q <= 0, F.lit("non_positive_quantity"))
               .when(p.isNull(), F.lit("bad_price"))
@@ -130,22 +130,37 @@ def succeeded_files(ledger: DataFrame) -> DataFrame:
     return ledger_latest(ledger).where(F.col("status") == "SUCCESS").select("file_name")
 
 
-def files_to_process(listing: DataFrame, ledger: DataFrame) -> DataFrame:
+def files_to_process(listing: DataFrame, ledger: DataFrame,
+                     by_name_only: bool = True) -> DataFrame:
     """Listed ``*.csv`` files minus files already loaded with SUCCESS.
 
-    FAILED and PENDING files are retried; a name never seen is new.
+    FAILED and PENDING files are retried; a name never seen is new. With
+    ``by_name_only=False`` the ledger key is (name, modification time): a file rewritten
+    under the same name is loaded again (Q9); both frames then need ``file_mtime``.
+    Ledger names are compared without their ``.csv`` suffix.
     """
     csv_only = listing.where(F.col("file_name").endswith(".csv"))
-    done = succeeded_files(ledger).select(
-        F.concat(F.col("file_name"), F.lit(".csv")).alias("done_name"))
-    return (csv_only.join(done, csv_only["file_name"] == done["done_name"], "left_anti")
-            .select("file_name"))
+    latest = ledger_latest(ledger) if by_name_only else (
+        ledger.groupBy("file_name", "file_mtime")
+        .agg(F.max_by("status", F.struct("last_updated", "id")).alias("status")))
+    done = latest.where(F.col("status") == "SUCCESS").select(
+        F.concat(F.regexp_replace("file_name", r"\.csv$", ""), F.lit(".csv")).alias("done_name"),
+        *([] if by_name_only else [F.col("file_mtime").alias("done_mtime")]))
+    cond = csv_only["file_name"] == done["done_name"]
+    if not by_name_only:
+        cond = cond & (csv_only["file_mtime"] == done["done_mtime"])
+    return csv_only.join(done, cond, "left_anti").select("file_name")
 
 
 def ledger_rows(status_per_file: DataFrame, as_of) -> DataFrame:
-    """New ledger rows (file_name, status, last_updated) stamped with the run time."""
+    """New ledger rows (id, file_name, status, last_updated, file_mtime) stamped with the
+    run time; the id is a stable hash of (file, run time)."""
+    ts = F.lit(as_of).cast("timestamp_ntz")
+    mtime = (F.col("file_mtime").cast("timestamp_ntz") if "file_mtime" in status_per_file.columns
+             else F.lit(None).cast("timestamp_ntz"))
     return status_per_file.select(
-        "file_name", "status", F.lit(as_of).cast("timestamp_ntz").alias("last_updated"))
+        F.pmod(F.xxhash64("file_name", ts), F.lit(1 << 62)).alias("id"),
+        "file_name", "status", ts.alias("last_updated"), mtime.alias("file_mtime"))
 
 
 def recent_etl_jobs(ledger: DataFrame, limit: int | str | None = 50) -> DataFrame:

@@ -22,21 +22,22 @@ from ..sources import sales_files
 from ..util import materialize
 
 
-def pending_files(spark: SparkSession, sales_dir: str, ledger_path: str) -> DataFrame:
-    """Listed files that still need loading, with their path and header width."""
-    listing = sales_files.list_sales_files(spark, sales_dir)
+def pending_files(spark: SparkSession, sales_dir: str, ledger_path: str,
+                  by_name_only: bool = True) -> DataFrame:
+    """Listed files that still need loading, with their path and modification time."""
+    listing = sales_files.list_sales_files(spark, sales_dir).withColumn(
+        "file_mtime", F.col("modification_time").cast("timestamp_ntz"))
     ledger = store.read_or_empty(spark, ledger_path, LEDGER)
-    todo = ingest.files_to_process(listing.select("file_name"),
-                                   ledger.withColumn("file_name",
-                                                     F.regexp_replace("file_name", r"\.csv$", "")))
+    todo = ingest.files_to_process(listing.select("file_name", "file_mtime"), ledger,
+                                   by_name_only)
     return todo.join(listing, "file_name")
 
 
 def load_sales(spark: SparkSession, sales_dir: str, fact_path: str, ledger_path: str,
-               as_of) -> DataFrame:
+               as_of, by_name_only: bool = True) -> DataFrame:
     """Run one load cycle. Returns the per-file outcome (file_name, status, n_records,
     n_malformed, n_valid)."""
-    todo = pending_files(spark, sales_dir, ledger_path)
+    todo = pending_files(spark, sales_dir, ledger_path, by_name_only)
     paths = todo.select("path")
     widths = sales_files.header_widths(spark, [r.path for r in paths.collect()]) \
         if not todo.isEmpty() else None
@@ -60,8 +61,9 @@ def load_sales(spark: SparkSession, sales_dir: str, fact_path: str, ledger_path:
         per_file = ingest.hourly_sales(clean, "file_name").withColumnRenamed(
             "file_name", "source_file")
         n_valid = clean.groupBy("file_name").agg(F.count(F.lit(1)).alias("n_valid"))
+        mtimes = todo.select("file_name", "file_mtime")
         outcomes.append(quality.join(n_valid, "file_name", "left")
-                        .fillna(0, ["n_valid"]))
+                        .fillna(0, ["n_valid"]).join(mtimes, "file_name", "left"))
         deltas.append(per_file)
     outcome = outcomes[0]
     for o in outcomes[1:]:
@@ -71,10 +73,8 @@ def load_sales(spark: SparkSession, sales_dir: str, fact_path: str, ledger_path:
         delta = delta.unionByName(d)
     outcome = materialize(outcome)
     store.write_file_deltas(delta, fact_path)
-    rows = ingest.ledger_rows(outcome, as_of).withColumn(
-        "id", F.pmod(F.xxhash64("file_name", "last_updated"), F.lit(1 << 62)))
-    store.append(rows.select("id", "file_name", "status", "last_updated"), ledger_path)
-    return outcome
+    store.append(ingest.ledger_rows(outcome, as_of), ledger_path)
+    return outcome.drop("file_mtime")
 
 
 def load_metadata(raw_categories: DataFrame, raw_products: DataFrame):
@@ -89,13 +89,39 @@ def load_metadata(raw_categories: DataFrame, raw_products: DataFrame):
     return cats, prods, orphans
 
 
+def _ledger_status(spark: SparkSession, names: list[str], status: str, ledger_path: str,
+                   as_of) -> None:
+    rows = spark.createDataFrame([(n, status) for n in names], "file_name string, status string")
+    store.append(ingest.ledger_rows(rows, as_of), ledger_path)
+
+
 def refresh_metadata(spark: SparkSession, raw_categories: DataFrame, raw_products: DataFrame,
-                     categories_path: str, products_path: str) -> DataFrame:
-    """Write both dimension snapshots only when the orphan report is empty (all or
-    nothing). Returns the orphan report."""
+                     categories_path: str, products_path: str, ledger_path: str | None = None,
+                     as_of=None, names=("categories.csv", "products.csv")) -> DataFrame:
+    """Refresh both dimensions on every run, all or nothing: both snapshots
+    are written only when the orphan report is empty; the outcome (SUCCESS or FAILED) is
+    recorded in the ledger for both files. Returns the orphan report."""
     cats, prods, orphans = load_metadata(raw_categories, raw_products)
     orphans = materialize(orphans)
-    if orphans.isEmpty():
+    ok = orphans.isEmpty()
+    if ok:
         store.write_snapshot(cats, categories_path)
         store.write_snapshot(prods, products_path)
+    if ledger_path:
+        _ledger_status(spark, list(names), "SUCCESS" if ok else "FAILED", ledger_path, as_of)
     return orphans
+
+
+def load_promotions(spark: SparkSession, raw_promotions: DataFrame, promotions_path: str,
+                    ledger_path: str | None = None, as_of=None,
+                    name: str = "promotions.csv") -> DataFrame:
+    """Typed promotions; invalid rows skipped; a fractional discount refuses
+    the whole file (nothing written, FAILED in the ledger). Returns the skipped rows."""
+    promos = dims.dim_promotions(raw_promotions)
+    refused = promos.isEmpty() and not raw_promotions.isEmpty() and not \
+        dims.typed_promotions(raw_promotions).where("fractional").isEmpty()
+    if not refused:
+        store.write_snapshot(promos, promotions_path)
+    if ledger_path:
+        _ledger_status(spark, [name], "FAILED" if refused else "SUCCESS", ledger_path, as_of)
+    return dims.rejected_promotions(raw_promotions)

@@ -66,6 +66,20 @@ def q_hourly_sales_daily(spark, sf_dir):
     return ingest.hourly_sales(ingest.clean_sales(raw))
 
 
+@register("rejected_sales", f"""
+SELECT reason, COUNT(*) AS n_rows FROM (
+  SELECT CASE WHEN {EV_QTY} IS NULL THEN 'bad_quantity'
+              WHEN {EV_QTY} <= 0 THEN 'non_positive_quantity'
+              WHEN {EV_PRICE} IS NULL THEN 'bad_price'
+              WHEN {EV_PRICE} <= 0 THEN 'non_positive_price'
+              WHEN ts IS NULL THEN 'bad_timestamp' END AS reason
+  FROM events) WHERE reason IS NOT NULL GROUP BY 1""")
+def q_rejected_sales(spark, sf_dir):
+    """Q2: dropped sale lines counted by reason."""
+    raw = sales_lines_from_events(read_table(spark, sf_dir, "events"))
+    return ingest.rejected_sales(raw).groupBy("reason").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
 @register("hourly_merge", EV_HOURLY)
 def q_hourly_merge(spark, sf_dir):
     """Per-file (per-day) partial roll-ups merged additively equal the one-shot roll-up."""

@@ -58,6 +58,7 @@ LEDGER = T.StructType([
     T.StructField("file_name", T.StringType()),
     T.StructField("status", T.StringType()),
     T.StructField("last_updated", T.TimestampNTZType()),
+    T.StructField("file_mtime", T.TimestampNTZType()),
 ])
 
 FORECAST_POINT = T.StructType([

@@ -115,6 +115,7 @@ def ledger_from_orders(orders: DataFrame) -> DataFrame:
         F.concat(F.lit("f"), (F.col("o_orderkey") % 5000).cast("string")).alias("file_name"),
         _status().alias("status"),
         F.col("o_orderdate").alias("last_updated"),
+        F.lit(None).cast("timestamp_ntz").alias("file_mtime"),
     )
 
 
