@@ -36,7 +36,7 @@ def test_stream_equals_batch_over_several_triggers(spark, tmpdir_path):
     table = f"{tmpdir_path}/table"
     hourly.run_stream_to_table(spark, src, table, f"{tmpdir_path}/ckpt",
                                max_files_per_trigger=1)
-    got = _table(hourly.latest_snapshot(spark, table))
+    got = _table(hourly.read_stream_table(spark, table))
     batch = spark.read.schema(RAW_SALE).json(src)
     assert got == _table(ingest.hourly_sales(ingest.clean_sales(batch)))
     assert got[("2024-01-01 10:00:00", "C1")] == (8.0, 4)
@@ -55,6 +55,6 @@ def test_late_rows_do_not_disturb_on_time_totals(spark, tmpdir_path):
     table = f"{tmpdir_path}/table"
     hourly.run_stream_to_table(spark, src, table, f"{tmpdir_path}/ckpt", watermark="2 hours",
                                max_files_per_trigger=1)
-    got = _table(hourly.latest_snapshot(spark, table))
+    got = _table(hourly.read_stream_table(spark, table))
     assert got[("2024-01-01 16:00:00", "C1")] == (2.0, 1)
     assert got[("2024-01-01 10:00:00", "C1")] in {(2.0, 1), (4.0, 2)}

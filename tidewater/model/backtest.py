@@ -6,9 +6,10 @@ ends with its last row, where the oldest horizon in the window counts pro rata;
 (mdape) over all rows of the horizon plus the trailing rows before it. mape and mdape are
 left out when some |y| < 1e-8.
 
-All in set form: per-horizon sums and a cumulative window over horizons (bounded by the
+Means in set form: per-horizon sums and a cumulative window over horizons (bounded by the
 number of distinct horizons, not rows); the start of each window is found by an
-equi-join on row position instead of a range lookup.
+equi-join on row position instead of a range lookup. The rolling median runs per category
+over position-sorted values (numpy slices), since its windows overlap heavily.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..util import materialize, sized_broadcast
+from ..util import materialize, ship_package, sized_broadcast
 from . import fit, predict, stats
 
 METRICS = ["mse", "rmse", "mae", "mape", "mdape", "smape", "coverage"]
@@ -69,6 +70,7 @@ def performance_metrics(cv: DataFrame, rolling_window: float = ROLLING_WINDOW) -
     Output: category_id, horizon_s, horizon (text), mse, rmse, mae, mape, mdape, smape,
     coverage.
     """
+    ship_package(cv.sparkSession)
     e = materialize(error_rows(cv))
     means = ["mse", "mae", "mape", "smape", "coverage"]
     per_cat = (e.groupBy("category_id")
@@ -112,13 +114,16 @@ def performance_metrics(cv: DataFrame, rolling_window: float = ROLLING_WINDOW) -
             .otherwise(partial)
     rolled = j.select("category_id", "h_s", "_pct_ok", *[cols[m].alias(m) for m in means])
 
-    # mdape: median over positions [C_k - max(w, n_k), C_k - 1].
-    spans = ready.select("category_id", F.col("h_s").alias("h_k"),
-                         F.explode(F.sequence(F.col("C") - F.greatest("w", "n_h"),
-                                              F.col("C") - 1)).alias("pos"))
-    mdape = (spans.join(rows.select("category_id", "pos", "mape"), ["category_id", "pos"])
-             .groupBy("category_id", F.col("h_k").alias("h_s"))
-             .agg(F.median("mape").alias("mdape")))
+    # mdape: median over positions [C_k - max(w, n_k), C_k - 1]. The windows slide
+    # monotonically along one category's rows, so one task per category takes numpy medians
+    # over slices: O(rows) memory, never an expansion of every window. A category's
+    # back-test rows are bounded by the hours in its history, not by sales volume.
+    # fresh column ids on both sides: they descend from the same error rows
+    spans = ready.select(F.col("category_id").alias("category_id"), "h_s", "C", "n_h", "w")
+    mdape = (rows.select(F.col("category_id").alias("category_id"), "pos", "mape")
+             .groupBy("category_id")
+             .cogroup(spans.groupBy("category_id"))
+             .applyInPandas(_rolling_median, "category_id string, h_s double, mdape double"))
     out = rolled.join(mdape, ["category_id", "h_s"], "left")
     return out.select(
         "category_id", "h_s", stats.horizon_text(F.col("h_s")).alias("horizon"),
@@ -128,6 +133,20 @@ def performance_metrics(cv: DataFrame, rolling_window: float = ROLLING_WINDOW) -
         "smape", "coverage")
 
 
+def _rolling_median(rows, spans):
+    import numpy as np
+    import pandas as pd
+    if rows.empty or spans.empty:
+        return pd.DataFrame({"category_id": [], "h_s": [], "mdape": []})
+    values = rows.sort_values("pos")["mape"].to_numpy(float)
+    out = []
+    for r in spans.itertuples(index=False):
+        lo = int(r.C - max(r.w, r.n_h))
+        out.append(float(np.median(values[lo:int(r.C)])))
+    return pd.DataFrame({"category_id": spans["category_id"].to_numpy(),
+                         "h_s": spans["h_s"].to_numpy(float), "mdape": out})
+
+
 def metrics_json(metrics: DataFrame) -> DataFrame:
     """The metrics of each category as one JSON array (registry column)."""
     rec = F.struct("horizon", *METRICS)

@@ -26,4 +26,4 @@ def q_stream_hourly(spark, sf_dir):
     # which parallel writers do not keep in day order, so several triggers could make an
     # earlier day late. Multi-trigger replacement is covered by tests with ordered files.
     hourly.run_stream_to_table(spark, src, table, scratch_path(spark, "stream-ckpt"))
-    return hourly.latest_snapshot(spark, table)
+    return hourly.read_stream_table(spark, table)

@@ -55,42 +55,47 @@ def stream_hourly(raw_stream: DataFrame, watermark: str = "2 hours") -> DataFram
 def upsert_batch(table_path: str):
     """``foreachBatch`` sink — replace the changed (hour, category) rows.
 
-    Each micro-batch writes a complete new snapshot ``batch=<id>`` of the stream-owned
-    table (previous snapshot minus changed keys, plus the changed rows), so a replayed
-    batch rewrites the same snapshot: idempotent under retries."""
+    The stream-owned table is partitioned by day. A micro-batch touches the days of its
+    changed windows only (at most a few, by the watermark): their current rows are read
+    with partition pruning and cut from lineage (checkpoint), the changed keys are
+    replaced, and just those day partitions are rewritten with dynamic partition
+    overwrite. Work per batch is bounded by the changed days, not the table; a replayed
+    batch rewrites the same days with the same rows (idempotent)."""
+    from ..util import materialize
+
     def _apply(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         cols = ["time", "category_id", "total_sales", "total_quantity"]
-        changed = batch.select(*cols)
-        prev = latest_snapshot(spark, table_path, before=batch_id)
-        if prev is not None:
-            merged = prev.join(changed.select("time", "category_id"),
-                               ["time", "category_id"], "left_anti").unionByName(changed)
-        else:
-            merged = changed
-        merged.write.mode("overwrite").parquet(f"{table_path}/batch={batch_id}")
+        changed = materialize(batch.select(*cols).withColumn("day", F.to_date("time")))
+        days = [r.day for r in changed.select("day").distinct().collect()]
+        if not days:
+            return
+        merged = changed
+        if _exists(spark, table_path):
+            prev = (spark.read.parquet(table_path)
+                    .where(F.col("day").isin(days))
+                    .join(changed.select("time", "category_id"), ["time", "category_id"],
+                          "left_anti"))
+            merged = materialize(prev.select(*cols, "day").unionByName(changed))
+        (merged.repartition("day").write.mode("overwrite")
+         .option("partitionOverwriteMode", "dynamic").partitionBy("day")
+         .parquet(table_path))
     return _apply
 
 
-def latest_snapshot(spark: SparkSession, table_path: str, before: int | None = None):
-    """The newest complete snapshot of the stream-owned table (or None)."""
+def _exists(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    path = jvm.org.apache.hadoop.fs.Path(table_path)
-    fs = path.getFileSystem(conf)
-    if not fs.exists(path):
-        return None
-    ids = []
-    for st in fs.listStatus(path):
-        name = st.getPath().getName()
-        if name.startswith("batch=") and fs.exists(
-                jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
-            b = int(name.split("=", 1)[1])
-            if before is None or b < before:
-                ids.append(b)
-    if not ids:
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return bool(fs.exists(p))
+
+
+def read_stream_table(spark: SparkSession, table_path: str):
+    """The stream-owned hourly table (or None before the first batch)."""
+    if not _exists(spark, table_path):
         return None
-    return spark.read.parquet(f"{table_path}/batch={max(ids)}")
+    return spark.read.parquet(table_path).select("time", "category_id", "total_sales",
+                                                 "total_quantity")
 
 
 def run_stream_to_table(spark: SparkSession, source: str, table_path: str,

@@ -3,13 +3,14 @@ executors for the few Arrow/pandas steps."""
 
 from __future__ import annotations
 
+import io
 import os
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .session import checkpoint_root, is_local_path
+from .session import checkpoint_root
 
 # Largest number of rows a side may have to be broadcast on purpose. Sides that are
 # bounded by model size (fits, cutoffs, promotion days) sit far below it; anything larger
@@ -37,24 +38,36 @@ _SHIPPED: set = set()
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Make ``tidewater`` importable in Python workers (as ``--py-files`` would)."""
+    """Make ``tidewater`` importable in Python workers, as ``--py-files`` would.
+
+    The package is zipped in memory and written through the Hadoop FileSystem API into the
+    shared checkpoint folder (``spark.checkpoint.dir``), then added with ``addPyFile``, so
+    every executor fetches the same copy. Deployments that install the package on the
+    executors can skip this (``spark.tidewater.shipPackage=false``)."""
     sc = spark.sparkContext
     key = (id(sc), sc.applicationId)
     if key in _SHIPPED:
         return
+    if spark.conf.get("spark.tidewater.shipPackage", "true") == "false":
+        _SHIPPED.add(key)
+        return
     pkg_dir = os.path.dirname(os.path.abspath(__file__))
-    root = checkpoint_root(spark)
-    out_dir = root.replace("file:", "") if is_local_path(root) else None
-    if out_dir is None:
-        import tempfile
-        out_dir = tempfile.mkdtemp(prefix="tidewater-pkg-")
-    os.makedirs(out_dir, exist_ok=True)
-    zpath = os.path.join(out_dir, f"tidewater-{sc.applicationId}.zip")
-    with zipfile.ZipFile(zpath, "w", zipfile.ZIP_DEFLATED) as z:
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as z:
         for base, _dirs, files in os.walk(pkg_dir):
             for f in files:
                 if f.endswith(".py"):
                     full = os.path.join(base, f)
                     z.write(full, os.path.relpath(full, os.path.dirname(pkg_dir)))
-    sc.addPyFile(zpath)
+    root = checkpoint_root(spark).rstrip("/")
+    target = f"{root}/tidewater-{sc.applicationId}.zip"
+    jvm = sc._jvm
+    path = jvm.org.apache.hadoop.fs.Path(target)
+    fs = path.getFileSystem(sc._jsc.hadoopConfiguration())
+    out = fs.create(path, True)
+    try:
+        out.write(bytearray(buf.getvalue()))
+    finally:
+        out.close()
+    sc.addPyFile(path.toString())
     _SHIPPED.add(key)
