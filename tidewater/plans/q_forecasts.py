@@ -38,7 +38,8 @@ agg AS (SELECT model_version_id, date_trunc('month', forecast_date) AS evaluatio
                CAST(COUNT(*) AS DOUBLE) AS n_points
         FROM j GROUP BY 1, 2)
 SELECT model_version_id, CAST(evaluation_period_start AS DATE) AS evaluation_period_start,
-       last_day(evaluation_period_start) AS evaluation_period_end, metric_name, metric_value
+       last_day(evaluation_period_start) AS evaluation_period_end, metric_name,
+       round(metric_value, 4) AS metric_value
 FROM agg UNPIVOT (metric_value FOR metric_name IN (mape, rmse, n_points))""")
 def q_live_accuracy(spark, sf_dir):
     """Archived forecasts (by model version) against actual daily totals."""
@@ -47,7 +48,8 @@ def q_live_accuracy(spark, sf_dir):
     actuals = (o.groupBy(F.col("o_orderpriority").alias("category_id"),
                          F.to_date("o_orderdate").alias("forecast_date"))
                .agg(F.sum("o_totalprice").alias("actual")))
-    return forecasts.live_accuracy(hist, actuals)
+    return forecasts.live_accuracy(hist, actuals).withColumn(
+        "metric_value", F.round("metric_value", 4))
 
 
 @register("forecast_report", f"""

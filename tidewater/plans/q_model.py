@@ -172,6 +172,40 @@ def q_future_with_promos(spark, sf_dir):
                     F.array_join("promo_names", ",").alias("promo_names")))
 
 
+@register("fit_gram", f"""
+WITH tr AS (SELECT * FROM ({TRAIN_SQL})),
+st AS (SELECT category_id, min(ds) AS ds_min, max(ds) AS ds_max, max(abs(y)) AS ys
+       FROM tr GROUP BY 1),
+x AS (SELECT tr.category_id, tr.y / st.ys AS yy,
+             (epoch(tr.ds) - epoch(st.ds_min)) / (epoch(st.ds_max) - epoch(st.ds_min)) AS t,
+             sin(2 * pi() * (epoch(tr.ds) / 86400.0) / 365.25) AS s1
+      FROM tr JOIN st USING (category_id))
+SELECT category_id, COUNT(*) AS n, round(sum(yy * yy), 6) AS yty, round(sum(yy), 6) AS xty_m,
+       round(sum(t * yy), 6) AS xty_k, round(sum(t), 6) AS xtx_mk,
+       round(sum(t * t), 6) AS xtx_kk, round(sum(s1 * yy), 6) AS xty_sin1
+FROM x GROUP BY 1""")
+def q_fit_gram(spark, sf_dir):
+    """M3 step 3 checked exactly: entries of the Gram summed over row blocks (the column
+    order is [1, t, hinges..., yearly sin/cos...]; the first yearly sine follows the
+    changepoint hinges)."""
+    train = brand_train(spark, sf_dir)
+    ranked = stats.ranked_rows(train)
+    rows = fit.fit_rows(ranked, None)
+    params = fit.fit_params(rows, ranked, brand_feats(spark, sf_dir), ranked)
+    g = fit.partial_grams(ranked, params, brand_feats(spark, sf_dir))
+    k = F.lit(2) + F.col("n_cp") + 2 * (F.col("yearly_order") + F.col("weekly_order")
+                                        + F.col("daily_order")) + F.col("n_hol")
+    s1 = F.lit(2) + F.col("n_cp")
+    per = g.select("fit_id", "n", "yty", F.get("xty", F.lit(0)).alias("xty_m"),
+                   F.get("xty", F.lit(1)).alias("xty_k"),
+                   F.get("xtx", F.lit(1)).alias("xtx_mk"),
+                   F.get("xtx", k + 1).alias("xtx_kk"),
+                   F.get("xty", s1).alias("xty_sin1"))
+    return (per.groupBy(F.col("fit_id").alias("category_id"))
+            .agg(F.sum("n").alias("n"), *[F.round(F.sum(c), 6).alias(c) for c in
+                 ("yty", "xty_m", "xty_k", "xtx_mk", "xtx_kk", "xty_sin1")]))
+
+
 @register("fit_models")
 def q_model_fits(spark, sf_dir):
     """One fitted model per category (status, size, noise scale)."""
@@ -260,6 +294,9 @@ md AS (SELECT r.category_id, r.h_s, median(x.mape) AS mdape
                                                              CAST(r.C - 1 AS BIGINT))) AS pos) g
        JOIN rows x ON x.category_id = r.category_id AND x.pos = g.pos
        GROUP BY 1, 2)
+SELECT category_id, h_s, horizon, round(mse, 2) AS mse, round(rmse, 6) AS rmse,
+       round(mae, 6) AS mae, round(mape, 6) AS mape, round(mdape, 6) AS mdape,
+       round(smape, 6) AS smape, round(coverage, 6) AS coverage FROM (
 SELECT j.category_id, j.h_s,
   CAST(floor(j.h_s / 86400) AS BIGINT) || ' days ' ||
     lpad(CAST(CAST(floor((j.h_s % 86400) / 3600) AS BIGINT) AS VARCHAR), 2, '0') || ':' ||
@@ -272,10 +309,14 @@ SELECT j.category_id, j.h_s,
   CASE WHEN pct_ok THEN md.mdape END AS mdape,
   CASE WHEN n_h >= w THEN sum_smape / n_h ELSE (cum_smape - cumi_smape + (C_i - p) * sumi_smape / n_i) / w END AS smape,
   CASE WHEN n_h >= w THEN sum_cov / n_h ELSE (cum_cov - cumi_cov + (C_i - p) * sumi_cov / n_i) / w END AS coverage
-FROM j LEFT JOIN md USING (category_id, h_s)""")
+FROM j LEFT JOIN md USING (category_id, h_s))""")
 def q_rolling_metrics(spark, sf_dir):
-    """A9/W3 on given predictions (so the metric arithmetic has an exact oracle)."""
-    return backtest.performance_metrics(given_cv(spark, sf_dir))
+    """A9/W3 on given predictions (so the metric arithmetic has an exact oracle); values
+    rounded identically on both sides (mse to 2 decimals, the rest to 6)."""
+    m = backtest.performance_metrics(given_cv(spark, sf_dir))
+    return m.select("category_id", "h_s", "horizon", F.round("mse", 2).alias("mse"),
+                    *[F.round(c, 6).alias(c) for c in
+                      ("rmse", "mae", "mape", "mdape", "smape", "coverage")])
 
 
 @register("forecast")
