@@ -216,6 +216,7 @@ def fit_models(train: DataFrame, promo_feats: DataFrame,
     Columns: fit_id, category_id, cutoff, n, ds_min, ds_max, t0_s, t_scale_s, y_scale, cp_t,
     yearly/weekly/daily_order, hol_names, status, error, sigma, beta, lambda_mean.
     """
+    promo_feats = materialize(promo_feats.select("category_id", "promotion_name", "ds"))
     ranked = materialize(stats.ranked_rows(train.select("category_id", "ds", "y")))
     rows = fit_rows(ranked, cutoffs, include_full)
     params = materialize(fit_params(rows, ranked, promo_feats, ranked))

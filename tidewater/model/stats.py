@@ -68,41 +68,40 @@ def span_days(ds_min: Column, ds_max: Column) -> Column:
     return F.floor((epoch_s(ds_max) - epoch_s(ds_min)) / F.lit(DAY_S)).cast("long")
 
 
-def spacing_below(train: DataFrame, period_s: float, name: str) -> DataFrame:
-    """Per category: is the smallest gap between distinct stamps below ``period_s``?
-
-    Set form of "min spacing < period" without sorting a whole series: stamps are put in
-    buckets of the period's length; two stamps in one bucket are closer than the period,
-    and otherwise only the last stamp of a bucket and the first of the next can be.
+def min_spacing(train: DataFrame) -> DataFrame:
+    """Per category, the smallest gap (seconds) between consecutive distinct stamps — the
+    row spacing the auto-seasonality rules test — without ordering a whole series:
+
+    * within a calendar day, consecutive stamps are ordered by a window over that day only
+      (at most 24 rows for an hourly fact);
+    * across days, only the last stamp of a day and the first stamp of the next non-empty
+      day can be neighbours, ordered by a window over the per-day table (one row per day).
     """
-    b = F.floor(epoch_s(F.col("ds")) / F.lit(period_s)).cast("long")
-    per = (train.select("category_id", "ds", b.alias("b")).distinct()
-           .groupBy("category_id", "b")
-           .agg(F.count(F.lit(1)).alias("c"), F.min("ds").alias("lo"), F.max("ds").alias("hi")))
-    inside = per.where(F.col("c") >= 2).select("category_id").distinct()
-    nxt = per.select("category_id", (F.col("b") - 1).alias("b"), F.col("lo").alias("next_lo"))
-    across = (per.join(nxt, ["category_id", "b"])
-              .where(epoch_s(F.col("next_lo")) - epoch_s(F.col("hi")) < F.lit(period_s))
-              .select("category_id").distinct())
-    return inside.unionByName(across).distinct().withColumn(name, F.lit(True))
+    d = train.select("category_id", "ds", F.to_date("ds").alias("_d")).distinct()
+    w_in = Window.partitionBy("category_id", "_d").orderBy("ds")
+    inside = (d.withColumn("_gap", epoch_s(F.col("ds")) - epoch_s(F.lag("ds").over(w_in)))
+              .groupBy("category_id").agg(F.min("_gap").alias("_in")))
+    days = d.groupBy("category_id", "_d").agg(F.min("ds").alias("_lo"), F.max("ds").alias("_hi"))
+    w_day = Window.partitionBy("category_id").orderBy("_d")
+    across = (days.withColumn("_gap", epoch_s(F.col("_lo")) - epoch_s(F.lag("_hi").over(w_day)))
+              .groupBy("category_id").agg(F.min("_gap").alias("_across")))
+    return (inside.join(across, "category_id", "full")
+            .select("category_id", F.least("_in", "_across").alias("min_dt_s")))
 
 
 def seasonality_config(train: DataFrame) -> DataFrame:
     """Fourier orders per category from the auto rules (span and row spacing)."""
     st = series_stats(train, ["category_id"])
-    sub_daily = spacing_below(train, DAY_S, "sub_daily")
-    sub_weekly = spacing_below(train, 7 * DAY_S, "sub_weekly")
     span_s = epoch_s(F.col("ds_max")) - epoch_s(F.col("ds_min"))
-    return (st.join(sub_daily, "category_id", "left").join(sub_weekly, "category_id", "left")
+    dt = F.coalesce(F.col("min_dt_s"), F.lit(float("inf")))
+    return (st.join(min_spacing(train), "category_id", "left")
             .select("category_id",
                     F.when(span_s >= YEARLY_MIN_SPAN_D * DAY_S, F.lit(YEARLY_ORDER))
                     .otherwise(F.lit(0)).alias("yearly_order"),
-                    F.when((span_s >= WEEKLY_MIN_SPAN_D * DAY_S)
-                           & F.coalesce("sub_weekly", F.lit(False)), F.lit(WEEKLY_ORDER))
-                    .otherwise(F.lit(0)).alias("weekly_order"),
-                    F.when((span_s >= DAILY_MIN_SPAN_D * DAY_S)
-                           & F.coalesce("sub_daily", F.lit(False)), F.lit(DAILY_ORDER))
-                    .otherwise(F.lit(0)).alias("daily_order")))
+                    F.when((span_s >= WEEKLY_MIN_SPAN_D * DAY_S) & (dt < 7 * DAY_S),
+                           F.lit(WEEKLY_ORDER)).otherwise(F.lit(0)).alias("weekly_order"),
+                    F.when((span_s >= DAILY_MIN_SPAN_D * DAY_S) & (dt < DAY_S),
+                           F.lit(DAILY_ORDER)).otherwise(F.lit(0)).alias("daily_order")))
 
 
 # ---------------------------------------------------------------------- back-test setup
