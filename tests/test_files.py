@@ -151,3 +151,27 @@ def test_promotions_file_refused(spark, tmpdir_path):
     etl.load_promotions(spark, frac, pp, lp, "2024-01-02")
     assert store.read_current(spark, pp).count() == 1
     assert {r.status for r in ingest.ledger_latest(spark.read.parquet(lp)).collect()} == {"FAILED"}
+
+
+def test_dimension_files(spark, tmpdir_path):
+    d = tmpdir_path
+    write_text(f"{d}/categories.csv", "category_id,category_name\nC1,One\nC2,Two\n")
+    write_text(f"{d}/products.csv", "product_id,product_name,description,category_id\n"
+               "X1,Thing,desc,C1\nX2,\"Other, big\",\"quoted \"\"d\"\"\",C2\n")
+    write_text(f"{d}/bad_products.csv", "product_id,product_name,description,category_id\n"
+               "X1,Thing,desc\n")
+    lp = f"{d}/ledger"
+    assert etl.refresh_metadata_files(spark, f"{d}/categories.csv", f"{d}/products.csv",
+                                      f"{d}/cats", f"{d}/prods", lp, "2024-01-01") == "SUCCESS"
+    prods = {r.product_id: (r.product_name, r.description)
+             for r in store.read_current(spark, f"{d}/prods").collect()}
+    assert prods["X2"] == ("Other, big", 'quoted "d"')
+    assert etl.refresh_metadata_files(spark, f"{d}/categories.csv", f"{d}/bad_products.csv",
+                                      f"{d}/cats", f"{d}/prods", lp, "2024-01-02") == "FAILED"
+    assert store.read_current(spark, f"{d}/prods").count() == 2
+    write_text(f"{d}/promotions.csv", "promotion_id,promotion_name,start_date,end_date,"
+               "discount_percentage,target_type,target_id\n"
+               "P1,a,2024-03-01,2024-03-06,10,category,C1\nP2,b,2024-99-01,2024-03-06,10,category,C1\n")
+    assert etl.load_promotions_file(spark, f"{d}/promotions.csv", f"{d}/promos", lp,
+                                    "2024-01-03") == "SUCCESS"
+    assert [r.promotion_id for r in store.read_current(spark, f"{d}/promos").collect()] == ["P1"]

@@ -60,11 +60,13 @@ def model_performance(performance: DataFrame, model_version_id: int) -> DataFram
 
 # -------------------------------------------------------------------------- forecast cache
 def cached_forecast(live: DataFrame, category_id: str, granularity: str,
-                    period: int) -> DataFrame:
-    """O1: the oldest ``period`` cached points of one (category, granularity) by date
-    (no ``>= today`` filter, as the reference), dates as text."""
-    return (live.where((F.col("category_id") == category_id)
-                       & (F.col("granularity") == granularity))
+                    period: int, from_date=None) -> DataFrame:
+    """O1/Q16: the oldest ``period`` cached points of one (category, granularity) by date
+    (no ``>= today`` filter, as the reference; ``from_date`` adds one), dates as text."""
+    cond = (F.col("category_id") == category_id) & (F.col("granularity") == granularity)
+    if from_date is not None:
+        cond = cond & (F.col("forecast_date") >= F.lit(from_date).cast("date"))
+    return (live.where(cond)
             .orderBy("forecast_date").limit(int(period))
             .select(iso_date(F.col("forecast_date")).alias("date"),
                     "predicted_sales", "lower_bound", "upper_bound"))

@@ -125,3 +125,35 @@ def load_promotions(spark: SparkSession, raw_promotions: DataFrame, promotions_p
     if ledger_path:
         _ledger_status(spark, [name], "FAILED" if refused else "SUCCESS", ledger_path, as_of)
     return dims.rejected_promotions(raw_promotions)
+
+
+def refresh_metadata_files(spark: SparkSession, categories_csv: str, products_csv: str,
+                           categories_path: str, products_path: str, ledger_path: str,
+                           as_of) -> str:
+    """S4/S5/S10/S11 from files: a malformed record in either file fails both (nothing
+    written, FAILED recorded); otherwise the all-or-nothing orphan check decides."""
+    from ..sources import dim_files
+    cats, bad_c = dim_files.read_categories(spark, categories_csv)
+    prods, bad_p = dim_files.read_products(spark, products_csv)
+    names = [categories_csv.rsplit("/", 1)[-1], products_csv.rsplit("/", 1)[-1]]
+    if bad_c or bad_p:
+        _ledger_status(spark, names, "FAILED", ledger_path, as_of)
+        return "FAILED"
+    orphans = refresh_metadata(spark, cats, prods, categories_path, products_path,
+                               ledger_path, as_of, names)
+    return "SUCCESS" if orphans.isEmpty() else "FAILED"
+
+
+def load_promotions_file(spark: SparkSession, promotions_csv: str, promotions_path: str,
+                         ledger_path: str, as_of) -> str:
+    """S6 from a file: malformed record or fractional discount -> FAILED, nothing written."""
+    from ..sources import dim_files
+    raw, bad = dim_files.read_promotions(spark, promotions_csv)
+    name = promotions_csv.rsplit("/", 1)[-1]
+    if bad:
+        _ledger_status(spark, [name], "FAILED", ledger_path, as_of)
+        return "FAILED"
+    load_promotions(spark, raw, promotions_path, ledger_path, as_of, name)
+    latest = ingest.ledger_latest(spark.read.parquet(ledger_path)).where(
+        F.col("file_name") == name).first()
+    return latest.status
