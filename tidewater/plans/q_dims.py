@@ -167,3 +167,19 @@ SELECT COUNT(*) AS n_rejected FROM ({PROMOS_SQL}) WHERE start_date IS NULL""")
 def q_rejected_promotions(spark, sf_dir):
     raw = raw_promotions_from_part(read_table(spark, sf_dir, "part"))
     return dims.rejected_promotions(raw).agg(F.count(F.lit(1)).alias("n_rejected"))
+
+
+@register("dim_products_csv", PRODUCTS_SQL)
+def q_dim_products_csv(spark, sf_dir):
+    """S5 through the file path: products derived from ``part`` are written as CSV files
+    to the shared scratch folder and read back by the dimension reader (quoted text
+    fields, header, whole-file check)."""
+    from ..session import scratch_path
+    from ..sources import dim_files
+    out = scratch_path(spark, "products-csv")
+    (products_from_part(read_table(spark, sf_dir, "part"))
+     .write.mode("overwrite").option("header", "true").option("escape", '"').csv(out))
+    raw, bad = dim_files.read_products(spark, out)
+    if bad:
+        raise ValueError("products file has malformed records")
+    return dims.dim_products(raw)
