@@ -100,3 +100,18 @@ def test_failure_isolation_and_min_points(spark):
     ok = train.where((F.col("category_id") == "B") & (F.dayofyear("ds") <= 50))
     got = {r.category_id for r in stats.trainable_categories(few.union(ok)).collect()}
     assert got == {"B"}
+
+
+def test_backtest_skipped_when_history_is_short(spark):
+    """a 29-day hourly series is too short (span < initial + horizon): no cutoffs,
+    no back-test rows, no metrics — and nothing fails."""
+    from tidewater.model import backtest
+    from tidewater.plans.q_ingest import events_fact
+    from conftest import SMOKE
+    train = stats.training_frame(events_fact(spark, SMOKE))
+    assert stats.cv_cutoffs(stats.cv_params(train)).count() == 0
+    empty = train.select("category_id", F.lit("none").alias("promotion_name"),
+                         F.to_date("ds").alias("ds")).where(F.lit(False))
+    cv = backtest.backtest_forecasts(train, empty)
+    assert cv.count() == 0
+    assert backtest.performance_metrics(cv).count() == 0

@@ -131,9 +131,11 @@ def live_rows(forecasts: DataFrame) -> DataFrame:
 
 
 def archive_forecasts(live: DataFrame, archived_at) -> DataFrame:
-    """The live rows appended to history with the archive stamp (no dedupe)."""
+    """The live rows appended to history with the archive stamp (no dedupe). The
+    full forecast instant (``forecast_ts``, Q13) is kept when the live rows carry it."""
+    ts = ["forecast_ts"] if "forecast_ts" in live.columns else []
     return live.select("model_version_id", "category_id", "forecast_date", *POINT_COLS,
-                       "granularity",
+                       "granularity", *ts,
                        F.lit(archived_at).cast("timestamp_ntz").alias("archived_at"))
 
 
@@ -181,13 +183,9 @@ def registry_rows(models: DataFrame, metadata: DataFrame, metrics_json: DataFram
 
 
 # ------------------------------------------------------------------------- live accuracy
-def live_accuracy(history: DataFrame, actuals: DataFrame) -> DataFrame:
-    """Accuracy of archived forecasts against what happened, per model version and
-    calendar month, in the long format of forecast_performance (metric_name, value).
-
-    ``history``: (model_version_id, category_id, forecast_date, predicted_sales);
-    ``actuals``: (category_id, forecast_date, actual)."""
-    j = history.join(actuals, ["category_id", "forecast_date"])
+def _accuracy_long(j: DataFrame) -> DataFrame:
+    """(model_version_id, forecast_date, predicted_sales, actual) -> MAPE, RMSE and the
+    number of points per version and calendar month, in long format."""
     err = F.col("actual") - F.col("predicted_sales")
     agg = (j.groupBy("model_version_id",
                      F.trunc("forecast_date", "month").alias("evaluation_period_start"))
@@ -204,6 +202,30 @@ def live_accuracy(history: DataFrame, actuals: DataFrame) -> DataFrame:
                     F.col("_m.metric_value").alias("metric_value")))
 
 
+def live_accuracy(history: DataFrame, actuals: DataFrame) -> DataFrame:
+    """Accuracy of archived forecasts against what happened, per model version and
+    calendar month, in the long format of forecast_performance (metric_name, value).
+
+    ``history``: (model_version_id, category_id, forecast_date, predicted_sales);
+    ``actuals``: (category_id, forecast_date, actual)."""
+    return _accuracy_long(history.join(actuals, ["category_id", "forecast_date"]))
+
+
+def performance_rows(history: DataFrame, fact: DataFrame) -> DataFrame:
+    """M12 writer (Q22): forecast_performance rows from archived forecasts and the hourly
+    fact at the same instant — the model forecasts the hourly value at ``forecast_ts``,
+    so a forecast is scored against the fact row of that hour (Q13)."""
+    actual = fact.select("category_id", F.col("time").alias("forecast_ts"),
+                         F.col("total_sales").cast("double").alias("actual"))
+    j = (history.join(actual, ["category_id", "forecast_ts"])
+         .select("model_version_id", F.to_date("forecast_ts").alias("forecast_date"),
+                 "predicted_sales", "actual"))
+    acc = _accuracy_long(j)
+    return acc.select(
+        F.pmod(F.xxhash64("model_version_id", "evaluation_period_end", "metric_name"),
+               F.lit(1 << 62)).alias("id"), *acc.columns)
+
+
 # ------------------------------------------------------------------------ text report
 @F.pandas_udf(T.StringType())
 def _fixed2(v: pd.Series) -> pd.Series:

@@ -58,3 +58,10 @@ def refresh_cache(spark: SparkSession, models: DataFrame, model_ids: DataFrame,
     old = store.read_current(spark, live_path, LIVE_FORECAST)
     store.append(forecasts.archive_forecasts(old, as_of), history_path)
     return store.write_snapshot(forecasts.refreshed_live(old, fresh), live_path)
+
+
+def record_performance(spark: SparkSession, history_path: str, fact: DataFrame,
+                       performance_path: str) -> None:
+    """Score archived forecasts against the fact and append the metrics."""
+    store.append(forecasts.performance_rows(spark.read.parquet(history_path), fact),
+                 performance_path)
