@@ -240,6 +240,8 @@ def forecast_report(points: DataFrame) -> DataFrame:
     ``points``: (category_id, date text, predicted_sales, lower_bound, upper_bound).
     Output: (category_id, line_no, line) — header lines 0-3, then one line per point.
     """
+    from ..util import ship_package
+    ship_package(points.sparkSession)     # the %.2f helper runs in Python workers
     # The report's title, rule widths and column widths.
     title = F.concat(F.lit("Daily Sales Forecast for Category: "), F.col("category_id"))
     header = F.lit(f"{'Date':<12} | {'Predicted Sales':>15} | {'Lower Bound':>12} | "
