@@ -88,11 +88,12 @@ def q_delta_apply(spark, sf_dir):
                    F.lit(120).alias("period")))
     delta = forecasts.delta_forecast(models, reads.forecast_gaps(live_t, req), feats, TODAY)
     merged, dups = forecasts.delta_apply(live_t, delta)
-    n_dups = dups.agg(F.count(F.lit(1)).alias("n_colliding_keys")).withColumn("_k", F.lit(1))
+    n_dups = (dups.groupBy("category_id", "granularity")
+              .agg(F.count(F.lit(1)).alias("n_colliding_keys")))
     return (merged.groupBy("category_id", "granularity")
             .agg(F.count(F.lit(1)).alias("n_points"), F.max("forecast_date").alias("last_date"))
-            .withColumn("_k", F.lit(1))
-            .join(F.broadcast(n_dups), "_k", "left").drop("_k"))
+            .join(n_dups, ["category_id", "granularity"], "left")
+            .fillna(0, ["n_colliding_keys"]))
 
 
 @register("refresh_forecasts")
