@@ -129,3 +129,15 @@ def test_performance_rows_at_the_forecast_instant(spark):
            for r in forecasts.performance_rows(hist, fact).collect()}
     assert got == {("2024-01-01", "mape"): 0.1, ("2024-01-01", "rmse"): 10.0,
                    ("2024-01-01", "n_points"): 2.0}
+
+
+def test_latest_model_ties_by_id(spark):
+    import datetime as _dt
+    v = spark.createDataFrame(
+        [(1, "C1", "v1", _dt.datetime(2024, 1, 1)), (2, "C1", "v2", _dt.datetime(2024, 1, 2)),
+         (3, "C1", "v3", _dt.datetime(2024, 1, 2)), (4, "C2", "v4", _dt.datetime(2023, 1, 1))],
+        "id long, category_id string, version string, training_date_utc timestamp_ntz")
+    got = {r.category_id: r.model_version_id for r in reads.latest_model(v).collect()}
+    assert got == {"C1": 3, "C2": 4}
+    marked = {r.id: r.is_latest for r in reads.mark_latest(v).collect()}
+    assert marked == {1: False, 2: False, 3: True, 4: True}
