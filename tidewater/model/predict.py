@@ -41,7 +41,10 @@ def predict(targets: DataFrame, params: DataFrame, promo_feats: DataFrame | None
     p = sized_broadcast(params.where(F.col("status") == "OK").select(*PARAM_COLS))
     # Evaluation is CPU-bound while targets are few bytes (AQE may have coalesced them to
     # one partition): spread them by hash of (fit, stamp) — even and deterministic.
-    n = int(targets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # At most 4 tasks per slot: more would only add scheduling for a CPU-bound step.
+    spark = targets.sparkSession
+    n = min(int(spark.conf.get("spark.sql.shuffle.partitions")),
+            4 * spark.sparkContext.defaultParallelism)
     df = targets.repartition(n, "fit_id", "ds").join(p, "fit_id")
     if promo_feats is not None:
         days = sized_broadcast(promo_day_names(promo_feats).withColumnRenamed(
