@@ -46,16 +46,22 @@ def main() -> None:
     # warm-up (JVM, parquet footers, Python workers)
     registry.QUERIES["dim_categories"](spark, sf_dir).write.format("noop").mode(
         "overwrite").save()
-    times = {}
+    times, errors = {}, {}
     for key in keys:
         t0 = time.time()
-        df = registry.QUERIES[key](spark, sf_dir)
-        df.write.format("noop").mode("overwrite").save()
-        times[key] = round(time.time() - t0, 3)
+        try:
+            df = registry.QUERIES[key](spark, sf_dir)
+            df.write.format("noop").mode("overwrite").save()
+            times[key] = round(time.time() - t0, 3)
+        except Exception as e:  # noqa: BLE001 — one failing query must not hide the rest
+            times[key] = None
+            errors[key] = f"{type(e).__name__}: {e}"[:300]
         print(f"# {key}: {times[key]}s", file=sys.stderr, flush=True)
     sf = os.path.basename(sf_dir.rstrip("/")).replace("sf", "")
-    print(json.dumps({"metric": "total_headline_seconds", "value": round(sum(times.values()), 3),
+    done = [v for v in times.values() if v is not None]
+    print(json.dumps({"metric": "total_headline_seconds", "value": round(sum(done), 3),
                       "unit": "sec", "queries": times, "sf": sf, "cpus": int(cpus),
+                      **({"errors": errors} if errors else {}),
                       "settings": {"spark.sql.shuffle.partitions": int(cpus) * 2,
                                    "spark.sql.adaptive.enabled": True}}))
     spark.stop()
