@@ -66,20 +66,27 @@ def upsert_batch(table_path: str):
     def _apply(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         cols = ["time", "category_id", "total_sales", "total_quantity"]
-        changed = materialize(batch.select(*cols).withColumn("day", F.to_date("time")))
-        days = [r.day for r in changed.select("day").distinct().collect()]
-        if not days:
-            return
-        merged = changed
-        if _exists(spark, table_path):
-            prev = (spark.read.parquet(table_path)
-                    .where(F.col("day").isin(days))
-                    .join(changed.select("time", "category_id"), ["time", "category_id"],
-                          "left_anti"))
-            merged = materialize(prev.select(*cols, "day").unionByName(changed))
-        (merged.repartition("day").write.mode("overwrite")
-         .option("partitionOverwriteMode", "dynamic").partitionBy("day")
-         .parquet(table_path))
+        # The batch is read twice (its days, then the merge): persist it, as foreachBatch
+        # sinks do — a lost block is recomputed from the replayable source offsets.
+        changed = batch.select(*cols).withColumn("day", F.to_date("time")).persist()
+        try:
+            days = [r.day for r in changed.select("day").distinct().collect()]
+            if not days:
+                return
+            merged = changed
+            if _exists(spark, table_path):
+                prev = (spark.read.parquet(table_path)
+                        .where(F.col("day").isin(days))
+                        .join(changed.select("time", "category_id"), ["time", "category_id"],
+                              "left_anti"))
+                # Written copy: the rows read from the partitions about to be overwritten
+                # must not be recomputed from them during the write.
+                merged = materialize(prev.select(*cols, "day").unionByName(changed))
+            (merged.repartition("day").write.mode("overwrite")
+             .option("partitionOverwriteMode", "dynamic").partitionBy("day")
+             .parquet(table_path))
+        finally:
+            changed.unpersist()
     return _apply
 
 
