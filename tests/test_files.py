@@ -175,3 +175,14 @@ def test_dimension_files(spark, tmpdir_path):
     assert etl.load_promotions_file(spark, f"{d}/promotions.csv", f"{d}/promos", lp,
                                     "2024-01-03") == "SUCCESS"
     assert [r.promotion_id for r in store.read_current(spark, f"{d}/promos").collect()] == ["P1"]
+
+
+def test_fact_time_range_read_is_pushed_down(spark, tmpdir_path):
+    d = f"{tmpdir_path}/sales"
+    fact = f"{tmpdir_path}/fact"
+    write_text(f"{d}/a.csv", HEADER + good(2, hour="10") + good(2, hour="12"))
+    etl.load_sales(spark, d, fact, f"{tmpdir_path}/ledger", "2024-02-01 00:00:00")
+    df = store.read_fact(spark, fact, "2024-01-01 11:00:00", "2024-01-01 13:00:00")
+    assert {str(r.time) for r in df.collect()} == {"2024-01-01 12:00:00"}
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(time" in plan

@@ -32,16 +32,26 @@ def exists(spark: SparkSession, path: str) -> bool:
 # ------------------------------------------------------------------------ per-file deltas
 def write_file_deltas(per_file: DataFrame, fact_path: str) -> None:
     """Write per-file hourly deltas (time, category_id, total_sales, total_quantity,
-    source_file); only the partitions of the files present are replaced."""
+    source_file); only the partitions of the files present are replaced.
+
+    Rows are sorted by time inside each file, so parquet min/max statistics let time-range
+    reads skip row groups (the role of the reference's time partitioning) without a second
+    partition level that a re-loaded file could leave stale."""
     (per_file.select("time", "category_id", "total_sales", "total_quantity", "source_file")
      .repartition("source_file")
+     .sortWithinPartitions("source_file", "time", "category_id")
      .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("source_file").parquet(fact_path))
 
 
-def read_fact(spark: SparkSession, fact_path: str) -> DataFrame:
-    """The fact: sum of the per-file deltas per (hour, category) (A2)."""
+def read_fact(spark: SparkSession, fact_path: str, start=None, end=None) -> DataFrame:
+    """The fact: sum of the per-file deltas per (hour, category) (A2), optionally for
+    ``start <= time < end`` (pushed to the parquet scan)."""
     deltas = spark.read.parquet(fact_path)
+    if start is not None:
+        deltas = deltas.where(F.col("time") >= F.lit(start).cast("timestamp_ntz"))
+    if end is not None:
+        deltas = deltas.where(F.col("time") < F.lit(end).cast("timestamp_ntz"))
     return (deltas.groupBy("time", "category_id")
             .agg(F.sum("total_sales").cast(MONEY).alias("total_sales"),
                  F.sum("total_quantity").cast("long").alias("total_quantity")))
