@@ -60,3 +60,29 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     book = rules.apply_policy(rules.ledger(table(spark, sf_dir, "documents")))
     return book.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines",
                        "n_repeat_words", "base_failed", "kept")
+
+
+@register("op1_bpe")
+def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers as P
+
+    from . import bpe
+    return bpe.encode_documents(table(spark, sf_dir, "documents"), P.path("word_bpe_49k.json"))
+
+
+@register("op6_packing")
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import packer
+    return packer.pack_documents(table(spark, sf_dir, "documents"))
+
+
+@register("op7_token_files")
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers as P
+
+    from ..session import scratch_path
+    from . import tokenfile
+    target = scratch_path(spark, "tokens")
+    tokenfile.write_tokens(table(spark, sf_dir, "documents"), target,
+                           P.path("byte_bpe_50k.json"), P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    return tokenfile.read_tokens(spark, target)
