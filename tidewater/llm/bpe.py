@@ -23,9 +23,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ..util import ship_package
-from .pieces import Encoder
-from .textkit import batches
+from .pieces import Encoder, listed
+from .textkit import batches, prepare
 
 
 def byte_symbols() -> dict[str, int]:
@@ -221,7 +220,7 @@ def codec(path: str) -> tuple[Encoder, Decoder]:
         walker = Backtracker(vocab)
         clip = library.decoder is None  # word-level file: lower case, white space dropped
         _MADE[path] = (
-            Encoder(path, clip, lambda ps: [walker.encode(p) for p in ps], vocab.special,
+            Encoder(path, clip, lambda ps: listed([walker.encode(p) for p in ps]), vocab.special,
                     lambda t: library.encode(t, add_special_tokens=False).ids),
             Decoder(path, vocab))
     return _MADE[path]
@@ -230,7 +229,7 @@ def codec(path: str) -> tuple[Encoder, Decoder]:
 def encode_documents(docs: DataFrame, path: str, with_text: bool = False) -> DataFrame:
     """Ids of every text and the text that they decode to. Returns doc_id, ids (uint32 little
     endian, binary), n_tokens, decoded (UTF-8, binary), or digests of both columns."""
-    ship_package(docs.sparkSession)
+    prepare(docs.sparkSession)
     schema = "doc_id long, n_tokens long, " + (
         "ids binary, decoded binary" if with_text else "ids_sha256 string, decoded_sha256 string")
 

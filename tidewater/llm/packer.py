@@ -22,9 +22,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from ..util import ship_package
 from .pieces import byte_level
-from .textkit import batches
+from .textkit import batches, prepare
 
 SEQUENCE = 2048
 MAX_SEGMENTS = 64
@@ -121,18 +120,17 @@ class Packer:
         yield from self._close(rest, moved)
 
 
-def pack_documents(docs: DataFrame, path: str | None = None, ranks: str | None = None,
-                   pattern: str | None = None, end_id: int = END_ID, tokens: int = SEQUENCE,
+def pack_documents(docs: DataFrame, path: str | None = None, end_id: int = END_ID, tokens: int = SEQUENCE,
                    segments: int = MAX_SEGMENTS, loss: int = MAX_LOSS) -> DataFrame:
     """Pieces of all documents with their place. Every id of a document but its first one
     bears loss. Sequence ids are the partition number times 2 ** 32 plus a running number."""
     if path is None:
         import public_tokenizers as P
-        path, ranks, pattern = P.path("byte_bpe_50k.json"), P.path("byte_bpe_50k.tiktoken"), P.PATTERN
-    ship_package(docs.sparkSession)
+        path = P.path("byte_bpe_50k.json")
+    prepare(docs.sparkSession)
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = byte_level(path, ranks, pattern)
+        encoder = byte_level(path)
         packer = Packer(tokens, segments, loss, TaskContext.get().partitionId() << 32)
         whole = min(tokens, loss)  # pieces cut off long documents fill a sequence alone
 

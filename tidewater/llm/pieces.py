@@ -114,10 +114,20 @@ def cut(points: np.ndarray, kinds: np.ndarray, bounds: np.ndarray, clip: bool):
     return start, np.append(start[1:], n)
 
 
+Encode = Callable[[list[str]], tuple[np.ndarray, np.ndarray]]
+
+
+def listed(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Lists of ids as flat ids and counts."""
+    counts = np.fromiter(map(len, ids), np.int64, len(ids))
+    return np.fromiter((x for one in ids for x in one), np.uint32, int(counts.sum())), counts
+
+
 class PieceTable:
-    """Open-addressing table from pieces to ids, all lookups of a batch at once."""
+    """Open-addressing table from pieces to ids, all lookups of a batch at once. ``encode``
+    gives the ids of some pieces in a row, and how many each piece has."""
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], slots: int = 1 << 20,
+    def __init__(self, encode: Encode, slots: int = 1 << 20,
                  most: int = 600_000) -> None:
         self.encode, self.slots, self.most = encode, slots, most
         self.clear()
@@ -144,18 +154,18 @@ class PieceTable:
             wrong = wrong[(found[wrong] >= 0) & ((self.key[s] != key[wrong]) | (self.head[s] != head[wrong]))]
         return found
 
-    def _add(self, keys: np.ndarray, heads: np.ndarray, ids: list[list[int]]) -> None:
-        counts = np.fromiter(map(len, ids), np.int32, len(ids))
-        flat = np.fromiter((x for one in ids for x in one), np.uint32, int(counts.sum()))
-        while self.n + len(ids) > len(self.first):
+    def _add(self, keys: np.ndarray, heads: np.ndarray, flat: np.ndarray,
+             counts: np.ndarray) -> None:
+        new = len(counts)
+        while self.n + new > len(self.first):
             self.first = np.append(self.first, np.zeros_like(self.first))
             self.count = np.append(self.count, np.zeros_like(self.count))
         while self.used + len(flat) > len(self.pool):
             self.pool = np.append(self.pool, np.zeros_like(self.pool))
-        self.first[self.n:self.n + len(ids)] = self.used + np.cumsum(counts) - counts
-        self.count[self.n:self.n + len(ids)] = counts
+        self.first[self.n:self.n + new] = self.used + np.cumsum(counts) - counts
+        self.count[self.n:self.n + new] = counts
         self.pool[self.used:self.used + len(flat)] = flat
-        mask, todo = self.slots - 1, np.arange(len(ids))
+        mask, todo = self.slots - 1, np.arange(new)
         slot = (keys & _U(mask)).astype(np.int64)
         while len(todo):  # of several that want a free slot the first one gets it
             free = self.entry[slot[todo]] < 0
@@ -164,11 +174,11 @@ class PieceTable:
             won = want[who]
             self.entry[slot[won]] = self.n + won
             self.key[slot[won]], self.head[slot[won]] = keys[won], heads[won]
-            left = np.ones(len(ids), bool)
+            left = np.ones(new, bool)
             left[won] = False
             todo = todo[left[todo]]
             slot[todo] = (slot[todo] + 1) & mask
-        self.n += len(ids)
+        self.n += new
         self.used += len(flat)
 
     def ids(self, points: np.ndarray, text: str, start: np.ndarray, end: np.ndarray):
@@ -195,7 +205,7 @@ class PieceTable:
                     self.most *= 2
                 self.clear()
             pairs = zip(start[who].tolist(), end[who].tolist())
-            self._add(key[who], head[who], self.encode([text[a:b] for a, b in pairs]))
+            self._add(key[who], head[who], *self.encode([text[a:b] for a, b in pairs]))
             got = self._find(key, head)
         count = self.count[got].astype(np.int64)
         at = np.cumsum(count) - count
@@ -206,7 +216,7 @@ class PieceTable:
 class Encoder:
     """Ids of whole texts, as the tokenizers library gives them for one of its JSON files."""
 
-    def __init__(self, path: str, clip: bool, encode: Callable[[list[str]], list[list[int]]],
+    def __init__(self, path: str, clip: bool, encode: Encode,
                  special: dict[str, int], slow: Callable[[str], list[int]]) -> None:
         self.classes = CharClasses()
         self.clip, self.special, self.slow = clip, special, slow
@@ -249,24 +259,21 @@ class Encoder:
 _ENCODERS: dict[str, Encoder] = {}
 
 
-def byte_level(path: str, ranks_path: str, pattern: str) -> Encoder:
-    """Encoder of a byte-level BPE file (one per Python worker). Pieces that the table lacks
-    are encoded from the same vocabulary given as ranks; texts with special tokens go to the
-    tokenizers library."""
+def byte_level(path: str) -> Encoder:
+    """Encoder of a byte-level BPE file (one per Python worker): the tokenizers library encodes
+    the pieces that the table lacks, and whole texts with special tokens."""
     if path not in _ENCODERS:
-        import base64
-
-        import tiktoken
         from tokenizers import Tokenizer
         library = Tokenizer.from_file(path)
         library.no_truncation()
         library.no_padding()
         special = {t.content: i for i, t in library.get_added_tokens_decoder().items()}
-        with open(ranks_path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        plain = tiktoken.Encoding("pieces", pat_str=pattern, mergeable_ranks=ranks,
-                                  special_tokens={})
-        _ENCODERS[path] = Encoder(
-            path, False, lambda ps: [plain.encode_ordinary(p) for p in ps], special,
-            lambda t: library.encode(t, add_special_tokens=False).ids)
+
+        def encode(parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+            got = library.encode(parts, is_pretokenized=True, add_special_tokens=False)
+            return np.array(got.ids, np.uint32), np.bincount(
+                np.array(got.word_ids, np.int64), minlength=len(parts))
+
+        _ENCODERS[path] = Encoder(path, False, encode, special,
+                                  lambda t: library.encode(t, add_special_tokens=False).ids)
     return _ENCODERS[path]

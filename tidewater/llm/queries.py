@@ -84,5 +84,11 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import tokenfile
     target = scratch_path(spark, "tokens")
     tokenfile.write_tokens(table(spark, sf_dir, "documents"), target,
-                           P.path("byte_bpe_50k.json"), P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+                           P.path("byte_bpe_50k.json"))
     return tokenfile.read_tokens(spark, target)
+
+
+@register("op3_secrets")
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import secrets
+    return secrets.digests(secrets.scan(table(spark, sf_dir, "documents")))

@@ -10,11 +10,25 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import SparkSession
+
+from ..util import ship_package
 
 _U = np.uint64
 _MULT = 0x9E3779B97F4A7C15
 
 
+# Rows of one Arrow batch. Texts run to thousands of characters, so the default of 10,000 rows
+# makes buffers of tens of MB on both sides of the pipe.
+ARROW_ROWS = 10000
+
+
+def prepare(spark: SparkSession) -> None:
+    """Makes the package importable in Python workers and keeps Arrow batches of texts small."""
+    ship_package(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Finaliser of 64-bit hashes (splitmix64)."""
     x = x ^ (x >> _U(30))

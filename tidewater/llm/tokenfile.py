@@ -23,9 +23,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..util import ship_package
 from .pieces import byte_level
-from .textkit import batches
+from .textkit import batches, prepare
 
 BLOCK = 256
 PERCENT = 95
@@ -144,14 +143,13 @@ class Segment:
         return self.blocks(first, last)[start - first * BLOCK:end - first * BLOCK]
 
 
-def write_tokens(docs: DataFrame, target: str, path: str, ranks: str, pattern: str,
-                 end_id: int = 0, segment_ids: int = 1 << 19) -> None:
+def write_tokens(docs: DataFrame, target: str, path: str, end_id: int = 0, segment_ids: int = 1 << 19) -> None:
     """Encodes all texts and writes their segments in ascending doc_id order: the rows are
     range-partitioned and sorted, each task writes the segments of one range."""
-    ship_package(docs.sparkSession)
+    prepare(docs.sparkSession)
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = byte_level(path, ranks, pattern)
+        encoder = byte_level(path)
         shard, number, before = TaskContext.get().partitionId(), 0, 0
         parts: list[np.ndarray] = []
         doc_ids: list = []
@@ -191,7 +189,7 @@ def read_tokens(spark: SparkSession, source: str, with_ids: bool = False) -> Dat
     for row in sums:
         offsets.append((row["shard"], before))
         before += row["n"]
-    ship_package(spark)
+    prepare(spark)
     placed = files.join(F.broadcast(spark.createDataFrame(offsets, "shard int, shard_start long")),
                         "shard")
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + (
