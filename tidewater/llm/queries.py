@@ -92,3 +92,10 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import secrets
     return secrets.digests(secrets.scan(table(spark, sf_dir, "documents")))
+
+
+@register("op9_quality_classifier")
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import fm
+    docs = table(spark, sf_dir, "documents")
+    return fm.score(docs, fm.fit(docs, table(spark, sf_dir, "labels")))

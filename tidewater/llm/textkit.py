@@ -78,10 +78,12 @@ class Words:
         """Index of the text of each word."""
         return np.repeat(np.arange(len(self.offsets) - 1), np.diff(self.offsets))
 
-    def hashes(self) -> np.ndarray:
+    def hashes(self, lower: bool = False) -> np.ndarray:
+        """64-bit hash of each word (of its A-Z in lower case if asked)."""
         if not len(self.start):
             return np.zeros(0, _U)
-        return span_hashes(_BYTE[self.data], self.start, self.end)
+        data = _LOWER[self.data] if lower else self.data
+        return span_hashes(_BYTE[data], self.start, self.end)
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -95,14 +97,12 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[off[0]:off[-1]], off - off[0]
 
 
-def words(column: pa.Array, lower: bool = False) -> Words:
-    """Words of every text of a string column (A-Z in lower case if asked)."""
+def words(column: pa.Array) -> Words:
+    """Words of every text of a string column."""
     data, off = text_bytes(column)
     if not len(data):
         none = np.zeros(0, np.int64)
         return Words(data, none, none, np.zeros(len(off), np.int64))
-    if lower:
-        data = _LOWER[data]
     solid = ~_SPACE[data]
     starts, ends = solid.copy(), solid.copy()
     starts[1:] &= ~solid[:-1]
