@@ -99,3 +99,9 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import fm
     docs = table(spark, sf_dir, "documents")
     return fm.score(docs, fm.fit(docs, table(spark, sf_dir, "labels")))
+
+
+@register("op4_near_duplicates")
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import minhash
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4)
