@@ -20,7 +20,7 @@ _MULT = 0x9E3779B97F4A7C15
 
 # Rows of one Arrow batch. Texts run to thousands of characters, so the default of 10,000 rows
 # makes buffers of tens of MB on both sides of the pipe.
-ARROW_ROWS = 10000
+ARROW_ROWS = 1000
 
 
 def prepare(spark: SparkSession) -> None:

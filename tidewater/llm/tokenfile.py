@@ -143,7 +143,7 @@ class Segment:
         return self.blocks(first, last)[start - first * BLOCK:end - first * BLOCK]
 
 
-def write_tokens(docs: DataFrame, target: str, path: str, end_id: int = 0, segment_ids: int = 1 << 19) -> None:
+def write_tokens(docs: DataFrame, target: str, path: str, end_id: int = 0, segment_ids: int = 1 << 18) -> None:
     """Encodes all texts and writes their segments in ascending doc_id order: the rows are
     range-partitioned and sorted, each task writes the segments of one range."""
     prepare(docs.sparkSession)
