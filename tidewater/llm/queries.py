@@ -105,3 +105,9 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import minhash
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4)
+
+
+@register("op5_substring_dedup")
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import substrings
+    return substrings.repeated_words(table(spark, sf_dir, "documents"))
