@@ -58,10 +58,11 @@ def unpack(message: bytes) -> list[np.ndarray]:
     return out
 
 
-def write_batches(docs: DataFrame, name: str) -> DataFrame:
+def write_batches(docs: DataFrame, name: str, text_bytes: int | None = None) -> DataFrame:
     """(batch, docs): all rows of ``docs`` (with a column ``text``) in written batches. Batch
     numbers are final once written: partition number times 2 ** 32 plus a running number."""
     prepare(docs.sparkSession)
+    limit = text_bytes or TEXT_BYTES
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
@@ -73,10 +74,10 @@ def write_batches(docs: DataFrame, name: str) -> DataFrame:
             return pa.RecordBatch.from_pydict({"batch": pa.array([number], pa.int64()),
                                                "docs": pa.array([dump(one)], pa.binary())})
 
-        for part in batches(rows, TEXT_BYTES):
+        for part in batches(rows, limit):
             held.append(part)
             size += part.nbytes
-            if size >= TEXT_BYTES:
+            if size >= limit:
                 yield out()
                 held, size, number = [], 0, number + 1
         if held:
@@ -106,29 +107,41 @@ def ask(table: DataFrame, make: Callable[..., Iterator[tuple[int, bytes]]]) -> D
     return table.select(*names).mapInArrow(run, "shard int, batch long, message binary")
 
 
-def answer(asked: DataFrame, reply: Callable[[int, list[bytes]], list[bytes | None]]) -> DataFrame:
+def answer(asked: DataFrame, reply: Callable[[int, list[bytes]], list[bytes | None]],
+           noted: bool = False) -> DataFrame:
     """(batch, shard, message): each shard sees the messages of all batches at once and gives one
-    reply per message (none for nothing to say)."""
+    reply per message (none for nothing to say). ``noted``: the reply comes with a list of
+    numbers of the whole shard, which stand as ``note`` on its first row."""
 
     def run(group: pa.Table) -> pa.Table:
         batch = group.column("batch").to_pylist()
         order = sorted(range(len(batch)), key=batch.__getitem__)
         shard = group.column("shard")[0].as_py()
         messages = group.column("message").to_pylist()
-        replies = reply(shard, [messages[k] for k in order])
+        replies, note = reply(shard, [messages[k] for k in order]), None
+        if noted:
+            replies, note = replies
         some = [k for k, r in enumerate(replies) if r is not None]
-        return pa.table({"batch": pa.array([batch[order[k]] for k in some], pa.int64()),
-                         "shard": pa.array([shard] * len(some), pa.int32()),
-                         "message": pa.array([replies[k] for k in some], pa.binary())})
-
-    return asked.groupBy("shard").applyInArrow(run, "batch long, shard int, message binary")
-
-
-def meet(table: DataFrame, answers: DataFrame) -> DataFrame:
-    """The batch table with ``answers``: an array of (shard, message), at most one per shard."""
-    grouped = answers.groupBy("batch").agg(
-        F.collect_list(F.struct("shard", "message")).alias("answers"))
-    return table.join(grouped, "batch", "left")
+        cols = {"batch": pa.array([batch[order[k]] for k in some], pa.int64()),
+                "shard": pa.array([shard] * len(some), pa.int32()),
+                "message": pa.array([replies[k] for k in some], pa.binary())}
+        if noted:
+            cols["note"] = pa.array([note if k == some[0] else None for k in some],
+                                    pa.list_(pa.int64()))
+        return pa.table(cols)
+
+    return asked.groupBy("shard").applyInArrow(
+        run, "batch long, shard int, message binary" + ", note array<long>" * noted)
+
+
+def meet(table: DataFrame, **answers: DataFrame) -> DataFrame:
+    """The batch table with one column per round of answers, under the name it is given: an
+    array of (shard, message), at most one per shard."""
+    for name, one in answers.items():
+        grouped = one.groupBy("batch").agg(
+            F.collect_list(F.struct("shard", "message")).alias(name))
+        table = table.join(grouped, "batch", "left")
+    return table
 
 
 def by_shard(keys: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:

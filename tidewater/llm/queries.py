@@ -111,3 +111,18 @@ def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import substrings
     return substrings.repeated_words(table(spark, sf_dir, "documents"))
+
+
+@register("op2_nearest_neighbours")
+def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from . import ann
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.search(vectors, vectors.where(F.col("vec_id") % 20 == 0), k=20)
+
+
+@register("op8_ngram_scores")
+def op8_ngram_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import ngrams
+    return ngrams.score(table(spark, sf_dir, "documents"))

@@ -31,7 +31,6 @@ import numpy as np
 import pyarrow as pa
 from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from .batchtable import answer, ask, by_shard, load, meet, pack, shards, unpack, write_batches
 from .graph import settle
@@ -161,7 +160,7 @@ def _open_runs(row: dict, key: np.ndarray, n: int) -> np.ndarray:
     """Flags of the runs whose minimizer is shared, from the shards' answers."""
     uniq = np.unique(key)
     hit = np.zeros(len(uniq), bool)
-    got = {a["shard"]: a["message"] for a in row["answers"] or []}
+    got = {a["shard"]: a["message"] for a in row["shared"] or []}
     for shard, at in by_shard(uniq, n):
         if shard in got:
             hit[at] = np.unpackbits(unpack(got[shard])[0], count=len(at)).astype(bool)
@@ -269,13 +268,9 @@ def _marked(docs: DataFrame, window: int, anchor: int) -> tuple[DataFrame, int]:
     table = write_batches(docs, "substrings-batches")
     shared = settle(answer(ask(table, _ask_minimizers(n, window, anchor)), _shared),
                     "substrings-shared")
-    first = meet(table, shared)
-    marks = settle(answer(ask(first, _ask_windows(n, window, anchor)), _marks(window)),
-                   "substrings-marks")
-    second = meet(table, marks).withColumnRenamed("answers", "marks")
-    grouped = shared.groupBy("batch").agg(
-        F.collect_list(F.struct("shard", "message")).alias("answers"))
-    return second.join(grouped, "batch", "left"), n
+    marks = settle(answer(ask(meet(table, shared=shared), _ask_windows(n, window, anchor)),
+                          _marks(window)), "substrings-marks")
+    return meet(table, shared=shared, marks=marks), n
 
 
 def repeated_words(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:

@@ -18,15 +18,16 @@ _U = np.uint64
 _MULT = 0x9E3779B97F4A7C15
 
 
-# Rows of one Arrow batch. Texts run to thousands of characters, so the default of 10,000 rows
-# makes buffers of tens of MB on both sides of the pipe.
-ARROW_ROWS = 1000
+# Rows and bytes of one Arrow batch. Texts run to thousands of characters, so the default of
+# 10,000 rows makes buffers of tens of MB on both sides of the pipe.
+ARROW_ROWS, ARROW_BYTES = 1000, 8 << 20
 
 
 def prepare(spark: SparkSession) -> None:
     """Makes the package importable in Python workers and keeps Arrow batches of texts small."""
     ship_package(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
