@@ -29,6 +29,17 @@ def test_price_rules(spark):
     assert _kept(spark, rows) == {"ok", "int"}
 
 
+def test_very_small_and_large_values_are_kept(spark):
+    df = _rows(spark, [line("tiny", q="3", p="0.000000001"), line("big", q="2", p="1e12"),
+                       line("many", q="5000000000", p="0.5"), line("less", p="1e-20"),
+                       line("too", p="1e15"), line("lots", q="100000000000")])
+    got = {r.transaction_id: r.revenue for r in ingest.clean_sales(df).collect()}
+    assert {k: str(v.normalize()) for k, v in got.items()} == {
+        "tiny": "3E-9", "big": "2E+12", "many": "2.5E+9", "less": "0"}
+    assert {r.transaction_id: r.reason for r in ingest.rejected_sales(df).collect()} == {
+        "too": "price_out_of_range", "lots": "quantity_out_of_range"}
+
+
 def test_timestamp_rules(spark):
     rows = [line("s", ts="2024-01-01T10:00:05"), line("f1", ts="2024-01-01T10:00:05.1"),
             line("f6", ts="2024-01-01T10:00:05.123456"), line("z", ts="2024-01-01T10:00:05Z"),
@@ -39,7 +50,7 @@ def test_timestamp_rules(spark):
 def test_revenue_exact_and_rejections_counted(spark):
     df = _rows(spark, [line("a", q="3", p="0.10"), line("b", p="NaN")])
     out = ingest.clean_sales(df).collect()
-    assert str(out[0].revenue) == "0.30000000"
+    assert str(out[0].revenue) == "0.300000000000"
     rej = {r.transaction_id: r.reason for r in ingest.rejected_sales(df).collect()}
     assert rej == {"b": "bad_price"}
 

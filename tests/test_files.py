@@ -26,9 +26,10 @@ def test_file_status(spark, tmpdir_path):
     write_text(f"{d}/2024-01-05.csv", HEADER + 'x,P1,C1,1,2.5,2024-01-01T10:00"00\n')  # stray quote
     write_text(f"{d}/notes.txt", "ignored")
     st = {r.file_name: r.status for r in
-          sales_files.file_quality(sales_files.scan_sales_csv(spark, d)).collect()}
+          sales_files.scan_quality(spark, d).collect()}
     assert st == {"2024-01-01.csv": "SUCCESS", "2024-01-02.csv": "FAILED",
-                  "2024-01-03.csv": "FAILED", "2024-01-05.csv": "FAILED"}
+                  "2024-01-03.csv": "FAILED", "2024-01-04.csv": "SUCCESS",
+                  "2024-01-05.csv": "FAILED"}
     listed = {r.file_name for r in sales_files.list_sales_files(spark, d).collect()}
     assert "notes.txt" not in listed and len(listed) == 5
 
@@ -41,6 +42,52 @@ def test_header_width(spark, tmpdir_path):
     assert w == {"a.csv": 6, "b.csv": 3}
 
 
+def test_file_rules_of_the_load(spark, tmpdir_path):
+    """One file per rule: what a strict CSV reader with a header line makes of it."""
+    d = f"{tmpdir_path}/sales"
+    stamp = "2024-01-01T10:00:00"
+    cases = {
+        "blank_first": ("\n" + HEADER + good(2), "SUCCESS", 2),
+        "blank_inside": (HEADER + good(1) + "\n\n" + good(1, hour="11"), "SUCCESS", 2),
+        "escaped": (HEADER + f't,"P ""x""",C1,1,2.5,{stamp}\n', "SUCCESS", 1),
+        "quoted_header": ('"transaction,id",b,c,d,e,f\n' + good(1), "SUCCESS", 1),
+        "line_break": (HEADER + f't,"P\n1",C1,1,2.5,{stamp}\n' + good(1), "SUCCESS", 2),
+        "crlf": (HEADER.replace("\n", "\r\n") + good(2).replace("\n", "\r\n"), "SUCCESS", 2),
+        "open_quote": (HEADER + f't,"P1,C1,1,2.5,{stamp}\n', "FAILED", 0),
+        "after_quote": (HEADER + f't,"P"1,C1,1,2.5,{stamp}\n', "FAILED", 0),
+        "short_header": ("a,b\n1,2\n", "SUCCESS", 0),
+        "short_ragged": ("a,b\n1,2\n1,2,3\n", "FAILED", 0),
+        "no_header": (good(3), "SUCCESS", 2),
+        "header_only": (HEADER, "SUCCESS", 0),
+        "empty": ("", "FAILED", 0),
+        "only_blank": ("\n\n", "FAILED", 0),
+        "no_last_newline": (HEADER + good(2)[:-1], "SUCCESS", 2),
+        "empty_category": (HEADER + f"t,P1,,1,2.5,{stamp}\n", "SUCCESS", 1),
+        "long_lines": (HEADER.strip() + ",x\n" + f"t,P1,C1,1,2.5,{stamp},9\n", "SUCCESS", 1),
+    }
+    for name, (text, _, _) in cases.items():
+        write_text(f"{d}/{name}.csv", text)
+    fact, ledger = f"{tmpdir_path}/fact", f"{tmpdir_path}/ledger"
+    out = {r.file_name[:-4]: (r.status, r.n_valid) for r in etl.load_sales(
+        spark, d, fact, ledger, "2024-02-01 00:00:00").collect()}
+    assert out == {k: v[1:] for k, v in cases.items()}
+    deltas = spark.read.parquet(fact).where("time IS NOT NULL")
+    assert {r.category_id for r in deltas.where("source_file = 'empty_category.csv'").collect()} == {""}
+    assert etl.load_sales(spark, d, fact, ledger, "2024-02-02 00:00:00").count() == 5  # FAILED ones
+
+
+def test_rewritten_file_without_valid_rows_clears_its_delta(spark, tmpdir_path):
+    d, fact, ledger = (f"{tmpdir_path}/{x}" for x in ("sales", "fact", "ledger"))
+    write_text(f"{d}/a.csv", HEADER + good(2))
+    os.utime(f"{d}/a.csv", (1_700_000_000, 1_700_000_000))
+    etl.load_sales(spark, d, fact, ledger, "2024-02-01 00:00:00", by_name_only=False)
+    assert store.read_fact(spark, fact).count() == 1
+    write_text(f"{d}/a.csv", HEADER + "x,P1,C1,0,1,2024-01-01T10:00:00\n")
+    os.utime(f"{d}/a.csv", (1_700_000_500, 1_700_000_500))
+    etl.load_sales(spark, d, fact, ledger, "2024-02-02 00:00:00", by_name_only=False)
+    assert store.read_fact(spark, fact).count() == 0
+
+
 def test_ledger_latest_and_pending(spark):
     rows = [(1, "f1", "FAILED", "2024-01-01 00:00:00"), (2, "f1", "SUCCESS", "2024-01-02 00:00:00"),
             (3, "f2", "SUCCESS", "2024-01-01 00:00:00"), (4, "f2", "FAILED", "2024-01-03 00:00:00"),
@@ -103,7 +150,7 @@ def test_short_header_skips_rows(spark, tmpdir_path):
     out = {r.file_name: r.status for r in etl.load_sales(
         spark, d, f"{tmpdir_path}/fact", f"{tmpdir_path}/ledger", "2024-02-01").collect()}
     assert out == {"short.csv": "SUCCESS"}
-    assert not os.path.exists(f"{tmpdir_path}/fact/source_file=short.csv")
+    assert store.read_fact(spark, f"{tmpdir_path}/fact").count() == 0
 
 
 def test_rewritten_file_reloads_by_mtime(spark, tmpdir_path):
@@ -186,3 +233,23 @@ def test_fact_time_range_read_is_pushed_down(spark, tmpdir_path):
     assert {str(r.time) for r in df.collect()} == {"2024-01-01 12:00:00"}
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(time" in plan
+
+
+def test_repeated_keys_refuse_a_dimension_load(spark, tmpdir_path):
+    cats = spark.createDataFrame([("C1", "one"), ("C1", "uno")], "category_id string, category_name string")
+    prods = spark.createDataFrame([("X1", "", "d", "C1")], "product_id string, product_name string, "
+                                  "description string, category_id string")
+    c, p, ledger = (f"{tmpdir_path}/{x}" for x in ("c", "p", "l"))
+    report = etl.refresh_metadata(spark, cats, prods, c, p, ledger, "2024-01-01 00:00:00")
+    assert [(r.relation, r.key) for r in report.collect()] == [("categories", "C1")]
+    assert store.read_current(spark, c) is None
+    fine = cats.where("category_name = 'one'")
+    assert etl.refresh_metadata(spark, fine, prods, c, p, ledger, "2024-01-02 00:00:00").isEmpty()
+    assert [r.product_name for r in store.read_current(spark, p).collect()] == [""]
+    twice = spark.createDataFrame([("P1", "a", "2024-01-01", "2024-01-02", "5", "category", "C1")] * 2,
+                                  "promotion_id string, promotion_name string, start_date string, "
+                                  "end_date string, discount_percentage string, target_type string, "
+                                  "target_id string")
+    promos = f"{tmpdir_path}/promos"
+    etl.load_promotions(spark, twice, promos, ledger, "2024-01-03 00:00:00")
+    assert store.read_current(spark, promos) is None

@@ -117,18 +117,18 @@ def test_recent_jobs_limit_parse(spark):
 def test_performance_rows_at_the_forecast_instant(spark):
     import datetime as _dt
     hist = spark.createDataFrame(
-        [(7, "C1", _dt.datetime(2024, 1, 5, 23), 90.0), (7, "C1", _dt.datetime(2024, 1, 6, 23), 110.0),
+        [(7, "C1", _dt.datetime(2024, 1, 5, 23), 90.0), (7, "C1", _dt.datetime(2024, 1, 9, 23), 0.0), (7, "C1", _dt.datetime(2024, 1, 6, 23), 110.0),
          (7, "C1", _dt.datetime(2024, 2, 1, 23), 50.0)],
         "model_version_id long, category_id string, forecast_ts timestamp_ntz, "
         "predicted_sales double")
     fact = spark.createDataFrame(
         [(_dt.datetime(2024, 1, 5, 23), "C1", 100.0), (_dt.datetime(2024, 1, 6, 23), "C1", 100.0),
-         (_dt.datetime(2024, 1, 6, 22), "C1", 999.0)],
+         (_dt.datetime(2024, 1, 6, 22), "C1", 999.0), (_dt.datetime(2024, 1, 9, 23), "C1", 0.0)],
         "time timestamp_ntz, category_id string, total_sales double")
     got = {(str(r.evaluation_period_start), r.metric_name): r.metric_value
            for r in forecasts.performance_rows(hist, fact).collect()}
-    assert got == {("2024-01-01", "mape"): 0.1, ("2024-01-01", "rmse"): 10.0,
-                   ("2024-01-01", "n_points"): 2.0}
+    assert got == {("2024-01-01", "mape"): 0.1, ("2024-01-01", "rmse"): (200 / 3) ** 0.5,
+                   ("2024-01-01", "n_points"): 3.0}
 
 
 def test_latest_model_ties_by_id(spark):

@@ -19,16 +19,15 @@ TS_RE = re.compile(r"^(\d{4})-(\d{2})-(\d{2})T(\d{2}):(\d{2}):(\d{2})(\.\d{1,9})
 
 def expect_kept(q, p, ts):
     """The cleaning rules read directly: strict integer > 0, finite decimal > 0 that fits
-    decimal(20,8), ISO local stamp with optional fraction and no zone."""
-    if q is None or not INT_RE.match(q) or not (-2**31 <= int(q) < 2**31) or int(q) <= 0:
+    the exact types, ISO local stamp with optional fraction and no zone."""
+    if q is None or not INT_RE.match(q) or not (0 < int(q) < 10**11):
         return False
     if p is None or not DEC_RE.match(p):
         return False
     raw = decimal.Decimal(p)
-    if abs(raw) >= decimal.Decimal(10) ** 12:      # does not fit decimal(20,8)
+    if abs(raw) >= decimal.Decimal(10) ** 14:      # 14 digits before the point
         return False
-    d = raw.quantize(decimal.Decimal("0.00000001"), rounding=decimal.ROUND_HALF_UP)
-    if d <= 0:
+    if raw <= 0:
         return False
     m = TS_RE.match(ts or "")
     if not m:

@@ -20,14 +20,19 @@ def parse_int(text: Column) -> Column:
 
     Spark's cast trims blanks, the reference's parser does not, hence the pattern guard.
     """
-    return F.when(text.rlike(INT_TEXT), text.try_cast("int"))
+    return F.when(text.rlike(INT_TEXT), text.try_cast("long"))
 
 
 def parse_price(text: Column) -> Column:
-    """Exact price: decimal(20,8); NaN, Inf, blanks and overflow become null."""
+    """Exact price (``PRICE``); NaN, Inf, blanks and overflow become null."""
     return F.when(text.rlike(DECIMAL_TEXT), text.try_cast(PRICE))
 
 
+def parse_double(text: Column) -> Column:
+    """The value as a double, for the sign and size of prices that ``PRICE`` would round."""
+    return F.when(text.rlike(DECIMAL_TEXT), text.try_cast("double"))
+
+
 def parse_sale_ts(text: Column) -> Column:
     """ISO local stamp without zone, optional fraction; anything else is null."""
     return F.try_to_timestamp(text, F.lit(SALE_TS_PATTERN)).cast("timestamp_ntz")

@@ -8,8 +8,8 @@ left out when some |y| < 1e-8.
 
 Means in set form: per-horizon sums and a cumulative window over horizons (bounded by the
 number of distinct horizons, not rows); the start of each window is found by an
-equi-join on row position instead of a range lookup. The rolling median runs per category
-over position-sorted values (numpy slices), since its windows overlap heavily.
+equi-join on row position instead of a range lookup. The rolling median runs per block of w
+positions over a sorted list that slides along, since its windows overlap heavily.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..util import materialize, ship_package, sized_broadcast
+from ..util import materialize, ship_package
 from . import fit, predict, stats
 
 METRICS = ["mse", "rmse", "mae", "mape", "mdape", "smape", "coverage"]
@@ -26,7 +26,7 @@ ROLLING_WINDOW = 0.1
 
 def backtest_targets(train: DataFrame, cutoffs: DataFrame) -> DataFrame:
     """Rows scored at each cutoff: cutoff < ds <= cutoff + horizon."""
-    cuts = sized_broadcast(cutoffs.select("category_id", "cutoff", "horizon_days"))
+    cuts = cutoffs.select("category_id", "cutoff", "horizon_days")
     return (train.join(cuts, "category_id")
             .where((F.col("ds") > F.col("cutoff"))
                    & (stats.epoch_s(F.col("ds")) <= stats.epoch_s(F.col("cutoff"))
@@ -51,13 +51,13 @@ def backtest_forecasts(train: DataFrame, promo_feats: DataFrame,
 def error_rows(cv: DataFrame) -> DataFrame:
     """Per scored row: horizon in seconds and each error term."""
     y, yh = F.col("y"), F.col("yhat")
-    sape = F.abs(yh - y) / ((F.abs(y) + F.abs(yh)) / 2)
+    sape = F.try_divide(F.abs(yh - y), (F.abs(y) + F.abs(yh)) / 2)
     return cv.select(
         "category_id", "cutoff", "ds",
         (stats.epoch_s(F.col("ds")) - stats.epoch_s(F.col("cutoff"))).alias("h_s"),
         ((y - yh) ** 2).alias("mse"),
         F.abs(y - yh).alias("mae"),
-        F.abs((y - yh) / y).alias("mape"),
+        F.abs(F.try_divide(y - yh, y)).alias("mape"),
         F.when(F.isnan(sape) | sape.isNull(), F.lit(0.0)).otherwise(sape).alias("smape"),
         ((y >= F.col("yhat_lower")) & (y <= F.col("yhat_upper"))).cast("double")
         .alias("coverage"),
@@ -114,16 +114,24 @@ def performance_metrics(cv: DataFrame, rolling_window: float = ROLLING_WINDOW) -
             .otherwise(partial)
     rolled = j.select("category_id", "h_s", "_pct_ok", *[cols[m].alias(m) for m in means])
 
-    # mdape: median over positions [C_k - max(w, n_k), C_k - 1]. The windows slide
-    # monotonically along one category's rows, so one task per category takes numpy medians
-    # over slices: O(rows) memory, never an expansion of every window. A category's
-    # back-test rows are bounded by the hours in its history, not by sales volume.
+    # mdape: median over positions [C_k - max(w, n_k), C_k - 1]. A horizon with at least w
+    # rows of its own takes their median as an aggregate; the other windows hold w rows each
+    # and slide along the category, so they are dealt in blocks of w positions: a block needs
+    # its own rows and those of the block before, at most 2 w rows in one task.
+    own = (rows.join(ready.where("n_h >= w").select("category_id", "h_s"), ["category_id", "h_s"])
+           .groupBy("category_id", "h_s").agg(F.median("mape").alias("mdape")))
     # fresh column ids on both sides: they descend from the same error rows
-    spans = ready.select(F.col("category_id").alias("category_id"), "h_s", "C", "n_h", "w")
-    mdape = (rows.select(F.col("category_id").alias("category_id"), "pos", "mape")
-             .groupBy("category_id")
-             .cogroup(spans.groupBy("category_id"))
-             .applyInPandas(_rolling_median, "category_id string, h_s double, mdape double"))
+    spans = ready.where("n_h < w").select(
+        F.col("category_id").alias("category_id"), "h_s", "C", "w",
+        F.floor((F.col("C") - 1) / F.col("w")).cast("long").alias("blk"))
+    dealt = (rows.join(per_cat.select("category_id", "w"), "category_id")
+             .select(F.col("category_id").alias("category_id"), "pos", "mape", F.explode(F.array(
+                 F.floor(F.col("pos") / F.col("w")).cast("long"),
+                 F.floor(F.col("pos") / F.col("w")).cast("long") + 1)).alias("blk")))
+    slid = (dealt.groupBy("category_id", "blk").cogroup(spans.groupBy("category_id", "blk"))
+            .applyInPandas(_rolling_median, "category_id string, h_s double, mdape double"))
+    mdape = own.select("category_id", F.col("h_s").cast("double").alias("h_s"), "mdape") \
+        .unionByName(slid)
     out = rolled.join(mdape, ["category_id", "h_s"], "left")
     return out.select(
         "category_id", "h_s", stats.horizon_text(F.col("h_s")).alias("horizon"),
@@ -134,17 +142,35 @@ def performance_metrics(cv: DataFrame, rolling_window: float = ROLLING_WINDOW) -
 
 
 def _rolling_median(rows, spans):
+    """Medians of the windows that end in one block, over a sorted list that slides along."""
+    import bisect
+
     import numpy as np
     import pandas as pd
     if rows.empty or spans.empty:
-        return pd.DataFrame({"category_id": [], "h_s": [], "mdape": []})
-    values = rows.sort_values("pos")["mape"].to_numpy(float)
+        return pd.DataFrame({"category_id": pd.Series([], dtype=object), "h_s": np.zeros(0),
+                             "mdape": np.zeros(0)})
+    rows = rows.sort_values("pos")
+    first, values = int(rows["pos"].iloc[0]), rows["mape"].to_numpy(float)
+    spans = spans.sort_values("C")
+    w = int(spans["w"].iloc[0])
+    window: list[float] = []
+    lo = hi = None
     out = []
-    for r in spans.itertuples(index=False):
-        lo = int(r.C - max(r.w, r.n_h))
-        out.append(float(np.median(values[lo:int(r.C)])))
-    return pd.DataFrame({"category_id": spans["category_id"].to_numpy(),
-                         "h_s": spans["h_s"].to_numpy(float), "mdape": out})
+    for end in spans["C"].to_numpy(int) - first:
+        start = end - w
+        if lo is None:
+            window = sorted(values[start:end])
+        else:
+            for v in values[hi:end]:
+                bisect.insort(window, v)
+            for v in values[lo:start]:
+                window.pop(bisect.bisect_left(window, v))
+        lo, hi = start, end
+        out.append((window[(w - 1) // 2] + window[w // 2]) / 2)
+    name = pd.Series([spans["category_id"].iloc[0]] * len(out), dtype=object)
+    return pd.DataFrame({"category_id": name, "h_s": spans["h_s"].to_numpy(float),
+                         "mdape": np.array(out)})
 
 
 def metrics_json(metrics: DataFrame) -> DataFrame:

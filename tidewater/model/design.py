@@ -77,12 +77,16 @@ def map_solve(xtx: np.ndarray, xty: np.ndarray, yty: float, n: float, ridge: np.
     Alternates (a) the coefficients for fixed sigma — a ridge + lasso problem solved by
     iteratively reweighted ridge (local quadratic approximation of |delta|) — and (b) the
     closed-form sigma for fixed coefficients: 4 s^4 + n s^2 - RSS = 0.
+
+    Returns (coefficients, sigma, converged, residual): ``residual`` is the largest violation
+    of the optimality conditions, relative to the gradient of the data term at zero.
     """
     k = len(xty)
     eps = 1e-10
     sigma2 = max(yty / max(n, 1.0) * 0.1, 1e-6)
     beta = np.linalg.solve(xtx + sigma2 * np.diag(ridge + l1 + 1e-9), xty)
     obj_prev = np.inf
+    converged = False
     for _ in range(max_iter):
         w = l1 / np.maximum(np.abs(beta), eps)
         a = xtx + sigma2 * np.diag(ridge + w + 1e-12)
@@ -97,15 +101,27 @@ def map_solve(xtx: np.ndarray, xty: np.ndarray, yty: float, n: float, ridge: np.
                + 0.5 * float(np.sum(ridge * beta ** 2)) + float(np.sum(l1 * np.abs(beta)))
                + sigma2 / (2 * SIGMA_PRIOR_SD ** 2))
         if abs(obj_prev - obj) <= tol * max(1.0, abs(obj)):
+            converged = True
             break
         obj_prev = obj
     if k == 0:
         beta = np.zeros(0)
-    return beta, float(np.sqrt(sigma2))
+    return beta, float(np.sqrt(sigma2)), converged, _residual(xtx, xty, sigma2, ridge, l1, beta)
+
+
+def _residual(xtx, xty, sigma2, ridge, l1, beta) -> float:
+    """Violation of the optimality conditions of the coefficients for a fixed sigma: the smooth
+    gradient is zero, or within the L1 weight for a (nearly) zero coefficient."""
+    if not len(beta):
+        return 0.0
+    grad = (xtx @ beta - xty) / sigma2 + ridge * beta
+    small = np.abs(beta) < 1e-5
+    off = np.where(small, np.maximum(np.abs(grad) - l1, 0.0), np.abs(grad + l1 * np.sign(beta)))
+    return float(off.max() / max(float(np.abs(xty).max()) / sigma2, 1e-300))
 
 
 def _sigma2_update(n: float, rss: float) -> float:
     """argmin over s of n log s + RSS / (2 s^2) + s^2 / (2 * 0.5^2)."""
     c = 1.0 / SIGMA_PRIOR_SD ** 2  # coefficient of s^4 after multiplying through by s^2
-    # c s^4 + n s^2 - rss = 0  ->  s^2 = (-n + sqrt(n^2 + 4 c rss)) / (2 c)
-    return (-n + np.sqrt(n * n + 4.0 * c * rss)) / (2.0 * c)
+    # c s^4 + n s^2 - rss = 0, in the form that does not subtract near-equal numbers
+    return 2.0 * rss / max(n + np.sqrt(n * n + 4.0 * c * rss), 1e-300)

@@ -2,7 +2,7 @@
 
 Plan (all categories and all back-test cutoffs in one job):
   1. fit rows: the fact rows of each fit (a category, or a category up to a cutoff) —
-     cutoffs are a small table broadcast after a size check, so no row moves for this;
+     cutoffs are a small table that Spark broadcasts when its bytes allow it;
   2. fit parameters: n, time origin and scale, y scale, changepoints, seasonal orders and
      promotion names per fit (aggregates and joins over hours x categories);
   3. partial Grams: rows and fit parameters are cogrouped on (category, block of 2000
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..util import materialize, ship_package, sized_broadcast
+from ..util import materialize, ship_package
 from . import stats
 from .design import design, map_solve, n_features, prior_terms
 
@@ -45,6 +45,8 @@ SOLUTION_SCHEMA = T.StructType([
     T.StructField("sigma", T.DoubleType()),
     T.StructField("beta", T.ArrayType(T.DoubleType())),
     T.StructField("lambda_mean", T.DoubleType()),
+    T.StructField("converged", T.BooleanType()),
+    T.StructField("residual", T.DoubleType()),
 ])
 
 
@@ -53,13 +55,13 @@ def fit_rows(train: DataFrame, cutoffs: DataFrame | None,
              include_full: bool = True) -> DataFrame:
     """(fit_id, category_id, cutoff, ds, y[, pos]): every category's full history, plus for
     each back-test cutoff the rows at or before it. Cutoffs are a small table (bounded by
-    categories x cutoffs) broadcast after a size check, so rows never move for this."""
+    categories x cutoffs); Spark broadcasts it when its bytes are under the threshold."""
     extra = ["pos"] if "pos" in train.columns else []
     full = train.select(F.col("category_id").alias("fit_id"), "category_id",
                         F.lit(None).cast("timestamp_ntz").alias("cutoff"), "ds", "y", *extra)
     if cutoffs is None:
         return full
-    cuts = sized_broadcast(cutoffs.select("category_id", "cutoff"))
+    cuts = cutoffs.select("category_id", "cutoff")
     cv = (train.join(cuts, "category_id")
           .where(F.col("ds") <= F.col("cutoff"))
           .select(cv_fit_id().alias("fit_id"), "category_id", "cutoff", "ds", "y", *extra))
@@ -151,16 +153,18 @@ def _solve_fit(pdf: pd.DataFrame) -> pd.DataFrame:
         yty = float(pdf["yty"].sum())
         n = float(pdf["n"].sum())
         ridge, l1 = prior_terms(n_cp, orders, n_hol)
-        beta, sigma = map_solve(xtx, xty, yty, n, ridge, l1)
+        beta, sigma, converged, residual = map_solve(xtx, xty, yty, n, ridge, l1)
         if not np.all(np.isfinite(beta)) or not np.isfinite(sigma):
             raise FloatingPointError("non-finite solution")
         lam = float(np.mean(np.abs(beta[2:2 + n_cp]))) + 1e-8 if n_cp else 1e-8
         return pd.DataFrame({"fit_id": [fit_id], "status": ["OK"], "error": [None],
-                             "sigma": [sigma], "beta": [beta.tolist()], "lambda_mean": [lam]})
+                             "sigma": [sigma], "beta": [beta.tolist()], "lambda_mean": [lam],
+                             "converged": [converged], "residual": [residual]})
     except Exception as e:  # noqa: BLE001 — failure isolation per fit (M13)
         return pd.DataFrame({"fit_id": [fit_id], "status": ["FAILED"],
-                             "error": [f"{type(e).__name__}: {e}"[:500]],
-                             "sigma": [None], "beta": [None], "lambda_mean": [None]})
+                             "error": [f"{type(e).__name__}: {e}"],
+                             "sigma": [None], "beta": [None], "lambda_mean": [None],
+                             "converged": [None], "residual": [None]})
 
 
 # ------------------------------------------------------------------------ public API
@@ -177,8 +181,7 @@ def partial_grams(ranked: DataFrame, params: DataFrame, promo_feats: DataFrame)
     """
     spark = ranked.sparkSession
     ship_package(spark)
-    days = sized_broadcast(promo_day_names(promo_feats).withColumnRenamed("category_id",
-                                                                          "_dcat"))
+    days = promo_day_names(promo_feats).withColumnRenamed("category_id", "_dcat")
     blk = F.floor(F.col("pos") / BLOCK_ROWS).cast("long")
     rows = (ranked.withColumn("_blk", blk).withColumn("_day", F.to_date("ds"))
             .join(days, (F.col("category_id") == F.col("_dcat"))
@@ -187,9 +190,9 @@ def partial_grams(ranked: DataFrame, params: DataFrame, promo_feats: DataFrame)
                     stats.epoch_s(F.col("ds")).alias("ds_s"), "y", "promo_names"))
     blocks = (ranked.withColumn("_blk", blk).groupBy("category_id", "_blk")
               .agg(F.min("ds").alias("_first")))
-    fits = (sized_broadcast(params.select(
+    fits = (params.select(
                 "fit_id", "category_id", "cutoff", "t0_s", "t_scale_s", "y_scale", "cp_t",
-                "yearly_order", "weekly_order", "daily_order", "hol_names"))
+                "yearly_order", "weekly_order", "daily_order", "hol_names")
             .join(blocks, "category_id")
             .where(F.col("cutoff").isNull() | (F.col("_first") <= F.col("cutoff")))
             # fresh column ids: both cogroup sides descend from the same fact
@@ -214,7 +217,8 @@ def fit_models(train: DataFrame, promo_feats: DataFrame,
     """M3 (+M5 fits): parameters of every fit, one row per fit.
 
     Columns: fit_id, category_id, cutoff, n, ds_min, ds_max, t0_s, t_scale_s, y_scale, cp_t,
-    yearly/weekly/daily_order, hol_names, status, error, sigma, beta, lambda_mean.
+    yearly/weekly/daily_order, hol_names, status, error, sigma, beta, lambda_mean,
+    converged (whether the solver met its tolerance) and residual (optimality violation).
     """
     promo_feats = materialize(promo_feats.select("category_id", "promotion_name", "ds"))
     ranked = materialize(stats.ranked_rows(train.select("category_id", "ds", "y")))

@@ -16,7 +16,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..util import sized_broadcast
 from .design import DAILY_PERIOD_D, INTERVAL_Z, WEEKLY_PERIOD_D, YEARLY_PERIOD_D
 from .fit import promo_day_names
 from .stats import epoch_s
@@ -36,19 +35,16 @@ def predict(targets: DataFrame, params: DataFrame, promo_feats: DataFrame | None
     """Add yhat, yhat_lower, yhat_upper to ``targets`` (fit_id, category_id, ds, ...).
 
     ``params`` is the output of ``fit.fit_models`` (one row per fit, bounded by the number
-    of fits, broadcast after a size check). Promotion days come from ``promo_feats``.
+    of fits). Promotion days come from ``promo_feats``.
     """
-    p = sized_broadcast(params.where(F.col("status") == "OK").select(*PARAM_COLS))
+    p = params.where(F.col("status") == "OK").select(*PARAM_COLS)
     # Evaluation is CPU-bound while targets are few bytes (AQE may have coalesced them to
-    # one partition): spread them by hash of (fit, stamp) — even and deterministic.
-    # At most 4 tasks per slot: more would only add scheduling for a CPU-bound step.
-    spark = targets.sparkSession
-    n = min(int(spark.conf.get("spark.sql.shuffle.partitions")),
-            4 * spark.sparkContext.defaultParallelism)
+    # one partition): spread them by hash of (fit, stamp) — even and deterministic. The
+    # number of partitions is the session's, sized by the caller.
+    n = int(targets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     df = targets.repartition(n, "fit_id", "ds").join(p, "fit_id")
     if promo_feats is not None:
-        days = sized_broadcast(promo_day_names(promo_feats).withColumnRenamed(
-            "category_id", "_pcat"))
+        days = promo_day_names(promo_feats).withColumnRenamed("category_id", "_pcat")
         df = df.join(days, (F.col("category_id") == F.col("_pcat"))
                      & (F.to_date("ds") == F.col("day")), "left").drop("_pcat", "day")
     else:

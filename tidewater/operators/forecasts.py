@@ -15,11 +15,27 @@ from pyspark.sql import types as T
 
 from ..model import predict as model_predict
 from ..model.stats import epoch_s
-from ..schemas import STANDARD_SET
+from ..schemas import GRANULARITIES, STANDARD_SET
 
 POINT_COLS = ["predicted_sales", "lower_bound", "upper_bound"]
 
 
+# ------------------------------------------------------------------- argument checks
+def request_error(granularity: Column, periods: Column) -> Column:
+    """Why a request cannot be answered (null if it can): the granularity must be a known one
+    and the number of periods a positive integer."""
+    # The two messages of the forecast route.
+    return (F.when(~F.coalesce(granularity.isin(*GRANULARITIES), F.lit(False)), F.lit(
+                "Invalid forecast_horizon. Choose 'daily', 'monthly', or 'yearly'."))
+            .when(~F.coalesce(periods > 0, F.lit(False)), F.lit(
+                "Period must be a positive integer.")))
+
+
+def answerable(requests: DataFrame, periods: str = "periods") -> DataFrame:
+    """The requests without an argument error."""
+    return requests.where(request_error(F.col("granularity"), F.col(periods)).isNull())
+
+
 # ----------------------------------------------------------------------- future frames
 def _tod_s(ts: Column) -> Column:
     return epoch_s(ts) - epoch_s(F.to_date(ts).cast("timestamp_ntz"))
@@ -96,8 +112,9 @@ def standard_forecasts(models: DataFrame, promo_feats: DataFrame | None,
 
 def forecast(models: DataFrame, requests: DataFrame, promo_feats: DataFrame | None) -> DataFrame:
     """M7 for a request table (category_id, granularity, periods): ``periods`` points after
-    the last observation, dates as text (the on-demand forecast response)."""
-    frame = (requests.join(models.select("fit_id", "category_id", "ds_max",
+    the last observation, dates as text (the on-demand forecast response). Requests with a
+    bad argument get no points (``request_error`` tells why)."""
+    frame = (answerable(requests).join(models.select("fit_id", "category_id", "ds_max",
                                          "model_version_id"), "category_id"))
     targets = future_after(frame).select("fit_id", "category_id", "granularity", "ds",
                                          "model_version_id")
@@ -108,11 +125,14 @@ def forecast(models: DataFrame, requests: DataFrame, promo_feats: DataFrame | No
 
 def delta_forecast(models: DataFrame, gaps: DataFrame, promo_feats: DataFrame | None,
                    today) -> DataFrame:
-    """M8: for each request with missing points, forecast ``n_missing`` periods from the day
-    after the last cached date (or after ``today`` when the cache is empty)."""
-    need = (gaps.where(F.col("n_missing") > 0)
-            .select("category_id", "granularity", F.col("n_missing").alias("periods"),
-                    F.date_add(F.coalesce(F.col("last_cached_date"),
+    """M8: for each (category, granularity) with missing points, forecast the largest number
+    that one of its requests misses, from the day after the last cached date (or after
+    ``today`` when the cache is empty). Requests for the same key share those points."""
+    need = (answerable(gaps, "period").where(F.col("n_missing") > 0)
+            .groupBy("category_id", "granularity")
+            .agg(F.max("n_missing").alias("periods"), F.max("last_cached_date").alias("_last"))
+            .select("category_id", "granularity", "periods",
+                    F.date_add(F.coalesce(F.col("_last"),
                                           F.lit(today).cast("date")), 1).alias("start_date"))
             .join(models.select("fit_id", "category_id", "model_version_id"), "category_id"))
     targets = future_from(need).select("fit_id", "category_id", "granularity", "ds",
@@ -122,27 +142,25 @@ def delta_forecast(models: DataFrame, gaps: DataFrame, promo_feats: DataFrame |
 
 # --------------------------------------------------------------------- live and archive
 def live_rows(forecasts: DataFrame) -> DataFrame:
-    """live_forecasts rows with a stable id (hash of the unique key)."""
+    """live_forecasts rows with a stable id (hash of the unique key) and the full forecast
+    instant ``forecast_ts`` (Q13; null where the rows do not know it)."""
+    ts = F.col("forecast_ts") if "forecast_ts" in forecasts.columns else F.lit(None)
     return forecasts.select(
         F.pmod(F.xxhash64("category_id", "forecast_date", "granularity"),
                F.lit(1 << 62)).alias("id"),
         "model_version_id", "category_id", "forecast_date", *POINT_COLS, "granularity",
-        "forecast_ts")
+        ts.cast("timestamp_ntz").alias("forecast_ts"))
 
 
 def archive_forecasts(live: DataFrame, archived_at) -> DataFrame:
-    """The live rows appended to history with the archive stamp (no dedupe). The
-    full forecast instant (``forecast_ts``, Q13) is kept when the live rows carry it."""
-    ts = ["forecast_ts"] if "forecast_ts" in live.columns else []
-    return live.select("model_version_id", "category_id", "forecast_date", *POINT_COLS,
-                       "granularity", *ts,
-                       F.lit(archived_at).cast("timestamp_ntz").alias("archived_at"))
+    """The live rows appended to history with the archive stamp (no dedupe)."""
+    return live_rows(live).drop("id").withColumn(
+        "archived_at", F.lit(archived_at).cast("timestamp_ntz"))
 
 
 def delta_apply(live: DataFrame, delta: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Live + delta rows, and the key collisions that must refuse the whole load."""
-    cols = ["model_version_id", "category_id", "forecast_date", *POINT_COLS, "granularity"]
-    merged = live.select(*cols).unionByName(delta.select(*cols))
+    merged = live_rows(live).unionByName(live_rows(delta))
     dups = (merged.groupBy("category_id", "forecast_date", "granularity")
             .agg(F.count(F.lit(1)).alias("n_rows")).where(F.col("n_rows") > 1))
     return merged, dups
@@ -151,11 +169,10 @@ def delta_apply(live: DataFrame, delta: DataFrame) -> tuple[DataFrame, DataFrame
 def refreshed_live(old_live: DataFrame, new_forecasts: DataFrame) -> DataFrame:
     """M10 (Q19 deviation): new live table — categories with a new forecast are replaced,
     the others keep their previous rows."""
-    cols = ["model_version_id", "category_id", "forecast_date", *POINT_COLS, "granularity"]
-    fresh = new_forecasts.select(*cols)
-    kept = old_live.select(*cols).join(fresh.select("category_id").distinct(), "category_id",
-                                       "left_anti")
-    return fresh.unionByName(kept)
+    fresh = live_rows(new_forecasts)
+    old = live_rows(old_live)
+    kept = old.join(fresh.select("category_id").distinct(), "category_id", "left_anti")
+    return fresh.unionByName(kept.select(*fresh.columns))
 
 
 # ---------------------------------------------------------------------------- registry
@@ -182,14 +199,39 @@ def registry_rows(models: DataFrame, metadata: DataFrame, metrics_json: DataFram
         "metadata", F.coalesce("backtesting_metrics", F.lit("[]")).alias("backtesting_metrics"))
 
 
+def models_from_registry(registry: DataFrame) -> DataFrame:
+    """M7: the stored parameters of registry rows as the model table that ``predict`` takes,
+    so a forecast needs no new fit (one row per registry row; give it the latest ones)."""
+    return registry.select(F.col("category_id").alias("fit_id"), "category_id",
+                           F.col("id").alias("model_version_id"), F.lit("OK").alias("status"),
+                           "params.*")
+
+
+def request_outcomes(gaps: DataFrame, models: DataFrame) -> DataFrame:
+    """Per request of a batch: COMPLETED (from the cache, or with the points that a delta
+    forecast adds) or FAILED with its message — the status row of each job."""
+    known = models.where("status = 'OK'").select("category_id", F.lit(True).alias("_m")).distinct()
+    error = F.coalesce(
+        request_error(F.col("granularity"), F.col("period")),
+        F.when((F.col("n_missing") > 0) & F.col("_m").isNull(), F.concat(
+            F.lit("No model for category "), F.coalesce("category_id", F.lit("")))))
+    return (gaps.join(known, "category_id", "left").withColumn("error_message", error)
+            .select("request_id", "category_id", "granularity", "period", "n_cached",
+                    F.when(F.col("error_message").isNull(), F.lit("COMPLETED"))
+                    .otherwise(F.lit("FAILED")).alias("status"), "error_message",
+                    F.when(F.col("error_message").isNull(), F.col("n_missing"))
+                    .otherwise(F.lit(0)).alias("n_forecast")))
+
+
 # ------------------------------------------------------------------------- live accuracy
 def _accuracy_long(j: DataFrame) -> DataFrame:
     """(model_version_id, forecast_date, predicted_sales, actual) -> MAPE, RMSE and the
-    number of points per version and calendar month, in long format."""
+    number of points per version and calendar month, in long format. A point with an actual
+    of zero has no percentage error: it counts for RMSE only."""
     err = F.col("actual") - F.col("predicted_sales")
     agg = (j.groupBy("model_version_id",
                      F.trunc("forecast_date", "month").alias("evaluation_period_start"))
-           .agg(F.avg(F.abs(err / F.col("actual"))).alias("mape"),
+           .agg(F.avg(F.abs(F.try_divide(err, F.col("actual")))).alias("mape"),
                 F.sqrt(F.avg(err * err)).alias("rmse"),
                 F.count(F.lit(1)).cast("double").alias("n_points")))
     return (agg.select("model_version_id", "evaluation_period_start",
@@ -202,25 +244,22 @@ def _accuracy_long(j: DataFrame) -> DataFrame:
                     F.col("_m.metric_value").alias("metric_value")))
 
 
-def live_accuracy(history: DataFrame, actuals: DataFrame) -> DataFrame:
-    """Accuracy of archived forecasts against what happened, per model version and
-    calendar month, in the long format of forecast_performance (metric_name, value).
-
-    ``history``: (model_version_id, category_id, forecast_date, predicted_sales);
-    ``actuals``: (category_id, forecast_date, actual)."""
-    return _accuracy_long(history.join(actuals, ["category_id", "forecast_date"]))
-
-
-def performance_rows(history: DataFrame, fact: DataFrame) -> DataFrame:
-    """M12 writer (Q22): forecast_performance rows from archived forecasts and the hourly
-    fact at the same instant — the model forecasts the hourly value at ``forecast_ts``,
-    so a forecast is scored against the fact row of that hour (Q13)."""
+def live_accuracy(history: DataFrame, fact: DataFrame) -> DataFrame:
+    """Accuracy of archived forecasts against the hourly fact at the same instant, per
+    model version and calendar month, in the long format of forecast_performance — the model
+    forecasts the hourly value at ``forecast_ts``, so a forecast is scored against the fact row
+    of that hour (Q13)."""
     actual = fact.select("category_id", F.col("time").alias("forecast_ts"),
                          F.col("total_sales").cast("double").alias("actual"))
     j = (history.join(actual, ["category_id", "forecast_ts"])
          .select("model_version_id", F.to_date("forecast_ts").alias("forecast_date"),
                  "predicted_sales", "actual"))
-    acc = _accuracy_long(j)
+    return _accuracy_long(j)
+
+
+def performance_rows(history: DataFrame, fact: DataFrame) -> DataFrame:
+    """M12 writer (Q22): the rows of ``live_accuracy`` with a stable id."""
+    acc = live_accuracy(history, fact)
     return acc.select(
         F.pmod(F.xxhash64("model_version_id", "evaluation_period_end", "metric_name"),
                F.lit(1 << 62)).alias("id"), *acc.columns)

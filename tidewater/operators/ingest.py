@@ -13,17 +13,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.formatting import rfc3339
-from ..functions.parsing import hour_of, parse_int, parse_price, parse_sale_ts
-from ..schemas import MONEY, PRICE
+from ..functions.parsing import hour_of, parse_double, parse_int, parse_price, parse_sale_ts
+from ..schemas import MONEY, PRICE, QUANTITY
 
 
 def clean_sales(raw: DataFrame) -> DataFrame:
     """Typed, valid sale lines.
 
     A quantity or price that is not a number, or is not positive, drops the row; so does a
-    stamp that is not ``yyyy-MM-ddTHH:mm:ss[.fraction]``. Non-finite prices (NaN, Inf,
-    overflow) never reach the decimal type and are dropped too. Extra columns (for example
-    ``file_name``) pass through.
+    stamp that is not ``yyyy-MM-ddTHH:mm:ss[.fraction]``. The sign of a price is that of its
+    unrounded value. Non-finite prices and values too large for the exact types are left out
+    and listed by ``rejected_sales``. Extra columns (for example ``file_name``) pass through.
     """
     extra = [c for c in raw.columns if c not in
              ("transaction_id", "product_id", "category_id", "quantity", "price_per_unit",
@@ -33,12 +33,14 @@ def clean_sales(raw: DataFrame) -> DataFrame:
         "transaction_id", "product_id", "category_id",
         _quantity(raw).alias("quantity"),
         _price(raw).alias("price_per_unit"),
-        _stamp(raw).alias("ts"),
+        _stamp(raw).alias("ts"), _price_value(raw).alias("_price"),
     )
+    exact = F.col("quantity").try_cast(QUANTITY)
     return (
-        typed.where((F.col("quantity") > 0) & (F.col("price_per_unit") > 0)
-                    & F.col("ts").isNotNull())
-        .withColumn("revenue", F.col("quantity") * F.col("price_per_unit"))
+        typed.where((F.col("quantity") > 0) & (F.col("_price") > 0) & exact.isNotNull()
+                    & F.col("price_per_unit").isNotNull() & F.col("ts").isNotNull())
+        .withColumn("revenue", (exact * F.col("price_per_unit")).cast(MONEY))
+        .drop("_price")
     )
 
 
@@ -50,7 +52,7 @@ def _quantity(raw: DataFrame):
     """Text is parsed strictly; an already integral column (typed source) is used as is."""
     dt = _type_of(raw, "quantity")
     if isinstance(dt, (T.IntegerType, T.LongType, T.ShortType, T.ByteType)):
-        return F.col("quantity").try_cast("int")
+        return F.col("quantity").try_cast("long")
     return parse_int(F.col("quantity").cast("string"))
 
 
@@ -64,6 +66,17 @@ def _price(raw: DataFrame):
     return parse_price(F.col("price_per_unit").cast("string"))
 
 
+def _price_value(raw: DataFrame):
+    """The unrounded price as a double (null when it is no finite number)."""
+    dt = _type_of(raw, "price_per_unit")
+    v = F.col("price_per_unit")
+    if isinstance(dt, T.StringType):
+        v = parse_double(v)
+    else:
+        v = v.cast("double")
+    return F.when(~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))), v)
+
+
 def _stamp(raw: DataFrame):
     dt = _type_of(raw, "timestamp")
     if isinstance(dt, (T.TimestampNTZType, T.TimestampType)):
@@ -72,14 +85,17 @@ def _stamp(raw: DataFrame):
 
 
 def rejected_sales(raw: DataFrame) -> DataFrame:
-    """Rows that clean_sales drops, with the reason (for counting, Q2)."""
+    """Rows that clean_sales drops, with the reason (for counting, Q2); valid numbers that the
+    exact types cannot hold are ``quantity_out_of_range`` and ``price_out_of_range``."""
     q = _quantity(raw)
-    p = _price(raw)
+    p = _price_value(raw)
     ts = _stamp(raw)
     reason = (F.when(q.isNull(), F.lit("bad_quantity"))
               .when(q <= 0, F.lit("non_positive_quantity"))
               .when(p.isNull(), F.lit("bad_price"))
               .when(p <= 0, F.lit("non_positive_price"))
+              .when(q.try_cast(QUANTITY).isNull(), F.lit("quantity_out_of_range"))
+              .when(_price(raw).isNull(), F.lit("price_out_of_range"))
               .when(ts.isNull(), F.lit("bad_timestamp")))
     return raw.withColumn("reason", reason).where(F.col("reason").isNotNull())
 

@@ -117,10 +117,10 @@ def forecast_history(history: DataFrame, category_id: str, start_date, end_date)
 
 
 def forecast_history_nested(history: DataFrame) -> DataFrame:
-    """One row per model version with its points as a date-sorted array.
+    """One row per category and model version with its points as a date-sorted array.
 
-    The array per version is bounded by that version's forecast horizon."""
-    return (history.groupBy("model_version_id")
+    The array is bounded by the version's forecast horizon."""
+    return (history.groupBy("category_id", "model_version_id")
             .agg(F.sort_array(F.collect_list(F.struct(*POINT))).alias("forecasts")))
 
 
@@ -134,7 +134,8 @@ def parse_requests(jobs: DataFrame) -> DataFrame:
                     F.col("_p.count").alias("period"),
                     F.col("_p.granularity").isin("daily", "monthly", "yearly")
                     .alias("valid_granularity"))
-            .withColumn("valid", F.col("valid_granularity") & (F.col("period") > 0))
+            .withColumn("valid", F.coalesce(F.col("valid_granularity") & (F.col("period") > 0),
+                                            F.lit(False)))
             .drop("valid_granularity"))
 
 

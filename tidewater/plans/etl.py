@@ -1,10 +1,12 @@
-"""E1 — the sales load as one Spark job (replaces the 20-worker loader).
+"""E1 — the sales load as one pass over the pending files (replaces the 20-worker loader).
 
-    list *.csv -> minus files already SUCCESS in the ledger -> read each file's header
-    width -> scan all pending files at once -> per-file status (malformed record = FAILED)
-    -> clean -> per-file hourly deltas -> write deltas of SUCCESS files (dynamic partition
-    overwrite: a re-run replaces, never adds) -> append ledger rows.
+    list *.csv -> minus files already SUCCESS in the ledger -> one scan of all pending files,
+    split and cleaned line by line, reduced at once to (file, field count, hour, category)
+    totals -> written once; header widths, outcomes, deltas and ledger rows are all derived
+    from that small table -> deltas of SUCCESS files (dynamic partition overwrite: a re-run
+    replaces, never adds) -> ledger rows.
 
+Only files with a quoted line break or bad quoting are read a second time, as whole files.
 Spark tasks replace the worker pool; a file is still the unit of atomicity: its delta
 partition and its ledger row are written by the same job, and a file whose delta write
 failed is not marked SUCCESS, so the next run retries it (Q8).
@@ -16,11 +18,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import store
+from ..functions.parsing import hour_of
 from ..operators import dims, ingest
-from ..schemas import LEDGER
+from ..schemas import LEDGER, MONEY, RAW_SALE_COLUMNS
 from ..sources import sales_files
 from ..util import materialize
 
+OUTCOME = "file_name string, status string, n_records long, n_malformed long, n_valid long"
+
 
 def pending_files(spark: SparkSession, sales_dir: str, ledger_path: str,
                   by_name_only: bool = True) -> DataFrame:
@@ -33,44 +38,96 @@ def pending_files(spark: SparkSession, sales_dir: str, ledger_path: str,
     return todo.join(listing, "file_name")
 
 
+def file_totals(records: DataFrame) -> DataFrame:
+    """Records reduced to one row per (file, field count, hour, category): number of records
+    and of valid ones, totals, the place of the first record, and what that one adds.
+
+    The first record of a file is its header, which counts for nothing even if it reads like
+    a sale; its share is kept apart so that it can be taken off again."""
+    fields = F.col("fields")
+    raw = records.select("file_name", "place", "whole", F.size(fields).alias("width"), *[
+        F.get(fields, F.lit(i)).alias(c) for i, c in enumerate(RAW_SALE_COLUMNS)])
+    typed = raw.select(
+        "file_name", "place", "whole", "width", "category_id",
+        ingest._quantity(raw).alias("q"), ingest._price(raw).alias("p"),
+        ingest._price_value(raw).alias("v"), ingest._stamp(raw).alias("ts"))
+    exact = F.col("q").try_cast("decimal(11,0)")
+    valid = F.coalesce(F.col("whole") & (F.col("width") >= 6) & (F.col("q") > 0) & (F.col("v") > 0)
+                       & exact.isNotNull() & F.col("p").isNotNull() & F.col("ts").isNotNull(),
+                       F.lit(False))
+    rows = typed.select(
+        "file_name", "place", "whole", "width", valid.alias("ok"),
+        F.when(valid, hour_of(F.col("ts"))).alias("time"),
+        F.when(valid, F.col("category_id")).alias("category_id"),
+        F.when(valid, (exact * F.col("p")).cast(MONEY)).alias("sales"),
+        F.when(valid, F.col("q")).alias("quantity"))
+    return (rows.groupBy("file_name", "whole", "width", "time", "category_id")
+            .agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("ok").cast("long")).alias("n_ok"),
+                 F.sum("sales").alias("sales"), F.sum("quantity").alias("quantity"),
+                 F.min_by(F.struct("place", "ok", "sales", "quantity"), "place").alias("first")))
+
+
+def load_outcome(totals: DataFrame, todo: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Per-file outcome and the deltas of the SUCCESS files, from ``file_totals``.
+
+    A file is FAILED if it has no record at all (empty: no header), a badly quoted line, or a
+    record whose field count differs from the header's; records that are all too short are
+    skipped and the file is SUCCESS."""
+    head = totals.groupBy("file_name").agg(
+        F.min_by(F.struct("width", "time", "category_id", "first.place"), "first.place").alias("h"))
+    joined = totals.join(head, "file_name")
+    is_head = F.col("first.place") == F.col("h.place")
+    taken = joined.select(
+        "file_name", "time", "category_id", "width", F.col("h.width").alias("header"), "whole",
+        (F.col("n") - is_head.cast("long")).alias("n"),
+        (F.col("n_ok") - (is_head & F.col("first.ok")).cast("long")).alias("n_ok"),
+        (F.col("sales") - F.when(is_head, F.coalesce("first.sales", F.lit(0))).otherwise(F.lit(0)))
+        .cast(MONEY).alias("sales"),
+        (F.col("quantity") - F.when(is_head, F.coalesce("first.quantity", F.lit(0)))
+         .otherwise(F.lit(0))).alias("quantity"))
+    bad = ~F.col("whole") | (F.col("width") != F.col("header"))
+    per_file = taken.groupBy("file_name").agg(
+        F.sum("n").alias("n_records"), F.sum(F.when(bad, F.col("n")).otherwise(0)).alias("_bad"),
+        F.max(~F.col("whole")).alias("_quote"), F.sum("n_ok").alias("_ok"))
+    failed = F.col("n_records").isNull() | (F.col("_bad") > 0) | F.col("_quote")
+    outcome = todo.select("file_name", "file_mtime").join(per_file, "file_name", "left").select(
+        "file_name", F.when(failed, F.lit("FAILED")).otherwise(F.lit("SUCCESS")).alias("status"),
+        F.coalesce("n_records", F.lit(0)).alias("n_records"),
+        F.greatest(F.coalesce("_bad", F.lit(0)),
+                   F.coalesce(F.col("_quote"), F.lit(False)).cast("long")).alias("n_malformed"),
+        F.when(failed, F.lit(0)).otherwise(F.col("_ok")).cast("long").alias("n_valid"),
+        "file_mtime")
+    good = outcome.where("status = 'SUCCESS'").select("file_name")
+    delta = (taken.where("n_ok > 0").join(good, "file_name")
+             .groupBy(F.col("file_name").alias("source_file"), "time", "category_id")
+             .agg(F.sum("sales").cast(MONEY).alias("total_sales"),
+                  F.sum("quantity").cast("long").alias("total_quantity")))
+    # A marker row per loaded file, so that a file without valid rows replaces its old delta.
+    markers = good.select(
+        F.col("file_name").alias("source_file"), F.lit(None).cast("timestamp_ntz").alias("time"),
+        F.lit(None).cast("string").alias("category_id"), F.lit(None).cast(MONEY).alias("total_sales"),
+        F.lit(None).cast("long").alias("total_quantity"))
+    return outcome, delta.unionByName(markers)
+
+
 def load_sales(spark: SparkSession, sales_dir: str, fact_path: str, ledger_path: str,
                as_of, by_name_only: bool = True) -> DataFrame:
     """Run one load cycle. Returns the per-file outcome (file_name, status, n_records,
     n_malformed, n_valid)."""
-    todo = pending_files(spark, sales_dir, ledger_path, by_name_only)
-    paths = todo.select("path")
-    widths = sales_files.header_widths(spark, [r.path for r in paths.collect()]) \
-        if not todo.isEmpty() else None
-    if widths is None:
-        return spark.createDataFrame([], "file_name string, status string, n_records long, "
-                                         "n_malformed long, n_valid long")
-    outcomes, deltas = [], []
-    # Files are grouped by header width (Q4); the number of distinct widths is tiny.
-    for (width,) in widths.select("header_width").distinct().collect():
-        group = [r.path for r in widths.where(F.col("header_width") == width).collect()]
-        scanned = sales_files.scan_sales_csv(spark, group, width=max(int(width), 6))
-        quality = sales_files.file_quality(scanned)
-        if width < 6:
-            # A short header makes every record short: all rows skipped, file SUCCESS.
-            quality = quality.withColumn("status", F.lit("SUCCESS"))
-            valid = scanned.where(F.lit(False))
-        else:
-            valid = scanned.join(quality.where(F.col("status") == "SUCCESS")
-                                 .select("file_name"), "file_name", "left_semi")
-        clean = ingest.clean_sales(valid.drop(sales_files.CORRUPT, "file_mtime"))
-        per_file = ingest.hourly_sales(clean, "file_name").withColumnRenamed(
-            "file_name", "source_file")
-        n_valid = clean.groupBy("file_name").agg(F.count(F.lit(1)).alias("n_valid"))
-        mtimes = todo.select("file_name", "file_mtime")
-        outcomes.append(quality.join(n_valid, "file_name", "left")
-                        .fillna(0, ["n_valid"]).join(mtimes, "file_name", "left"))
-        deltas.append(per_file)
-    outcome = outcomes[0]
-    for o in outcomes[1:]:
-        outcome = outcome.unionByName(o)
-    delta = deltas[0]
-    for d in deltas[1:]:
-        delta = delta.unionByName(d)
+    todo = materialize(pending_files(spark, sales_dir, ledger_path, by_name_only))
+    # Spark scans a list of paths; it is as long as the folder's listing, which its file index
+    # holds on the driver anyway.
+    paths = {r.file_name: r.path for r in todo.select("file_name", "path").collect()}
+    if not paths:
+        return spark.createDataFrame([], OUTCOME)
+    totals = materialize(file_totals(sales_files.read_lines(spark, list(paths.values()))))
+    odd = [r.file_name for r in totals.where(~F.col("whole")).select("file_name").distinct()
+           .collect()]
+    if odd:
+        again = file_totals(sales_files.read_whole(spark, [paths[o] for o in odd]))
+        totals = materialize(totals.join(again.select("file_name").distinct(), "file_name",
+                                         "left_anti").select(*again.columns).unionByName(again))
+    outcome, delta = load_outcome(totals, todo)
     outcome = materialize(outcome)
     store.write_file_deltas(delta, fact_path)
     store.append(ingest.ledger_rows(outcome, as_of), ledger_path)
@@ -78,15 +135,24 @@ def load_sales(spark: SparkSession, sales_dir: str, fact_path: str, ledger_path:
 
 
 def load_metadata(raw_categories: DataFrame, raw_products: DataFrame):
-    """E1 metadata (S10/S11): validate both dimensions together; a product whose category
-    is unknown refuses the whole refresh (orphan report returned), else both are
-    returned for one snapshot write each."""
+    """E1 metadata (S10/S11): validate both dimensions together; a repeated category or
+    product id, or a product whose category is unknown, refuses the whole refresh. Returns
+    both tables and the report (relation, key, n_rows)."""
     from ..operators import quality
     cats = dims.dim_categories(raw_categories)
     prods = dims.dim_products(raw_products)
-    orphans = quality.fk_orphans(prods, cats, "category_id", "category_id",
-                                 "products.category_id->categories")
-    return cats, prods, orphans
+    named = lambda df, key, table: quality.duplicate_keys(df, [key], table).withColumnRenamed(
+        "table_name", "relation")
+    report = quality.union_reports(
+        quality.fk_orphans(prods, cats, "category_id", "category_id",
+                           "products.category_id->categories"),
+        named(cats, "category_id", "categories"), named(prods, "product_id", "products"))
+    return cats, prods, report
+
+
+def publish_metadata(cats: DataFrame, prods: DataFrame, root: str) -> int:
+    """Both dimensions as one snapshot: readers see the old pair or the new one."""
+    return store.write_group({"categories": cats, "products": prods}, root)
 
 
 def _ledger_status(spark: SparkSession, names: list[str], status: str, ledger_path: str,
@@ -98,11 +164,14 @@ def _ledger_status(spark: SparkSession, names: list[str], status: str, ledger_pa
 def refresh_metadata(spark: SparkSession, raw_categories: DataFrame, raw_products: DataFrame,
                      categories_path: str, products_path: str, ledger_path: str | None = None,
                      as_of=None, names=("categories.csv", "products.csv")) -> DataFrame:
-    """Refresh both dimensions on every run, all or nothing: both snapshots
-    are written only when the orphan report is empty; the outcome (SUCCESS or FAILED) is
-    recorded in the ledger for both files. Returns the orphan report."""
+    """Refresh both dimensions on every run, all or nothing: they are written
+    only when no key is repeated and no product is an orphan; the outcome (SUCCESS or FAILED)
+    is recorded in the ledger for both files. Returns the report of offending keys.
+
+    Both tables are complete before either becomes current: the new products snapshot is
+    published after the categories it refers to."""
     cats, prods, orphans = load_metadata(raw_categories, raw_products)
-    orphans = materialize(orphans)
+    cats, prods, orphans = materialize(cats), materialize(prods), materialize(orphans)
     ok = orphans.isEmpty()
     if ok:
         store.write_snapshot(cats, categories_path)
@@ -115,11 +184,14 @@ def refresh_metadata(spark: SparkSession, raw_categories: DataFrame, raw_product
 def load_promotions(spark: SparkSession, raw_promotions: DataFrame, promotions_path: str,
                     ledger_path: str | None = None, as_of=None,
                     name: str = "promotions.csv") -> DataFrame:
-    """Typed promotions; invalid rows skipped; a fractional discount refuses
+    """Typed promotions; invalid rows skipped; a fractional discount or a repeated
+    id refuses
     the whole file (nothing written, FAILED in the ledger). Returns the skipped rows."""
+    from ..operators import quality
     promos = dims.dim_promotions(raw_promotions)
-    refused = promos.isEmpty() and not raw_promotions.isEmpty() and not \
-        dims.typed_promotions(raw_promotions).where("fractional").isEmpty()
+    refused = (promos.isEmpty() and not raw_promotions.isEmpty() and not
+               dims.typed_promotions(raw_promotions).where("fractional").isEmpty()) or not \
+        quality.duplicate_keys(promos, ["promotion_id"], "promotions").isEmpty()
     if not refused:
         store.write_snapshot(promos, promotions_path)
     if ledger_path:

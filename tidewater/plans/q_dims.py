@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import dims, ingest, promotions, quality
-from ..sources.tables import (categories_from_part, products_from_part,
-                              raw_promotions_from_part, read_table, sales_lines_from_lineitem)
+from ..sources.tables import (categories_from_part, historical_forecasts_from_orders,
+                              ledger_from_orders, live_forecasts_from_orders,
+                              model_versions_from_orders, performance_from_orders,
+                              products_from_part, raw_promotions_from_part, read_table,
+                              sales_lines_from_lineitem)
+from .q_reads import HIST_SQL, LIVE_SQL
 from .registry import register
 
 PROMOS_SQL = """
@@ -18,7 +22,7 @@ PROMOS_SQL = """
          CASE WHEN p_partkey % 80 = 0 THEN 'category' ELSE 'product' END AS target_type,
          CASE WHEN p_partkey % 80 = 0 THEN p_brand ELSE CAST(p_partkey AS VARCHAR) END
            AS target_id
-  FROM part WHERE p_partkey % 40 = 0
+  FROM part WHERE p_partkey % 97 <> 0
 """
 PRODUCTS_SQL = """
   SELECT CAST(p_partkey AS VARCHAR) AS product_id, p_name AS product_name,
@@ -115,18 +119,38 @@ UNION ALL
 SELECT 'sales.category_id->categories' AS relation, p_type AS key, COUNT(*) AS n_rows
 FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey
 WHERE p_type NOT IN (SELECT DISTINCT p_brand FROM part WHERE p_brand IS NOT NULL)
-GROUP BY 1, 2""")
+GROUP BY 1, 2
+UNION ALL
+SELECT 'forecast_performance.model_version_id->model_versions', CAST(o_custkey % 50 AS VARCHAR),
+       COUNT(*) FROM orders
+WHERE o_custkey % 50 NOT IN (SELECT o_orderkey FROM orders) GROUP BY 1, 2
+UNION ALL
+SELECT 'live_forecasts.model_version_id->model_versions', CAST(model_version_id AS VARCHAR), COUNT(*)
+FROM ({LIVE_SQL}) WHERE model_version_id NOT IN (SELECT o_orderkey FROM orders) GROUP BY 1, 2
+UNION ALL
+SELECT 'historical_forecasts.model_version_id->model_versions', CAST(model_version_id AS VARCHAR),
+       COUNT(*)
+FROM ({HIST_SQL}) WHERE model_version_id NOT IN (SELECT o_orderkey FROM orders) GROUP BY 1, 2""")
 def q_fk_orphans(spark, sf_dir):
-    """Products -> categories (holds), and sale lines by part type -> categories by
-    brand (every line is an orphan: the two are different codings)."""
+    """Products -> categories (holds), sale lines by part type -> categories by brand
+    (every line is an orphan: the two are different codings), and the tables that refer to a
+    model version."""
     cats = categories(spark, sf_dir)
+    o = read_table(spark, sf_dir, "orders")
+    versions = model_versions_from_orders(o)
+    refer = {"forecast_performance": performance_from_orders(o),
+             "live_forecasts": live_forecasts_from_orders(o),
+             "historical_forecasts": historical_forecasts_from_orders(o)}
     sales = sales_lines_from_lineitem(read_table(spark, sf_dir, "lineitem"),
                                       read_table(spark, sf_dir, "part"))
     return quality.union_reports(
         quality.fk_orphans(products(spark, sf_dir), cats, "category_id", "category_id",
                            "products.category_id->categories"),
         quality.fk_orphans(sales, cats, "category_id", "category_id",
-                           "sales.category_id->categories"))
+                           "sales.category_id->categories"),
+        *[quality.fk_orphans(t, versions, "model_version_id", "id",
+                             f"{name}.model_version_id->model_versions")
+          for name, t in refer.items()])
 
 
 @register("duplicate_keys", f"""
@@ -137,17 +161,36 @@ FROM (SELECT date_trunc('hour', ts) AS time, event_type AS category_id FROM even
 UNION ALL
 SELECT 'etl_job_status' AS table_name, 'f' || CAST(o_orderkey % 5000 AS VARCHAR) AS key,
        COUNT(*) AS n_rows
-FROM orders GROUP BY 1, 2 HAVING COUNT(*) > 1""")
+FROM orders GROUP BY 1, 2 HAVING COUNT(*) > 1
+UNION ALL
+SELECT 'forecast_performance', CAST(o_custkey % 50 AS VARCHAR) || '|'
+       || CAST(o_orderdate + INTERVAL 7 DAYS AS VARCHAR) || '|'
+       || CASE WHEN o_orderkey % 2 = 0 THEN 'mape' ELSE 'rmse' END, COUNT(*)
+FROM orders GROUP BY 1, 2 HAVING COUNT(*) > 1
+UNION ALL
+SELECT 'historical_forecasts', category_id || '|' || CAST(forecast_date AS VARCHAR), COUNT(*)
+FROM ({HIST_SQL}) GROUP BY 1, 2 HAVING COUNT(*) > 1""")
 def q_duplicate_keys(spark, sf_dir):
-    """The fact is unique on (time, category); the ledger history repeats file names
-    (the ledger table keeps only the latest row per file)."""
+    """The fact is unique on (time, category), model versions on (category, version), live
+    forecasts on (category, date, granularity) and the dimensions on their ids; the ledger
+    history repeats file names (the ledger table keeps the latest row per file), performance
+    rows repeat, and the archive repeats a date once per version."""
     from .q_ingest import events_fact
-    from ..sources.tables import ledger_from_orders
+    o = read_table(spark, sf_dir, "orders")
     return quality.union_reports(
         quality.duplicate_keys(events_fact(spark, sf_dir), ["time", "category_id"],
                                "hourly_sales"),
-        quality.duplicate_keys(ledger_from_orders(read_table(spark, sf_dir, "orders")),
-                               ["file_name"], "etl_job_status"))
+        quality.duplicate_keys(ledger_from_orders(o), ["file_name"], "etl_job_status"),
+        quality.duplicate_keys(performance_from_orders(o), [
+            "model_version_id", "evaluation_period_end", "metric_name"], "forecast_performance"),
+        quality.duplicate_keys(historical_forecasts_from_orders(o), [
+            "category_id", "forecast_date"], "historical_forecasts"),
+        quality.duplicate_keys(model_versions_from_orders(o), ["category_id", "version"],
+                               "model_versions"),
+        quality.duplicate_keys(live_forecasts_from_orders(o), [
+            "category_id", "forecast_date", "granularity"], "live_forecasts"),
+        quality.duplicate_keys(products(spark, sf_dir), ["product_id"], "products"),
+        quality.duplicate_keys(categories(spark, sf_dir), ["category_id"], "categories"))
 
 
 @register("category_mismatch", """
@@ -162,8 +205,8 @@ def q_category_mismatch(spark, sf_dir):
     return quality.category_mismatch(sales, products(spark, sf_dir))
 
 
-@register("rejected_promotions", f"""
-SELECT COUNT(*) AS n_rejected FROM ({PROMOS_SQL}) WHERE start_date IS NULL""")
+@register("rejected_promotions", """
+SELECT COUNT(*) AS n_rejected FROM part WHERE p_partkey % 97 = 0""")
 def q_rejected_promotions(spark, sf_dir):
     raw = raw_promotions_from_part(read_table(spark, sf_dir, "part"))
     return dims.rejected_promotions(raw).agg(F.count(F.lit(1)).alias("n_rejected"))

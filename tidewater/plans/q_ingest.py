@@ -4,26 +4,29 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .. import store
 from ..operators import ingest
+from ..schemas import RAW_SALE_COLUMNS
 from ..session import scratch_path
 from ..sources import sales_files
 from ..sources.tables import (ledger_from_orders, listing_from_orders, read_table,
                               sales_lines_from_events, sales_lines_from_lineitem)
+from . import etl
 from .registry import register
 
 # DuckDB text of the events -> sale-line mapping, shared by several statements.
 EV_QTY = "CAST(json_extract_string(props, '$.k') AS INTEGER)"
-EV_PRICE = "CAST(value AS DECIMAL(20,8))"
+EV_PRICE = "CAST(CAST(value AS DECIMAL(20,8)) AS DECIMAL(26,12))"
 EV_CLEAN = f"""
   SELECT CAST(event_id AS VARCHAR) AS transaction_id, CAST(user_id AS VARCHAR) AS product_id,
-         event_type AS category_id, {EV_QTY} AS quantity, {EV_PRICE} AS price_per_unit,
+         event_type AS category_id, CAST({EV_QTY} AS BIGINT) AS quantity, {EV_PRICE} AS price_per_unit,
          ts, {EV_QTY} * {EV_PRICE} AS revenue
   FROM events
   WHERE {EV_QTY} > 0 AND {EV_PRICE} > 0 AND ts IS NOT NULL
 """
 EV_HOURLY = f"""
   SELECT date_trunc('hour', ts) AS time, category_id,
-         CAST(SUM(revenue) AS DECIMAL(38,8)) AS total_sales,
+         CAST(SUM(revenue) AS DECIMAL(38,12)) AS total_sales,
          CAST(SUM(quantity) AS BIGINT) AS total_quantity
   FROM ({EV_CLEAN}) GROUP BY 1, 2
 """
@@ -53,8 +56,8 @@ def q_hourly_sales(spark, sf_dir):
 
 @register("hourly_sales_daily", """
 SELECT date_trunc('hour', l.l_shipdate) AS time, p.p_type AS category_id,
-       CAST(SUM(CAST(l.l_quantity AS INTEGER) * CAST(p.p_retailprice AS DECIMAL(20,8)))
-            AS DECIMAL(38,8)) AS total_sales,
+       CAST(SUM(CAST(l.l_quantity AS INTEGER) * CAST(CAST(p.p_retailprice AS DECIMAL(20,8)) AS DECIMAL(26,12)))
+            AS DECIMAL(38,12)) AS total_sales,
        CAST(SUM(CAST(l.l_quantity AS INTEGER)) AS BIGINT) AS total_quantity
 FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey
 WHERE CAST(l.l_quantity AS INTEGER) > 0 AND p.p_retailprice > 0
@@ -98,20 +101,88 @@ def _daily_csv_dir(spark, sf_dir):
 
 
 @register("scan_sales_csv", """
-SELECT strftime(ts, '%Y-%m-%d') || '.csv' AS file_name, COUNT(*) AS n_lines
-FROM events GROUP BY 1""")
+SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, COUNT(*) AS n_lines FROM events GROUP BY 1""")
 def q_scan_sales_csv(spark, sf_dir):
+    """Positional scan of files derived from ``events``, lines counted per day."""
     scanned = sales_files.scan_sales_csv(spark, _daily_csv_dir(spark, sf_dir))
-    return scanned.groupBy("file_name").agg(F.count(F.lit(1)).alias("n_lines"))
+    return scanned.groupBy(F.substring("timestamp", 1, 10).alias("day")).agg(
+        F.count(F.lit(1)).alias("n_lines"))
+
+
+# Files with bad lines, derived from events: one file per (day, event_id mod 4). By day of the
+# month mod 7: 3 - every 50th line lacks a field (the file FAILS); 5 - every 10th quantity is no
+# number (the row is skipped); 6 - the category is quoted and holds doubled quotes and a
+# comma (legal); 2 - every 50th line has a quote inside a plain field (FAILS).
+DIRTY_LINES = f"""
+  SELECT strftime(ts, '%Y-%m-%d') || '-' || CAST(event_id % 4 AS VARCHAR) || '.csv' AS file_name, ts,
+         CASE WHEN day(ts) % 7 = 6 THEN event_type || ', "x"' ELSE event_type END AS category_id,
+         {EV_QTY} AS quantity, {EV_PRICE} AS price,
+         day(ts) % 7 = 3 AND event_id % 50 < 4 AS short,
+         day(ts) % 7 = 2 AND event_id % 50 < 4 AS quoted,
+         {EV_QTY} > 0 AND {EV_PRICE} > 0 AND NOT (day(ts) % 7 = 5 AND event_id % 10 = 0) AS good
+  FROM events
+"""
+DIRTY_OUTCOME = f"""
+  SELECT file_name, CASE WHEN bool_or(quoted) THEN 0 ELSE COUNT(*) END AS n_records,
+         CAST(CASE WHEN bool_or(quoted) THEN 1 ELSE SUM(CAST(short AS INTEGER)) END AS BIGINT)
+           AS n_malformed,
+         CASE WHEN bool_or(quoted) OR bool_or(short) THEN 'FAILED' ELSE 'SUCCESS' END AS status,
+         CAST(CASE WHEN bool_or(quoted) OR bool_or(short) THEN 0
+              ELSE SUM(CAST(good AS INTEGER)) END AS BIGINT) AS n_valid
+  FROM ({DIRTY_LINES}) GROUP BY 1
+"""
 
 
-@register("file_quality", """
-SELECT strftime(ts, '%Y-%m-%d') || '.csv' AS file_name, COUNT(*) AS n_records,
-       CAST(0 AS BIGINT) AS n_malformed, 'SUCCESS' AS status
-FROM events GROUP BY 1""")
+def dirty_csv_dir(spark, sf_dir):
+    """Writes the files described above to the shared scratch folder."""
+    e = sales_lines_from_events(read_table(spark, sf_dir, "events"), as_text=True)
+    k = F.col("transaction_id").cast("long")
+    kind = F.day(F.to_date(F.substring("timestamp", 1, 10))) % 7
+    cat = F.when(kind == 6, F.concat(F.lit('"'), "category_id", F.lit(', ""x"""'))).otherwise(
+        F.col("category_id"))
+    qty = F.when((kind == 5) & (k % 10 == 0), F.lit("many")).otherwise(F.col("quantity"))
+    stamp = F.when((kind == 2) & (k % 50 < 4), F.concat("timestamp", F.lit('"'))).otherwise(
+        F.col("timestamp"))
+    head = ["transaction_id", "product_id", cat, qty, "price_per_unit"]
+    line = F.when((kind == 3) & (k % 50 < 4), F.concat_ws(",", *head)).otherwise(
+        F.concat_ws(",", *head, stamp))
+    name = F.concat_ws("-", F.substring("timestamp", 1, 10), (k % 4).cast("string"))
+    lines = e.select(name.alias("_file"), line.alias("value"), F.lit(1).alias("_o"))
+    header = lines.select("_file").distinct().select(
+        "_file", F.lit(",".join(RAW_SALE_COLUMNS)).alias("value"), F.lit(0).alias("_o"))
+    out = scratch_path(spark, "dirty-csv")
+    (lines.unionByName(header).repartition("_file").sortWithinPartitions("_file", "_o", "value")
+     .drop("_o").write.partitionBy("_file").option("compression", "none").format("csv")
+     .option("quote", "").option("sep", "\u0001").option("emptyValue", "").save(out))
+    return out
+
+
+@register("file_quality", f"""
+SELECT file_name, n_records, n_malformed, status FROM ({DIRTY_OUTCOME})""")
 def q_file_quality(spark, sf_dir):
-    scanned = sales_files.scan_sales_csv(spark, _daily_csv_dir(spark, sf_dir))
-    return sales_files.file_quality(scanned)
+    return sales_files.scan_quality(spark, dirty_csv_dir(spark, sf_dir))
+
+
+@register("load_sales_outcome", f"SELECT * FROM ({DIRTY_OUTCOME})")
+def q_load_sales_outcome(spark, sf_dir):
+    """Outcome per file of one load cycle over files with bad lines."""
+    return etl.load_sales(spark, dirty_csv_dir(spark, sf_dir), scratch_path(spark, "dirty-fact"),
+                          scratch_path(spark, "dirty-ledger"), "2024-02-01 00:00:00") \
+        .select("file_name", "n_records", "n_malformed", "status", "n_valid")
+
+
+@register("load_sales_fact", f"""
+SELECT date_trunc('hour', ts) AS time, category_id,
+       CAST(SUM(quantity * price) AS DECIMAL(38,12)) AS total_sales,
+       CAST(SUM(quantity) AS BIGINT) AS total_quantity
+FROM ({DIRTY_LINES}) JOIN ({DIRTY_OUTCOME}) o USING (file_name)
+WHERE good AND o.status = 'SUCCESS' GROUP BY 1, 2""")
+def q_load_sales_fact(spark, sf_dir):
+    """The fact after loading the same files (the FAILED ones add nothing)."""
+    fact = scratch_path(spark, "dirty-fact")
+    etl.load_sales(spark, dirty_csv_dir(spark, sf_dir), fact, scratch_path(spark, "dirty-ledger"),
+                   "2024-02-01 00:00:00")
+    return store.read_fact(spark, fact)
 
 
 LEDGER_SQL = """

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..model import backtest, fit, stats
 from ..operators import forecasts, ingest, promotions, reads
+from ..session import scratch_path
 from ..sources.tables import read_table, sales_lines_from_lineitem
 from .q_dims import DAYS_SQL, products, promos
 from .q_ingest import EV_HOURLY, events_fact
@@ -22,8 +23,8 @@ TODAY = "2002-01-01"            # "today" for delta forecasts with an empty cach
 
 BRAND_FACT_SQL = """
   SELECT date_trunc('hour', l.l_shipdate) AS time, p.p_brand AS category_id,
-         CAST(SUM(CAST(l.l_quantity AS INTEGER) * CAST(p.p_retailprice AS DECIMAL(20,8)))
-              AS DECIMAL(38,8)) AS total_sales
+         CAST(SUM(CAST(l.l_quantity AS INTEGER) * CAST(CAST(p.p_retailprice AS DECIMAL(20,8)) AS DECIMAL(26,12)))
+              AS DECIMAL(38,12)) AS total_sales
   FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey
   WHERE CAST(l.l_quantity AS INTEGER) > 0 AND p.p_retailprice > 0
   GROUP BY 1, 2
@@ -121,8 +122,11 @@ def q_cv_cutoffs(spark, sf_dir):
     return stats.cv_cutoffs(stats.cv_params(brand_train(spark, sf_dir)))
 
 
-@register("future_dates", f"""
-WITH g AS (SELECT * FROM (VALUES ('daily', 90), ('monthly', 24), ('yearly', 5)) t(granularity, periods)),
+def steps_sql(daily: int, monthly: int, yearly: int) -> str:
+    """SQL of the first so many stamps after each brand's last observation."""
+    return f"""
+WITH g AS (SELECT * FROM (VALUES ('daily', {daily}), ('monthly', {monthly}), ('yearly', {yearly}))
+           t(granularity, periods)),
 last AS (SELECT category_id, max(ds) AS ds_max FROM ({TRAIN_SQL}) GROUP BY 1),
 steps AS (SELECT category_id, ds_max, granularity, unnest(generate_series(1, periods)) AS step
           FROM last, g)
@@ -135,7 +139,10 @@ SELECT category_id, granularity, CAST(step AS INTEGER) AS step,
     ELSE make_date(CAST(year(ds_max) + step - 1 + CASE WHEN make_date(year(ds_max), 12, 31)
                         > CAST(ds_max AS DATE) THEN 0 ELSE 1 END AS BIGINT), 12, 31)
   END AS TIMESTAMP) + (ds_max - CAST(CAST(ds_max AS DATE) AS TIMESTAMP)) AS ds
-FROM steps""")
+FROM steps"""
+
+
+@register("future_dates", steps_sql(90, 24, 5))
 def q_future_dates(spark, sf_dir):
     """The standard frame (90 days, 24 month ends, 5 year ends) after each
     category's last observation."""
@@ -206,37 +213,99 @@ def q_fit_gram(spark, sf_dir):
                  ("yty", "xty_m", "xty_k", "xtx_mk", "xtx_kk", "xty_sin1")]))
 
 
-@register("fit_models")
-def q_model_fits(spark, sf_dir):
-    """One fitted model per category (status, size, noise scale)."""
-    m = fit.fit_models(brand_train(spark, sf_dir), brand_feats(spark, sf_dir))
-    return m.select("category_id", "status", "error", "n", F.size("beta").alias("n_coef"),
+def fit_shape_sql(train: str, names: str) -> str:
+    """SQL of everything about a fit that does not depend on its coefficients."""
+    return f"""
+WITH t AS (SELECT * FROM ({train})),
+gap AS (SELECT category_id, min(epoch(ds) - epoch(prev)) AS dt FROM (
+          SELECT category_id, ds, lag(ds) OVER (PARTITION BY category_id ORDER BY ds) AS prev
+          FROM (SELECT DISTINCT category_id, ds FROM t)) GROUP BY 1),
+st AS (SELECT category_id, COUNT(*) AS n, epoch(max(ds)) - epoch(min(ds)) AS span FROM t GROUP BY 1),
+p AS ({names}),
+o AS (SELECT st.category_id, n, least(25, CAST(floor(0.8 * n) AS BIGINT) - 1) AS n_cp,
+             CASE WHEN span >= 730 * 86400 THEN 10 ELSE 0 END AS yo,
+             CASE WHEN span >= 14 * 86400 AND dt < 7 * 86400 THEN 3 ELSE 0 END AS wo,
+             CASE WHEN span >= 2 * 86400 AND dt < 86400 THEN 4 ELSE 0 END AS do_,
+             coalesce(p.np, 0) AS np
+      FROM st JOIN gap USING (category_id) LEFT JOIN p USING (category_id))
+SELECT category_id, 'OK' AS status, n, CAST(2 + n_cp + 2 * (yo + wo + do_) + np AS INTEGER) AS n_coef,
+       CAST(n_cp AS INTEGER) AS n_changepoints, yo AS yearly_order, wo AS weekly_order,
+       do_ AS daily_order, CAST(np AS INTEGER) AS n_promotions, TRUE AS converged, TRUE AS optimal
+FROM o"""
+
+
+# Largest accepted violation of the optimality conditions, relative to the data term's gradient.
+OPTIMAL = 1e-4
+
+
+def fit_shape(m):
+    return m.select("category_id", "status", "n", F.size("beta").alias("n_coef"),
                     F.size("cp_t").alias("n_changepoints"), "yearly_order", "weekly_order",
-                    "daily_order", F.size("hol_names").alias("n_promotions"), "sigma")
+                    "daily_order", F.size("hol_names").alias("n_promotions"), "converged",
+                    (F.col("residual") < OPTIMAL).alias("optimal"))
+
+
+@register("fit_models", fit_shape_sql(TRAIN_SQL, f"""
+SELECT category_id, COUNT(DISTINCT promotion_name) AS np FROM ({DAYS_SQL}) GROUP BY 1"""))
+def q_model_fits(spark, sf_dir):
+    """One fitted model per category: status, size, and that the solver converged to a
+    point that meets the optimality conditions."""
+    return fit_shape(fit.fit_models(brand_train(spark, sf_dir), brand_feats(spark, sf_dir)))
 
 
-@register("fit_models_hourly")
+@register("fit_models_hourly", fit_shape_sql(f"""
+SELECT category_id, time AS ds FROM ({EV_HOURLY})""", """
+SELECT NULL AS category_id, 0 AS np WHERE FALSE"""))
 def q_model_fits_hourly(spark, sf_dir):
     """M3 on the hourly events series (daily + weekly seasonality, no promotions)."""
     train = stats.training_frame(events_fact(spark, sf_dir))
     empty = (train.select("category_id", F.lit("none").alias("promotion_name"),
                           F.to_date("ds").alias("ds")).where(F.lit(False)))
-    m = fit.fit_models(train, empty)
-    return m.select("category_id", "status", "n", F.size("beta").alias("n_coef"),
-                    "yearly_order", "weekly_order", "daily_order", "sigma")
+    return fit_shape(fit.fit_models(train, empty))
+
+
+CV_ROWS_SQL = f"""
+  SELECT c.category_id, c.cutoff, t.ds, t.y
+  FROM (SELECT category_id, horizon_days,
+               CAST(ds_max - to_days(CAST(horizon_days + i * period_days AS INTEGER)) AS TIMESTAMP)
+                 AS cutoff
+        FROM ({CV_PARAMS_SQL}), LATERAL (SELECT unnest(generate_series(0, CAST(floor(
+            ((epoch(ds_max) - horizon_days * 86400) - (epoch(ds_min) + initial_days * 86400))
+            / (period_days * 86400)) AS BIGINT))) AS i) WHERE backtest) c
+  JOIN ({TRAIN_SQL}) t ON t.category_id = c.category_id AND t.ds > c.cutoff
+   AND epoch(t.ds) <= epoch(c.cutoff) + c.horizon_days * 86400
+"""
+ORDERED = "yhat_lower <= yhat AND yhat <= yhat_upper"
 
 
-@register("backtest_forecasts")
+@register("backtest_forecasts", f"""
+SELECT category_id, cutoff, ds, round(y, 6) AS y, TRUE AS bounds_hold FROM ({CV_ROWS_SQL})""")
 def q_backtest_forecasts(spark, sf_dir):
     """M5: forecasts at every cutoff for every brand."""
-    return backtest.backtest_forecasts(brand_train(spark, sf_dir), brand_feats(spark, sf_dir))
-
-
-@register("backtest_metrics")
+    cv = backtest.backtest_forecasts(brand_train(spark, sf_dir), brand_feats(spark, sf_dir))
+    return cv.select("category_id", "cutoff", "ds", F.round("y", 6).alias("y"),
+                     F.expr(ORDERED).alias("bounds_hold"))
+
+
+@register("backtest_metrics", f"""
+WITH e AS (SELECT category_id, epoch(ds) - epoch(cutoff) AS h_s, COUNT(*) AS n_h
+           FROM ({CV_ROWS_SQL}) GROUP BY 1, 2),
+c AS (SELECT *, sum(n_h) OVER (PARTITION BY category_id ORDER BY h_s) AS C,
+             sum(n_h) OVER (PARTITION BY category_id) AS N FROM e)
+SELECT category_id, CAST(h_s AS DOUBLE) AS h_s,
+       CAST(CAST(floor(h_s / 86400) AS BIGINT) AS VARCHAR) || ' days ' ||
+         lpad(CAST(CAST(floor((h_s % 86400) / 3600) AS BIGINT) AS VARCHAR), 2, '0') || ':00:00' AS horizon,
+       TRUE AS in_range
+FROM c WHERE C >= least(greatest(CAST(floor(0.1 * N) AS BIGINT), 1), N)""")
 def q_backtest_metrics(spark, sf_dir):
-    """Rolling-horizon metrics of the back-test, per brand and horizon."""
+    """Rolling-horizon metrics of the back-test, per brand and horizon (the values are
+    held against brute force in pytest and, on given predictions, by ``rolling_metrics``)."""
     cv = backtest.backtest_forecasts(brand_train(spark, sf_dir), brand_feats(spark, sf_dir))
-    return backtest.performance_metrics(cv)
+    m = backtest.performance_metrics(cv)
+    return m.select("category_id", F.col("h_s").cast("double").alias("h_s"), "horizon", (
+        F.col("coverage").between(0, 1) & (F.col("mse") >= 0) & (F.col("smape").between(0, 2))
+        & (F.abs(F.col("rmse") * F.col("rmse") - F.col("mse")) <= 1e-6 * F.col("mse")))
+        .alias("in_range"))
 
 
 GIVEN_CV_SQL = """
@@ -319,33 +388,118 @@ def q_rolling_metrics(spark, sf_dir):
                       ("rmse", "mae", "mape", "mdape", "smape", "coverage")])
 
 
-@register("forecast")
-def q_forecast(spark, sf_dir):
-    """M7: 30 daily, 12 monthly and 3 yearly points for every brand."""
-    models = latest_models(spark, sf_dir)
-    req = models.select("category_id").distinct().select(
+# Coefficients of ``predict_given`` per order priority, made from table columns.
+GIVEN_PARAMS_SQL = """
+  SELECT o_orderpriority AS fit_id, min(epoch(o_orderdate)) AS t0,
+         max(epoch(o_orderdate)) - min(epoch(o_orderdate)) AS ts, avg(o_totalprice) AS ys,
+         (COUNT(*) % 7) / 10.0 AS m, (COUNT(*) % 5) / 10.0 AS k, (COUNT(*) % 3 - 1) / 4.0 AS d,
+         (COUNT(*) % 11) / 20.0 AS a, (COUNT(*) % 13) / 20.0 AS b, (COUNT(*) % 17) / 20.0 AS w
+  FROM orders GROUP BY 1
+"""
+
+
+@register("predict_given", f"""
+WITH p AS ({GIVEN_PARAMS_SQL}),
+x AS (SELECT DISTINCT o_orderpriority AS fit_id, o_orderdate AS ds FROM orders),
+z AS (SELECT x.fit_id, ds, (epoch(ds) - t0) / ts AS t, epoch(ds) / 86400.0 AS td, p.* EXCLUDE (fit_id),
+             day(ds) = 1 AS promo FROM x JOIN p USING (fit_id))
+SELECT fit_id AS category_id, ds, round(yhat, 4) AS yhat,
+       round(yhat - 1.2815515655446004 * 0.1 * ys, 4) AS yhat_lower,
+       round(yhat + 1.2815515655446004 * 0.1 * ys, 4) AS yhat_upper
+FROM (SELECT *, ys * (m + k * t + d * greatest(t - 0.5, 0) + a * sin(2 * pi() * td / 7)
+                      + b * cos(2 * pi() * td / 7) + CASE WHEN promo THEN w ELSE 0 END) AS yhat FROM z)""")
+def q_predict_given(spark, sf_dir):
+    """M7 arithmetic on given coefficients: one changepoint, a weekly wave, and a promotion on
+    the first day of each month."""
+    from ..model import predict
+    o = read_table(spark, sf_dir, "orders").select(
+        F.col("o_orderpriority").alias("fit_id"), F.col("o_orderdate").cast("timestamp_ntz")
+        .alias("ds"), "o_totalprice")
+    n = F.count(F.lit(1))
+    ds = stats.epoch_s(F.col("ds"))
+    params = o.groupBy("fit_id").agg(
+        F.min(ds).alias("t0_s"), (F.max(ds) - F.min(ds)).alias("t_scale_s"),
+        F.avg("o_totalprice").alias("y_scale"),
+        F.array(n % 7 / 10, n % 5 / 10, (n % 3 - 1) / 4, n % 11 / 20, n % 13 / 20, n % 17 / 20)
+        .cast("array<double>").alias("beta")).select(
+        "*", F.lit("OK").alias("status"), F.array(F.lit(0.5)).alias("cp_t"),
+        F.lit(0).alias("yearly_order"), F.lit(1).alias("weekly_order"), F.lit(0).alias("daily_order"),
+        F.array(F.lit("first")).alias("hol_names"), F.lit(0.1).alias("sigma"),
+        F.lit(0.0).alias("lambda_mean"))
+    targets = o.select("fit_id", F.col("fit_id").alias("category_id"), "ds").distinct()
+    feats = targets.where(F.day("ds") == 1).select(
+        "category_id", F.lit("first").alias("promotion_name"), F.to_date("ds").alias("ds")).distinct()
+    out = predict.predict(targets, params, feats)
+    return out.select("category_id", "ds", *[F.round(c, 4).alias(c) for c in
+                                             ("yhat", "yhat_lower", "yhat_upper")])
+
+
+HOLD = "lower_bound <= predicted_sales AND predicted_sales <= upper_bound"
+FORECAST_SQL = f"""
+SELECT category_id, granularity, strftime(ds, '%Y-%m-%d') AS date, TRUE AS bounds_hold
+FROM ({steps_sql(30, 12, 3)})"""
+
+
+def forecast_requests(models):
+    return models.select("category_id").distinct().select(
         "category_id", F.explode(F.array(*[
             F.struct(F.lit(g).alias("granularity"), F.lit(n).alias("periods"))
-            for g, n in (("daily", 30), ("monthly", 12), ("yearly", 3))])).alias("r")) \
-        .select("category_id", "r.granularity", "r.periods")
-    return forecasts.forecast(models, req, brand_feats(spark, sf_dir))
+            for g, n in (("daily", 30), ("monthly", 12), ("yearly", 3), ("weekly", 4),
+                         ("daily", 0))])).alias("r")).select("category_id", "r.granularity", "r.periods")
 
 
-@register("live_forecasts")
+@register("forecast", FORECAST_SQL)
+def q_forecast(spark, sf_dir):
+    """M7: 30 daily, 12 monthly and 3 yearly points for every brand (requests with a bad
+    granularity or no periods get none)."""
+    models = latest_models(spark, sf_dir)
+    return forecasts.forecast(models, forecast_requests(models), brand_feats(spark, sf_dir)).select(
+        "category_id", "granularity", "date", F.expr(HOLD).alias("bounds_hold"))
+
+
+@register("forecast_from_registry", FORECAST_SQL.replace("TRUE AS bounds_hold",
+                                                         "TRUE AS bounds_hold, TRUE AS same"))
+def q_forecast_from_registry(spark, sf_dir):
+    """M7 from stored parameters: the registry rows are written and read back, and the forecast
+    from them equals the one from the fitted models."""
+    train, feats = brand_train(spark, sf_dir), brand_feats(spark, sf_dir)
+    models = latest_models(spark, sf_dir, train, feats)
+    rows = forecasts.registry_rows(models, stats.training_metadata(train), None, AS_OF)
+    path = scratch_path(spark, "registry")
+    rows.write.parquet(path)
+    stored = forecasts.models_from_registry(reads.mark_latest(spark.read.parquet(path)).where("is_latest"))
+    req = forecast_requests(models)
+    keys = ["category_id", "granularity", "date"]
+    fresh = forecasts.forecast(models, req, feats).select(*keys, F.col("predicted_sales").alias("_p"))
+    return (forecasts.forecast(stored, req, feats).join(fresh, keys)
+            .select(*keys, F.expr(HOLD).alias("bounds_hold"),
+                    (F.col("_p") == F.col("predicted_sales")).alias("same")))
+
+
+@register("live_forecasts", f"""
+SELECT category_id, granularity, CAST(ds AS DATE) AS forecast_date, ds AS forecast_ts,
+       TRUE AS bounds_hold FROM ({steps_sql(90, 24, 5)})""")
 def q_live_forecasts(spark, sf_dir):
     """The standard cached set (90 daily, 24 monthly, 5 yearly) per brand."""
     feats = brand_feats(spark, sf_dir)
     models = latest_models(spark, sf_dir, feats=feats)
-    return forecasts.live_rows(forecasts.standard_forecasts(models, feats))
+    live = forecasts.live_rows(forecasts.standard_forecasts(models, feats))
+    return live.select("category_id", "granularity", "forecast_date", "forecast_ts",
+                       F.expr(HOLD).alias("bounds_hold"))
 
 
-@register("delta_forecast")
+@register("delta_forecast", f"""
+SELECT category_id, granularity, CAST(ds AS DATE) AS forecast_date, TRUE AS bounds_hold
+FROM ({steps_sql(120, 30, 5)}) WHERE (granularity = 'daily' AND step > 90)
+   OR (granularity = 'monthly' AND step > 24) OR (granularity = 'yearly' AND step > 5)""")
 def q_delta_forecast(spark, sf_dir):
-    """Requests (30 points per brand and granularity) against a cache holding
-    the standard set; the gaps are forecast from the day after the last cached date."""
+    """Requests (120 daily, 30 monthly, 5 yearly points per brand) against a cache
+    holding the standard set; the gaps are forecast from the day after the last cached date."""
     feats = brand_feats(spark, sf_dir)
     models = latest_models(spark, sf_dir, feats=feats)
-    live = forecasts.live_rows(forecasts.standard_forecasts(models, feats))
+    # the cache's dates are all that the gaps need
+    live = forecasts.future_after(forecasts.granularity_frame(models.select("category_id", "ds_max"))) \
+        .select("category_id", "granularity", F.to_date("ds").alias("forecast_date"))
     req = (models.select("category_id").distinct()
            .select("category_id", F.explode(F.array(*[
                F.struct(F.lit(g).alias("granularity"), F.lit(n).alias("period"))
@@ -353,18 +507,23 @@ def q_delta_forecast(spark, sf_dir):
            .select(F.concat_ws(":", "category_id", "r.granularity").alias("request_id"),
                    "category_id", "r.granularity", "r.period"))
     gaps = reads.forecast_gaps(live, req)
-    return forecasts.delta_forecast(models, gaps, feats, TODAY)
+    return forecasts.delta_forecast(models, gaps, feats, TODAY).select(
+        "category_id", "granularity", "forecast_date", F.expr(HOLD).alias("bounds_hold"))
 
 
-@register("model_registry")
+@register("model_registry", f"""
+WITH f AS ({fit_shape_sql(TRAIN_SQL, f"SELECT category_id, COUNT(DISTINCT promotion_name) AS np FROM ({DAYS_SQL}) GROUP BY 1")})
+SELECT f.category_id, '20020101000000' AS version, TIMESTAMP '{AS_OF}' AS training_date_utc,
+       TRUE AS is_latest, f.n_coef, TRUE AS has_metrics,
+       '{{"training_data_points":' || CAST(s.n AS VARCHAR) || ',"data_start_date":"'
+         || strftime(ds_min, '%Y-%m-%d %H:%M:%S') || '","data_end_date":"'
+         || strftime(ds_max, '%Y-%m-%d %H:%M:%S') || '"}}' AS metadata
+FROM f JOIN ({STATS_SQL}) s USING (category_id)""")
 def q_model_registry(spark, sf_dir):
-    """Registry rows of a training run (parameters, metadata, metrics)."""
-    train = brand_train(spark, sf_dir)
-    feats = brand_feats(spark, sf_dir)
-    models = fit.fit_models(train, feats)
-    metrics = backtest.metrics_json(backtest.performance_metrics(
-        backtest.backtest_forecasts(train, feats)))
-    rows = forecasts.registry_rows(models, stats.training_metadata(train), metrics, AS_OF)
-    return rows.select("id", "category_id", "version", "training_date_utc", "is_latest",
-                       "metadata", F.length("backtesting_metrics").alias("metrics_chars"),
-                       F.size("params.beta").alias("n_coef"))
+    """Registry rows of a training run (one joint fit of the production and the
+    back-test models: parameters, metadata, metrics)."""
+    from .training import train_all
+    rows = train_all(brand_train(spark, sf_dir), brand_feats(spark, sf_dir), AS_OF)["registry"]
+    return rows.select("category_id", "version", "training_date_utc", "is_latest",
+                       F.size("params.beta").alias("n_coef"),
+                       (F.length("backtesting_metrics") > 2).alias("has_metrics"), "metadata")

@@ -53,9 +53,10 @@ REQUESTS_SQL = """
 """
 JOBS_SQL = """
   SELECT CAST(o_orderkey AS VARCHAR) AS job_id, o_orderpriority AS category_id,
-         CASE o_orderkey % 3 WHEN 0 THEN 'daily' WHEN 1 THEN 'monthly' ELSE 'yearly' END
-           AS granularity,
-         CAST(o_custkey % 30 + 1 AS INTEGER) AS period,
+         CASE WHEN o_orderkey % 11 = 0 THEN 'weekly' WHEN o_orderkey % 3 = 0 THEN 'daily'
+              WHEN o_orderkey % 3 = 1 THEN 'monthly' ELSE 'yearly' END AS granularity,
+         CASE WHEN o_custkey % 17 = 0 THEN NULL WHEN o_custkey % 13 = 0 THEN 0
+              ELSE CAST(o_custkey % 30 + 1 AS INTEGER) END AS period,
          CASE o_orderstatus WHEN 'F' THEN 'FAILED' WHEN 'O' THEN 'PENDING' ELSE 'SUCCESS' END
            AS status,
          CASE WHEN o_orderstatus = 'F' THEN 'downstream error' END AS error_message,
@@ -173,16 +174,16 @@ def q_forecast_history(spark, sf_dir):
 
 
 @register("forecast_history_nested", f"""
-SELECT model_version_id, COUNT(*) AS n_points,
+SELECT category_id, model_version_id, COUNT(*) AS n_points,
        string_agg(strftime(forecast_date, '%Y-%m-%d') || '=' || printf('%.4f', predicted_sales),
                   ';' ORDER BY forecast_date, predicted_sales) AS points
-FROM ({HIST_SQL}) WHERE category_id = '1-URGENT' GROUP BY 1""")
+FROM ({HIST_SQL}) GROUP BY 1, 2""")
 def q_forecast_history_nested(spark, sf_dir):
     """Versions with their nested, date-sorted points (rendered to text to compare)."""
     hist = historical_forecasts_from_orders(read_table(spark, sf_dir, "orders"))
-    nested = reads.forecast_history_nested(hist.where(F.col("category_id") == "1-URGENT"))
+    nested = reads.forecast_history_nested(hist)
     return nested.select(
-        "model_version_id", F.size("forecasts").cast("long").alias("n_points"),
+        "category_id", "model_version_id", F.size("forecasts").cast("long").alias("n_points"),
         F.concat_ws(";", F.transform("forecasts", lambda p: F.concat(
             F.date_format(p["forecast_date"], "yyyy-MM-dd"), F.lit("="),
             F.format_string("%.4f", p["predicted_sales"])))).alias("points"))
@@ -190,7 +191,7 @@ def q_forecast_history_nested(spark, sf_dir):
 
 @register("forecast_requests", f"""
 SELECT job_id, category_id, granularity, period,
-       (granularity IN ('daily', 'monthly', 'yearly') AND period > 0) AS valid
+       coalesce(granularity IN ('daily', 'monthly', 'yearly') AND period > 0, FALSE) AS valid
 FROM ({JOBS_SQL})""")
 def q_forecast_requests(spark, sf_dir):
     return reads.parse_requests(jobs_from_orders(read_table(spark, sf_dir, "orders")))

@@ -13,13 +13,14 @@ from .registry import register
 
 @register("stream_hourly", EV_HOURLY)
 def q_stream_hourly(spark, sf_dir):
-    """Events -> one JSON file per day -> Structured Streaming (watermark 2 h,
+    """Events -> several JSON files per day -> Structured Streaming (watermark 2 h,
     update mode, foreachBatch replace-upsert) -> the stream-owned table. Equals the batch
     roll-up because no message is later than the watermark."""
     src = scratch_path(spark, "sale-messages")
     lines = sales_lines_from_events(read_table(spark, sf_dir, "events"), as_text=True)
     (lines.withColumn("_day", F.substring("timestamp", 1, 10))
-     .repartition("_day").sortWithinPartitions("timestamp")
+     .repartition("_day", F.pmod(F.xxhash64("transaction_id"), F.lit(4)))
+     .sortWithinPartitions("_day", "timestamp")
      .write.mode("overwrite").partitionBy("_day").json(src))
     table = scratch_path(spark, "stream-fact")
     # One trigger over everything available: the file source orders files by write time,

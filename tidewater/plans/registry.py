@@ -7,17 +7,26 @@ give the same rows; keys without SQL are checked on row counts only.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import configure
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
 def register(key: str, sql: str | None = None):
+    """Registers a query. A registered query asks for the runtime settings of the package
+    (``session.configure``); the operators themselves leave the caller's session alone."""
     def deco(fn):
-        QUERIES[key] = fn
+        @functools.wraps(fn)
+        def run(spark, sf_dir):
+            return fn(configure(spark), sf_dir)
+
+        QUERIES[key] = run
         if sql is not None:
             ORACLE_SQL[key] = sql.strip()
         return fn

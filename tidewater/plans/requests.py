@@ -1,7 +1,7 @@
 """E3 — answer a batch of forecast requests from the cache, filling gaps.
 
-    requests (category, granularity, period) -> cache hit or miss (forecast_gaps)
-    -> delta forecasts for the misses from the day after the last cached date
+    requests (id, category, granularity, period) -> cache hit or miss (forecast_gaps)
+    -> one delta forecast per missed (category, granularity) from the day after the last cached date
     -> all-or-nothing append to the live table (no key may collide) -> new snapshot.
 The job queue itself (claim, poll, cancel) is not rebuilt; the batch is a DataFrame.
 """
@@ -25,4 +25,5 @@ def answer_requests(spark: SparkSession, requests: DataFrame, models: DataFrame,
     if not dups.isEmpty():
         raise ValueError("delta forecasts collide with cached keys; nothing written")
     snap = store.write_snapshot(merged, live_path) if not delta.isEmpty() else None
-    return {"gaps": gaps, "delta": delta, "snapshot": snap}
+    return {"gaps": gaps, "delta": delta, "snapshot": snap,
+            "outcomes": forecasts.request_outcomes(gaps, models)}

@@ -52,16 +52,26 @@ def latest_versions(spark: SparkSession, registry_path: str) -> DataFrame:
 def refresh_cache(spark: SparkSession, models: DataFrame, model_ids: DataFrame,
                   promo_feats: DataFrame, live_path: str, history_path: str, as_of) -> int:
     """Archive the current live table, then publish a new live snapshot in which
-    categories with a new forecast are replaced. Returns the new snapshot id."""
+    categories with a new forecast are replaced. Returns the new snapshot id.
+
+    The archive rows are stored per live snapshot that they copy (``from=<snapshot>``), so a
+    retry after a crash between the two writes replaces them instead of archiving twice."""
     m = models.where(F.col("status") == "OK").join(model_ids, "category_id")
     fresh = forecasts.live_rows(forecasts.standard_forecasts(m, promo_feats))
     old = store.read_current(spark, live_path, LIVE_FORECAST)
-    store.append(forecasts.archive_forecasts(old, as_of), history_path)
+    ids = store.snapshot_ids(spark, live_path)
+    archived = forecasts.archive_forecasts(old, as_of)
+    archived.write.mode("overwrite").parquet(f"{history_path}/from={ids[-1] if ids else 0}")
     return store.write_snapshot(forecasts.refreshed_live(old, fresh), live_path)
 
 
+def read_history(spark: SparkSession, history_path: str) -> DataFrame:
+    """All archived forecasts."""
+    return spark.read.parquet(history_path).drop("from")
+
+
 def record_performance(spark: SparkSession, history_path: str, fact: DataFrame,
                        performance_path: str) -> None:
     """Score archived forecasts against the fact and append the metrics."""
-    store.append(forecasts.performance_rows(spark.read.parquet(history_path), fact),
+    store.append(forecasts.performance_rows(read_history(spark, history_path), fact),
                  performance_path)

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
-# Money is exact: sums do not depend on row order or partitioning.
-PRICE = T.DecimalType(20, 8)
-MONEY = T.DecimalType(38, 8)
+# Money is exact: sums do not depend on row order or partitioning. A price holds 14 digits
+# before and 12 after the point and a quantity 11 digits, so their product fits 38 digits
+# without rounding; lines beyond that are reported, not dropped silently.
+PRICE = T.DecimalType(26, 12)
+QUANTITY = T.DecimalType(11, 0)
+MONEY = T.DecimalType(38, 12)
 
 # Raw sale line as it arrives in a CSV file or a stream message: everything is text, and
 # the cleaning step decides what is a valid number or stamp.
@@ -18,10 +21,10 @@ CLEAN_SALE = T.StructType([
     T.StructField("transaction_id", T.StringType()),
     T.StructField("product_id", T.StringType()),
     T.StructField("category_id", T.StringType()),
-    T.StructField("quantity", T.IntegerType()),
+    T.StructField("quantity", T.LongType()),
     T.StructField("price_per_unit", PRICE),
     T.StructField("ts", T.TimestampNTZType()),
-    T.StructField("revenue", T.DecimalType(31, 8)),
+    T.StructField("revenue", MONEY),
 ])
 
 HOURLY_FACT = T.StructType([
@@ -77,6 +80,7 @@ LIVE_FORECAST = T.StructType([
     T.StructField("lower_bound", T.DoubleType()),
     T.StructField("upper_bound", T.DoubleType()),
     T.StructField("granularity", T.StringType()),
+    T.StructField("forecast_ts", T.TimestampNTZType()),
 ])
 
 REQUEST_PARAMS = "granularity string, count int"

@@ -27,6 +27,8 @@ def read_csv_file(spark: SparkSession, path: str, columns: list[str]) -> DataFra
     return (spark.read.schema(schema).option("header", "true")
             .option("enforceSchema", "true").option("mode", "PERMISSIVE")
             .option("columnNameOfCorruptRecord", CORRUPT).option("escape", '"')
+            # an empty field is an empty text, not a missing one
+            .option("nullValue", "\u0001").option("emptyValue", "")
             .csv(path))
 
 

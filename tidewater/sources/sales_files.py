@@ -1,21 +1,31 @@
-"""Sales CSV files: listing, positional scan and per-file quality.
+"""Sales CSV files: listing, records and per-file quality.
 
-A file is the unit of atomicity: a malformed record (wrong field count, stray quote) fails
-the whole file, a bad *value* drops only its row. Spark reads every file of a directory in
-one scan; ``_metadata.file_name`` keeps the file of each line, so per-file status is an
-aggregate and not a loop over files.
+A file is the unit of atomicity: a malformed record (a field count that differs from the
+header's, a stray quote) fails the whole file, a bad *value* drops only its row. All files are
+read in one scan of text lines; a line that is a whole record by itself is split with column
+expressions. Only files with a line that is not (a quoted line break, or bad quoting) are read
+again as whole files by a small strict reader.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..schemas import RAW_SALE_COLUMNS
+from ..util import ship_package
 
 CORRUPT = "_corrupt_record"
 
+# One field of a record: quoted with doubled quotes inside, or free of quotes and commas.
+FIELD = r'"(?:[^"]|"")*"|[^",]*'
+WHOLE_RECORD = rf"^(?:{FIELD})(?:,(?:{FIELD}))*$"
+NEXT_FIELD = rf",({FIELD})"
+
 
 def _scan_schema(width: int) -> T.StructType:
     cols = RAW_SALE_COLUMNS + [f"_extra_{i}" for i in range(max(width - 6, 0))]
@@ -24,15 +34,126 @@ def _scan_schema(width: int) -> T.StructType:
 
 
 def list_sales_files(spark: SparkSession, directory: str) -> DataFrame:
-    """``*.csv`` files directly in ``directory`` (not recursive), with mtime."""
-    files = (spark.read.format("binaryFile")
-             .option("pathGlobFilter", "*.csv")
-             .option("recursiveFileLookup", "false")
-             .load(directory)
-             .select(F.col("path"), F.col("modificationTime").alias("modification_time"),
-                     F.col("length")))
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("file_name"),
-                        "path", "modification_time", "length")
+    """``*.csv`` files directly in ``directory`` (not recursive), with mtime; empty
+    files too. A folder ``_file=<name>`` with one written part counts as ``<name>.csv``.
+
+    The listing is the file system's own, as Spark's file index keeps it on the driver for
+    any scan of the folder."""
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(directory)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    rows = []
+    for pattern, named in (("*.csv", False), ("_file=*/*.csv", True)):
+        for st in fs.globStatus(jvm.org.apache.hadoop.fs.Path(root, pattern)) or []:
+            if st.isFile():
+                path = st.getPath()
+                name = path.getParent().getName()[6:] + ".csv" if named else path.getName()
+                rows.append((name, path.toString(), st.getModificationTime(), st.getLen()))
+    return spark.createDataFrame(rows, "file_name string, path string, ms long, length long") \
+        .select("file_name", "path", F.timestamp_millis("ms").alias("modification_time"), "length")
+
+
+def file_key(path: Column) -> Column:
+    """The name that a file's path is known by (see ``list_sales_files``)."""
+    named = F.regexp_extract(path, r"/_file=([^/]*)/[^/]*$", 1)
+    return F.when(named != "", F.concat(named, F.lit(".csv"))).otherwise(
+        F.element_at(F.split(path, "/"), -1))
+
+
+def split_record(line: Column) -> Column:
+    """Fields of a line that is a whole record; doubled quotes inside quotes become one."""
+    quoted = F.transform(
+        F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(NEXT_FIELD), F.lit(1)),
+        lambda f: F.when(f.startswith('"'), F.replace(
+            F.substring(f, F.lit(2), F.length(f) - 2), F.lit('""'), F.lit('"'))).otherwise(f))
+    return F.when(line.contains('"'), quoted).otherwise(F.split(line, ",", -1))
+
+
+def read_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """One scan of all files: file_name, place (block, number: ordered inside a file), whole
+    (the line is a record by itself), fields. Blank lines are skipped."""
+    lines = spark.read.text(paths).select(
+        "value", file_key(F.col("_metadata.file_path")).alias("file_name"),
+        F.struct(F.col("_metadata.file_block_start").alias("block"),
+                 F.monotonically_increasing_id().alias("number")).alias("place"))
+    line = F.col("value")
+    whole = ~line.contains('"') | line.rlike(WHOLE_RECORD)
+    return lines.where(line != "").select(
+        "file_name", "place", whole.alias("whole"),
+        F.when(whole, split_record(line)).alias("fields"))
+
+
+def strict_records(text: str) -> list[list[str]]:
+    """Records of a whole file; raises ValueError on bad quoting. Quoted line breaks belong to
+    the field, blank lines are skipped, a carriage return before a line feed is dropped."""
+    text = text.replace("\r\n", "\n")
+    records, at, n = [], 0, len(text)
+    while at < n:
+        if text[at] == "\n":
+            at += 1
+            continue
+        record = []
+        while True:
+            if at < n and text[at] == '"':
+                parts, at = [], at + 1
+                while True:
+                    end = text.find('"', at)
+                    if end < 0:
+                        raise ValueError("quote without an end")
+                    parts.append(text[at:end])
+                    at = end + 1
+                    if not text.startswith('"', at):
+                        break
+                    parts.append('"')
+                    at += 1
+                if at < n and text[at] not in ",\n":
+                    raise ValueError("text after a closing quote")
+                record.append("".join(parts))
+            else:
+                ends = [e for e in (text.find(",", at), text.find("\n", at)) if e >= 0]
+                end = min(ends, default=n)
+                if '"' in text[at:end]:
+                    raise ValueError("quote inside a plain field")
+                record.append(text[at:end])
+                at = end
+            if at < n and text[at] == ",":
+                at += 1
+                continue
+            at += 1
+            break
+        records.append(record)
+    return records
+
+
+def read_whole(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Records of the given files, each read as a whole: the columns of ``read_lines``; a file
+    with bad quoting has one row that is not ``whole``."""
+    ship_package(spark)
+    files = spark.read.text(paths, wholetext=True).select(
+        file_key(F.col("_metadata.file_path")).alias("file_name"), "value")
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                try:
+                    records, ok = strict_records(text), True
+                except ValueError:
+                    records, ok = [None], False
+                yield pa.RecordBatch.from_pydict({
+                    "file_name": pa.array([name] * len(records), pa.string()),
+                    "number": pa.array(range(len(records)), pa.int64()),
+                    "whole": pa.array([ok] * len(records), pa.bool_()),
+                    "fields": pa.array(records, pa.list_(pa.string()))})
+
+    got = files.mapInArrow(run, "file_name string, number long, whole boolean, fields array<string>")
+    return got.select("file_name", F.struct(F.lit(0).cast("long").alias("block"), "number")
+                      .alias("place"), "whole", "fields")
+
+
+def header_width(header: Column) -> Column:
+    """Field count of a header line (quoted commas count as text)."""
+    return F.when(~header.contains('"') | header.rlike(WHOLE_RECORD),
+                  F.size(split_record(header)))
 
 
 def header_widths(spark: SparkSession, paths: list[str] | str) -> DataFrame:
@@ -44,12 +165,12 @@ def header_widths(spark: SparkSession, paths: list[str] | str) -> DataFrame:
     lines = (spark.read.option("pathGlobFilter", "*.csv").text(paths)
              .select("value", F.col("_metadata.file_path").alias("path"),
                      F.col("_metadata.file_block_start").alias("_block"))
-             .where(F.col("_block") == 0))
+             .where((F.col("_block") == 0) & (F.col("value") != "")))
     first = (lines.withColumn("_pos", F.monotonically_increasing_id())
              .groupBy("path")
              .agg(F.min_by("value", "_pos").alias("header")))
     return first.select(F.element_at(F.split("path", "/"), -1).alias("file_name"), "path",
-                        F.size(F.split("header", ",", -1)).alias("header_width"))
+                        header_width(F.col("header")).alias("header_width"))
 
 
 def scan_sales_csv(spark: SparkSession, paths: list[str] | str, width: int = 6,
@@ -70,45 +191,65 @@ def scan_sales_csv(spark: SparkSession, paths: list[str] | str, width: int = 6,
           .option("enforceSchema", "true")
           .option("mode", "PERMISSIVE")
           .option("columnNameOfCorruptRecord", CORRUPT)
-          .option("escape", '"')
+          .option("escape", '"').option("nullValue", "\u0001").option("emptyValue", "")
           .option("multiLine", str(multi_line).lower())
           .option("pathGlobFilter", "*.csv")
           .csv(paths))
     name = F.col("_metadata.file_name")
-    cols = [c for c in df.columns if c != "_day"]
-    if "_day" in df.columns:
-        name = F.concat(F.col("_day").cast("string"), F.lit(".csv"))
+    cols = [c for c in df.columns if c not in ("_day", "_file")]
+    for part in ("_day", "_file"):
+        if part in df.columns:
+            name = F.concat(F.col(part).cast("string"), F.lit(".csv"))
     return df.select(*cols, name.alias("file_name"),
                      F.col("_metadata.file_modification_time").alias("file_mtime"))
 
 
 def file_quality(scanned: DataFrame) -> DataFrame:
-    """Per-file status — FAILED when any record is malformed, else SUCCESS.
-
-    A raw value that still holds a double quote after CSV parsing means a stray or
-    unclosed quote (which Spark's reader accepts silently); it fails the file like the
-    reference's reader error does.
-    """
-    value_cols = [c for c in scanned.columns
-                  if c not in (CORRUPT, "file_name", "file_mtime")]
-    stray_quote = F.lit(False)
-    for c in value_cols:
-        stray_quote = stray_quote | F.coalesce(F.col(c).contains('"'), F.lit(False))
-    bad = F.col(CORRUPT).isNotNull() | stray_quote
-    return (scanned.groupBy("file_name")
-            .agg(F.count(F.lit(1)).alias("n_records"),
-                 F.sum(bad.cast("int")).alias("n_malformed"))
+    """Per-file status from records (``read_lines`` / ``read_whole``) — FAILED when any
+    record is malformed, else SUCCESS. The first record is the header: it sets the field count
+    and is not counted."""
+    per_width = (scanned.groupBy("file_name", F.size("fields").alias("width"), "whole")
+                 .agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("place")))
+    head = per_width.groupBy("file_name").agg(F.min_by("width", "place").alias("header"))
+    bad = ~F.col("whole") | (F.col("width") != F.col("header"))
+    return (per_width.join(head, "file_name").groupBy("file_name")
+            .agg((F.sum("n") - 1).alias("n_records"),
+                 F.coalesce(F.sum(F.when(bad, F.col("n"))), F.lit(0)).alias("n_malformed"))
             .select("file_name", "n_records", "n_malformed",
                     F.when(F.col("n_malformed") > 0, F.lit("FAILED"))
                     .otherwise(F.lit("SUCCESS")).alias("status")))
 
 
-def write_daily_sales_csv(raw_lines: DataFrame, directory: str) -> None:
-    """Write raw sale lines as one CSV file per day (the collector's layout, for tests and
-    for deriving file inputs from the driver tables). Output: ``<dir>/<day>.csv``."""
-    day = F.substring("timestamp", 1, 10)
-    (raw_lines.withColumn("_day", day)
-     .repartition("_day")
-     .sortWithinPartitions("_day", "transaction_id")
-     .write.mode("overwrite").partitionBy("_day")
+def read_records(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, list[str]]:
+    """Lines of all files, and the names of those that need the whole-file reader."""
+    lines = read_lines(spark, paths)
+    odd = [r.file_name for r in lines.where(~F.col("whole")).select("file_name").distinct()
+           .collect()]
+    return lines, odd
+
+
+def scan_quality(spark: SparkSession, directory: str) -> DataFrame:
+    """S1-S3 for a folder: outcome per listed file, with the whole-file reader where needed."""
+    listed = list_sales_files(spark, directory)
+    paths = {r.file_name: r.path for r in listed.select("file_name", "path").collect()}
+    lines, odd = read_records(spark, list(paths.values()))
+    if odd:
+        lines = lines.where(~F.col("file_name").isin(odd)).unionByName(
+            read_whole(spark, [paths[o] for o in odd]))
+    return (listed.select("file_name").join(file_quality(lines), "file_name", "left")
+            .select("file_name", F.coalesce("n_records", F.lit(0)).alias("n_records"),
+                    F.coalesce("n_malformed", F.lit(0)).alias("n_malformed"),
+                    F.coalesce("status", F.lit("FAILED")).alias("status")))
+
+
+def write_daily_sales_csv(raw_lines: DataFrame, directory: str, files_per_day: int = 4) -> None:
+    """Write raw sale lines as CSV files, several per day (for tests and for deriving file
+    inputs from the driver tables). Output: ``<dir>/_file=<day>-<k>/part-*.csv``, known as
+    ``<day>-<k>.csv``; lines of a day are dealt by the hash of their id."""
+    part = F.pmod(F.xxhash64("transaction_id"), F.lit(files_per_day))
+    (raw_lines.withColumn("_file", F.concat_ws("-", F.substring("timestamp", 1, 10),
+                                               part.cast("string")))
+     .repartition("_file")
+     .sortWithinPartitions("_file", "transaction_id")
+     .write.mode("overwrite").partitionBy("_file")
      .option("header", "true").csv(directory))

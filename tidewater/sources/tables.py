@@ -10,15 +10,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import configure
-
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem",
           "events", "documents", "embeddings", "pages", "benchmark", "labels",
           "conversations"]
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    configure(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
@@ -86,15 +83,17 @@ def categories_from_part(part: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- D. promotions from part
 def raw_promotions_from_part(part: DataFrame) -> DataFrame:
-    """Promotion rows as text, the CSV shape (FIXTURES D: every 40th part key)."""
+    """Promotion rows as text, the CSV shape (FIXTURES D): one per part; every 97th part
+    has an end date that is none, so its promotion is rejected."""
     k = F.col("p_partkey")
     slot = F.expr("p_partkey div 40")
     start = F.date_add(F.lit("1995-01-01").cast("date"), (k * 7 % 2400).cast("int"))
-    return part.where(k % 40 == 0).select(
+    return part.select(
         F.concat(F.lit("PROMO_"), k.cast("string")).alias("promotion_id"),
         F.concat(F.lit("promo "), (slot % 6).cast("string")).alias("promotion_name"),
         F.date_format(start, "yyyy-MM-dd").alias("start_date"),
-        F.date_format(F.date_add(start, 5), "yyyy-MM-dd").alias("end_date"),
+        F.when(k % 97 == 0, F.lit("no end")).otherwise(
+            F.date_format(F.date_add(start, 5), "yyyy-MM-dd")).alias("end_date"),
         (F.lit(10) + F.lit(5) * (slot % 5)).cast("string").alias("discount_percentage"),
         F.when(k % 80 == 0, F.lit("category")).otherwise(F.lit("product")).alias("target_type"),
         F.when(k % 80 == 0, F.col("p_brand")).otherwise(k.cast("string")).alias("target_id"),
@@ -128,9 +127,12 @@ def listing_from_orders(orders: DataFrame) -> DataFrame:
 
 def jobs_from_orders(orders: DataFrame) -> DataFrame:
     """Forecast request jobs (async queue rows) with JSON request parameters."""
-    gran = F.element_at(F.array(*[F.lit(g) for g in ("daily", "monthly", "yearly")]),
-                        (F.col("o_orderkey") % 3 + 1).cast("int"))
-    count = (F.col("o_custkey") % 30 + 1).cast("int")
+    gran = F.when(F.col("o_orderkey") % 11 == 0, F.lit("weekly")).otherwise(
+        F.element_at(F.array(*[F.lit(g) for g in ("daily", "monthly", "yearly")]),
+                     (F.col("o_orderkey") % 3 + 1).cast("int")))
+    # every 13th customer asks for no points, every 17th leaves the number out
+    count = F.when(F.col("o_custkey") % 17 != 0, F.when(F.col("o_custkey") % 13 == 0, F.lit(0))
+                   .otherwise((F.col("o_custkey") % 30 + 1).cast("int")))
     status = _status()
     return orders.select(
         F.col("o_orderkey").cast("string").alias("job_id"),

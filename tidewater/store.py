@@ -12,6 +12,8 @@ Append-only tables (ledger, registry, history) are plain parquet appends.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,8 +48,9 @@ def write_file_deltas(per_file: DataFrame, fact_path: str) -> None:
 
 def read_fact(spark: SparkSession, fact_path: str, start=None, end=None) -> DataFrame:
     """The fact: sum of the per-file deltas per (hour, category) (A2), optionally for
-    ``start <= time < end`` (pushed to the parquet scan)."""
-    deltas = spark.read.parquet(fact_path)
+    ``start <= time < end`` (pushed to the parquet scan). Rows without a stamp only mark that
+    a file was loaded."""
+    deltas = spark.read.parquet(fact_path).where(F.col("time").isNotNull())
     if start is not None:
         deltas = deltas.where(F.col("time") >= F.lit(start).cast("timestamp_ntz"))
     if end is not None:
@@ -58,32 +61,76 @@ def read_fact(spark: SparkSession, fact_path: str, start=None, end=None) -> Data
 
 
 # ------------------------------------------------------------------------------ snapshots
-def snapshot_ids(spark: SparkSession, table_path: str) -> list[int]:
+def _snapshots(spark: SparkSession, table_path: str) -> list[str]:
+    """Names of the complete snapshots, oldest first."""
     jvm, p, fs = _fs(spark, table_path)
     if not fs.exists(p):
         return []
-    ids = []
-    for st in fs.listStatus(p):
-        name = st.getPath().getName()
-        if name.startswith("snap=") and fs.exists(
-                jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
-            ids.append(int(name.split("=", 1)[1]))
-    return sorted(ids)
+    names = [st.getPath().getName() for st in fs.listStatus(p)
+             if st.getPath().getName().startswith("snap=") and fs.exists(
+                 jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS"))]
+    return sorted(names, key=lambda n: (int(n[5:].split("-")[0]), n))
+
+
+def snapshot_ids(spark: SparkSession, table_path: str) -> list[int]:
+    return [int(n[5:].split("-")[0]) for n in _snapshots(spark, table_path)]
+
+
+def _next(spark: SparkSession, table_path: str) -> tuple[int, str]:
+    """Number and folder of a new snapshot; the random suffix keeps two writers apart."""
+    ids = snapshot_ids(spark, table_path)
+    number = ids[-1] + 1 if ids else 1
+    return number, f"{table_path}/snap={number}-{uuid.uuid4().hex[:12]}"
 
 
 def write_snapshot(df: DataFrame, table_path: str) -> int:
-    """Write ``df`` as the next snapshot; it becomes current once complete."""
-    ids = snapshot_ids(df.sparkSession, table_path)
-    nxt = (ids[-1] + 1) if ids else 1
-    df.write.mode("overwrite").parquet(f"{table_path}/snap={nxt}")
-    return nxt
+    """Write ``df`` as the next snapshot; it becomes current once complete. Of two writers at
+    once both write their own folder and readers agree on one of them."""
+    number, path = _next(df.sparkSession, table_path)
+    df.write.parquet(path)
+    return number
+
+
+def write_group(tables: dict[str, DataFrame], root: str) -> int:
+    """Write several tables as one snapshot of ``root``: all of them become current together,
+    when the marker file is created last."""
+    spark = next(iter(tables.values())).sparkSession
+    number, path = _next(spark, root)
+    for name, df in tables.items():
+        df.write.parquet(f"{path}/{name}")
+    _, marker, fs = _fs(spark, f"{path}/_SUCCESS")
+    fs.create(marker, False).close()
+    return number
 
 
 def read_current(spark: SparkSession, table_path: str, schema=None) -> DataFrame | None:
-    ids = snapshot_ids(spark, table_path)
-    if not ids:
+    names = _snapshots(spark, table_path)
+    if not names:
+        return spark.createDataFrame([], schema) if schema is not None else None
+    return spark.read.parquet(f"{table_path}/{names[-1]}")
+
+
+def read_group(spark: SparkSession, root: str, name: str, schema=None) -> DataFrame | None:
+    """One table of the current snapshot that ``write_group`` wrote."""
+    names = _snapshots(spark, root)
+    if not names:
         return spark.createDataFrame([], schema) if schema is not None else None
-    return spark.read.parquet(f"{table_path}/snap={ids[-1]}")
+    return spark.read.parquet(f"{root}/{names[-1]}/{name}")
+
+
+def read_group_history(spark: SparkSession, root: str, name: str, schema) -> DataFrame:
+    """All rows that the snapshots of ``root`` hold in one of their tables."""
+    names = _snapshots(spark, root)
+    if not names:
+        return spark.createDataFrame([], schema)
+    return spark.read.parquet(*[f"{root}/{n}/{name}" for n in names])
+
+
+def drop_old_snapshots(spark: SparkSession, table_path: str, keep: int = 2) -> None:
+    """Removes all but the newest ``keep`` complete snapshots (readers may hold the last ones)."""
+    for name in _snapshots(spark, table_path)[:-keep]:
+        _, p, fs = _fs(spark, f"{table_path}/{name}")
+        fs.delete(p, True)
 
 
 # ------------------------------------------------------------------------------- appends

@@ -28,8 +28,10 @@ def read_sale_messages(spark: SparkSession, source: str, fmt: str = "json",
     """A stream of raw sale lines. ``fmt='json'`` reads JSON-lines files from a folder;
     ``fmt='kafka'`` reads the topic (needs the Kafka connector on the classpath)."""
     if fmt == "kafka":
+        if not kafka_servers:
+            raise ValueError("kafka_servers is needed for the Kafka source")
         msgs = (spark.readStream.format("kafka")
-                .option("kafka.bootstrap.servers", kafka_servers or "")
+                .option("kafka.bootstrap.servers", kafka_servers)
                 .option("subscribe", source).load()
                 .select(F.col("value").cast("string").alias("json")))
         return msgs.select(F.from_json("json", RAW_SALE).alias("m")).select("m.*")
@@ -53,40 +55,15 @@ def stream_hourly(raw_stream: DataFrame, watermark: str = "2 hours") -> DataFram
 
 
 def upsert_batch(table_path: str):
-    """``foreachBatch`` sink — replace the changed (hour, category) rows.
-
-    The stream-owned table is partitioned by day. A micro-batch touches the days of its
-    changed windows only (at most a few, by the watermark): their current rows are read
-    with partition pruning and cut from lineage (checkpoint), the changed keys are
-    replaced, and just those day partitions are rewritten with dynamic partition
-    overwrite. Work per batch is bounded by the changed days, not the table; a replayed
-    batch rewrites the same days with the same rows (idempotent)."""
-    from ..util import materialize
+    """``foreachBatch`` sink — each micro-batch writes its changed (hour, category) totals
+    to a folder of its own, ``batch=<id>``; readers take the row of the latest batch per key.
 
+    Update mode emits full totals, so the latest one is right. Nothing that an earlier batch
+    wrote is touched: a crash in the middle of a write can lose only the folder of the batch
+    that Spark will replay, and a replay overwrites that folder with the same rows."""
     def _apply(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        cols = ["time", "category_id", "total_sales", "total_quantity"]
-        # The batch is read twice (its days, then the merge): persist it, as foreachBatch
-        # sinks do — a lost block is recomputed from the replayable source offsets.
-        changed = batch.select(*cols).withColumn("day", F.to_date("time")).persist()
-        try:
-            days = [r.day for r in changed.select("day").distinct().collect()]
-            if not days:
-                return
-            merged = changed
-            if _exists(spark, table_path):
-                prev = (spark.read.parquet(table_path)
-                        .where(F.col("day").isin(days))
-                        .join(changed.select("time", "category_id"), ["time", "category_id"],
-                              "left_anti"))
-                # Written copy: the rows read from the partitions about to be overwritten
-                # must not be recomputed from them during the write.
-                merged = materialize(prev.select(*cols, "day").unionByName(changed))
-            (merged.repartition("day").write.mode("overwrite")
-             .option("partitionOverwriteMode", "dynamic").partitionBy("day")
-             .parquet(table_path))
-        finally:
-            changed.unpersist()
+        (batch.select("time", "category_id", "total_sales", "total_quantity")
+         .write.mode("overwrite").parquet(f"{table_path}/batch={batch_id}"))
     return _apply
 
 
@@ -98,11 +75,26 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 
 def read_stream_table(spark: SparkSession, table_path: str):
-    """The stream-owned hourly table (or None before the first batch)."""
+    """The stream-owned hourly table (or None before the first batch): per (hour, category) the
+    totals of the latest complete batch that changed it."""
     if not _exists(spark, table_path):
         return None
-    return spark.read.parquet(table_path).select("time", "category_id", "total_sales",
-                                                 "total_quantity")
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(table_path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    done = [st.getPath().toString() for st in fs.listStatus(p) if fs.exists(
+        jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS"))]
+    if not done:
+        return None
+    rows = spark.read.option("basePath", table_path).parquet(*done)
+    latest = F.max_by(F.struct("total_sales", "total_quantity"), "batch").alias("v")
+    return (rows.groupBy("time", "category_id").agg(latest)
+            .select("time", "category_id", "v.total_sales", "v.total_quantity"))
+
+
+def compact_stream_table(spark: SparkSession, table_path: str, target: str) -> None:
+    """Writes the current totals as one batch folder of a new table (run between streams)."""
+    read_stream_table(spark, table_path).write.parquet(f"{target}/batch=-1")
 
 
 def run_stream_to_table(spark: SparkSession, source: str, table_path: str,

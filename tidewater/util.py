@@ -1,5 +1,5 @@
-"""Small helpers shared by the operators: checked broadcasts and shipping the package to
-executors for the few Arrow/pandas steps."""
+"""Small helpers shared by the operators: lineage cuts and shipping the package to executors
+for the few Arrow/pandas steps."""
 
 from __future__ import annotations
 
@@ -8,23 +8,9 @@ import os
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from .session import checkpoint_root
 
-# Largest number of rows a side may have to be broadcast on purpose. Sides that are
-# bounded by model size (fits, cutoffs, promotion days) sit far below it; anything larger
-# goes through a shuffle join instead.
-BROADCAST_MAX_ROWS = 2_000_000
-
-
-def sized_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast ``df`` only when a count proves it small; otherwise leave it to a
-    shuffle join. Use on derived tables whose size is bounded by the model, not data."""
-    n = df.count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
 def materialize(df: DataFrame) -> DataFrame:
     """Cut lineage: write ``df`` to the shared checkpoint folder (``spark.checkpoint.dir``)
     and continue from the written copy. Reliable checkpoints survive executor loss; used at
