@@ -161,9 +161,11 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = EPOCHS,
             x = np.repeat(value, np.diff(off))
             doc = np.repeat(np.arange(len(pick)), np.diff(off))
             used, place = np.unique(idx, return_inverse=True)
-            d_lin = np.bincount(place, err[doc] * x, len(used)) + decay * model.linear[used]
+            d_lin = np.bincount(place, err[doc] * x, len(used)).astype(float) \
+                + decay * model.linear[used]
             pull = err[doc, None] * (x[:, None] * s[doc] - (x * x)[:, None] * model.factors[idx])
-            d_fac = np.stack([np.bincount(place, pull[:, f], len(used)) for f in range(rank)], 1)
+            d_fac = np.stack([np.bincount(place, pull[:, f], len(used)) for f in range(rank)],
+                             1).astype(float)
             d_fac += decay * model.factors[used]
             own = slice(BUCKETS, None)
             d_lin_s = dense.T @ err + decay * model.linear[own]
