@@ -101,13 +101,53 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fm.score(docs, fm.fit(docs, table(spark, sf_dir, "labels")))
 
 
-@register("op4_near_duplicates")
+OP4_SQL = r"""
+WITH RECURSIVE t AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+sh AS (SELECT DISTINCT doc_id, array_to_string(list_slice(ws, i, i + 3), ' ') AS g
+       FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 2, 2))) AS i FROM t
+             WHERE len(ws) > 0)),
+n AS (SELECT doc_id, COUNT(*) AS n FROM sh GROUP BY 1),
+cm AS (SELECT a.doc_id AS a, b.doc_id AS b, COUNT(*) AS c FROM sh a JOIN sh b USING (g)
+         WHERE a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM cm JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b
+          WHERE 100 * c >= 80 * (x.n + y.n - c)),
+reach AS (SELECT doc_id AS a, doc_id AS r FROM t
+          UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.r = links.a)
+SELECT t.doc_id, coalesce(n.n, 0) AS n_shingles, m.component_id, t.doc_id = m.component_id AS kept
+FROM t JOIN (SELECT a, min(r) AS component_id FROM reach GROUP BY 1) m ON m.a = t.doc_id
+LEFT JOIN n ON n.doc_id = t.doc_id
+"""
+
+
+@register("op4_near_duplicates", OP4_SQL)
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import minhash
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4)
 
 
-@register("op5_substring_dedup")
+OP5_SQL = r"""
+WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(
+             coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+p AS (SELECT doc_id, i, array_to_string(list_slice(ws, i, i + 12), ' ') AS g
+      FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM t WHERE len(ws) >= 13)),
+f AS (SELECT g, min(doc_id) AS d FROM p GROUP BY 1),
+gone AS (SELECT DISTINCT doc_id, i + k AS j FROM p JOIN f USING (g), range(0, 13) AS x(k)
+         WHERE f.d < p.doc_id),
+w AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS j FROM t),
+kept AS (SELECT w.doc_id, string_agg(word, ' ' ORDER BY w.j) AS txt, COUNT(*) AS n
+         FROM w LEFT JOIN gone ON gone.doc_id = w.doc_id AND gone.j = w.j
+         WHERE gone.j IS NULL GROUP BY 1)
+SELECT t.doc_id, CAST(len(ws) AS BIGINT) AS n_words,
+       CAST(len(ws) - coalesce(kept.n, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(kept.txt, '')) AS kept_sha256
+FROM t LEFT JOIN kept USING (doc_id)
+"""
+
+
+@register("op5_substring_dedup", OP5_SQL)
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import substrings
     return substrings.repeated_words(table(spark, sf_dir, "documents"))
