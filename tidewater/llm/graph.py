@@ -12,12 +12,23 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     """Writes a table to the shared checkpoint folder once and goes on from the files."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    out = df.sparkSession.read.parquet(path)
+    out.settled_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes written tables that nothing reads any more: all that was made from them has been
+    written in turn."""
+    for df in tables:
+        path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(df.settled_at)
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def components(links: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     """Union-find over links (a, b): returns (node, comp) with the smallest reachable node, for
-    every node that has a link (or is in ``labels``, an earlier result to go on from).
+    every node that has a link (or is in ``labels``, an earlier result to go on from). The
+    result is a written table, and the only one that stays.
 
     Each round contracts the graph: links between different labels hook the larger label to
     the smallest one it touches, then pointers are halved until every label is a root."""
@@ -35,14 +46,18 @@ def components(links: DataFrame, labels: DataFrame | None = None) -> DataFrame:
         hooks = settle(ends.select(F.greatest("ca", "cb").alias("hi"), F.least("ca", "cb").alias("lo"))
                        .groupBy("hi").agg(F.min("lo").alias("up")), "hooks")
         if hooks.isEmpty():
+            discard(hooks)
             return labels
         while True:
             above = hooks.select(F.col("hi").alias("up"), F.col("up").alias("top"))
             jumped = settle(hooks.join(above, "up", "left")
                             .select("hi", F.coalesce("top", "up").alias("up"),
                                     F.col("top").isNotNull().alias("moved")), "jumps")
-            hooks = jumped.select("hi", "up")
+            discard(hooks)
+            hooks = jumped
             if jumped.where("moved").isEmpty():
                 break
-        labels = settle(labels.join(hooks.withColumnRenamed("hi", "comp"), "comp", "left")
-                        .select("node", F.coalesce("up", "comp").alias("comp")), "labels")
+        new = settle(labels.join(hooks.select(F.col("hi").alias("comp"), "up"), "comp", "left")
+                     .select("node", F.coalesce("up", "comp").alias("comp")), "labels")
+        discard(labels, hooks)
+        labels = new

@@ -7,15 +7,14 @@
 2. Equal sets are one class, represented by the smallest id; copies are never paired.
 3. Classes that share a band of the signature meet in buckets. First every class is checked
    against the smallest class it meets; then, only in buckets that still hold several
-   components, members of the smaller ones are compared by signature with all others (in
-   blocks) and the best of the plausible pairs are confirmed, until none is left untested.
+   components, members of the smaller ones are compared with all others, in blocks and without
+   making a row of a pair.
 4. A link is confirmed on the full sets (intersection and union of shingle hashes), links are
    grouped by union-find.
 
 Two stages may miss a link: a pair at the threshold shares no band with probability
 (1 - s^4)^32, 5e-8 at 0.8, and a signature estimate below ``PLAUSIBLE`` (over five standard
-deviations). Nothing is capped: the number of pairs tried per class grows until all
-plausible ones are tested.
+deviations). Nothing is capped: all other pairs of different components are tested.
 
 Defined results: null, empty and blank texts have no shingles, link with nothing and stay;
 texts with fewer words than a shingle have one; repeated rows are one class; a row without id
@@ -32,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .graph import components, settle
+from .graph import components, discard, settle
 from .textkit import Words, batches, gram_hashes, inside, mix, prepare, words
 
 PLACES, BANDS = 128, 32
@@ -185,69 +184,107 @@ def _confirm(pairs: DataFrame, texts: DataFrame, n: int, num: int, den: int) ->
         run, "a long, b long, linked boolean")
 
 
-def _plausible(buckets: DataFrame, labels: DataFrame, small: DataFrame, most: int) -> DataFrame:
-    """(a, b, cut): pairs of different components that share a bucket and whose signatures
-    agree well enough; per left side the ``most`` best of a block, ``cut`` if there were more.
-
-    The left side is the member of the smaller component, the right one any member of the
-    bucket; both are dealt in blocks, so no bucket is one task's work."""
+def _open_buckets(buckets: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of the buckets that still hold several components (bucket, band, rep, comp, c: the
+    component's members in the bucket), and per bucket its main component and the number of
+    blocks for the others (na) and for all members (nb). Of buckets with the same members only
+    the one of the first band is kept."""
     rows = buckets.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(
-        "bucket", "rep", F.coalesce("comp", "rep").alias("comp"))
-    sizes = rows.groupBy("bucket", "comp").agg(F.count("*").alias("c"))
-    open_ = (sizes.groupBy("bucket").agg(F.sum("c").alias("members"), F.count("*").alias("comps"),
-                                         F.max(F.struct("c", "comp")).alias("top"))
-             .where("comps > 1")
-             .select("bucket", F.col("top.comp").alias("main"),
-                     F.ceil(F.col("members") / BLOCK).cast("int").alias("nb"),
-                     F.ceil((F.col("members") - F.col("top.c")) / BLOCK).cast("int").alias("na")))
-    dealt = (rows.join(open_, "bucket").join(sizes, ["bucket", "comp"]).join(small, "rep"))
-    own = lambda k: F.pmod(F.xxhash64("rep"), k).cast("int")
+        "bucket", "band", "rep", F.coalesce("comp", "rep").alias("comp"))
+    sizes = rows.groupBy("bucket", "band", "comp").agg(
+        F.count("*").alias("c"), F.bit_xor(F.xxhash64("rep")).alias("x"),
+        F.bit_xor(F.xxhash64("rep", F.lit(7))).alias("y"))
+    several = (sizes.groupBy("bucket", "band").agg(
+        F.sum("c").alias("members"), F.count("*").alias("comps"), F.bit_xor("x").alias("x"),
+        F.bit_xor("y").alias("y"), F.max(F.struct("c", "comp")).alias("top")).where("comps > 1"))
+    once = several.groupBy("members", "x", "y").agg(
+        F.min(F.struct("band", "bucket", "top")).alias("b"))
+    open_ = settle(once.select(
+        F.col("b.bucket").alias("bucket"), F.col("b.top.comp").alias("main"),
+        F.ceil(F.col("members") / BLOCK).cast("int").alias("nb"),
+        F.ceil((F.col("members") - F.col("b.top.c")) / BLOCK).cast("int").alias("na")),
+        "minhash-open")
+    return (rows.join(open_, "bucket").join(sizes.select("bucket", "comp", "c"), ["bucket", "comp"]),
+            open_)
+
+
+def _cross_links(dealt: DataFrame, own: DataFrame, texts: DataFrame, n: int, num: int,
+                 den: int) -> DataFrame:
+    """(a, b): confirmed links between components that share a bucket, from the rows of
+    ``_open_buckets``.
+
+    The members of all but the main component of a bucket are compared with every member, in
+    blocks of BLOCK rows, so no bucket is one task's work and no pair becomes a row: a pair is
+    judged in the first band that both share; one whose signatures agree in ``PLAUSIBLE`` of the
+    places is confirmed on the full sets at once, and per left side and component one link is
+    returned."""
+    dealt = dealt.join(own.select("rep", "small", "bands"), "rep").join(texts, "rep")
+    mine = lambda k: F.pmod(F.xxhash64("rep"), k).cast("int")
     part = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
+    cols = ["rep", "comp", "c", "band", "small", "bands", "size", "z"]
     left = dealt.where("comp <> main").select(
-        "bucket", own("na").alias("x"), part("nb").alias("y"), F.lit(0).alias("role"), "rep",
-        "comp", "c", "small")
-    right = dealt.select("bucket", part("na").alias("x"), own("nb").alias("y"),
-                         F.lit(1).alias("role"), "rep", "comp", "c", "small")
+        "bucket", mine("na").alias("x"), part("nb").alias("y"), F.lit(0).alias("role"), *cols)
+    right = dealt.select("bucket", part("na").alias("x"), mine("nb").alias("y"),
+                         F.lit(1).alias("role"), *cols)
     both = (left.unionByName(right).repartition("bucket", "x", "y")
             .sortWithinPartitions("bucket", "x", "y", "role"))
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = pa.Codec("zstd")
         held: list[dict] = []  # left sides of the current group
         key = None
         for batch in parts:
-            bucket, x, y = (batch.column(i).to_numpy() for i in range(3))
-            role, rep, comp, c = (batch.column(i).to_numpy() for i in range(3, 7))
-            sig = np.frombuffer(b"".join(batch.column(7).to_pylist()), np.uint8).reshape(-1, PLACES)
-            a, b, cut = [], [], []
+            group = [batch.column(i).to_numpy() for i in range(4)]
+            rep, comp, c, band = (batch.column(i).to_numpy() for i in range(4, 8))
+            sig = np.frombuffer(b"".join(batch.column(8).to_pylist()), np.uint8).reshape(-1, PLACES)
+            bands = np.asarray(batch.column(9).flatten()).reshape(-1, BANDS)
+            size, z = batch.column(10).to_pylist(), batch.column(11).to_pylist()
             change = np.ones(len(rep), bool)
-            change[1:] = ((bucket[1:] != bucket[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])
-                          | (role[1:] != role[:-1]))
+            change[1:] = np.logical_or.reduce([g[1:] != g[:-1] for g in group])
             bounds = np.append(np.flatnonzero(change), len(rep))
+            todo: list[tuple[dict, np.ndarray]] = []
             for i, j in zip(bounds[:-1], bounds[1:]):
-                now = (bucket[i], x[i], y[i])
+                now = tuple(g[i] for g in group[:3])
                 if now != key:
                     key, held = now, []
-                if role[i] == 0:
-                    held += [(rep[k], comp[k], c[k], sig[k]) for k in range(i, j)]
+                if group[3][i] == 0:
+                    held += [{"rep": rep[k], "comp": comp[k], "c": c[k], "sig": sig[k],
+                              "bands": bands[k], "size": size[k], "z": z[k]} for k in range(i, j)]
                     continue
-                for r, k_comp, k_c, s in held:
+                for one in held:
                     # each pair once: from the smaller component to the larger one
-                    up = (c[i:j] > k_c) | ((c[i:j] == k_c) & (comp[i:j] > k_comp))
-                    near = (sig[i:j] == s).mean(axis=1)
-                    hit = np.flatnonzero(up & (near >= PLAUSIBLE))
+                    up = (c[i:j] > one["c"]) | ((c[i:j] == one["c"]) & (comp[i:j] > one["comp"]))
+                    hit = i + np.flatnonzero(up)
+                    hit = hit[(sig[hit] == one["sig"]).mean(axis=1) >= PLAUSIBLE]
+                    before = bands[hit, :band[i]] == one["bands"][:band[i]]
+                    hit = hit[~before.any(axis=1)]
                     if len(hit):
-                        order = hit[np.lexsort((rep[i:j][hit], -near[hit]))]
-                        best = order[:most]
-                        a += [r] * len(best)
-                        b += rep[i:j][best].tolist()
-                        cut += [len(order) > most] * len(best)
-            yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()),
-                                              "b": pa.array(b, pa.int64()),
-                                              "cut": pa.array(cut, pa.bool_())})
-
-    pairs = both.select("bucket", "x", "y", "role", "rep", "comp", "c", "small").mapInArrow(
-        run, "a long, b long, cut boolean")
-    return pairs.groupBy("a", "b").agg(F.max("cut").alias("cut"))
+                        todo.append((one, hit))
+            a, b = [], []
+            if todo:
+                # sets of all rows that some pair needs, at once
+                need = np.unique(np.concatenate([h for _, h in todo]))
+                fresh = list({id(o): o for o, _ in todo if "set" not in o}.values())
+                raw = [codec.decompress(z[k], size[k], asbytes=True) for k in need.tolist()]
+                raw += [codec.decompress(o["z"], o["size"], asbytes=True) for o in fresh]
+                grams, off = shingles(words(pa.array(raw, pa.binary()).cast(pa.string())), n)
+                for k, o in enumerate(fresh):
+                    o["set"] = grams[off[len(need) + k]:off[len(need) + k + 1]]
+                for one, hit in todo:
+                    at = np.searchsorted(need, hit)
+                    count = off[at + 1] - off[at]
+                    ends = np.append(0, np.cumsum(count))
+                    flat = grams[np.repeat(off[at] - ends[:-1], count) + np.arange(ends[-1])]
+                    place = np.minimum(np.searchsorted(one["set"], flat), len(one["set"]) - 1)
+                    same = np.append(0, np.cumsum(one["set"][place] == flat))
+                    shared = same[ends[1:]] - same[ends[:-1]]
+                    ok = hit[den * shared >= num * (count + len(one["set"]) - shared)]
+                    _, first = np.unique(comp[ok], return_index=True)
+                    a += [one["rep"]] * len(first)
+                    b += rep[ok[first]].tolist()
+            yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return both.select("bucket", "x", "y", "role", *cols).mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -255,6 +292,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
 
     Documents are linked if 100 * |A n B| >= percent * |A u B| over shingles of ``shingle``
     words (A-Z in lower case)."""
+    return _grouped(docs, shingle, percent)[0]
+
+
+def _grouped(docs: DataFrame, shingle: int, percent: int) -> tuple[DataFrame, list[DataFrame]]:
+    """The result of ``near_duplicates`` and the written tables that it reads."""
     signed = settle(_signed(docs, shingle), "minhash-signed")
     known = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = known.groupBy("n_shingles", "h1", "h2").agg(F.min("doc_id").alias("rep"))
@@ -264,50 +306,41 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     reps = member.where("doc_id = rep").select("rep")
     own = settle(known.join(reps, known.doc_id == reps.rep).dropDuplicates(["rep"])
                  .select("rep", "small", "bands"), "minhash-reps")
-    rows = own.select("rep", F.posexplode("bands").alias("i", "h")).select(
-        "rep", F.xxhash64("i", "h").alias("bucket"))
+    rows = own.select("rep", F.posexplode("bands").alias("band", "h")).select(
+        "rep", "band", F.xxhash64("band", "h").alias("bucket"))
     shared = rows.groupBy("bucket").agg(F.min("rep").alias("hub"), F.max("rep").alias("last")).where(
         "hub < last")
-    buckets = settle(rows.join(shared, "bucket").select("bucket", "rep", "hub"), "minhash-buckets")
+    buckets = settle(rows.join(shared.select("bucket", "hub"), "bucket"), "minhash-buckets")
     active = buckets.select("rep").distinct()
     texts = settle(_texts(docs, active).dropDuplicates(["rep"]), "minhash-texts")
-    small = own.select("rep", "small")
 
     pairs = (buckets.where("hub < rep").groupBy(F.col("rep").alias("a"))
              .agg(F.min("hub").alias("b")))
-    done = settle(_confirm(pairs, texts, shingle, percent, 100), "minhash-confirmed")
-    labels = components(done.where("linked").select("a", "b"))
-    most = 4
-    while True:
-        found = settle(_plausible(buckets.select("bucket", "rep"), labels, small, most),
-                       "minhash-plausible")
-        fresh = settle(found.join(done.select("a", "b").union(done.select(
-            F.col("b").alias("a"), F.col("a").alias("b"))), ["a", "b"], "left_anti")
-            .select("a", "b"), "minhash-fresh")
-        if fresh.isEmpty():
-            if found.where("cut").isEmpty():
-                break
-            most *= 8  # all of these are tested, there are more
-            continue
-        checked = settle(_confirm(fresh, texts, shingle, percent, 100), "minhash-confirmed")
-        labels = components(checked.where("linked").select("a", "b"), labels)
-        done = done.union(checked)
-        most *= 2
+    first = settle(_confirm(pairs, texts, shingle, percent, 100).where("linked").select("a", "b"),
+                   "minhash-links")
+    labels = components(first)
+    dealt, open_ = _open_buckets(buckets, labels)
+    cross = settle(_cross_links(dealt, own, texts, shingle, percent, 100), "minhash-cross")
+    discard(member, own, buckets, texts, first, open_)
+    before, labels = labels, components(cross, labels)
+    discard(cross, before)
 
     named = (signed.select("doc_id", "n_shingles", "h1", "h2")
              .join(classes, ["n_shingles", "h1", "h2"], "left")
              .join(labels.withColumnRenamed("node", "rep"), "rep", "left"))
     comp = F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("comp", "rep", "doc_id"))
-    return named.select("doc_id", "n_shingles", comp.alias("component_id"),
-                        F.col("doc_id").eqNullSafe(comp).alias("kept"))
+    out = named.select("doc_id", "n_shingles", comp.alias("component_id"),
+                       F.col("doc_id").eqNullSafe(comp).alias("kept"))
+    return out, [signed, labels]
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """Documents that are the first of their group, all columns kept; of repeated rows of one
     id one stays, rows without id all stay."""
-    found = near_duplicates(docs, shingle, percent)
+    found, spent = _grouped(docs, shingle, percent)
     kept = settle(found.where("kept AND doc_id IS NOT NULL").groupBy("doc_id").agg(
         F.count("*").alias("_copies")), "minhash-kept")
+    discard(*spent)
     name = "_tw_copies"
     out = docs.join(kept.select("doc_id", F.col("_copies").alias(name)), "doc_id")
     if not kept.where("_copies > 1").isEmpty():
