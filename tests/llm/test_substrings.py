@@ -4,7 +4,9 @@ import hashlib
 import random
 import re
 
-from tidewater.llm import queries, substrings
+import pyarrow as pa
+
+from tidewater.llm import batchtable, queries, substrings
 
 SMOKE = "/root/testdata/sf0.001"
 
@@ -84,6 +86,58 @@ def test_edge_rows(spark):
     assert substrings.cut_repeats(docs.limit(0)).count() == 0
 
 
+def phrase(n, seed=11):
+    """Documents with one phrase of 12 words between words of their own, every fifth repeated."""
+    rng = random.Random(seed)
+    line = " ".join(f"licence{i}" for i in range(12))
+    own = lambda m: " ".join(f"v{rng.randrange(10 ** 6)}" for _ in range(m))
+    out = []
+    for k in range(n):
+        out.append((k, out[-1][1] if k % 5 == 4 else f"{own(rng.randint(0, 9))} {line} {own(9)}"))
+    rng.shuffle(out)
+    return out
+
+
+def test_hot_phrase_stays_right(spark, monkeypatch):
+    """Minimizers of few and of many occurrences, compared in both ways, in and across batches."""
+    for limit, size in ((0, 3000), (2, 3000), (20, 10 ** 6), (20, 3000)):
+        monkeypatch.setattr(substrings, "HOT_RUNS", limit, raising=False)
+        monkeypatch.setattr(batchtable, "TEXT_BYTES", size)
+        texts = phrase(150) + [(1000 + k, t) for k, t in sample(1, 400, 60)] + [(2000, "a " * 90)]
+        docs = spark.createDataFrame(texts, "doc_id long, text string")
+        hold(substrings.repeated_words(docs).collect(), brute(texts))
+
+
+def test_hot_phrase_is_spread():
+    """No shard gets the sequences of a phrase that stands in every document."""
+    n, texts = 64, phrase(6000)
+    batches = []
+    for k in range(0, len(texts), 500):
+        part = pa.RecordBatch.from_pydict({"doc_id": [i for i, _ in texts[k:k + 500]],
+                                           "text": [t for _, t in texts[k:k + 500]]})
+        batches.append({"batch": k, "docs": batchtable.dump(part)})
+
+    def send(make, reply, name):
+        shards = {}
+        for row in batches:
+            for shard, message in make(row):
+                shards.setdefault(shard, []).append((row, message))
+        for row in batches:
+            row[name] = []
+        for shard, got in shards.items() if reply else ():
+            for (row, _), r in zip(got, reply(shard, [m for _, m in got])):
+                if r is not None:
+                    row[name].append({"shard": shard, "message": r})
+        return [sum(sum(a.nbytes for a in batchtable.unpack(m)) for _, m in got)
+                for got in shards.values()]
+
+    first = substrings._shared
+    send(substrings._ask_minimizers(n, 13, 6),
+         first(substrings.HOT_RUNS) if hasattr(substrings, "HOT_RUNS") else first, "shared")
+    sizes = send(substrings._ask_windows(n, 13, 6), None, "marks")
+    assert max(sizes) < 0.1 * sum(sizes)
+
+
 def test_automaton():
     rng = random.Random(4)
     for _ in range(200):

@@ -11,7 +11,11 @@ smaller id. Equal windows have the same minimizer (the smallest hash among their
    sequences are one reference. Where a minimizer has several sequences, they are streamed in
    the order of their smallest id through a suffix automaton of the earlier ones: matching
    statistics of at least ``WINDOW`` words mark the windows that an earlier document has.
-3. Marks go back to the batches; overlapping windows form maximal spans, which are cut.
+3. A minimizer with more than ``HOT_RUNS`` occurrences (a phrase of many documents between
+   different words) is not compared in one place: its windows go out one by one, each to the
+   shard of the hash of all its words, as one entry per batch and distinct window with the
+   batch's smallest id. Equal windows meet there as well, and no shard holds the phrase.
+4. Marks go back to the batches; overlapping windows form maximal spans, which are cut.
 
 The automata are those of the shard's own references and live in the shard's task: they are not
 broadcast, because the references of a corpus grow with it.
@@ -38,7 +42,9 @@ from .textkit import Words, gram_hashes, inside, mix, words
 
 WINDOW = 13
 ANCHOR = 6
+HOT_RUNS = 1000
 _U = np.uint64
+_MULT = _U(0x9E3779B97F4A7C15)
 
 
 class SuffixAutomaton:
@@ -138,48 +144,89 @@ def _ask_minimizers(n: int, window: int, anchor: int):
         first = np.flatnonzero(new)
         last = np.append(first[1:], len(key)) - 1
         if len(key):
-            key, many = key[first], doc[first] != doc[last]
+            key, many, runs = key[first], doc[first] != doc[last], last - first + 1
+            # number of occurrences, and whether they are in several documents
+            seen = (np.minimum(runs, 0x7FFF) << 1 | many).astype(np.uint16)
             for shard, at in by_shard(key, n):
-                yield shard, pack(key[at], many[at])
+                yield shard, pack(key[at], seen[at])
 
     return make
 
 
-def _shared(_shard: int, messages: list[bytes]) -> list[bytes | None]:
-    """Which minimizers of each message occur in more than one document."""
-    parts = [unpack(m) for m in messages]
-    keys, count = np.unique(np.concatenate([p[0] for p in parts]), return_counts=True)
-    hit = count > 1
-    for key, many in parts:
-        hit[np.searchsorted(keys, key[many])] = True
-    flags = [hit[np.searchsorted(keys, p[0])] for p in parts]
-    return [pack(np.packbits(f)) if f.any() else None for f in flags]
+def _shared(limit: int):
+    """Reply: which minimizers of each message occur in more than one document, and which of
+    those have more than ``limit`` occurrences (left out where there are none)."""
+
+    def reply(_shard: int, messages: list[bytes]) -> list[bytes | None]:
+        parts = [unpack(m) for m in messages]
+        keys, place, count = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True,
+                                       return_counts=True)
+        seen = np.concatenate([p[1] for p in parts])
+        hit = count > 1
+        hit[place[seen & 1 > 0]] = True
+        hot = hit & (np.bincount(place, seen >> 1, len(keys)) > limit)
+        out = []
+        for at in np.split(place, np.cumsum([len(p[0]) for p in parts])[:-1]):
+            flags = [np.packbits(f[at]) for f in (hit, hot) if f[at].any()]
+            out.append(pack(*flags) if flags else None)
+        return out
+
+    return reply
 
 
-def _open_runs(row: dict, key: np.ndarray, n: int) -> np.ndarray:
-    """Flags of the runs whose minimizer is shared, from the shards' answers."""
+def _open_runs(row: dict, key: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Runs whose minimizer is shared and not hot, and those whose minimizer is hot, from the
+    shards' answers."""
     uniq = np.unique(key)
-    hit = np.zeros(len(uniq), bool)
+    flags = np.zeros((2, len(uniq)), bool)
     got = {a["shard"]: a["message"] for a in row["shared"] or []}
     for shard, at in by_shard(uniq, n):
         if shard in got:
-            hit[at] = np.unpackbits(unpack(got[shard])[0], count=len(at)).astype(bool)
-    return hit[np.searchsorted(uniq, key)] if len(uniq) else np.zeros(0, bool)
+            for flag, bits in zip(flags, unpack(got[shard])):
+                flag[at] = np.unpackbits(bits, count=len(at)).astype(bool)
+    hit, hot = flags[:, np.searchsorted(uniq, key)]
+    return np.flatnonzero(hit & ~hot), np.flatnonzero(hot)
+
+
+def _single_windows(h: np.ndarray, ids: np.ndarray, runs, own: np.ndarray, window: int):
+    """Windows of the runs ``own`` one by one: minimizer, hash and smallest id of each distinct
+    window of the batch, and of every window which of those it is, its id and its place."""
+    key, doc, start, count = (x[own] for x in runs)
+    at = np.repeat(start - np.cumsum(count) + count, count) + np.arange(int(count.sum()))
+    key, ids = np.repeat(key, count), np.repeat(ids[doc], count)
+    text = h[at]
+    for j in range(1, window):
+        text = mix(text * _MULT + h[at + j])
+    order = np.lexsort((ids, key, text))
+    new = np.ones(len(at), bool)
+    new[1:] = (np.diff(text[order]) != 0) | (np.diff(key[order]) != 0)
+    first, place = order[new], np.empty(len(at), np.int64)
+    place[order] = np.cumsum(new) - 1
+    return key[first], text[first], ids[first], place, ids, at
 
 
 def _ask_windows(n: int, window: int, anchor: int):
     def make(row: dict) -> Iterator[tuple[int, bytes]]:
-        _, _, h, ids, (key, doc, start, count) = _batch(row, window, anchor)
-        own = np.flatnonzero(_open_runs(row, key, n))
+        _, _, h, ids, runs = _batch(row, window, anchor)
+        own, hot = _open_runs(row, runs[0], n)
+        messages: dict[int, list[np.ndarray]] = dict(sequences(h, ids, runs, own))
+        if len(hot):
+            key, text, least, *_ = _single_windows(h, ids, runs, hot, window)
+            for shard, at in by_shard(text, n):
+                messages.setdefault(shard, []).extend([key[at], text[at], least[at]])
+        for shard, arrays in messages.items():
+            yield shard, pack(*arrays)
+
+    def sequences(h, ids, runs, own) -> Iterator[tuple[int, list[np.ndarray]]]:
         if not len(own):
             return
-        key, doc, start, count = key[own], doc[own], start[own], count[own]
+        key, doc, start, count = (x[own] for x in runs)
         size = count + window - 1
         # equal sequences of the batch are sent once
         prefix = np.zeros(len(own), _U)
         for j in range(int(size.max())):
             live = j < size
-            prefix[live] = mix(prefix[live] * _U(0x9E3779B97F4A7C15) + h[start[live] + j])
+            prefix[live] = mix(prefix[live] * _MULT + h[start[live] + j])
         for shard, at in by_shard(key, n):
             _, first, piece = np.unique(np.stack([key[at], prefix[at]], 1), axis=0,
                                         return_index=True, return_inverse=True)
@@ -187,18 +234,38 @@ def _ask_windows(n: int, window: int, anchor: int):
             index = np.repeat(start[some] - np.append(0, np.cumsum(size[some])[:-1]), size[some]) \
                 + np.arange(int(size[some].sum()))
             vocab, word = np.unique(h[index], return_inverse=True)
-            yield shard, pack(key[some], prefix[some], size[some].astype(np.uint8), vocab,
-                              word.ravel().astype(np.uint32), piece.ravel().astype(np.uint32),
-                              ids[doc[at]])
+            yield shard, [key[some], prefix[some], size[some].astype(np.uint8), vocab,
+                          word.ravel().astype(np.uint32), piece.ravel().astype(np.uint32),
+                          ids[doc[at]]]
 
     return make
 
 
+_NO_RUNS = [np.zeros(0, t) for t in (_U, _U, np.uint8, _U, np.uint32, np.uint32, np.int64)]
+_NO_WINDOWS = [np.zeros(0, t) for t in (_U, _U, np.int64)]
+
+
 def _marks(window: int):
-    """Reply of a shard: one byte per run, bit j set if its window j has an earlier document."""
+    """Reply of a shard: two bytes per run, bit j set if its window j has an earlier document,
+    and one bit per single window, set if another batch has it with a smaller id."""
 
     def reply(_shard: int, messages: list[bytes]) -> list[bytes | None]:
-        parts = [unpack(m) for m in messages]
+        arrays = [unpack(m) for m in messages]
+        runs = sequences([a[:7] if len(a) > 3 else _NO_RUNS for a in arrays])
+        single = windows([a[-3:] if len(a) != 7 else _NO_WINDOWS for a in arrays])
+        return [pack(r, np.packbits(s)) if r.any() or s.any() else None
+                for r, s in zip(runs, single)]
+
+    def windows(parts: list[list[np.ndarray]]) -> list[np.ndarray]:
+        key, text, least = (np.concatenate(x) for x in zip(*parts))
+        order = np.lexsort((least, key, text))
+        new = np.ones(len(key), bool)
+        new[1:] = (np.diff(text[order]) != 0) | (np.diff(key[order]) != 0)
+        earlier = np.empty(len(key), bool)
+        earlier[order] = least[order] > least[order][new][np.cumsum(new) - 1]
+        return np.split(earlier, np.cumsum([len(p[0]) for p in parts])[:-1])
+
+    def sequences(parts: list[list[np.ndarray]]) -> list[np.ndarray]:
         key = np.concatenate([p[0] for p in parts])
         text = np.concatenate([p[1] for p in parts])
         size = np.concatenate([p[2] for p in parts]).astype(np.int64)
@@ -236,29 +303,36 @@ def _marks(window: int):
                 waiting.append(seq)
         run = number[piece]
         out = np.where(ids > least[run], np.uint16(0xFFFF), marks[run])
-        cuts = np.cumsum([len(p[6]) for p in parts])[:-1]
-        return [pack(o) if o.any() else None for o in np.split(out, cuts)]
+        return np.split(out, np.cumsum([len(p[6]) for p in parts])[:-1])
 
     return reply
 
 
 def _removed(row: dict, n: int, window: int, anchor: int):
     """Batch, its words and the flags of the words to remove."""
-    docs, w, _, _, (key, _, start, count) = _batch(row, window, anchor)
+    docs, w, h, ids, (key, _, start, count) = batch = _batch(row, window, anchor)
     total = int(w.offsets[-1])
     edges = np.zeros(total + 1, np.int64)
-    got = {a["shard"]: a["message"] for a in row["marks"] or []}
-    if got:
-        own = np.flatnonzero(_open_runs(row, key, n))
-        for shard, at in by_shard(key[own], n):
-            if shard not in got:
-                continue
-            mark = unpack(got[shard])[0]
-            runs = own[at]
-            for j in range(window - anchor + 1):
-                hit = runs[(j < count[runs]) & ((mark >> np.uint16(j)) & 1 > 0)]
-                np.add.at(edges, start[hit] + j, 1)
-                np.add.at(edges, start[hit] + j + window, -1)
+    got = {a["shard"]: unpack(a["message"]) for a in row["marks"] or []}
+    own, hot = _open_runs(row, key, n)
+    if len(hot):
+        _, text, least, place, ids, at = _single_windows(h, ids, batch[-1], hot, window)
+        earlier = np.zeros(len(text), bool)
+        for shard, some in by_shard(text, n):
+            if shard in got:
+                earlier[some] = np.unpackbits(got[shard][1], count=len(some)).astype(bool)
+        at = at[earlier[place] | (ids > least[place])]
+        np.add.at(edges, at, 1)
+        np.add.at(edges, at + window, -1)
+    for shard, at in by_shard(key[own], n):
+        if shard not in got:
+            continue
+        mark = got[shard][0]
+        runs = own[at]
+        for j in range(window - anchor + 1):
+            hit = runs[(j < count[runs]) & ((mark >> np.uint16(j)) & 1 > 0)]
+            np.add.at(edges, start[hit] + j, 1)
+            np.add.at(edges, start[hit] + j + window, -1)
     return docs, w, np.cumsum(edges[:-1]) > 0
 
 
@@ -266,7 +340,7 @@ def _marked(docs: DataFrame, window: int, anchor: int) -> tuple[DataFrame, int]:
     """Batch table with the answers of both rounds."""
     n = shards(docs)
     table = write_batches(docs, "substrings-batches")
-    shared = settle(answer(ask(table, _ask_minimizers(n, window, anchor)), _shared),
+    shared = settle(answer(ask(table, _ask_minimizers(n, window, anchor)), _shared(HOT_RUNS)),
                     "substrings-shared")
     marks = settle(answer(ask(meet(table, shared=shared), _ask_windows(n, window, anchor)),
                           _marks(window)), "substrings-marks")
