@@ -138,6 +138,22 @@ def test_hot_phrase_is_spread():
     assert max(sizes) < 0.1 * sum(sizes)
 
 
+def test_shards_follow_the_input(spark, monkeypatch):
+    """The session has 4 shuffle partitions; a larger table still has small shards."""
+    texts = sample(1, 400, 120)
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    monkeypatch.setattr(batchtable, "TEXT_BYTES", 3000)
+    monkeypatch.setattr(batchtable, "SHARD_BYTES", 1000, raising=False)
+    want = -(-sum(len(t) for _, t in texts) // 1000)
+    table, n = substrings._marked(docs, 13, 6)
+    assert n == want > 4
+    asked = batchtable.ask(table.drop("shared", "marks"), substrings._ask_minimizers(n, 13, 6))
+    got = batchtable.answer(asked, n, substrings._shared(1000))
+    assert got.rdd.getNumPartitions() == n
+    assert asked.select("shard").distinct().count() > n / 2
+    hold(substrings.repeated_words(docs).collect(), brute(texts))
+
+
 def test_automaton():
     rng = random.Random(4)
     for _ in range(200):

@@ -5,7 +5,8 @@ billions of tiny rows. Instead the documents are written once as batches of abou
 (Arrow bytes in one column); a batch asks each shard for all its keys in one row, the shard
 merges the rows of all batches and answers row by row, and answers meet their batch again by its
 id. A shard holds the keys with its hash, so it is as large as its share of the distinct keys
-of each batch, and a hot key costs one entry per batch.
+of each batch, and a hot key costs one entry per batch. One task takes all messages of a shard at
+once, so the number of shards follows the bytes of text in the written table.
 """
 
 from __future__ import annotations
@@ -19,9 +20,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import settle
-from .textkit import batches, prepare
+from .textkit import batches, prepare, text_bytes
 
 TEXT_BYTES = 1_000_000
+SHARD_BYTES = 16_000_000  # text for each shard
 _OPTIONS = pa.ipc.IpcWriteOptions(compression="zstd")
 
 
@@ -58,37 +60,43 @@ def unpack(message: bytes) -> list[np.ndarray]:
     return out
 
 
-def write_batches(docs: DataFrame, name: str, text_bytes: int | None = None) -> DataFrame:
-    """(batch, docs): all rows of ``docs`` (with a column ``text``) in written batches. Batch
-    numbers are final once written: partition number times 2 ** 32 plus a running number."""
+def write_batches(docs: DataFrame, name: str, batch_bytes: int | None = None) -> DataFrame:
+    """(batch, size, docs): all rows of ``docs`` (with a column ``text``) in written batches. Batch
+    numbers are final once written: partition number times 2 ** 32 plus a running number. ``size``
+    is the bytes of text."""
     prepare(docs.sparkSession)
-    limit = text_bytes or TEXT_BYTES
+    limit = batch_bytes or TEXT_BYTES
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
         held: list[pa.RecordBatch] = []
-        size = 0
+        size = text_size = 0
 
         def out() -> pa.RecordBatch:
             one = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
             return pa.RecordBatch.from_pydict({"batch": pa.array([number], pa.int64()),
+                                               "size": pa.array([text_size], pa.int64()),
                                                "docs": pa.array([dump(one)], pa.binary())})
 
         for part in batches(rows, limit):
             held.append(part)
             size += part.nbytes
+            text_size += int(text_bytes(part.column(part.schema.get_field_index("text")))[1][-1])
             if size >= limit:
                 yield out()
-                held, size, number = [], 0, number + 1
+                held, size, text_size, number = [], 0, 0, number + 1
         if held:
             yield out()
 
-    return settle(docs.mapInArrow(run, "batch long, docs binary"), name)
+    return settle(docs.mapInArrow(run, "batch long, size long, docs binary"), name)
 
 
-def shards(df: DataFrame) -> int:
-    """As many shards as the session has shuffle partitions, which the caller sizes."""
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def shards(table: DataFrame) -> int:
+    """Number of shards for a written batch table: one for each ``SHARD_BYTES`` of its text, at
+    least as many as the session has shuffle partitions."""
+    total = table.agg(F.sum("size")).first()[0] or 0
+    return max(int(table.sparkSession.conf.get("spark.sql.shuffle.partitions")),
+               -(-total // SHARD_BYTES))
 
 
 def ask(table: DataFrame, make: Callable[..., Iterator[tuple[int, bytes]]]) -> DataFrame:
@@ -107,9 +115,9 @@ def ask(table: DataFrame, make: Callable[..., Iterator[tuple[int, bytes]]]) -> D
     return table.select(*names).mapInArrow(run, "shard int, batch long, message binary")
 
 
-def answer(asked: DataFrame, reply: Callable[[int, list[bytes]], list[bytes | None]],
+def answer(asked: DataFrame, n: int, reply: Callable[[int, list[bytes]], list[bytes | None]],
            noted: bool = False) -> DataFrame:
-    """(batch, shard, message): each shard sees the messages of all batches at once and gives one
+    """(batch, shard, message): each of ``n`` shards sees the messages of all batches at once and gives one
     reply per message (none for nothing to say). ``noted``: the reply comes with a list of
     numbers of the whole shard, which stand as ``note`` on its first row."""
 
@@ -130,7 +138,7 @@ def answer(asked: DataFrame, reply: Callable[[int, list[bytes]], list[bytes | No
                                     pa.list_(pa.int64()))
         return pa.table(cols)
 
-    return asked.groupBy("shard").applyInArrow(
+    return asked.repartition(n, "shard").groupBy("shard").applyInArrow(
         run, "batch long, shard int, message binary" + ", note array<long>" * noted)
 
 

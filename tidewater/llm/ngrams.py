@@ -332,14 +332,15 @@ def _score_pairs(mu: float):
 def score(docs: DataFrame, mu: float = MU) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document,
     learnt from the documents outside the held-out fold."""
-    n = shards(docs)
     table = write_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"),
                           "ngrams-batches", BATCH_BYTES)
-    named = settle(answer(ask(table, _ask_words(n)), _count_words(n), noted=True), "ngrams-words")
+    n = shards(table)
+    named = settle(answer(ask(table, _ask_words(n)), n, _count_words(n), noted=True),
+                   "ngrams-words")
     sums = named.where("note IS NOT NULL").select(
         F.sum(F.col("note")[0]).alias("v"), F.sum(F.col("note")[1]).alias("n")).first()
     distinct, total = sums["v"] or 0, sums["n"] or 0
-    pairs = settle(answer(ask(meet(table, words=named), _ask_pairs(n)), _score_pairs(mu)),
+    pairs = settle(answer(ask(meet(table, words=named), _ask_pairs(n)), n, _score_pairs(mu)),
                    "ngrams-pairs")
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -338,11 +338,11 @@ def _removed(row: dict, n: int, window: int, anchor: int):
 
 def _marked(docs: DataFrame, window: int, anchor: int) -> tuple[DataFrame, int]:
     """Batch table with the answers of both rounds."""
-    n = shards(docs)
     table = write_batches(docs, "substrings-batches")
-    shared = settle(answer(ask(table, _ask_minimizers(n, window, anchor)), _shared(HOT_RUNS)),
+    n = shards(table)
+    shared = settle(answer(ask(table, _ask_minimizers(n, window, anchor)), n, _shared(HOT_RUNS)),
                     "substrings-shared")
-    marks = settle(answer(ask(meet(table, shared=shared), _ask_windows(n, window, anchor)),
+    marks = settle(answer(ask(meet(table, shared=shared), _ask_windows(n, window, anchor)), n,
                           _marks(window)), "substrings-marks")
     return meet(table, shared=shared, marks=marks), n
 
