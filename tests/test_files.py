@@ -1,6 +1,7 @@
 """File-level loading: per-file atomicity, ledger, idempotent merge."""
 
 import os
+import random
 
 from pyspark.sql import functions as F
 
@@ -76,6 +77,83 @@ def test_file_rules_of_the_load(spark, tmpdir_path):
     assert etl.load_sales(spark, d, fact, ledger, "2024-02-02 00:00:00").count() == 5  # FAILED ones
 
 
+def _strict_records(text: str) -> list[list[str]]:
+    """Records of a whole file; raises ValueError on bad quoting. Quoted line breaks belong to
+    the field, blank lines are skipped, a carriage return before a line feed is dropped."""
+    text = text.replace("\r\n", "\n")
+    records, at, n = [], 0, len(text)
+    while at < n:
+        if text[at] == "\n":
+            at += 1
+            continue
+        record = []
+        while True:
+            if at < n and text[at] == '"':
+                parts, at = [], at + 1
+                while True:
+                    end = text.find('"', at)
+                    if end < 0:
+                        raise ValueError("quote without an end")
+                    parts.append(text[at:end])
+                    at = end + 1
+                    if not text.startswith('"', at):
+                        break
+                    parts.append('"')
+                    at += 1
+                if at < n and text[at] not in ",\n":
+                    raise ValueError("text after a closing quote")
+                record.append("".join(parts))
+            else:
+                ends = [e for e in (text.find(",", at), text.find("\n", at)) if e >= 0]
+                end = min(ends, default=n)
+                if '"' in text[at:end]:
+                    raise ValueError("quote inside a plain field")
+                record.append(text[at:end])
+                at = end
+            if at < n and text[at] == ",":
+                at += 1
+                continue
+            at += 1
+            break
+        records.append(record)
+    return records
+
+
+def test_quoted_files_are_split(spark, tmpdir_path):
+    """Records of files in small blocks, against a reader of the whole text; the largest value in
+    the plan is a line, and no file is one row."""
+    rng = random.Random(3)
+    texts = {f"f{k}.csv": "".join(rng.choice(['"', '"', '""', ",", "\n", "\r\n", "a", "bc"])
+                                  for _ in range(rng.randint(1, 14))) for k in range(150)}
+    pieces = ["x", '"q"', '"a\nb"', '"a\r\n\n,""c"', '""', "", '"y""\nz"']
+    for k in range(60):
+        lines = [",".join(rng.choice(pieces) for _ in range(3)) for _ in range(rng.randint(1, 9))]
+        texts[f"g{k}.csv"] = "\n".join(lines) + rng.choice(["", "\n", ',"open'])
+    texts["long.csv"] = HEADER + 't,"P\n1",C1,1,2.5,x\n' + good(300) + 't,"P\n\n2",C1,1,2,x\n'
+    want = {}
+    for name, text in texts.items():
+        with open(f"{tmpdir_path}/{name}", "w", newline="") as f:
+            f.write(text)
+        try:
+            want[name] = _strict_records(text)
+        except ValueError:
+            want[name] = None
+    paths = [f"{tmpdir_path}/{n}" for n in texts]
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        df = sales_files.read_whole(spark, paths)
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        got = {}
+        for r in sorted(df.collect(), key=lambda r: r.place):
+            got.setdefault(r.file_name, []).append(r.fields if r.whole else None)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert "MapInArrow" not in plan
+    for name, records in want.items():
+        assert got.get(name, []) == ([None] if records is None else records), texts[name]
+
+
 def test_rewritten_file_without_valid_rows_clears_its_delta(spark, tmpdir_path):
     d, fact, ledger = (f"{tmpdir_path}/{x}" for x in ("sales", "fact", "ledger"))
     write_text(f"{d}/a.csv", HEADER + good(2))

@@ -6,7 +6,7 @@
     from that small table -> deltas of SUCCESS files (dynamic partition overwrite: a re-run
     replaces, never adds) -> ledger rows.
 
-Only files with a quoted line break or bad quoting are read a second time, as whole files.
+Only files with a quoted line break or bad quoting are read a second time, by lines too.
 Spark tasks replace the worker pool; a file is still the unit of atomicity: its delta
 partition and its ledger row are written by the same job, and a file whose delta write
 failed is not marked SUCCESS, so the next run retries it (Q8).

@@ -4,20 +4,16 @@ A file is the unit of atomicity: a malformed record (a field count that differs
 header's, a stray quote) fails the whole file, a bad *value* drops only its row. All files are
 read in one scan of text lines; a line that is a whole record by itself is split with column
 expressions. Only files with a line that is not (a quoted line break, or bad quoting) are read
-again as whole files by a small strict reader.
+again, as lines too: no file is one row.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..schemas import RAW_SALE_COLUMNS
-from ..util import ship_package
 
 CORRUPT = "_corrupt_record"
 
@@ -25,6 +21,11 @@ CORRUPT = "_corrupt_record"
 FIELD = r'"(?:[^"]|"")*"|[^",]*'
 WHOLE_RECORD = rf"^(?:{FIELD})(?:,(?:{FIELD}))*$"
 NEXT_FIELD = rf",({FIELD})"
+# Lines of a record with a quoted line break: the first, the last, and those between.
+INSIDE = r'[^"]*+(?:""[^"]*+)*+'
+OPENS = rf'^(?:(?:{FIELD}),)*"{INSIDE}$'
+CLOSES = rf'^{INSIDE}"(?:,(?:{FIELD}))*$'
+GOES_ON = rf'^{INSIDE}(?:"(?:,(?:{FIELD}))*,"{INSIDE})?$'
 
 
 def _scan_schema(width: int) -> T.StructType:
@@ -83,71 +84,50 @@ def read_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
         F.when(whole, split_record(line)).alias("fields"))
 
 
-def strict_records(text: str) -> list[list[str]]:
-    """Records of a whole file; raises ValueError on bad quoting. Quoted line breaks belong to
-    the field, blank lines are skipped, a carriage return before a line feed is dropped."""
-    text = text.replace("\r\n", "\n")
-    records, at, n = [], 0, len(text)
-    while at < n:
-        if text[at] == "\n":
-            at += 1
-            continue
-        record = []
-        while True:
-            if at < n and text[at] == '"':
-                parts, at = [], at + 1
-                while True:
-                    end = text.find('"', at)
-                    if end < 0:
-                        raise ValueError("quote without an end")
-                    parts.append(text[at:end])
-                    at = end + 1
-                    if not text.startswith('"', at):
-                        break
-                    parts.append('"')
-                    at += 1
-                if at < n and text[at] not in ",\n":
-                    raise ValueError("text after a closing quote")
-                record.append("".join(parts))
-            else:
-                ends = [e for e in (text.find(",", at), text.find("\n", at)) if e >= 0]
-                end = min(ends, default=n)
-                if '"' in text[at:end]:
-                    raise ValueError("quote inside a plain field")
-                record.append(text[at:end])
-                at = end
-            if at < n and text[at] == ",":
-                at += 1
-                continue
-            at += 1
-            break
-        records.append(record)
-    return records
-
-
 def read_whole(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Records of the given files, each read as a whole: the columns of ``read_lines``; a file
-    with bad quoting has one row that is not ``whole``."""
-    ship_package(spark)
-    files = spark.read.text(paths, wholetext=True).select(
-        file_key(F.col("_metadata.file_path")).alias("file_name"), "value")
-
-    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows:
-            for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                try:
-                    records, ok = strict_records(text), True
-                except ValueError:
-                    records, ok = [None], False
-                yield pa.RecordBatch.from_pydict({
-                    "file_name": pa.array([name] * len(records), pa.string()),
-                    "number": pa.array(range(len(records)), pa.int64()),
-                    "whole": pa.array([ok] * len(records), pa.bool_()),
-                    "fields": pa.array(records, pa.list_(pa.string()))})
-
-    got = files.mapInArrow(run, "file_name string, number long, whole boolean, fields array<string>")
-    return got.select("file_name", F.struct(F.lit(0).cast("long").alias("block"), "number")
-                      .alias("place"), "whole", "fields")
+    """Records of files with quoted line breaks or bad quoting: the columns of ``read_lines``; a
+    file with bad quoting has one row that is not ``whole``. Quoted line breaks belong to the
+    field, blank lines are skipped, a carriage return before a line feed is dropped.
+
+    Lines with an odd number of quotes open or close a quoted line break, so their running number
+    tells which lines belong together. It is carried from block to block, and each line is judged
+    by itself: only the lines of a record with a line break are brought together."""
+    value = F.col("value")
+    lines = spark.read.option("lineSep", "\n").text(paths).select(
+        F.regexp_replace("value", r"\r\z", "").alias("value"),
+        file_key(F.col("_metadata.file_path")).alias("file_name"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("number")).withColumn(
+        "odd", (F.length("value") - F.length(F.replace(value, F.lit('"'), F.lit("")))) % 2)
+    by_block = Window.partitionBy("file_name").orderBy("block")
+    blocks = lines.groupBy("file_name", "block").agg(F.sum("odd").alias("n")).select(
+        "file_name", "block", (F.sum("n").over(by_block) - F.col("n")).alias("carried"),
+        (F.sum("n").over(Window.partitionBy("file_name")) % 2 > 0).alias("unclosed"))
+    by_line = Window.partitionBy("file_name", "block").orderBy("number")
+    turns = lines.join(blocks, ["file_name", "block"]).withColumn(
+        "turn", F.col("carried") + F.sum("odd").over(by_line))
+    begins = (F.col("turn") - F.col("odd")) % 2 == 0  # outside quotes before the line
+    ends = F.col("turn") % 2 == 0  # and after it
+    shape = (F.when(begins & ends, value.rlike(WHOLE_RECORD))
+             .when(begins, value.rlike(OPENS)).when(ends, value.rlike(CLOSES))
+             .otherwise(value.rlike(GOES_ON)))
+    judged = turns.select("file_name", F.struct("block", "number").alias("place"), "value", "turn",
+                          (begins & ends).alias("alone"),
+                          (shape & ~F.col("unclosed")).alias("fine"))
+    bad = judged.where(~F.col("fine")).select("file_name").distinct()
+    kept = judged.join(bad, "file_name", "left_anti")
+    alone = kept.where("alone AND value <> ''").select("file_name", "place", "value")
+    joined = (kept.where("NOT alone")
+              .groupBy("file_name", F.floor((F.col("turn") - 1) / 2).alias("record"))
+              .agg(F.sort_array(F.collect_list(F.struct("place", "value"))).alias("lines"))
+              .select("file_name", F.col("lines")[0]["place"].alias("place"),
+                      F.array_join(F.col("lines")["value"], "\n").alias("value")))
+    records = alone.unionByName(joined).select(
+        "file_name", "place", F.lit(True).alias("whole"), split_record(value).alias("fields"))
+    zero = F.lit(0).cast("long")
+    return records.unionByName(bad.select(
+        "file_name", F.struct(zero.alias("block"), zero.alias("number")).alias("place"),
+        F.lit(False).alias("whole"), F.lit(None).cast("array<string>").alias("fields")))
 
 
 def header_width(header: Column) -> Column:
@@ -221,7 +201,7 @@ def file_quality(scanned: DataFrame) -> DataFrame:
 
 
 def read_records(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, list[str]]:
-    """Lines of all files, and the names of those that need the whole-file reader."""
+    """Lines of all files, and the names of those that need ``read_whole``."""
     lines = read_lines(spark, paths)
     odd = [r.file_name for r in lines.where(~F.col("whole")).select("file_name").distinct()
            .collect()]
@@ -229,7 +209,7 @@ def read_records(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, list
 
 
 def scan_quality(spark: SparkSession, directory: str) -> DataFrame:
-    """S1-S3 for a folder: outcome per listed file, with the whole-file reader where needed."""
+    """S1-S3 for a folder: outcome per listed file, with ``read_whole`` where needed."""
     listed = list_sales_files(spark, directory)
     paths = {r.file_name: r.path for r in listed.select("file_name", "path").collect()}
     lines, odd = read_records(spark, list(paths.values()))
