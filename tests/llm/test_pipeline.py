@@ -39,6 +39,12 @@ def test_classifier_drops_what_it_rejects(spark, steps):
     assert set(rows(steps[1])) == {r.doc_id for r in scores if r.predicted == 1}
 
 
+def test_classifier_without_usable_labels_drops_nothing(spark):
+    docs = spark.read.parquet(f"{SMOKE}/documents.parquet")
+    labels = spark.read.parquet(f"{SMOKE}/labels.parquet").limit(0)
+    assert set(rows(fm.reject_low_quality(docs, labels))) == set(rows(docs))
+
+
 def test_one_document_of_each_group_stays(steps):
     found = minhash.near_duplicates(steps[1]).collect()
     assert set(rows(steps[2])) == {r.component_id for r in found}

@@ -237,8 +237,11 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
 
 def reject_low_quality(docs: DataFrame, labels: DataFrame,
                        threshold: float = THRESHOLD) -> DataFrame:
-    """Documents with a score of at least the threshold, all columns kept."""
+    """Documents with a score of at least the threshold, all columns kept. A model that was
+    fitted on no row (its factors are zero) says nothing, so all documents stay."""
     model = fit(docs, labels)
+    if not model.factors.any():
+        return docs
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
     stated = "n_chars" if "n_chars" in docs.columns else None

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that the factorisation machine scores as junk (op 9). Junk is a
-    score under ``fm.REJECT_BELOW``, so doubtful documents stay."""
+    score under ``fm.THRESHOLD``; without any usable label all documents stay."""
     from . import fm
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return fm.reject_low_quality(docs, labels)
