@@ -39,7 +39,7 @@ from .graph import settle
 from .textkit import batches, prepare, text_bytes
 
 DEPTH, MIN_COUNT, TOP = 3, 10, 2000
-SHARD_BYTES, HELD = 8_000_000, 3  # a task holds texts of at most so many shards
+SHARD_BYTES, HELD = 5_000_000, 4  # a task holds texts of at most so many shards
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _STOP = np.zeros(256, bool)  # ends a piece
@@ -59,12 +59,12 @@ def tokens(column: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
     first[off[:-1][some]] = solid[off[:-1][some]]
     last[off[1:][some] - 1] = solid[off[1:][some] - 1]
     starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
-    stops = np.zeros(len(data) + 1, np.int64)
-    np.cumsum(_STOP[data], out=stops[1:])
-    piece = stops[starts] + np.searchsorted(off, starts, "right")
+    piece = (np.searchsorted(np.flatnonzero(_STOP[data]), starts)
+             + np.searchsorted(off, starts, "right"))
     offsets = np.zeros(len(starts) + 1, np.int64)
     np.cumsum(ends - starts, out=offsets[1:])
-    joined = np.ascontiguousarray(_LOWER[data[solid]])
+    joined = _LOWER[data[solid]]
+    del first, last, solid, ends
     kinds = pa.LargeStringArray.from_buffers(
         len(starts), pa.py_buffer(offsets), pa.py_buffer(joined)).dictionary_encode()
     code = kinds.indices.to_numpy().astype(np.int32) + 1
@@ -86,11 +86,13 @@ class FMIndex:
             new = np.ones(n, np.int64)
             new[1:] = np.diff(key[order]) != 0
             rank[order] = np.cumsum(new) - 1
-        self.before = text[order - 1].astype(np.int64)
+            del key, new
+        self.before = text[order - 1]
+        del order, rank
         self.start = np.zeros(int(text.max()) + 2, np.int64)  # of the suffixes of each symbol
         np.cumsum(np.bincount(text), out=self.start[1:])
-        places = np.argsort(self.before, kind="stable")
-        self.places = self.before[places] * (n + 1) + places
+        self.places = np.argsort(self.before, kind="stable")
+        self.places += self.before[self.places].astype(np.int64) * (n + 1)
 
     def step(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Where the interval of symbol + phrase starts, from where the phrase's does."""
@@ -115,8 +117,11 @@ class Bidirectional:
         index = self.index if left else self.mirror
         here, there = ("at", "mirrored") if left else ("mirrored", "at")
         size, symbols = level["size"], int(index.start.size)
-        row = np.repeat(level[here] - np.cumsum(size) + size, size) + np.arange(size.sum())
-        key = np.repeat(np.arange(len(size)), size) * symbols + index.before[row]
+        row = np.repeat(level[here] - np.cumsum(size) + size, size)
+        row += np.arange(len(row))
+        key = np.repeat(np.arange(len(size)) * symbols, size)
+        key += index.before[row]
+        del row
         key.sort()
         first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else key
         count = np.diff(np.append(first, len(key)))
@@ -182,7 +187,7 @@ def _gram_rows(depth: int):
                 seen = np.zeros(int(ids.max(initial=0)) + 2, np.int64)
                 seen[local[order]] = np.arange(1, len(order) + 1)
                 number = np.append(0, number[order])
-                text = np.concatenate([[0], seen[ids], [0]])
+                text = np.concatenate([[0], seen[ids], [0]]).astype(np.int32)
                 text = text[np.append(True, (text[1:] > 0) | (text[:-1] > 0))]
                 index = Bidirectional(text, depth)
                 level = index.words()
