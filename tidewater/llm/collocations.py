@@ -173,9 +173,11 @@ def _shards(docs: DataFrame, limit: int) -> DataFrame:
         "phrases-shards")
 
 
-def _gram_rows(depth: int):
-    """Phrases of two words and more of each shard, by the numbers of their words."""
-    names = [f"w{i}" for i in range(1, depth + 1)]
+def _gram_rows(depth: int, bits: int):
+    """Phrases of two words and more of each shard. Their words' numbers of ``bits`` bits (0 for
+    none) are packed into as few columns as hold them."""
+    per = 63 // bits
+    names = [f"k{i}" for i in range(-(-depth // per))]
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
@@ -196,12 +198,15 @@ def _gram_rows(depth: int):
                     words, size = number[level["words"]], level["size"]
                     for at in range(0, len(size), 200_000):
                         to = slice(at, at + 200_000)
-                        cols = {w: pa.array(words[to, i] if i < length else
-                                            np.zeros(len(size[to]), np.int64))
-                                for i, w in enumerate(names)}
+                        part = words[to]
+                        cols = {k: pa.array(sum(part[:, i] << (bits * (i - c * per)) for i in range(
+                            c * per, min((c + 1) * per, length))) + np.zeros(len(part), np.int64))
+                            for c, k in enumerate(names)}
                         yield pa.RecordBatch.from_pydict(cols | {"n": pa.array(size[to])})
 
-    return run, ", ".join(f"{w} long" for w in names) + ", n long"
+    number = lambda i: F.shiftright(f"k{i // per}", bits * (i % per)).bitwiseAND(
+        F.lit((1 << bits) - 1)).alias(f"w{i + 1}")
+    return run, names, [number(i) for i in range(depth)]
 
 
 def _cut(depth: int, start: int, end: int) -> list:
@@ -225,14 +230,20 @@ def mine(docs: DataFrame, depth: int = DEPTH, min_count: int = MIN_COUNT, text_c
         F.sum("c").alias("n"))
     words = settle(entries.groupBy("lang", "word").agg(F.sum("c").alias("f"))
                    .where(F.col("f") >= min_count)
-                   .withColumn("number", F.monotonically_increasing_id() + 1), "phrases-words")
+                   .withColumn("id", F.monotonically_increasing_id()), "phrases-words")
+    # small numbers from the rows' places in the written partitions, which are alike in size
+    tasks = (words.agg(F.max(F.shiftright("id", 33))).first()[0] or 0) + 1
+    words = words.select("lang", "word", "f", F.expr(
+        f"(id & {(1 << 33) - 1}L) * {tasks}L + shiftright(id, 33) + 1").alias("number"))
+    bits = max((words.agg(F.max("number")).first()[0] or 0).bit_length(), 1)
     known = (entries.join(words, ["lang", "word"])
              .groupBy("shard").agg(F.collect_list(F.struct("local", "number")).alias("known")))
-    run, schema = _gram_rows(depth)
+    run, packed, numbers = _gram_rows(depth, bits)
     keys = [f"w{i}" for i in range(1, depth + 1)]
     grams = settle(shards.select("shard", "ids").join(known, "shard").select("ids", "known")
-                   .mapInArrow(run, schema).groupBy(*keys).agg(F.sum("n").alias("n"))
-                   .where(F.col("n") >= min_count), "phrases-grams")
+                   .mapInArrow(run, ", ".join(f"{k} long" for k in packed) + ", n long")
+                   .groupBy(*packed).agg(F.sum("n").alias("n")).where(F.col("n") >= min_count)
+                   .select(*numbers, "n"), "phrases-grams")
     zero = F.lit(0).cast("long")
     parts = grams.union(words.select("number", *[zero] * (depth - 1), "f")).select(
         F.struct(*keys).alias("part"), F.col("n").alias("f"))
