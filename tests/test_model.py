@@ -2,6 +2,7 @@
 
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from tidewater.model import design as D
@@ -115,3 +116,72 @@ def test_backtest_skipped_when_history_is_short(spark):
     cv = backtest.backtest_forecasts(train, empty)
     assert cv.count() == 0
     assert backtest.performance_metrics(cv).count() == 0
+
+
+def gram_of(seed, kind, n=200, n_cp=20):
+    rng = np.random.default_rng(seed)
+    ds = np.sort(rng.choice(np.arange(3 * n), n, False)) * 86400.0
+    t = (ds - ds[0]) / (ds[-1] - ds[0])
+    cp = t[np.round(np.arange(1, n_cp + 1) * (int(0.8 * n) - 1) / n_cp).astype(int)]
+    names = ["p0", "p1"]
+    lists = [[p for p in names if rng.random() < 0.05] for _ in range(n)]
+    x = D.design(ds, ds[0], ds[-1] - ds[0], cp, (0, 3, 0), names, lists)
+    y = {"noise": rng.normal(size=n), "flat": np.full(n, 3.0),
+         "bend": 5 * t + 3 * np.maximum(t - 0.4, 0), "heavy": np.exp(3 * rng.normal(size=n)),
+         "wave": 1 + np.sin(ds / 86400 * 2 * np.pi / 7) + 1e-4 * rng.normal(size=n),
+         "zero": np.zeros(n)}[kind]
+    y = y / max(np.abs(y).max(), 1e-300)
+    return x.T @ x, x.T @ y, float(y @ y), n, *D.prior_terms(n_cp, (0, 3, 0), 2)
+
+
+@pytest.mark.parametrize("kind", ["noise", "flat", "bend", "heavy", "wave", "zero"])
+def test_solver_certifies_an_optimum(kind):
+    """The gap is tiny, and no small move of any coefficient or of sigma lowers the objective."""
+    xtx, xty, yty, n, ridge, l1 = gram_of(3, kind)
+    beta, sigma, certified, residual, gap = D.map_solve(xtx, xty, yty, n, ridge, l1)
+    assert certified and gap < 1e-8 and residual < 1e-6
+
+    def value(b, s):
+        rss = max(yty - 2 * b @ xty + b @ xtx @ b, 0.0)
+        return (rss / (2 * s * s) + n * np.log(s) + 0.5 * np.sum(ridge * b * b)
+                + np.sum(l1 * np.abs(b)) + s * s / (2 * D.SIGMA_PRIOR_SD ** 2))
+
+    best = value(beta, sigma)
+    if sigma <= 2e-6:  # the floor of a fit without residual
+        return
+    for step in (1e-3, -1e-3, 1e-5, -1e-5):
+        for j in range(len(beta)):
+            moved = beta.copy()
+            moved[j] += step
+            assert value(moved, sigma) >= best - 1e-9 * abs(best)
+        assert value(beta, sigma * (1 + step)) >= best - 1e-9 * abs(best)
+
+
+def test_solver_flags_what_it_cannot_certify():
+    """One step is not enough for a heavy-tailed series: the result says so."""
+    args = gram_of(3, "heavy")
+    assert D.map_solve(*args)[2] and not D.map_solve(*args, max_iter=1)[2]
+
+
+def test_uncertified_fit_is_not_published(monkeypatch):
+    xtx, xty, yty, n, _, _ = gram_of(3, "heavy")
+    row = {"fit_id": "a", "n": n, "yty": yty, "xty": xty.tolist(), "xtx": xtx.ravel().tolist(),
+           "n_cp": 20, "yearly_order": 0, "weekly_order": 3, "daily_order": 0, "n_hol": 2,
+           "error": None}
+    good = fit._solve_fit(pd.DataFrame([row])).iloc[0]
+    assert good.status == "OK" and good.converged and good.gap < 1e-8
+    monkeypatch.setattr(fit, "map_solve", lambda *a: D.map_solve(*a, max_iter=1))
+    bad = fit._solve_fit(pd.DataFrame([row])).iloc[0]
+    assert bad.status == "FAILED" and "certified" in bad.error and bad.beta is None
+
+
+def test_a_bad_block_fails_its_own_fits_only(spark):
+    """25 fits, one value that is no number: one fit fails, and says where."""
+    cats = tuple(f"c{i:02d}" for i in range(25))
+    train, feats, _ = synthetic(spark, n_days=70, cats=cats)
+    bad = (F.col("category_id") == "c07") & (F.col("ds") == F.lit("2022-02-01").cast("timestamp_ntz"))
+    train = train.withColumn("y", F.when(bad, F.lit(float("nan"))).otherwise(F.col("y")))
+    got = {r.fit_id: r for r in fit.fit_models(train, feats).collect()}
+    assert [c for c in cats if got[c].status != "OK"] == ["c07"]
+    assert "2022-02-01" in got["c07"].error and got["c07"].beta is None
+    assert all(got[c].gap < 1e-8 for c in cats if c != "c07")

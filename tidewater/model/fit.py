@@ -10,7 +10,9 @@ Plan (all categories and all back-test cutoffs in one job):
      X'X, X'y, y'y, n leave the task — each row crosses to Python once;
   4. solve: ``groupBy(fit).applyInPandas`` adds the month Grams of one fit (bounded by
      months x K^2, independent of the number of sale lines) and solves K x K.
-A failing fit returns status FAILED with the error text; other fits are unaffected.
+A failing fit returns status FAILED with the error text; other fits are unaffected. A block
+that cannot be turned into a Gram fails the fits that use it, and a fit whose optimum is not
+certified by its duality gap fails too, so that neither is registered or forecast.
 """
 
 from __future__ import annotations
@@ -36,6 +38,7 @@ GRAM_SCHEMA = T.StructType([
     T.StructField("weekly_order", T.IntegerType()),
     T.StructField("daily_order", T.IntegerType()),
     T.StructField("n_hol", T.IntegerType()),
+    T.StructField("error", T.StringType()),
 ])
 
 SOLUTION_SCHEMA = T.StructType([
@@ -47,6 +50,7 @@ SOLUTION_SCHEMA = T.StructType([
     T.StructField("lambda_mean", T.DoubleType()),
     T.StructField("converged", T.BooleanType()),
     T.StructField("residual", T.DoubleType()),
+    T.StructField("gap", T.DoubleType()),
 ])
 
 
@@ -116,29 +120,47 @@ def _gram_blocks(rows: pd.DataFrame, fits: pd.DataFrame) -> pd.DataFrame:
     out = []
     if rows.empty or fits.empty:
         return pd.DataFrame(columns=[f.name for f in GRAM_SCHEMA.fields])
-    ds_all = rows["ds_s"].to_numpy(float)
-    y_all = rows["y"].to_numpy(float)
-    names_all = rows["promo_names"].tolist()
     for f in fits.itertuples(index=False):
-        mask = np.ones(len(ds_all), bool) if pd.isna(f.cutoff_s) else ds_all <= f.cutoff_s
-        if not mask.any():
-            continue
-        orders = (int(f.yearly_order), int(f.weekly_order), int(f.daily_order))
-        cp_t = np.asarray(f.cp_t if f.cp_t is not None else [], dtype=float)
-        names = list(f.hol_names) if f.hol_names is not None else []
-        x = design(ds_all[mask], float(f.t0_s), float(f.t_scale_s), cp_t, orders, names,
-                   [n for n, m in zip(names_all, mask) if m])
-        y = y_all[mask] / float(f.y_scale)
-        out.append({"fit_id": f.fit_id, "n": int(mask.sum()), "yty": float(y @ y),
-                    "xty": (x.T @ y).tolist(), "xtx": (x.T @ x).ravel().tolist(),
-                    "n_cp": len(cp_t), "yearly_order": orders[0], "weekly_order": orders[1],
-                    "daily_order": orders[2], "n_hol": len(names)})
+        try:
+            got = _gram(rows, f)
+        except Exception as e:  # noqa: BLE001 — a block that cannot be used fails its fits alone
+            got = {"fit_id": f.fit_id, "n": 0, "yty": 0.0, "xty": [], "xtx": [], "n_cp": 0,
+                   "yearly_order": 0, "weekly_order": 0, "daily_order": 0, "n_hol": 0,
+                   "error": f"{type(e).__name__}: {e}"}
+        if got:
+            out.append(got)
     return pd.DataFrame(out, columns=[f.name for f in GRAM_SCHEMA.fields])
 
 
+def _gram(rows: pd.DataFrame, f) -> dict | None:
+    """X'X, X'y, y'y, n of one fit over one block; rows with a value that is not finite are an
+    error, which names the first of them."""
+    ds = rows["ds_s"].to_numpy(float)
+    mask = np.ones(len(ds), bool) if pd.isna(f.cutoff_s) else ds <= f.cutoff_s
+    if not mask.any():
+        return None
+    y = rows["y"].to_numpy(float)[mask]
+    if not np.isfinite(y).all():
+        at = ds[mask][~np.isfinite(y)].min()
+        raise ValueError(f"value at {pd.Timestamp(at, unit='s')} is not finite")
+    orders = (int(f.yearly_order), int(f.weekly_order), int(f.daily_order))
+    cp_t = np.asarray(f.cp_t if f.cp_t is not None else [], dtype=float)
+    names = list(f.hol_names) if f.hol_names is not None else []
+    x = design(ds[mask], float(f.t0_s), float(f.t_scale_s), cp_t, orders, names,
+               [n for n, m in zip(rows["promo_names"].tolist(), mask) if m])
+    y = y / float(f.y_scale)
+    return {"fit_id": f.fit_id, "n": int(mask.sum()), "yty": float(y @ y),
+            "xty": (x.T @ y).tolist(), "xtx": (x.T @ x).ravel().tolist(),
+            "n_cp": len(cp_t), "yearly_order": orders[0], "weekly_order": orders[1],
+            "daily_order": orders[2], "n_hol": len(names), "error": None}
+
+
 def _solve_fit(pdf: pd.DataFrame) -> pd.DataFrame:
     fit_id = pdf["fit_id"].iloc[0]
     try:
+        failed = pdf["error"].dropna()
+        if len(failed):
+            raise RuntimeError(min(failed))
         first = pdf.iloc[0]
         n_cp = int(first["n_cp"])
         orders = (int(first["yearly_order"]), int(first["weekly_order"]),
@@ -153,18 +175,20 @@ def _solve_fit(pdf: pd.DataFrame) -> pd.DataFrame:
         yty = float(pdf["yty"].sum())
         n = float(pdf["n"].sum())
         ridge, l1 = prior_terms(n_cp, orders, n_hol)
-        beta, sigma, converged, residual = map_solve(xtx, xty, yty, n, ridge, l1)
+        beta, sigma, converged, residual, gap = map_solve(xtx, xty, yty, n, ridge, l1)
         if not np.all(np.isfinite(beta)) or not np.isfinite(sigma):
             raise FloatingPointError("non-finite solution")
+        if not converged:  # never published: see ``status``
+            raise ArithmeticError(f"no certified optimum, relative duality gap {gap:.1e}")
         lam = float(np.mean(np.abs(beta[2:2 + n_cp]))) + 1e-8 if n_cp else 1e-8
         return pd.DataFrame({"fit_id": [fit_id], "status": ["OK"], "error": [None],
                              "sigma": [sigma], "beta": [beta.tolist()], "lambda_mean": [lam],
-                             "converged": [converged], "residual": [residual]})
+                             "converged": [converged], "residual": [residual], "gap": [gap]})
     except Exception as e:  # noqa: BLE001 — failure isolation per fit (M13)
         return pd.DataFrame({"fit_id": [fit_id], "status": ["FAILED"],
                              "error": [f"{type(e).__name__}: {e}"],
                              "sigma": [None], "beta": [None], "lambda_mean": [None],
-                             "converged": [None], "residual": [None]})
+                             "converged": [None], "residual": [None], "gap": [None]})
 
 
 # ------------------------------------------------------------------------ public API
@@ -218,7 +242,8 @@ def fit_models(train: DataFrame, promo_feats: DataFrame,
 
     Columns: fit_id, category_id, cutoff, n, ds_min, ds_max, t0_s, t_scale_s, y_scale, cp_t,
     yearly/weekly/daily_order, hol_names, status, error, sigma, beta, lambda_mean,
-    converged (whether the solver met its tolerance) and residual (optimality violation).
+    converged (the optimum is certified; always true for status OK), residual (optimality
+    violation) and gap (duality gap relative to the objective).
     """
     promo_feats = materialize(promo_feats.select("category_id", "promotion_name", "ds"))
     ranked = materialize(stats.ranked_rows(train.select("category_id", "ds", "y")))
