@@ -79,3 +79,34 @@ def test_horizon_text(spark):
     got = [r[0] for r in df.select(timedelta_text(df["s"])).collect()]
     assert got == [str(pd.Timedelta(seconds=86400 * 3 + 3600 * 5 + 61)),
                    str(pd.Timedelta(days=30))]
+
+
+@pytest.mark.parametrize("bucket_rows", [1, 7, 64, 10_000])
+def test_window_medians_match_numpy(spark, bucket_rows):
+    """Windows of any length and place, ties among the values, several categories; a bucket
+    holds no more rows than asked for."""
+    rng = np.random.default_rng(bucket_rows)
+    rows, windows, expect = [], [], {}
+    for cat, n in (("a", 150), ("b", 1), ("c", 37)):
+        v = rng.integers(0, 12, n).astype(float)
+        rows += [(cat, i, float(x)) for i, x in enumerate(v)]
+        for h in range(15):
+            a = int(rng.integers(0, n))
+            b = int(rng.integers(a + 1, n + 1))
+            windows.append((cat, float(h), a, b))
+            expect[cat, float(h)] = float(np.median(v[a:b]))
+    got = backtest.window_medians(
+        spark.createDataFrame(rows, "category_id string, pos long, v double").repartition(5),
+        spark.createDataFrame(windows, "category_id string, h_s double, a long, b long"),
+        bucket_rows).collect()
+    assert {(r.category_id, r.h_s): r.median for r in got} == expect
+
+
+def test_rows_are_numbered_without_a_window_over_a_key(spark):
+    from tidewater.util import number_rows
+    df = spark.range(5000).selectExpr("IF(id % 3 = 0, 'x', 'hot') k", "id * 7919 % 5000 v")
+    got = number_rows(df, ["k"], ["v"], "at")
+    assert got.count() == 5000
+    for k in ("x", "hot"):
+        rows = sorted((r.v, r["at"]) for r in got.where(f"k = '{k}'").collect())
+        assert [a for _, a in rows] == list(range(len(rows)))

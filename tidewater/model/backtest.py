@@ -8,8 +8,11 @@ left out when some |y| < 1e-8.
 
 Means in set form: per-horizon sums and a cumulative window over horizons (bounded by the
 number of distinct horizons, not rows); the start of each window is found by an
-equi-join on row position instead of a range lookup. The rolling median runs per block of w
-positions over a sorted list that slides along, since its windows overlap heavily.
+equi-join on row position instead of a range lookup. The rolling median selects by rank: the
+rows of a category are numbered by horizon and again by value, cut into buckets of a fixed
+number of neighbouring values, each bucket counts its rows inside every window, the sums over
+the buckets say which one holds a window's middle rows, and that bucket finds them. No task
+holds more than one bucket and the windows of its category.
 """
 
 from __future__ import annotations
@@ -17,11 +20,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..util import materialize, ship_package
+from ..util import materialize, number_rows, ship_package
 from . import fit, predict, stats
 
 METRICS = ["mse", "rmse", "mae", "mape", "mdape", "smape", "coverage"]
 ROLLING_WINDOW = 0.1
+BUCKET_ROWS = 20_000  # values of a category that one task holds
 
 
 def backtest_targets(train: DataFrame, cutoffs: DataFrame) -> DataFrame:
@@ -64,14 +68,16 @@ def error_rows(cv: DataFrame) -> DataFrame:
         F.abs(y).alias("_absy"))
 
 
-def performance_metrics(cv: DataFrame, rolling_window: float = ROLLING_WINDOW) -> DataFrame:
+def performance_metrics(cv: DataFrame, rolling_window: float = ROLLING_WINDOW,
+                        bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Rolling metrics per (category, horizon).
 
     Output: category_id, horizon_s, horizon (text), mse, rmse, mae, mape, mdape, smape,
     coverage.
     """
     ship_package(cv.sparkSession)
-    e = materialize(error_rows(cv))
+    # rows of one stamp keep the order of the input
+    e = materialize(error_rows(cv).withColumn("_at", F.monotonically_increasing_id()))
     means = ["mse", "mae", "mape", "smape", "coverage"]
     per_cat = (e.groupBy("category_id")
                .agg(F.count(F.lit(1)).alias("N"), F.min("_absy").alias("_miny"))
@@ -89,11 +95,8 @@ def performance_metrics(cv: DataFrame, rolling_window: float = ROLLING_WINDOW) -
 
     # Row positions in horizon order (ties by cutoff): the window of horizon k starts at
     # position C_k - w; the horizon holding that position is found by an equi-join.
-    w_in = Window.partitionBy("category_id", "h_s").orderBy("cutoff", "ds")
-    rows = (e.join(cum.select("category_id", "h_s", (F.col("C") - F.col("n_h")).alias("_c0")),
-                   ["category_id", "h_s"])
-            .withColumn("pos", F.col("_c0") + F.row_number().over(w_in) - 1)
-            .drop("_c0"))
+    rows = materialize(number_rows(e.select("category_id", "h_s", "cutoff", "ds", "_at", "mape"),
+                                   ["category_id"], ["h_s", "cutoff", "ds", "_at"], "pos"))
     start_h = rows.select("category_id", F.col("pos").alias("p"),
                           F.col("h_s").alias("h_start"))
     starts = cum.select("category_id", F.col("h_s").alias("h_start"),
@@ -114,24 +117,11 @@ def performance_metrics(cv: DataFrame, rolling_window: float = ROLLING_WINDOW) -
             .otherwise(partial)
     rolled = j.select("category_id", "h_s", "_pct_ok", *[cols[m].alias(m) for m in means])
 
-    # mdape: median over positions [C_k - max(w, n_k), C_k - 1]. A horizon with at least w
-    # rows of its own takes their median as an aggregate; the other windows hold w rows each
-    # and slide along the category, so they are dealt in blocks of w positions: a block needs
-    # its own rows and those of the block before, at most 2 w rows in one task.
-    own = (rows.join(ready.where("n_h >= w").select("category_id", "h_s"), ["category_id", "h_s"])
-           .groupBy("category_id", "h_s").agg(F.median("mape").alias("mdape")))
-    # fresh column ids on both sides: they descend from the same error rows
-    spans = ready.where("n_h < w").select(
-        F.col("category_id").alias("category_id"), "h_s", "C", "w",
-        F.floor((F.col("C") - 1) / F.col("w")).cast("long").alias("blk"))
-    dealt = (rows.join(per_cat.select("category_id", "w"), "category_id")
-             .select(F.col("category_id").alias("category_id"), "pos", "mape", F.explode(F.array(
-                 F.floor(F.col("pos") / F.col("w")).cast("long"),
-                 F.floor(F.col("pos") / F.col("w")).cast("long") + 1)).alias("blk")))
-    slid = (dealt.groupBy("category_id", "blk").cogroup(spans.groupBy("category_id", "blk"))
-            .applyInPandas(_rolling_median, "category_id string, h_s double, mdape double"))
-    mdape = own.select("category_id", F.col("h_s").cast("double").alias("h_s"), "mdape") \
-        .unionByName(slid)
+    # mdape: median over positions [C_k - max(w, n_k), C_k - 1].
+    windows = ready.select("category_id", "h_s", F.col("C").alias("b"),
+                           (F.col("C") - F.greatest("w", "n_h")).alias("a"))
+    mdape = window_medians(rows.select("category_id", "pos", F.col("mape").alias("v")), windows,
+                           bucket_rows).withColumnRenamed("median", "mdape")
     out = rolled.join(mdape, ["category_id", "h_s"], "left")
     return out.select(
         "category_id", "h_s", stats.horizon_text(F.col("h_s")).alias("horizon"),
@@ -141,36 +131,69 @@ def performance_metrics(cv: DataFrame, rolling_window: float = ROLLING_WINDOW) -
         "smape", "coverage")
 
 
-def _rolling_median(rows, spans):
-    """Medians of the windows that end in one block, over a sorted list that slides along."""
-    import bisect
-
+def window_medians(rows: DataFrame, windows: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """Median of ``v`` over the positions a <= pos < b of every window: (category_id, h_s, median).
+
+    ``rows`` holds (category_id, pos, v), ``windows`` (category_id, h_s, a, b). Counts go up as
+    (window, bucket) rows, windows times values / ``bucket_rows``; each bucket's rows cross to
+    Python twice."""
+    # fresh column ids on both sides: rows and windows may descend from one table
+    ranked = materialize(number_rows(rows, ["category_id"], ["v", "pos"], "rank").select(
+        F.col("category_id").alias("category_id"), F.expr(f"rank div {bucket_rows}").alias("bucket"), "pos", "rank", "v"))
+    windows = materialize(windows.select(*[F.col(c).alias(c) for c in windows.columns]))
+    last = ranked.groupBy("category_id").agg(F.max("bucket").alias("last"))
+    spread = windows.join(last, "category_id").select(
+        "category_id", "h_s", "a", "b", F.explode(F.sequence(F.lit(0).cast("long"), "last"))
+        .alias("bucket"))
+    keys = ["category_id", "bucket"]
+    counted = (ranked.select(*keys, "pos").groupBy(*keys).cogroup(spread.groupBy(*keys))
+               .applyInArrow(_count_inside, "category_id string, bucket long, h_s double, "
+                                            "a long, b long, n long"))
+    own = Window.partitionBy("category_id", "h_s").orderBy("bucket")
+    m = F.col("b") - F.col("a")
+    middle = (counted.withColumn("before", F.sum("n").over(own) - F.col("n"))
+              .withColumn("k", F.explode(F.array(F.floor((m - 1) / 2), F.floor(m / 2))))
+              .where((F.col("before") <= F.col("k")) & (F.col("k") < F.col("before") + F.col("n")))
+              .select(*keys, "h_s", "a", "b", (F.col("k") - F.col("before")).alias("k")))
+    picked = (ranked.groupBy(*keys).cogroup(materialize(middle).groupBy(*keys))
+              .applyInArrow(_pick_inside, "category_id string, h_s double, v double"))
+    return picked.groupBy("category_id", "h_s").agg((F.sum("v") / 2).alias("median"))
+
+
+def _count_inside(rows, windows):
+    """Rows of one bucket inside each window."""
+    import numpy as np
+    import pyarrow as pa
+    pos = np.sort(rows.column("pos").to_numpy())
+    a, b = windows.column("a").to_numpy(), windows.column("b").to_numpy()
+    n = np.searchsorted(pos, b) - np.searchsorted(pos, a)
+    return pa.table({c: windows.column(c) for c in ("category_id", "bucket")}
+                    | {"h_s": windows.column("h_s").cast(pa.float64()), "a": a, "b": b, "n": n})
+
+
+def _pick_inside(rows, windows):
+    """The k-th smallest of one bucket's values inside each window, for all windows at once:
+    from the whole bucket down, the rows of the lower half inside the window say which half
+    holds it."""
     import numpy as np
-    import pandas as pd
-    if rows.empty or spans.empty:
-        return pd.DataFrame({"category_id": pd.Series([], dtype=object), "h_s": np.zeros(0),
-                             "mdape": np.zeros(0)})
-    rows = rows.sort_values("pos")
-    first, values = int(rows["pos"].iloc[0]), rows["mape"].to_numpy(float)
-    spans = spans.sort_values("C")
-    w = int(spans["w"].iloc[0])
-    window: list[float] = []
-    lo = hi = None
-    out = []
-    for end in spans["C"].to_numpy(int) - first:
-        start = end - w
-        if lo is None:
-            window = sorted(values[start:end])
-        else:
-            for v in values[hi:end]:
-                bisect.insort(window, v)
-            for v in values[lo:start]:
-                window.pop(bisect.bisect_left(window, v))
-        lo, hi = start, end
-        out.append((window[(w - 1) // 2] + window[w // 2]) / 2)
-    name = pd.Series([spans["category_id"].iloc[0]] * len(out), dtype=object)
-    return pd.DataFrame({"category_id": name, "h_s": spans["h_s"].to_numpy(float),
-                         "mdape": np.array(out)})
+    import pyarrow as pa
+    order = np.argsort(rows.column("rank").to_numpy())
+    pos, v = rows.column("pos").to_numpy()[order], rows.column("v").to_numpy()[order]
+    a, b, k = (windows.column(c).to_numpy() for c in ("a", "b", "k"))
+    k, low, place = k.copy(), np.zeros(len(k), np.int64), np.arange(len(pos))
+    span = int(pos.max(initial=0)) + 2
+    for level in range(max(len(pos) - 1, 0).bit_length() - 1, -1, -1):
+        half = 1 << level
+        # positions in order inside each stretch of ``half`` values
+        sorted_ = np.sort((place >> level) * span + pos)
+        base = (low >> level) * span
+        n = np.searchsorted(sorted_, base + np.minimum(b, span - 1)) - np.searchsorted(
+            sorted_, base + np.minimum(a, span - 1))
+        up = k >= n
+        k[up] -= n[up]
+        low[up] += half
+    return pa.table({"category_id": windows.column("category_id"),
+                     "h_s": windows.column("h_s"), "v": v[low] if len(v) else np.zeros(len(k))})
 
 
 def metrics_json(metrics: DataFrame) -> DataFrame:

@@ -7,7 +7,8 @@ import io
 import os
 import zipfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 from .session import checkpoint_root
 
@@ -20,6 +21,29 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def number_rows(df: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
+    """``df`` with the place (from 0) of every row among those with its ``keys``, by ``order``.
+
+    No window over a key: rows are range-partitioned and sorted by key and order, so a hot key
+    spreads over many tasks, numbered inside their partition, and written; the counts per (key,
+    partition) are summed up and joined back. ``keys`` must not be null."""
+    at = F.monotonically_increasing_id()
+    done = materialize(df.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
+                       .withColumn("_id", at))
+    part, row = F.shiftright("_id", 33), F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
+    rows = done.select(*df.columns, part.alias("_part"), row.alias("_row"))
+    counts = rows.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_n"),
+                                              F.min("_row").alias("_first"))
+    own = Window.partitionBy(*keys).orderBy("_part")
+    shifts = counts.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
+                           F.col("_part").alias("_p"),
+                           (F.sum("_n").over(own) - F.col("_n") - F.col("_first")).alias("_shift"))
+    same = F.col("_part") == F.col("_p")
+    for i, k in enumerate(keys):
+        same = same & (F.col(k) == F.col(f"_k{i}"))
+    return rows.join(shifts, same).select(*df.columns, (F.col("_row") + F.col("_shift")).alias(name))
+
+
 _SHIPPED: set = set()
 
 
