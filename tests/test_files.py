@@ -154,6 +154,38 @@ def test_quoted_files_are_split(spark, tmpdir_path):
         assert got.get(name, []) == ([None] if records is None else records), texts[name]
 
 
+def test_long_fields_and_many_fields_need_no_stack(spark, tmpdir_path):
+    """Quoted fields of a megabyte (doubled quotes, commas, line breaks inside), 200,000 fields,
+    and their broken versions: split or refused like short ones."""
+    big = 'x""y,' * 200_000
+    texts = {
+        "field.csv": f'a,b\n1,"{big}"\n',
+        "breaks.csv": f'a,b\n"{big}\n{big}\n",2\n3,4\n',
+        "wide.csv": ",".join(["1"] * 200_000) + "\n" + ",".join(['"2"'] * 200_000) + "\n",
+        "wide_breaks.csv": ",".join(['"2"'] * 100_000) + ',"a\nb"' + ',"c"' * 100_000 + "\n",
+        "between.csv": '"a\nb",c' + ",d" * 50_000 + ',"e\nf"\n',
+        "open.csv": f'a,b\n1,"{big}\n',
+        "after.csv": f'a,b\n1,"{big}"z\n',
+    }
+    want = {}
+    for name, text in texts.items():
+        with open(f"{tmpdir_path}/{name}", "w", newline="") as f:
+            f.write(text)
+        try:
+            want[name] = _strict_records(text)
+        except ValueError:
+            want[name] = None
+    paths = [f"{tmpdir_path}/{n}" for n in texts]
+    got = {}
+    for r in sorted(sales_files.read_whole(spark, paths).collect(), key=lambda r: r.place):
+        got.setdefault(r.file_name, []).append(r.fields if r.whole else None)
+    for name, records in want.items():
+        assert got[name] == ([None] if records is None else records), name
+    lines = {(r.file_name, r.whole) for r in sales_files.read_lines(spark, paths).collect()}
+    assert ("field.csv", True) in lines and ("wide.csv", True) in lines
+    assert ("breaks.csv", False) in lines and ("after.csv", False) in lines
+
+
 def test_rewritten_file_without_valid_rows_clears_its_delta(spark, tmpdir_path):
     d, fact, ledger = (f"{tmpdir_path}/{x}" for x in ("sales", "fact", "ledger"))
     write_text(f"{d}/a.csv", HEADER + good(2))

@@ -17,15 +17,17 @@ from ..schemas import RAW_SALE_COLUMNS
 
 CORRUPT = "_corrupt_record"
 
-# One field of a record: quoted with doubled quotes inside, or free of quotes and commas.
-FIELD = r'"(?:[^"]|"")*"|[^",]*'
-WHOLE_RECORD = rf"^(?:{FIELD})(?:,(?:{FIELD}))*$"
+# Inside of a quoted field, and one field of a record: quoted with doubled quotes inside, or free
+# of quotes and commas. Every repeat is possessive, so a match keeps no state for each character,
+# quote or field and fields of any length and number are split in linear time.
+INSIDE = r'[^"]*+(?:""[^"]*+)*+'
+FIELD = rf'"{INSIDE}"|[^",]*+(?!")'
+WHOLE_RECORD = rf"^(?:{FIELD})(?:,(?:{FIELD}))*+$"
 NEXT_FIELD = rf",({FIELD})"
 # Lines of a record with a quoted line break: the first, the last, and those between.
-INSIDE = r'[^"]*+(?:""[^"]*+)*+'
-OPENS = rf'^(?:(?:{FIELD}),)*"{INSIDE}$'
-CLOSES = rf'^{INSIDE}"(?:,(?:{FIELD}))*$'
-GOES_ON = rf'^{INSIDE}(?:"(?:,(?:{FIELD}))*,"{INSIDE})?$'
+OPENS = rf'^(?:(?:{FIELD}),)*+"{INSIDE}$'
+CLOSES = rf'^{INSIDE}"(?:,(?:{FIELD}))*+$'
+GOES_ON = rf'^{INSIDE}(?:"(?:,(?:{FIELD}))*+,"{INSIDE})?$'
 
 
 def _scan_schema(width: int) -> T.StructType:
