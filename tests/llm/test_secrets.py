@@ -77,6 +77,17 @@ def test_cases(spark):
     assert secrets.digests(secrets.scan(docs.limit(0))).count() == 0
 
 
+def test_very_long_candidates(spark):
+    """Paths of a megabyte, and one long run of each class, need no stack in the patterns."""
+    texts = {1: "a" + "/b1" * 400_000, 2: "x token=" + "Zx8Qp2Lm9/" * 20, 3: "a" + "/b1" * 2000 + "/" + "Q" * 9,
+             4: "password=" + "k" * 100_000, 5: "AKIA" + "Z9" * 10_000, 6: "0f" * 2000,
+             7: "a_" * 300_000 + "8"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    rows = secrets.digests(secrets.scan(docs)).collect()
+    assert len(rows) == len(texts)
+    check([r for r in rows if r.doc_id in (1, 2, 4, 5, 6)], texts)
+
+
 def test_whole_table(spark):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SMOKE}/documents.parquet").collect()}
     check(queries.QUERIES["op3_secrets"](spark, SMOKE).collect(), texts)

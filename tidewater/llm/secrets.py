@@ -43,7 +43,8 @@ ALLOW = [
     r"^[A-Za-z_+/=-]+$",                                                 # words without digits
     r"^[0-9a-fA-F]{8}-([0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}$",             # UUIDs
     r"(?i:example|sample|dummy|placeholder|xxxx)",                       # documentation keys
-    r"^[A-Za-z]+([_/-][A-Za-z0-9]{1,8})+$",                              # paths, identifiers
+    # paths, identifiers; possessive, so that thousands of parts need no stack
+    r"^[A-Za-z]++(?:[_/-][A-Za-z0-9]{1,8}+)++$",
 ]
 MASK = "[SECRET]"
 
