@@ -39,7 +39,7 @@ from .graph import settle
 from .textkit import batches, prepare, text_bytes
 
 DEPTH, MIN_COUNT, TOP = 3, 10, 2000
-SHARD_BYTES, HELD = 5_000_000, 4  # a task holds texts of at most so many shards
+SHARD_BYTES, HELD = 4_000_000, 3  # a task holds texts of at most so many shards
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _STOP = np.zeros(256, bool)  # ends a piece

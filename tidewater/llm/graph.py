@@ -8,10 +8,22 @@ from pyspark.sql import functions as F
 from ..session import scratch_path
 
 
+# Spark's own switch: an execution removes its shuffle files when it has ended.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def settle(df: DataFrame, name: str) -> DataFrame:
-    """Writes a table to the shared checkpoint folder once and goes on from the files."""
+    """Writes a table to the shared checkpoint folder once and goes on from the files. The
+    shuffle files of the write go when it has ended, as nothing reads them any more; the
+    caller's setting is put back."""
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    conf = df.sparkSession.conf
+    before = conf.get(_CLEANUP, "false")
+    conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(_CLEANUP, before)
     out = df.sparkSession.read.parquet(path)
     out.settled_at = path
     return out
