@@ -150,11 +150,6 @@ def load_metadata(raw_categories: DataFrame, raw_products: DataFrame):
     return cats, prods, report
 
 
-def publish_metadata(cats: DataFrame, prods: DataFrame, root: str) -> int:
-    """Both dimensions as one snapshot: readers see the old pair or the new one."""
-    return store.write_group({"categories": cats, "products": prods}, root)
-
-
 def _ledger_status(spark: SparkSession, names: list[str], status: str, ledger_path: str,
                    as_of) -> None:
     rows = spark.createDataFrame([(n, status) for n in names], "file_name string, status string")
@@ -168,14 +163,17 @@ def refresh_metadata(spark: SparkSession, raw_categories: DataFrame, raw_product
     only when no key is repeated and no product is an orphan; the outcome (SUCCESS or FAILED)
     is recorded in the ledger for both files. Returns the report of offending keys.
 
-    Both tables are complete before either becomes current: the new products snapshot is
-    published after the categories it refers to."""
+    Both tables (folders of one parent folder) become current in one commit, so that no reader
+    and no crash sees products without their categories; a refresh that another writer
+    overtakes is applied after it, as the input is the whole table."""
     cats, prods, orphans = load_metadata(raw_categories, raw_products)
     cats, prods, orphans = materialize(cats), materialize(prods), materialize(orphans)
     ok = orphans.isEmpty()
     if ok:
-        store.write_snapshot(cats, categories_path)
-        store.write_snapshot(prods, products_path)
+        (root, c_name), (other, p_name) = store._place(categories_path), store._place(products_path)
+        if root != other:
+            raise ValueError("both tables must be folders of one parent folder")
+        store.commit(root, replace={c_name: cats, p_name: prods})
     if ledger_path:
         _ledger_status(spark, list(names), "SUCCESS" if ok else "FAILED", ledger_path, as_of)
     return orphans

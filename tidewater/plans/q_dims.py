@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .. import store
 from ..operators import dims, ingest, promotions, quality
 from ..sources.tables import (categories_from_part, historical_forecasts_from_orders,
                               ledger_from_orders, live_forecasts_from_orders,
@@ -226,3 +227,50 @@ def q_dim_products_csv(spark, sf_dir):
     if bad:
         raise ValueError("products file has malformed records")
     return dims.dim_products(raw)
+
+
+@register("metadata_refresh", f"""
+SELECT 1 AS version, 'categories' AS table_name, COUNT(DISTINCT category_id) AS n_rows,
+       min(category_id) AS first_key FROM ({PRODUCTS_SQL}) WHERE category_id < 'Brand#3'
+UNION ALL SELECT 1, 'products', COUNT(*), min(product_id) FROM ({PRODUCTS_SQL})
+          WHERE category_id < 'Brand#3'
+UNION ALL SELECT 2, 'categories', COUNT(DISTINCT category_id), min(category_id) FROM ({PRODUCTS_SQL})
+UNION ALL SELECT 2, 'products', COUNT(*), min(product_id) FROM ({PRODUCTS_SQL})""")
+def q_metadata_refresh(spark, sf_dir):
+    """Both dimensions committed together: first those of some brands, then all, then a
+    refresh without one brand's category, which is refused. One row per commit and table."""
+    from ..session import scratch_path
+    from . import etl
+    part = read_table(spark, sf_dir, "part")
+    raw_c, raw_p = categories_from_part(part), products_from_part(part)
+    root = scratch_path(spark, "metadata")
+    some, gap = F.col("category_id") < "Brand#3", F.col("category_id") != "Brand#11"
+    for cats, prods in ((raw_c.where(some), raw_p.where(some)), (raw_c, raw_p),
+                        (raw_c.where(gap), raw_p)):
+        etl.refresh_metadata(spark, cats, prods, f"{root}/categories", f"{root}/products")
+    out = None
+    for version in range(1, store.manifest(spark, root)[0] + 1):
+        for name, key in (("categories", "category_id"), ("products", "product_id")):
+            one = store.read_version(spark, f"{root}/{name}", version).agg(
+                F.lit(version).alias("version"), F.lit(name).alias("table_name"),
+                F.count(F.lit(1)).alias("n_rows"), F.min(key).alias("first_key"))
+            out = one if out is None else out.unionByName(one)
+    return out
+
+
+@register("register_twice", """
+SELECT o_orderkey AS id, o_orderpriority AS category_id,
+       row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate DESC, o_orderkey DESC) = 1
+         AS is_latest
+FROM orders""")
+def q_register_twice(spark, sf_dir):
+    """Versions registered in overlapping batches, one of them twice: each is in the
+    registry once, and one per category is the latest."""
+    from ..session import scratch_path
+    from . import training
+    rows = model_versions_from_orders(read_table(spark, sf_dir, "orders"))
+    path = f"{scratch_path(spark, 'versions')}/registry"
+    half = F.col("id") % 2 == 0
+    for batch in (rows.where(half), rows, rows.where(~half)):
+        training.register_versions(spark, batch, path)
+    return training.latest_versions(spark, path).select("id", "category_id", "is_latest")

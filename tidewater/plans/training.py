@@ -39,39 +39,49 @@ def train_all(train: DataFrame, promo_feats: DataFrame, as_of) -> dict:
     return {"models": models, "backtest": cv, "metrics": metrics, "registry": registry}
 
 
-def register_versions(spark: SparkSession, registry_rows: DataFrame, registry_path: str) -> None:
-    """Append new versions (is_latest is derived on read by ``latest_versions``)."""
-    store.append(registry_rows.drop("is_latest"), registry_path)
+def register_versions(spark: SparkSession, registry_rows: DataFrame, registry_path: str) -> int:
+    """Append the versions that the registry lacks, by (category, version): a retry or a
+    second scheduler adds none twice. ``is_latest`` is derived on read by ``latest_versions``.
+    Returns the number of new rows."""
+    return store.append_unique(registry_rows.drop("is_latest"), registry_path,
+                               ["category_id", "version"])
 
 
 def latest_versions(spark: SparkSession, registry_path: str) -> DataFrame:
     """The registry with one ``is_latest`` per category."""
-    return reads.mark_latest(spark.read.parquet(registry_path))
+    return reads.mark_latest(store.read_current(spark, registry_path))
 
 
 def refresh_cache(spark: SparkSession, models: DataFrame, model_ids: DataFrame,
                   promo_feats: DataFrame, live_path: str, history_path: str, as_of) -> int:
-    """Archive the current live table, then publish a new live snapshot in which
-    categories with a new forecast are replaced. Returns the new snapshot id.
-
-    The archive rows are stored per live snapshot that they copy (``from=<snapshot>``), so a
-    retry after a crash between the two writes replaces them instead of archiving twice."""
+    """Archive the current live table and publish a new one in which categories with a new
+    forecast are replaced, in one commit: a crash leaves both as they were, a retry archives
+    once, and a writer that comes in between makes it start again from the new state. Live and
+    archive are folders of one parent folder. Returns the number of the commit."""
+    (root, live), (other, history) = store._place(live_path), store._place(history_path)
+    if root != other:
+        raise ValueError("live and archive must be folders of one parent folder")
     m = models.where(F.col("status") == "OK").join(model_ids, "category_id")
-    fresh = forecasts.live_rows(forecasts.standard_forecasts(m, promo_feats))
-    old = store.read_current(spark, live_path, LIVE_FORECAST)
-    ids = store.snapshot_ids(spark, live_path)
-    archived = forecasts.archive_forecasts(old, as_of)
-    archived.write.mode("overwrite").parquet(f"{history_path}/from={ids[-1] if ids else 0}")
-    return store.write_snapshot(forecasts.refreshed_live(old, fresh), live_path)
+    fresh = materialize(forecasts.live_rows(forecasts.standard_forecasts(m, promo_feats)))
+    while True:
+        base = store.manifest(spark, root)[0]
+        old = store.read_current(spark, live_path, LIVE_FORECAST)
+        try:
+            return store.commit(root, replace={live: forecasts.refreshed_live(old, fresh)},
+                                append={history: forecasts.archive_forecasts(old, as_of)}, base=base)
+        except store.Conflict:
+            continue
 
 
 def read_history(spark: SparkSession, history_path: str) -> DataFrame:
     """All archived forecasts."""
-    return spark.read.parquet(history_path).drop("from")
+    return store.read_current(spark, history_path)
 
 
 def record_performance(spark: SparkSession, history_path: str, fact: DataFrame,
-                       performance_path: str) -> None:
-    """Score archived forecasts against the fact and append the metrics."""
-    store.append(forecasts.performance_rows(read_history(spark, history_path), fact),
-                 performance_path)
+                       performance_path: str) -> int:
+    """Score archived forecasts against the fact and append the metrics that are not
+    recorded yet, by (model version, period, metric). Returns the number of new rows."""
+    return store.append_unique(
+        forecasts.performance_rows(read_history(spark, history_path), fact), performance_path,
+        ["model_version_id", "evaluation_period_start", "evaluation_period_end", "metric_name"])

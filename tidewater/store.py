@@ -7,17 +7,24 @@
   written to a new ``snap=<id>`` folder; readers follow the newest *complete* snapshot
   (its ``_SUCCESS`` marker is written last by Spark), so they never see a half-written or
   empty table.
-Append-only tables (ledger, registry, history) are plain parquet appends.
+* Commits: tables that change together (categories and products; live forecasts and their
+  archive) or whose keys are unique (registry, performance) are written to folders of their own,
+  which no reader sees, and then named in a numbered manifest. A manifest is created complete
+  and only if its number is free, so of two writers one wins the number and the other starts
+  from the winner's state; a crash before it leaves folders that nothing names.
+The ledger is a plain parquet append: its readers take the latest row per file.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .schemas import MONEY
+from .util import materialize
 
 
 def _fs(spark: SparkSession, path: str):
@@ -104,6 +111,11 @@ def write_group(tables: dict[str, DataFrame], root: str) -> int:
 
 
 def read_current(spark: SparkSession, table_path: str, schema=None) -> DataFrame | None:
+    """The table as of the newest commit of its folder that names it, or its newest snapshot."""
+    root, name = _place(table_path)
+    folders = manifest(spark, root)[1].get(name)
+    if folders:
+        return _read_folders(spark, root, folders)
     names = _snapshots(spark, table_path)
     if not names:
         return spark.createDataFrame([], schema) if schema is not None else None
@@ -133,6 +145,128 @@ def drop_old_snapshots(spark: SparkSession, table_path: str, keep: int = 2) -> N
         fs.delete(p, True)
 
 
+# ------------------------------------------------------------------------------- commits
+class Conflict(RuntimeError):
+    """Another writer has changed a table since its contents were read."""
+
+
+def _place(table_path: str) -> tuple[str, str]:
+    """Root folder and name of a table."""
+    root, _, name = table_path.rstrip("/").rpartition("/")
+    return root, name
+
+
+def manifest(spark: SparkSession, root: str, version: int | None = None) -> tuple[int, dict]:
+    """Number and content of the newest manifest of ``root`` (or of ``version``): the folders,
+    relative to it, that make up each table. (0, {}) before the first commit."""
+    jvm, p, fs = _fs(spark, f"{root}/_manifest")
+    if version is None:
+        found = [int(st.getPath().getName()[:-5]) for st in (fs.listStatus(p) if fs.exists(p) else [])
+                 if st.getPath().getName().endswith(".json") and
+                 not st.getPath().getName().startswith(".")]
+        version = max(found, default=0)
+    if not version:
+        return 0, {}
+    stream = fs.open(jvm.org.apache.hadoop.fs.Path(p, f"{version:010d}.json"))
+    try:
+        return version, json.loads(jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+    finally:
+        stream.close()
+
+
+def _create_manifest(spark: SparkSession, root: str, version: int, tables: dict) -> bool:
+    """Compare and set: the whole manifest appears under its number, or nothing does if the
+    number is taken (a rename that does not overwrite)."""
+    jvm, folder, fs = _fs(spark, f"{root}/_manifest")
+    draft = jvm.org.apache.hadoop.fs.Path(folder, f".{uuid.uuid4().hex}.json")
+    out = fs.create(draft, False)
+    try:
+        out.write(bytearray(json.dumps(tables, sort_keys=True).encode()))
+    finally:
+        out.close()
+    options = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+    none = spark.sparkContext._gateway.new_array(options, 1)
+    none[0] = options.NONE
+    files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(
+        fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    try:
+        files.rename(fs.makeQualified(draft), fs.makeQualified(
+            jvm.org.apache.hadoop.fs.Path(folder, f"{version:010d}.json")), none)
+        return True
+    except Exception as e:
+        fs.delete(draft, False)
+        if "FileAlreadyExistsException" in str(e):
+            return False
+        raise
+
+
+def _read_folders(spark: SparkSession, root: str, folders: list[str]) -> DataFrame:
+    return spark.read.parquet(*[f"{root}/{f}" for f in folders])
+
+
+def commit(root: str, replace: dict[str, DataFrame] | None = None,
+           append: dict[str, DataFrame] | None = None, base: int | None = None) -> int:
+    """Makes new contents of several tables of ``root`` current at once; returns the number of
+    the manifest.
+
+    ``base``: the manifest that the contents were made from. If another commit has since
+    changed one of these tables, nothing changes and ``Conflict`` is raised; commits of other
+    tables are taken over. Without it the last writer of a table wins."""
+    replace, append = replace or {}, append or {}
+    spark = next(iter({**replace, **append}.values())).sparkSession
+    new = {name: f"{name}/gen={uuid.uuid4().hex}" for name in (*replace, *append)}
+    for name, df in {**replace, **append}.items():
+        df.write.parquet(f"{root}/{new[name]}")
+    before = manifest(spark, root, base)[1] if base is not None else None
+    while True:
+        head, tables = manifest(spark, root)
+        for name in new if before is not None else ():
+            if tables.get(name) != before.get(name):
+                raise Conflict(f"{root}/{name} has changed since manifest {base}")
+        named = tables | {n: [new[n]] for n in replace} | {
+            n: tables.get(n, []) + [new[n]] for n in append}
+        if _create_manifest(spark, root, head + 1, named):
+            return head + 1
+
+
+def read_version(spark: SparkSession, table_path: str, version: int) -> DataFrame:
+    """A table as of a manifest of its folder."""
+    root, name = _place(table_path)
+    return _read_folders(spark, root, manifest(spark, root, version)[1][name])
+
+
+def append_unique(df: DataFrame, table_path: str, keys: list[str]) -> int:
+    """Appends the rows whose key the table lacks and returns their number, so that a retry or
+    an overlapping batch adds nothing twice. A writer that comes in between makes the
+    comparison start again from its state. A key that occurs twice in ``df`` is an error.
+
+    Null keys count as values, like any other."""
+    spark = df.sparkSession
+    root, name = _place(table_path)
+    rows = materialize(df)
+    twice = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1").first()
+    if twice is not None:
+        raise ValueError(f"key {twice.asDict()} occurs more than once in one batch")
+    while True:
+        base, tables = manifest(spark, root)
+        fresh = rows
+        if name in tables:
+            known = _read_folders(spark, root, tables[name]).select(
+                *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)])
+            same = F.lit(True)
+            for i, k in enumerate(keys):
+                same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+            fresh = materialize(rows.join(known, same, "left_anti"))
+        n = fresh.count()
+        if not n:
+            return 0
+        try:
+            commit(root, append={name: fresh}, base=base)
+            return n
+        except Conflict:
+            continue
+
+
 # ------------------------------------------------------------------------------- appends
 def append(df: DataFrame, table_path: str) -> None:
     df.write.mode("append").parquet(table_path)
