@@ -110,7 +110,7 @@ def test_backtest_skipped_when_history_is_short(spark):
     from tidewater.plans.q_ingest import events_fact
     from conftest import SMOKE
     train = stats.training_frame(events_fact(spark, SMOKE))
-    assert stats.cv_cutoffs(stats.cv_params(train)).count() == 0
+    assert stats.cv_cutoffs(stats.cv_params(train), train).count() == 0
     empty = train.select("category_id", F.lit("none").alias("promotion_name"),
                          F.to_date("ds").alias("ds")).where(F.lit(False))
     cv = backtest.backtest_forecasts(train, empty)
@@ -185,3 +185,40 @@ def test_a_bad_block_fails_its_own_fits_only(spark):
     assert [c for c in cats if got[c].status != "OK"] == ["c07"]
     assert "2022-02-01" in got["c07"].error and got["c07"].beta is None
     assert all(got[c].gap < 1e-8 for c in cats if c != "c07")
+
+
+def plain_cutoffs(ds, horizon, initial, period):
+    """The published rule, one series at a time (all in days)."""
+    out, cut = [], ds.max() - horizon
+    while cut >= ds.min() + initial:
+        out.append(cut)
+        cut = cut - period
+        if not ((ds > cut) & (ds <= cut + horizon)).any() and cut > ds.min():
+            cut = ds[ds <= cut].max() - horizon
+    return out
+
+
+def test_cutoffs_jump_over_windows_without_data(spark):
+    rng = np.random.default_rng(2)
+    series = {"dense": np.arange(700), "hole": np.r_[0:400, 490:700], "late": np.r_[0:500, 640:700],
+              "two": np.r_[0:150, 260:420, 560:900], "short": np.arange(100)}
+    for k in range(8):
+        days = np.arange(1000)
+        for _ in range(3):
+            a = int(rng.integers(0, 900))
+            days = days[(days < a) | (days > a + int(rng.integers(60, 200)))]
+        series[f"r{k}"] = days
+    train = spark.createDataFrame(pd.concat([pd.DataFrame(
+        {"category_id": c, "ds": pd.Timestamp("2020-01-01") + pd.to_timedelta(d, unit="D"), "y": 1.0})
+        for c, d in series.items()])).withColumn("ds", F.col("ds").cast("timestamp_ntz"))
+    params = stats.cv_params(train)
+    got = {}
+    for r in stats.cv_cutoffs(params, train).orderBy("category_id", "cutoff_index").collect():
+        got.setdefault(r.category_id, []).append((r.cutoff - pd.Timestamp("2020-01-01")).days)
+    jumped = 0
+    for p in params.collect():
+        want = plain_cutoffs(series[p.category_id], p.horizon_days, p.initial_days,
+                             p.period_days) if p.backtest else []
+        assert got.get(p.category_id, []) == want
+        jumped += any(a - b != p.period_days for a, b in zip(want, want[1:]))
+    assert jumped >= 3 and "short" not in got

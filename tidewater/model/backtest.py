@@ -44,7 +44,7 @@ def backtest_forecasts(train: DataFrame, promo_feats: DataFrame,
 
     ``params`` may hold already-fitted cutoff models (from a joint training run)."""
     train = materialize(train.select("category_id", "ds", "y"))
-    cutoffs = materialize(stats.cv_cutoffs(stats.cv_params(train)))
+    cutoffs = materialize(stats.cv_cutoffs(stats.cv_params(train), train))
     if params is None:
         params = fit.fit_models(train, promo_feats, cutoffs, include_full=False)
     targets = backtest_targets(train, cutoffs)

@@ -123,27 +123,58 @@ def cv_params(train: DataFrame) -> DataFrame:
             .withColumn("period", F.concat(F.col("period_days").cast("string"), F.lit(" days"))))
 
 
-def cv_cutoffs(params: DataFrame) -> DataFrame:
-    """M4: cutoffs ``max - horizon - i*period`` that stay at or after ``min + initial``.
-
-    The number of cutoffs per category is (span - initial - horizon) / period + 1, computed
-    up front so ``sequence`` + ``explode`` emits them without a loop.
-    """
-    p = params.where("backtest")
-    h_s = F.col("horizon_days") * F.lit(DAY_S)
-    first = epoch_s(F.col("ds_max")) - h_s
-    floor_s = epoch_s(F.col("ds_min")) + F.col("initial_days") * F.lit(DAY_S)
-    n_cut = F.floor((first - floor_s) / (F.col("period_days") * F.lit(DAY_S))).cast("int")
-    return (p.select("category_id", "horizon_days", "period_days", "ds_min", "ds_max",
-                     first.alias("_first"), n_cut.alias("_n"))
-            .where(F.col("_n") >= 0)
-            .select("category_id", "horizon_days", "ds_min", "ds_max",
-                    F.explode(F.sequence(F.lit(0), F.col("_n"))).alias("cutoff_index"),
-                    "_first", "period_days")
+def long_gaps(train: DataFrame, params: DataFrame) -> DataFrame:
+    """(category_id, gaps): the stretches without data that are longer than the horizon, as
+    pairs of the last stamp before and the first one after, in seconds. A horizon is at least a
+    tenth of the history, so there are ten of them at most. Only the first and last stamps of
+    days are ordered, not the rows of a series."""
+    days = train.groupBy("category_id", F.to_date("ds").alias("_d")).agg(
+        F.min(epoch_s(F.col("ds"))).alias("_lo"), F.max(epoch_s(F.col("ds"))).alias("_hi"))
+    by_day = Window.partitionBy("category_id").orderBy("_d")
+    pairs = days.select("category_id", F.lag("_hi").over(by_day).alias("lo"), F.col("_lo").alias("hi"))
+    return (pairs.join(params.select(F.col("category_id").alias("_c"), "horizon_days"),
+                       F.col("category_id") == F.col("_c"))
+            .where(F.col("hi") - F.col("lo") > F.col("horizon_days") * F.lit(DAY_S))
+            .groupBy("category_id").agg(F.collect_list(F.struct("lo", "hi")).alias("gaps")))
+
+
+def cv_cutoffs(params: DataFrame, train: DataFrame) -> DataFrame:
+    """M4: cutoffs from ``max - horizon`` down, ``period`` apart, that stay at or after
+    ``min + initial``. A cutoff whose horizon window (cutoff, cutoff + horizon] holds no data is
+    replaced by the last stamp at or before it minus the horizon, and the steps go on from
+    there.
+
+    Such a window lies inside a gap longer than the horizon, so the last stamp is that gap's
+    start; the steps of a category run over an array of at most
+    (span - initial - horizon) / period + 1 places."""
+    p = params.where("backtest").select(
+        "category_id", "horizon_days", "ds_min", "ds_max",
+        (F.col("horizon_days") * F.lit(DAY_S)).alias("h"),
+        (F.col("period_days") * F.lit(DAY_S)).alias("step"),
+        (epoch_s(F.col("ds_max")) - F.col("horizon_days") * F.lit(DAY_S)).alias("first"),
+        (epoch_s(F.col("ds_min")) + F.col("initial_days") * F.lit(DAY_S)).alias("least"))
+    gaps = long_gaps(train, params).select(F.col("category_id").alias("_g"), "gaps")
+    none = F.array().cast("array<struct<lo:double,hi:double>>")
+    one = (p.join(gaps, F.col("category_id") == F.col("_g"), "left")
+           .where(F.col("first") >= F.col("least"))
+           .withColumn("gaps", F.coalesce(F.col("gaps").cast("array<struct<lo:double,hi:double>>"), none)))
+
+    def onward(acc: Column, _: Column) -> Column:
+        last = F.element_at(acc, -1)
+        hole = F.get(F.filter("gaps", lambda g: (g["lo"] <= last - F.col("step")) & (
+            g["hi"] > last - F.col("step") + F.col("h"))), F.lit(0))
+        # no stamp before the first one to go back to
+        back = hole["lo"].isNotNull() & (last - F.col("step") > epoch_s(F.col("ds_min")))
+        new = F.when(back, hole["lo"] - F.col("h")).otherwise(last - F.col("step"))
+        return F.when(last < F.col("least"), acc).otherwise(F.concat(acc, F.array(new)))
+
+    steps = F.floor((F.col("first") - F.col("least")) / F.col("step")).cast("int") + 1
+    cuts = F.filter(F.aggregate(F.sequence(F.lit(1), steps),
+                                F.array(F.col("first").cast("double")), onward),
+                    lambda c: c >= F.col("least"))
+    return (one.select("category_id", "horizon_days", F.posexplode(cuts).alias("cutoff_index", "_c"))
             .select("category_id", "cutoff_index", "horizon_days",
-                    F.timestamp_seconds(F.col("_first") - F.col("cutoff_index")
-                                        * F.col("period_days") * F.lit(DAY_S))
-                    .cast("timestamp_ntz").alias("cutoff")))
+                    F.timestamp_seconds("_c").cast("timestamp_ntz").alias("cutoff")))
 
 
 # --------------------------------------------------------------------- changepoint stamps

@@ -119,7 +119,8 @@ FROM ({CV_PARAMS_SQL}), LATERAL (SELECT unnest(generate_series(0, CAST(floor(
     / (period_days * 86400)) AS BIGINT))) AS i)
 WHERE backtest""")
 def q_cv_cutoffs(spark, sf_dir):
-    return stats.cv_cutoffs(stats.cv_params(brand_train(spark, sf_dir)))
+    train = brand_train(spark, sf_dir)
+    return stats.cv_cutoffs(stats.cv_params(train), train)
 
 
 def steps_sql(daily: int, monthly: int, yearly: int) -> str:

@@ -28,7 +28,7 @@ def train_all(train: DataFrame, promo_feats: DataFrame, as_of) -> dict:
     train = materialize(train.select("category_id", "ds", "y"))
     trainable = stats.trainable_categories(train)
     train = train.join(trainable.select("category_id"), "category_id", "left_semi")
-    cutoffs = materialize(stats.cv_cutoffs(stats.cv_params(train)))
+    cutoffs = materialize(stats.cv_cutoffs(stats.cv_params(train), train))
     params = fit.fit_models(train, promo_feats, cutoffs)          # full + cutoff fits
     models = params.where(F.col("cutoff").isNull())
     cv_params = params.where(F.col("cutoff").isNotNull())
