@@ -240,9 +240,11 @@ def mine(docs: DataFrame, depth: int = DEPTH, min_count: int = MIN_COUNT, text_c
              .groupBy("shard").agg(F.collect_list(F.struct("local", "number")).alias("known")))
     run, packed, numbers = _gram_rows(depth, bits)
     keys = [f"w{i}" for i in range(1, depth + 1)]
+    # a shard's rows are counts already, so they are dealt at once: a hash table before the
+    # exchange would find hardly an equal key and take the memory of the index
     grams = settle(shards.select("shard", "ids").join(known, "shard").select("ids", "known")
                    .mapInArrow(run, ", ".join(f"{k} long" for k in packed) + ", n long")
-                   .groupBy(*packed).agg(F.sum("n").alias("n")).where(F.col("n") >= min_count)
+                   .repartition(*packed).groupBy(*packed).agg(F.sum("n").alias("n")).where(F.col("n") >= min_count)
                    .select(*numbers, "n"), "phrases-grams")
     zero = F.lit(0).cast("long")
     parts = grams.union(words.select("number", *[zero] * (depth - 1), "f")).select(
