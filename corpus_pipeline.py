@@ -16,8 +16,8 @@ STAGES = [
     ("packing", stages.packing),
 ]
 
-# Trained scores, near-duplicate components and tokenizer ids are beyond SQL; the tests hold
-# the stages against brute-force versions.
+# Trained scores, near-duplicate components and tokenizer ids are beyond SQL; the tests hold each
+# stage against its operator, and the operators against brute force on small tables.
 ORACLE_SQL = None
 
 
