@@ -5,10 +5,14 @@ import json
 import os
 import time
 
+import pytest
+from pyspark.sql import functions as F
+
 from conftest import write_text
+from tidewater import store
 from tidewater.operators import ingest
 from tidewater.schemas import RAW_SALE
-from tidewater.streaming import hourly
+from tidewater.streaming import hourly, late
 
 
 def msg(tid, cat, ts, q="1", p="2.00"):
@@ -100,3 +104,108 @@ def test_crash_in_the_middle_of_a_write_loses_nothing(spark, tmpdir_path):
     assert after == {**before, ("2024-01-01 10:00:00", "C1"): (9.0, 3)}
     hourly.compact_stream_table(spark, table, f"{tmpdir_path}/compact")
     assert _table(hourly.read_stream_table(spark, f"{tmpdir_path}/compact")) == after
+
+
+def _deliver(src, *files):
+    """Files with rising times, from the number of those already there."""
+    at = len(os.listdir(src)) if os.path.isdir(src) else 0
+    for i, lines in enumerate(files, at):
+        write_text(f"{src}/part-{i}.json", "\n".join(lines) + "\n")
+        t = time.time() - 1000 + i
+        os.utime(f"{src}/part-{i}.json", (t, t))
+
+
+def _counted(spark, table):
+    return {(str(r.time)[:13], r.category_id): (float(r.total_sales), r.total_quantity, r.late_rows,
+                                                float(r.late_sales), r.late_quantity)
+            for r in late.read_counted(spark, table).collect()}
+
+
+def test_late_rows_are_counted_apart(spark, tmpdir_path):
+    src, table, ckpt = f"{tmpdir_path}/src", f"{tmpdir_path}/t/counted", f"{tmpdir_path}/ckpt"
+    assert late.read_counted(spark, table) is None
+    _deliver(src, [msg("a", "C1", "2024-01-01T10:00:00"), msg("b", "C1", "2024-01-01T16:00:00"),
+                   msg("early", "C2", "2023-12-31T10:00:00")],  # first batch: nothing is late
+             [msg("late", "C1", "2024-01-01T10:30:00", q="3"), msg("edge", "C1", "2024-01-01T13:59:59"),
+              msg("ok", "C1", "2024-01-01T14:00:00"), msg("x", "C1", "2024-01-01T10:30:00", q="-1")],
+             [msg("bad", "C1", "no stamp")])
+    late.run_counted_stream(spark, src, table, ckpt, max_files_per_trigger=1)
+    # newest 16:00, delay 2 h: hours that ended at 14:00 or before are late
+    want = {("2024-01-01 10", "C1"): (2.0, 1, 1, 6.0, 3), ("2024-01-01 16", "C1"): (2.0, 1, 0, 0.0, 0),
+            ("2023-12-31 10", "C2"): (2.0, 1, 0, 0.0, 0), ("2024-01-01 13", "C1"): (0.0, 0, 1, 2.0, 1),
+            ("2024-01-01 14", "C1"): (2.0, 1, 0, 0.0, 0)}
+    assert _counted(spark, table) == want
+    assert store.progress(spark, table) == {"run": 0, "batch": 2, "note": "2024-01-01 16:00:00"}
+    batch = ingest.hourly_sales(ingest.clean_sales(spark.read.schema(RAW_SALE).json(src)))
+    assert _table(batch) == {(f"{t}:00:00", c): (v[0] + v[3], v[1] + v[4]) for (t, c), v in want.items()}
+
+
+def test_batch_delivered_again_adds_nothing_and_new_run_starts_anew(spark, tmpdir_path):
+    src, table = f"{tmpdir_path}/src", f"{tmpdir_path}/t/counted"
+    _deliver(src, [msg("a", "C1", "2024-01-01T10:00:00")], [msg("b", "C1", "2024-01-01T10:10:00")])
+    late.run_counted_stream(spark, src, table, f"{tmpdir_path}/one", max_files_per_trigger=1)
+    first = _counted(spark, table)
+    again = ingest.clean_sales(spark.read.schema(RAW_SALE).json(f"{src}/part-1.json"))
+    late.count_batch(table, 0, "2 hours")(again, 1)
+    assert _counted(spark, table) == first == {("2024-01-01 10", "C1"): (4.0, 2, 0, 0.0, 0)}
+    late.run_counted_stream(spark, src, table, f"{tmpdir_path}/two")  # the checkpoint was lost
+    assert _counted(spark, table) == first
+    assert store.progress(spark, table)["run"] == 1
+    late.count_batch(table, 0, "2 hours")(again, 7)  # a straggler of the old run
+    assert _counted(spark, table) == first
+    _deliver(src, [msg("c", "C1", "2024-01-01T10:20:00")])
+    late.run_counted_stream(spark, src, table, f"{tmpdir_path}/two")
+    assert _counted(spark, table) == {("2024-01-01 10", "C1"): (6.0, 3, 0, 0.0, 0)}
+
+
+def test_compaction_during_a_stream(spark, tmpdir_path):
+    """A batch that is committed while the compaction runs stays; a reader that started before
+    it keeps its folders; old manifests and what only they name can be removed."""
+    root = f"{tmpdir_path}/t"
+    src, table, ckpt = f"{tmpdir_path}/src", f"{root}/counted", f"{tmpdir_path}/ckpt"
+    _deliver(src, *[[msg(str(i), "C1", f"2024-01-01T1{i}:00:00")] for i in range(4)])
+    late.run_counted_stream(spark, src, table, ckpt, max_files_per_trigger=1)
+    reader = late.read_counted(spark, table)
+    before = _counted(spark, table)
+    _deliver(src, [msg("z", "C2", "2024-01-01T13:30:00")])
+
+    def slow(rows):
+        late.run_counted_stream(spark, src, table, ckpt)
+        return rows.groupBy("time", "category_id", "late").agg(
+            *[F.sum(c).alias(c) for c in ("n", "sales", "quantity")], F.max("newest").alias("newest"))
+
+    assert store.compact(spark, table, slow) > 0
+    after = {**before, ("2024-01-01 13", "C2"): (2.0, 1, 0, 0.0, 0)}
+    assert _counted(spark, table) == after
+    assert len(store.manifest(spark, root)[1]["counted"]) == 2
+    assert len(reader.collect()) == len(before)
+    assert late.compact_counted(spark, table) > 0 and late.compact_counted(spark, table) == 0
+    assert store.drop_old_manifests(spark, root, keep=1) == 6
+    assert _counted(spark, table) == after and store.progress(spark, table)["batch"] == 4
+    assert len([d for d in os.listdir(table) if d.startswith("gen=")]) == 1
+    assert store.drop_old_manifests(spark, root, keep=1) == 0
+
+
+def test_compaction_of_a_replaced_table_is_refused(spark, tmpdir_path):
+    src, table = f"{tmpdir_path}/src", f"{tmpdir_path}/t/counted"
+    _deliver(src, *[[msg(str(i), "C1", f"2024-01-01T1{i}:00:00")] for i in range(2)])
+    late.run_counted_stream(spark, src, table, f"{tmpdir_path}/one", max_files_per_trigger=1)
+
+    def slow(rows):
+        late.run_counted_stream(spark, src, table, f"{tmpdir_path}/two")
+        return rows
+
+    with pytest.raises(store.Conflict):
+        store.compact(spark, table, slow)
+    assert sum(v[0] for v in _counted(spark, table).values()) == 4.0
+
+
+def test_lost_checkpoint_does_not_hide_new_totals(spark, tmpdir_path):
+    """Batch ids start at 0 again with a new checkpoint; the newer run wins all the same."""
+    src, table = f"{tmpdir_path}/src", f"{tmpdir_path}/table"
+    _deliver(src, *[[msg(str(i), "C1", f"2024-01-01T10:0{i}:00")] for i in range(3)])
+    hourly.run_stream_to_table(spark, src, table, f"{tmpdir_path}/one", max_files_per_trigger=1)
+    assert _table(hourly.read_stream_table(spark, table)) == {("2024-01-01 10:00:00", "C1"): (6.0, 3)}
+    _deliver(src, [msg("x", "C1", "2024-01-01T10:30:00")])
+    hourly.run_stream_to_table(spark, src, table, f"{tmpdir_path}/two")
+    assert _table(hourly.read_stream_table(spark, table)) == {("2024-01-01 10:00:00", "C1"): (8.0, 4)}

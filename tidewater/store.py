@@ -12,6 +12,10 @@
   which no reader sees, and then named in a numbered manifest. A manifest is created complete
   and only if its number is free, so of two writers one wins the number and the other starts
   from the winner's state; a crash before it leaves folders that nothing names.
+* Stream tables are committed batch by batch: the manifest that names a micro-batch's folder also
+  holds how far the stream has come, so a batch that is delivered again adds nothing. ``compact``
+  puts one folder in the place of many while batches go on arriving and readers go on reading,
+  and ``drop_old_manifests`` removes what only old manifests name.
 The ledger is a plain parquet append: its readers take the latest row per file.
 """
 
@@ -267,6 +271,91 @@ def append_unique(df: DataFrame, table_path: str, keys: list[str]) -> int:
             continue
 
 
+# -------------------------------------------------------------------------- stream batches
+def progress(spark: SparkSession, table_path: str) -> dict | None:
+    """How far a stream table has come: run, batch, and the note of the last commit."""
+    root, name = _place(table_path)
+    return manifest(spark, root)[1].get(f"{name}#progress")
+
+
+def _passed(tables: dict, name: str, run: int, batch: int) -> bool:
+    at = tables.get(f"{name}#progress")
+    return at is not None and (at["run"], at["batch"]) >= (run, batch)
+
+
+def commit_batch(df: DataFrame, table_path: str, run: int, batch: int, note) -> bool:
+    """Adds the rows of one micro-batch to a stream table, once: False if the table is already
+    past (run, batch). ``note`` makes a small JSON value from the written rows, which is
+    committed with them.
+
+    Batches of one run add up. The first batch of a later run, which reads its source from the
+    start because its checkpoint was lost, starts the table anew; what it replaces can be read
+    with ``read_version`` until the old manifests are dropped."""
+    spark = df.sparkSession
+    root, name = _place(table_path)
+    if _passed(manifest(spark, root)[1], name, run, batch):
+        return False
+    folder = f"{name}/gen={uuid.uuid4().hex}"
+    df.write.parquet(f"{root}/{folder}")
+    at = {"run": run, "batch": batch, "note": note(_read_folders(spark, root, [folder]))}
+    while True:
+        head, tables = manifest(spark, root)
+        if _passed(tables, name, run, batch):
+            return False
+        last = tables.get(f"{name}#progress")
+        kept = tables.get(name, []) if last and last["run"] == run else []
+        if _create_manifest(spark, root, head + 1,
+                            tables | {name: kept + [folder], f"{name}#progress": at}):
+            return True
+
+
+def compact(spark: SparkSession, table_path: str, reduce) -> int:
+    """Puts one folder with ``reduce`` of the table's rows in the place of the folders it has
+    now; returns the number of the manifest (0: nothing to do).
+
+    Batches committed meanwhile stay named after it. If the table was started anew or compacted
+    by another writer meanwhile, nothing changes and ``Conflict`` is raised. No folder is
+    removed, so readers that hold an earlier manifest finish undisturbed."""
+    root, name = _place(table_path)
+    old = manifest(spark, root)[1].get(name, [])
+    if len(old) < 2:
+        return 0
+    folder = f"{name}/gen={uuid.uuid4().hex}"
+    reduce(_read_folders(spark, root, old)).write.parquet(f"{root}/{folder}")
+    while True:
+        head, tables = manifest(spark, root)
+        now = tables.get(name, [])
+        if now[:len(old)] != old:
+            raise Conflict(f"{table_path} has been replaced during its compaction")
+        if _create_manifest(spark, root, head + 1, tables | {name: [folder] + now[len(old):]}):
+            return head + 1
+
+
+def _folders(tables: dict) -> set[str]:
+    return {f for name, folders in tables.items() if not name.endswith("#progress")
+            for f in folders}
+
+
+def drop_old_manifests(spark: SparkSession, root: str, keep: int = 10) -> int:
+    """Removes all but the newest ``keep`` manifests and the folders that only those name;
+    returns the number of folders removed. ``keep`` has to span the longest read, since a
+    reader holds the folders of the manifest it started from."""
+    if keep < 1:
+        raise ValueError("the newest manifest cannot be dropped")
+    jvm, p, fs = _fs(spark, f"{root}/_manifest")
+    numbers = sorted(int(st.getPath().getName()[:-5]) for st in (fs.listStatus(p) if fs.exists(p) else [])
+                     if not st.getPath().getName().startswith("."))
+    held = set().union(*[_folders(manifest(spark, root, n)[1]) for n in numbers[-keep:]])
+    path = jvm.org.apache.hadoop.fs.Path
+    gone = set()
+    for n in numbers[:-keep]:
+        for folder in _folders(manifest(spark, root, n)[1]) - held - gone:
+            fs.delete(path(f"{root}/{folder}"), True)
+            gone.add(folder)
+        fs.delete(path(p, f"{n:010d}.json"), False)  # last, so that a crash leaves it to be found
+    return len(gone)
+
+
 # ------------------------------------------------------------------------------- appends
 def append(df: DataFrame, table_path: str) -> None:
     df.write.mode("append").parquet(table_path)

@@ -21,6 +21,9 @@ from ..schemas import MONEY, RAW_SALE, RAW_SALE_COLUMNS
 # Topic name the reference's collector was prepared to publish to.
 TOPIC = "sales_transactions"
 
+# Room for the batch ids of one run in a folder's number.
+RUN = 1 << 40
+
 
 def read_sale_messages(spark: SparkSession, source: str, fmt: str = "json",
                        max_files_per_trigger: int | None = None,
@@ -54,19 +57,51 @@ def stream_hourly(raw_stream: DataFrame, watermark: str = "2 hours") -> DataFram
                     "total_sales", "total_quantity"))
 
 
-def upsert_batch(table_path: str):
+def upsert_batch(table_path: str, run: int = 0):
     """``foreachBatch`` sink — each micro-batch writes its changed (hour, category) totals
-    to a folder of its own, ``batch=<id>``; readers take the row of the latest batch per key.
+    to a folder of its own, ``batch=<run * RUN + id>``; readers take the row of the latest batch
+    per key. Batch ids start at 0 again with a new checkpoint, hence the run before them.
 
     Update mode emits full totals, so the latest one is right. Nothing that an earlier batch
     wrote is touched: a crash in the middle of a write can lose only the folder of the batch
     that Spark will replay, and a replay overwrites that folder with the same rows."""
     def _apply(batch: DataFrame, batch_id: int) -> None:
         (batch.select("time", "category_id", "total_sales", "total_quantity")
-         .write.mode("overwrite").parquet(f"{table_path}/batch={batch_id}"))
+         .write.mode("overwrite").parquet(f"{table_path}/batch={run * RUN + batch_id}"))
     return _apply
 
 
+def run_number(spark: SparkSession, checkpoint: str, last: int | None) -> int:
+    """The number of the run that a checkpoint belongs to, kept in the checkpoint's folder. A
+    checkpoint that has none yet (new, or lost and made anew) gets the one after ``last``, the
+    newest run that the table knows."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(f"{checkpoint}/run-number")
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.exists(p):
+        stream = fs.open(p)
+        try:
+            return int(jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+    number = 0 if last is None else last + 1
+    draft = jvm.org.apache.hadoop.fs.Path(f"{checkpoint}/.run-number")
+    out = fs.create(draft, True)
+    out.write(bytearray(str(number).encode()))
+    out.close()
+    fs.rename(draft, p)
+    return number
+
+
+def _last_run(spark: SparkSession, table_path: str) -> int | None:
+    """Newest run among the batch folders of a table."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(table_path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [st.getPath().getName() for st in (fs.listStatus(p) if fs.exists(p) else [])]
+    return max((int(n[6:]) // RUN for n in names if n.startswith("batch=")), default=None)
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
@@ -104,8 +139,9 @@ def run_stream_to_table(spark: SparkSession, source: str, table_path: str,
     agg = stream_hourly(read_sale_messages(spark, source,
                                            max_files_per_trigger=max_files_per_trigger),
                         watermark)
+    run = run_number(spark, checkpoint, _last_run(spark, table_path))
     q = (agg.writeStream.outputMode("update")
          .option("checkpointLocation", checkpoint)
-         .foreachBatch(upsert_batch(table_path))
+         .foreachBatch(upsert_batch(table_path, run))
          .trigger(availableNow=True).start())
     q.awaitTermination()
