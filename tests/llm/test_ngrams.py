@@ -96,3 +96,12 @@ def test_trie(tmp_path):
     known = dict(zip(pairs, codes.tolist()))
     x, y = np.divmod(np.arange(65 * 65), 65)
     assert trie.find(x, y).tolist() == [known.get(p, 0) for p in zip(x.tolist(), y.tolist())]
+
+
+def test_codes_round_down_at_every_size():
+    p = np.concatenate([10.0 ** -np.arange(0, 20, 0.013), [1e-12, 1.15e-8, 1e-9, 2.0 ** -63, 1.0]])
+    back = ngrams.dequantise(ngrams.quantise(p))
+    assert (back <= p * (1 + 1e-8)).all() and (back > p * 10 ** -0.26).all()
+    fine = p >= 1e-6
+    assert (back[fine] > p[fine] * 10 ** (-ngrams.STEP * 1.001)).all()
+    assert ngrams.dequantise(np.zeros(1, np.uint8))[0] == 0.0

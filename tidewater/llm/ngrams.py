@@ -38,7 +38,9 @@ from .textkit import mix, words
 MU = 20.0
 FOLDS, HELD_OUT = 7, 2
 BATCH_BYTES = 4_000_000
-STEP = 1 / 32  # of log10; code q stands for 10 ** (-(q - 1) * STEP), 0 for absent
+# Codes of probabilities: 0 for absent, up to FINE in steps of STEP of log10 (down to 1e-6), then in
+# steps of COARSE. The last code, 10 ** -21.5, is below 1 over any count of 64 bits.
+STEP, FINE, COARSE = 1 / 32, 193, 1 / 4
 _U = np.uint64
 _END = _U(0x0123456789ABCDEF)
 
@@ -193,11 +195,16 @@ class Trie:
 
 def quantise(a: np.ndarray) -> np.ndarray:
     """Codes of probabilities, rounded down so that no context's mass exceeds one."""
-    return np.clip(np.ceil(-np.log10(a) / STEP - 1e-9) + 1, 1, 255).astype(np.uint8)
+    size = -np.log10(a)
+    fine = np.ceil(size / STEP - 1e-9) + 1
+    coarse = FINE + np.ceil((size - (FINE - 1) * STEP) / COARSE - 1e-9)
+    return np.where(fine <= FINE, np.maximum(fine, 1), coarse).astype(np.uint8)
 
 
 def dequantise(codes: np.ndarray) -> np.ndarray:
-    return np.where(codes > 0, 10.0 ** (-(codes.astype(float) - 1) * STEP), 0.0)
+    q = codes.astype(float)
+    size = np.where(q <= FINE, (q - 1) * STEP, (FINE - 1) * STEP + (q - FINE) * COARSE)
+    return np.where(q > 0, 10.0 ** -size, 0.0)
 
 
 def _held(ids: list) -> np.ndarray:
