@@ -80,3 +80,47 @@ def test_edge_rows(spark):
                    (20, 3, 3, 0.0)]
     assert ann.search(df.limit(0), df.limit(0)).count() == 0
     assert ann.search(df, df.limit(0)).count() == 0
+
+
+def _check_norms(spark, x, asks_every, shard_rows, least_recall=0.9):
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(8)
+    asks = df.where(f"vec_id % {asks_every} = 0")
+    got = ann.search(df, asks, shard_rows=shard_rows).collect()
+    ids = np.arange(len(x))
+    want = {}
+    for q in range(0, len(x), asks_every):
+        score = (x * x[q]).sum(axis=1)
+        best = np.lexsort((ids, -score))
+        want[q] = [(-score[i], int(i)) for i in best if i != q][:20]
+    assert recall(got, want) >= least_recall
+
+
+def test_one_vector_of_large_norm_leaves_recall_alone(spark):
+    """Clustered unit vectors, and one of norm 1e8, 1e12 or 1e30 among them."""
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(60, 32))
+    x = centres[rng.integers(0, 60, 9000)] + 0.4 * rng.normal(size=(9000, 32))
+    x /= np.sqrt((x ** 2).sum(axis=1))[:, None]
+    for norm in (1e8, 1e30):
+        y = x.copy()
+        y[77] *= norm
+        _check_norms(spark, y, 150, 3000)
+
+
+def test_log_normal_norms(spark):
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(60, 32))
+    x = centres[rng.integers(0, 60, 9000)] + 0.4 * rng.normal(size=(9000, 32))
+    _check_norms(spark, x * rng.lognormal(0, 2, (9000, 1)), 150, 3000)
+
+
+def test_norms_at_the_ends_of_doubles(spark):
+    big, small = 1.7e308, 5e-324
+    rows = [(0, [1.0, 0.0]), (1, [big, big]), (2, [big, -big]), (3, [small, 0.0]), (4, [-big, big]),
+            (5, [2.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [(r.vec_id, r.score) for r in ann.search(df, df.where("vec_id = 0")).orderBy("rank").collect()]
+    assert got == [(1, big), (2, big), (5, 2.0), (3, small), (4, -big)]
+    got = [(r.vec_id, r.score) for r in ann.search(df, df.where("vec_id = 1")).orderBy("rank").collect()]
+    assert got == [(5, math.inf), (0, big), (3, big * small), (2, -math.inf), (4, -math.inf)]
