@@ -77,6 +77,20 @@ def test_file_rules_of_the_load(spark, tmpdir_path):
     assert etl.load_sales(spark, d, fact, ledger, "2024-02-02 00:00:00").count() == 5  # FAILED ones
 
 
+def test_sales_too_large_for_the_exact_types_are_counted(spark, tmpdir_path):
+    stamp = "2024-01-01T10:00:00"
+    rows = [("1", "2.5"), ("100000000000", "1"), ("1", "1e20"), ("-1", "1e20"), ("1000000000000", "0"),
+            ("99999999999", "99999999999999")]
+    text = "".join(f"t{i},P1,C1,{q},{p},{stamp}\n" for i, (q, p) in enumerate(rows))
+    for name, body in {"a": HEADER + text, "first_is_header": text[text.index("t2"):],
+                       "failed": HEADER + text + "x,y\n"}.items():
+        write_text(f"{tmpdir_path}/in/{name}.csv", body)
+    out = {r.file_name: (r.status, r.n_records, r.n_valid, r.n_out_of_range) for r in etl.load_sales(
+        spark, f"{tmpdir_path}/in", f"{tmpdir_path}/f", f"{tmpdir_path}/l", "2024-02-01 00:00:00").collect()}
+    assert out == {"a.csv": ("SUCCESS", 6, 2, 2), "first_is_header.csv": ("SUCCESS", 3, 1, 0),
+                   "failed.csv": ("FAILED", 7, 0, 0)}
+
+
 def _strict_records(text: str) -> list[list[str]]:
     """Records of a whole file; raises ValueError on bad quoting. Quoted line breaks belong to
     the field, blank lines are skipped, a carriage return before a line feed is dropped."""

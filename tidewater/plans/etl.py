@@ -24,7 +24,8 @@ from ..schemas import LEDGER, MONEY, RAW_SALE_COLUMNS
 from ..sources import sales_files
 from ..util import materialize
 
-OUTCOME = "file_name string, status string, n_records long, n_malformed long, n_valid long"
+OUTCOME = ("file_name string, status string, n_records long, n_malformed long, n_valid long, "
+           "n_out_of_range long")
 
 
 def pending_files(spark: SparkSession, sales_dir: str, ledger_path: str,
@@ -39,8 +40,8 @@ def pending_files(spark: SparkSession, sales_dir: str, ledger_path: str,
 
 
 def file_totals(records: DataFrame) -> DataFrame:
-    """Records reduced to one row per (file, field count, hour, category): number of records
-    and of valid ones, totals, the place of the first record, and what that one adds.
+    """Records reduced to one row per (file, field count, hour, category): number of records,
+    of valid ones and of sales too large for the exact types, totals, the place of the first record, and what that one adds.
 
     The first record of a file is its header, which counts for nothing even if it reads like
     a sale; its share is kept apart so that it can be taken off again."""
@@ -52,19 +53,21 @@ def file_totals(records: DataFrame) -> DataFrame:
         ingest._quantity(raw).alias("q"), ingest._price(raw).alias("p"),
         ingest._price_value(raw).alias("v"), ingest._stamp(raw).alias("ts"))
     exact = F.col("q").try_cast("decimal(11,0)")
-    valid = F.coalesce(F.col("whole") & (F.col("width") >= 6) & (F.col("q") > 0) & (F.col("v") > 0)
-                       & exact.isNotNull() & F.col("p").isNotNull() & F.col("ts").isNotNull(),
-                       F.lit(False))
+    sale = F.coalesce(F.col("whole") & (F.col("width") >= 6) & (F.col("q") > 0) & (F.col("v") > 0)
+                      & F.col("ts").isNotNull(), F.lit(False))
+    fits = exact.isNotNull() & F.col("p").isNotNull()
+    valid = sale & fits
     rows = typed.select(
-        "file_name", "place", "whole", "width", valid.alias("ok"),
+        "file_name", "place", "whole", "width", valid.alias("ok"), (sale & ~fits).alias("out"),
         F.when(valid, hour_of(F.col("ts"))).alias("time"),
         F.when(valid, F.col("category_id")).alias("category_id"),
         F.when(valid, (exact * F.col("p")).cast(MONEY)).alias("sales"),
         F.when(valid, F.col("q")).alias("quantity"))
     return (rows.groupBy("file_name", "whole", "width", "time", "category_id")
             .agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("ok").cast("long")).alias("n_ok"),
-                 F.sum("sales").alias("sales"), F.sum("quantity").alias("quantity"),
-                 F.min_by(F.struct("place", "ok", "sales", "quantity"), "place").alias("first")))
+                 F.sum(F.col("out").cast("long")).alias("n_out"), F.sum("sales").alias("sales"), F.sum("quantity").alias("quantity"),
+                 F.min_by(F.struct("place", "ok", "out", "sales", "quantity"),
+                                                  "place").alias("first")))
 
 
 def load_outcome(totals: DataFrame, todo: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -72,7 +75,8 @@ def load_outcome(totals: DataFrame, todo: DataFrame) -> tuple[DataFrame, DataFra
 
     A file is FAILED if it has no record at all (empty: no header), a badly quoted line, or a
     record whose field count differs from the header's; records that are all too short are
-    skipped and the file is SUCCESS."""
+    skipped and the file is SUCCESS. ``n_out_of_range`` counts the records of a SUCCESS file that
+    are sales but too large for the exact types, which the deltas leave out."""
     head = totals.groupBy("file_name").agg(
         F.min_by(F.struct("width", "time", "category_id", "first.place"), "first.place").alias("h"))
     joined = totals.join(head, "file_name")
@@ -81,6 +85,7 @@ def load_outcome(totals: DataFrame, todo: DataFrame) -> tuple[DataFrame, DataFra
         "file_name", "time", "category_id", "width", F.col("h.width").alias("header"), "whole",
         (F.col("n") - is_head.cast("long")).alias("n"),
         (F.col("n_ok") - (is_head & F.col("first.ok")).cast("long")).alias("n_ok"),
+        (F.col("n_out") - (is_head & F.col("first.out")).cast("long")).alias("n_out"),
         (F.col("sales") - F.when(is_head, F.coalesce("first.sales", F.lit(0))).otherwise(F.lit(0)))
         .cast(MONEY).alias("sales"),
         (F.col("quantity") - F.when(is_head, F.coalesce("first.quantity", F.lit(0)))
@@ -88,7 +93,8 @@ def load_outcome(totals: DataFrame, todo: DataFrame) -> tuple[DataFrame, DataFra
     bad = ~F.col("whole") | (F.col("width") != F.col("header"))
     per_file = taken.groupBy("file_name").agg(
         F.sum("n").alias("n_records"), F.sum(F.when(bad, F.col("n")).otherwise(0)).alias("_bad"),
-        F.max(~F.col("whole")).alias("_quote"), F.sum("n_ok").alias("_ok"))
+        F.max(~F.col("whole")).alias("_quote"), F.sum("n_ok").alias("_ok"),
+        F.sum("n_out").alias("_out"))
     failed = F.col("n_records").isNull() | (F.col("_bad") > 0) | F.col("_quote")
     outcome = todo.select("file_name", "file_mtime").join(per_file, "file_name", "left").select(
         "file_name", F.when(failed, F.lit("FAILED")).otherwise(F.lit("SUCCESS")).alias("status"),
@@ -96,6 +102,7 @@ def load_outcome(totals: DataFrame, todo: DataFrame) -> tuple[DataFrame, DataFra
         F.greatest(F.coalesce("_bad", F.lit(0)),
                    F.coalesce(F.col("_quote"), F.lit(False)).cast("long")).alias("n_malformed"),
         F.when(failed, F.lit(0)).otherwise(F.col("_ok")).cast("long").alias("n_valid"),
+        F.when(failed, F.lit(0)).otherwise(F.col("_out")).cast("long").alias("n_out_of_range"),
         "file_mtime")
     good = outcome.where("status = 'SUCCESS'").select("file_name")
     delta = (taken.where("n_ok > 0").join(good, "file_name")
@@ -113,7 +120,7 @@ def load_outcome(totals: DataFrame, todo: DataFrame) -> tuple[DataFrame, DataFra
 def load_sales(spark: SparkSession, sales_dir: str, fact_path: str, ledger_path: str,
                as_of, by_name_only: bool = True) -> DataFrame:
     """Run one load cycle. Returns the per-file outcome (file_name, status, n_records,
-    n_malformed, n_valid)."""
+    n_malformed, n_valid, n_out_of_range)."""
     todo = materialize(pending_files(spark, sales_dir, ledger_path, by_name_only))
     # Spark scans a list of paths; it is as long as the folder's listing, which its file index
     # holds on the driver anyway.

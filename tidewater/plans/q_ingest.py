@@ -111,7 +111,8 @@ def q_scan_sales_csv(spark, sf_dir):
 
 # Files with bad lines, derived from events: one file per (day, event_id mod 4). By day of the
 # month mod 7: 3 - every 50th line lacks a field (the file FAILS); 5 - every 10th quantity is no
-# number (the row is skipped); 6 - the category is quoted and holds doubled quotes and a
+# number (the row is skipped); 4 - of 20 quantities one has twelve digits, of 20 prices one is 1e20
+# (both are left out and counted); 6 - the category is quoted and holds doubled quotes and a
 # comma (legal); 2 - every 50th line has a quote inside a plain field (FAILS).
 DIRTY_LINES = f"""
   SELECT strftime(ts, '%Y-%m-%d') || '-' || CAST(event_id % 4 AS VARCHAR) || '.csv' AS file_name, ts,
@@ -119,7 +120,10 @@ DIRTY_LINES = f"""
          {EV_QTY} AS quantity, {EV_PRICE} AS price,
          day(ts) % 7 = 3 AND event_id % 50 < 4 AS short,
          day(ts) % 7 = 2 AND event_id % 50 < 4 AS quoted,
-         {EV_QTY} > 0 AND {EV_PRICE} > 0 AND NOT (day(ts) % 7 = 5 AND event_id % 10 = 0) AS good
+         day(ts) % 7 = 4 AND (event_id % 20 = 0 AND {EV_PRICE} > 0 OR event_id % 20 = 1 AND {EV_QTY} > 0)
+           AS large,
+         {EV_QTY} > 0 AND {EV_PRICE} > 0 AND NOT (day(ts) % 7 = 5 AND event_id % 10 = 0)
+           AND NOT (day(ts) % 7 = 4 AND event_id % 20 < 2) AS good
   FROM events
 """
 DIRTY_OUTCOME = f"""
@@ -128,7 +132,9 @@ DIRTY_OUTCOME = f"""
            AS n_malformed,
          CASE WHEN bool_or(quoted) OR bool_or(short) THEN 'FAILED' ELSE 'SUCCESS' END AS status,
          CAST(CASE WHEN bool_or(quoted) OR bool_or(short) THEN 0
-              ELSE SUM(CAST(good AS INTEGER)) END AS BIGINT) AS n_valid
+              ELSE SUM(CAST(good AS INTEGER)) END AS BIGINT) AS n_valid,
+         CAST(CASE WHEN bool_or(quoted) OR bool_or(short) THEN 0
+              ELSE SUM(CAST(large AS INTEGER)) END AS BIGINT) AS n_out_of_range
   FROM ({DIRTY_LINES}) GROUP BY 1
 """
 
@@ -140,10 +146,12 @@ def dirty_csv_dir(spark, sf_dir):
     kind = F.day(F.to_date(F.substring("timestamp", 1, 10))) % 7
     cat = F.when(kind == 6, F.concat(F.lit('"'), "category_id", F.lit(', ""x"""'))).otherwise(
         F.col("category_id"))
-    qty = F.when((kind == 5) & (k % 10 == 0), F.lit("many")).otherwise(F.col("quantity"))
+    qty = (F.when((kind == 5) & (k % 10 == 0), F.lit("many"))
+           .when((kind == 4) & (k % 20 == 0), F.lit("250000000000")).otherwise(F.col("quantity")))
+    price = F.when((kind == 4) & (k % 20 == 1), F.lit("1e20")).otherwise(F.col("price_per_unit"))
     stamp = F.when((kind == 2) & (k % 50 < 4), F.concat("timestamp", F.lit('"'))).otherwise(
         F.col("timestamp"))
-    head = ["transaction_id", "product_id", cat, qty, "price_per_unit"]
+    head = ["transaction_id", "product_id", cat, qty, price]
     line = F.when((kind == 3) & (k % 50 < 4), F.concat_ws(",", *head)).otherwise(
         F.concat_ws(",", *head, stamp))
     name = F.concat_ws("-", F.substring("timestamp", 1, 10), (k % 4).cast("string"))
@@ -168,7 +176,7 @@ def q_load_sales_outcome(spark, sf_dir):
     """Outcome per file of one load cycle over files with bad lines."""
     return etl.load_sales(spark, dirty_csv_dir(spark, sf_dir), scratch_path(spark, "dirty-fact"),
                           scratch_path(spark, "dirty-ledger"), "2024-02-01 00:00:00") \
-        .select("file_name", "n_records", "n_malformed", "status", "n_valid")
+        .select("file_name", "n_records", "n_malformed", "status", "n_valid", "n_out_of_range")
 
 
 @register("load_sales_fact", f"""
