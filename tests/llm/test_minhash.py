@@ -128,3 +128,13 @@ def test_levels_fill_every_place(text):
 def test_whole_table(spark):
     texts = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SMOKE}/documents.parquet").collect()]
     hold(queries.QUERIES["op4_near_duplicates"](spark, SMOKE).collect(), brute(texts, 4))
+
+
+def test_repeated_id_keeps_the_smallest_text(spark):
+    """Whatever the partitions: of rows with one id the smallest text stays, then the smallest
+    other columns; a column named like a helper is kept."""
+    rows = [(1, "one two three four five six", 9), (1, "alpha beta gamma delta epsilon", 2),
+            (1, "alpha beta gamma delta epsilon", 1), (2, "quite another text than these here", 5)]
+    for order in (rows, rows[::-1]):
+        docs = spark.createDataFrame(order, "doc_id long, text string, _copies int").repartition(3)
+        assert sorted(tuple(r) for r in minhash.drop_near_duplicates(docs).collect()) == [rows[2], rows[3]]

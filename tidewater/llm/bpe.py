@@ -9,7 +9,8 @@ so a piece takes linear time, and the result is exactly that of running the merg
 Decoder: all token strings lie in one byte array with an offset table; decoding gathers slices.
 
 Defined results: a null or empty text has no ids and decodes to an empty text; repeated rows
-are encoded one by one; an empty table gives no rows; further columns are ignored.
+are encoded one by one; an empty table gives no rows; further columns are ignored. A very long
+text is encoded whole by the task that has its row.
 """
 
 from __future__ import annotations

@@ -14,6 +14,7 @@ source and id are never inputs of a score.
 Defined results: null and empty texts are scored from their (zero) statistics; repeated rows
 get equal scores; repeated labels of one id count as junk if one of them says so; without any
 usable label every score is 0.5; an empty table gives no rows; further columns are ignored.
+Very long texts are scored from all their words.
 """
 
 from __future__ import annotations

@@ -19,7 +19,8 @@ deviations). Nothing is capped: all other pairs of different components are test
 Defined results: null, empty and blank texts have no shingles, link with nothing and stay;
 texts with fewer words than a shingle have one; repeated rows are one class; a row without id
 takes part in no link and stays; an empty table gives no rows; further columns are ignored
-(kept by ``drop_near_duplicates``).
+(kept by ``drop_near_duplicates``). Very long texts are signed and compared with all their
+shingles, by the task that has their row.
 """
 
 from __future__ import annotations
@@ -336,14 +337,20 @@ def _grouped(docs: DataFrame, shingle: int, percent: int) -> tuple[DataFrame, li
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """Documents that are the first of their group, all columns kept; of repeated rows of one
-    id one stays, rows without id all stay."""
+    id the one with the smallest text (null first), then the smallest other columns as JSON, stays;
+    rows without id all stay."""
     found, spent = _grouped(docs, shingle, percent)
     kept = settle(found.where("kept AND doc_id IS NOT NULL").groupBy("doc_id").agg(
         F.count("*").alias("_copies")), "minhash-kept")
     discard(*spent)
-    name = "_tw_copies"
+    name = "_copies"
+    while name in {c.lower() for c in docs.columns}:
+        name += "_"
     out = docs.join(kept.select("doc_id", F.col("_copies").alias(name)), "doc_id")
     if not kept.where("_copies > 1").isEmpty():
-        once = out.where(f"{name} > 1").dropDuplicates(["doc_id"])
-        out = out.where(f"{name} = 1").unionByName(once)
+        columns = [F.col(f"`{c}`") for c in docs.columns]
+        once = (out.where(F.col(name) > 1).groupBy("doc_id").agg(F.min_by(
+            F.struct(*columns), F.struct("text", F.to_json(F.struct(*columns)))).alias("_row"))
+            .select("_row.*"))
+        out = out.where(F.col(name) == 1).drop(name).unionByName(once)
     return out.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))

@@ -17,6 +17,7 @@ words follow is spread evenly; nothing is pruned.
 Defined results: a null or empty text is the end token alone; a row without id is learnt from
 and not held out; repeated rows count each time; without training rows every token is unknown
 and has probability one; an empty table gives no rows; further columns are ignored.
+A text longer than a batch is a batch of its own.
 """
 
 from __future__ import annotations

@@ -9,6 +9,7 @@ cut at powers of two, which need no padding.
 
 Defined results: a null or empty text is one end id; repeated rows are packed one by one; a
 null id stays null; an empty table gives no rows; further columns are ignored.
+Very long texts are encoded whole and cut into as many sequences as they fill.
 """
 
 from __future__ import annotations

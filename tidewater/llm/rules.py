@@ -8,7 +8,7 @@ rules?) needs only the counts per distinct mask, so neither reads a text again.
 Defined results: a null text is an empty text; an empty text has zero words and fails
 ``few_words``; repeated rows are judged one by one; an empty table gives an empty ledger;
 further columns of the input (also ones named like a measurement) are not carried, only the
-id column is.
+id column is. Very long texts are judged whole, by the task that has their row.
 """
 
 from __future__ import annotations

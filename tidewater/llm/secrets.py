@@ -11,7 +11,8 @@ between matches and of the matches, summed up. Texts without a match pay one sea
 
 Defined results: a null or empty text has no spans (and stays null when redacted); repeated
 rows are scanned one by one; spans with equal starts are ordered by kind; an empty table gives
-no rows; further columns are kept by ``redact`` and ignored by ``scan``.
+no rows; further columns are kept by ``redact`` and ignored by ``scan``. Very long texts and
+candidates are scanned whole; the patterns need no stack per character.
 """
 
 from __future__ import annotations

@@ -22,7 +22,8 @@ broadcast, because the references of a corpus grow with it.
 
 Defined results: null, empty and blank texts have no words; a document does not cut itself, nor
 do repeated rows of one id; rows without id neither cut nor are cut; an empty table gives no
-rows; further columns are ignored (kept by ``cut_repeats``).
+rows; further columns are ignored (kept by ``cut_repeats``). A text longer than a batch is a
+batch of its own.
 """
 
 from __future__ import annotations

@@ -9,6 +9,7 @@ committer, so a lost executor leaves no half-written file.
 
 Defined results: a null or empty text is just the end id; repeated ids stay in their order of
 arrival; a null id sorts first; an empty table writes no segment and reads back no rows.
+A very long text is a document of a segment like any other, in as many blocks as it needs.
 """
 
 from __future__ import annotations
