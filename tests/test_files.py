@@ -2,11 +2,15 @@
 
 import os
 import random
+from decimal import Decimal
+from fractions import Fraction
 
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import write_text
 from tidewater import store
+from tidewater.model.stats import training_frame
 from tidewater.operators import ingest
 from tidewater.plans import etl
 from tidewater.sources import sales_files
@@ -77,18 +81,59 @@ def test_file_rules_of_the_load(spark, tmpdir_path):
     assert etl.load_sales(spark, d, fact, ledger, "2024-02-02 00:00:00").count() == 5  # FAILED ones
 
 
-def test_sales_too_large_for_the_exact_types_are_counted(spark, tmpdir_path):
+def test_sales_of_any_size_are_in_the_fact(spark, tmpdir_path):
     stamp = "2024-01-01T10:00:00"
     rows = [("1", "2.5"), ("100000000000", "1"), ("1", "1e20"), ("-1", "1e20"), ("1000000000000", "0"),
-            ("99999999999", "99999999999999")]
+            ("99999999999", "9999999999999"), ("3", "1e-15"), ("2", "1e400"), ("2", "1e-400")]
     text = "".join(f"t{i},P1,C1,{q},{p},{stamp}\n" for i, (q, p) in enumerate(rows))
     for name, body in {"a": HEADER + text, "first_is_header": text[text.index("t2"):],
                        "failed": HEADER + text + "x,y\n"}.items():
         write_text(f"{tmpdir_path}/in/{name}.csv", body)
-    out = {r.file_name: (r.status, r.n_records, r.n_valid, r.n_out_of_range) for r in etl.load_sales(
+    out = {r.file_name: (r.status, r.n_records, r.n_valid, r.n_wide) for r in etl.load_sales(
         spark, f"{tmpdir_path}/in", f"{tmpdir_path}/f", f"{tmpdir_path}/l", "2024-02-01 00:00:00").collect()}
-    assert out == {"a.csv": ("SUCCESS", 6, 2, 2), "first_is_header.csv": ("SUCCESS", 3, 1, 0),
-                   "failed.csv": ("FAILED", 7, 0, 0)}
+    assert out == {"a.csv": ("SUCCESS", 9, 5, 4), "first_is_header.csv": ("SUCCESS", 6, 2, 2),
+                   "failed.csv": ("FAILED", 10, 0, 0)}
+    got = store.read_fact(spark, f"{tmpdir_path}/f").collect()
+    a_total = Fraction("2.5") + 10 ** 11 + 10 ** 20 + 99999999999 * 9999999999999
+    total = a_total + 99999999999 * 9999999999999
+    assert [Fraction(r.total_sales) for r in got] == [total]
+    assert got[0].total_value == pytest.approx(float(total), rel=1e-15)
+    assert got[0].total_quantity == 1 + 10 ** 11 + 1 + 2 * 99999999999 + 2 * 3
+
+
+def test_totals_are_exact_and_do_not_depend_on_the_split(spark, tmpdir_path):
+    """Prices from 1e-300 to 1e280 and quantities up to the largest long, in one file and in seven,
+    against fractions; neither the cents of a large total nor tiny sales are lost on the way."""
+    rng = random.Random(5)
+    prices = ["0.000000000001", "0.1", "1e-15", "2.5e-300", "123456789012345678", "1e13", "4.25",
+              "0.12345678901234567", "9999999999999.5", "7e18"]
+    lines = [(rng.choice([1, 7, 10 ** 8, 5 * 10 ** 9 + 1, 2 ** 63 - 1]), p, c)
+             for p in prices for c in ("C1", "C2") for _ in range(3)]
+    lines += [(2 ** 63 - 1, p, "C3") for p in ("1e280", "1e-300", "3")] + [(1, "1e-15", "C4")] * 2000
+    lines += [(3, "1e20", "C5"), (7, "0.12345678901234567", "C5"), (5 * 10 ** 9 + 1, "0.1", "C5")]
+    rng.shuffle(lines)
+    row = lambda i, x: f"t{i},P1,{x[2]},{x[0]},{x[1]},2024-01-01T10:00:00\n"
+    facts = []
+    for parts in (1, 7):
+        root = f"{tmpdir_path}/{parts}"
+        for k in range(parts):
+            write_text(f"{root}/in/f{k}.csv", HEADER + "".join(
+                row(i, x) for i, x in enumerate(lines) if i % parts == k))
+        etl.load_sales(spark, f"{root}/in", f"{root}/f", f"{root}/l", "2024-02-01 00:00:00")
+        facts.append({r.category_id: r for r in store.read_fact(spark, f"{root}/f").collect()})
+    assert facts[0] == facts[1]
+    for cat, r in facts[0].items():
+        total = sum(q * Fraction(repr(float(p))) for q, p, c in lines if c == cat)
+        assert r.total_value == pytest.approx(float(total), rel=1e-14)
+        if total < 10 ** 25:
+            assert abs(Fraction(r.total_sales) - total) < Fraction(1, 10 ** 11)
+        else:
+            assert r.total_sales is None
+    assert facts[0]["C4"].total_sales == Decimal("2e-12")
+    assert facts[0]["C3"].total_quantity is None and facts[0]["C4"].total_quantity == 2000
+    y = {r.category_id: r.y for r in training_frame(
+        store.read_fact(spark, f"{tmpdir_path}/1/f")).collect()}
+    assert y["C3"] == pytest.approx((2 ** 63 - 1) * 1e280, rel=1e-14)
 
 
 def _strict_records(text: str) -> list[list[str]]:

@@ -32,9 +32,10 @@ def epoch_s(ts: Column) -> Column:
 
 def training_frame(fact: DataFrame) -> DataFrame:
     """(category_id, ds, y) from the hourly fact; only three columns are read.
-    Missing hours stay missing (Q12)."""
+    Missing hours stay missing (Q12). A loaded fact has its totals as doubles of any size."""
+    y = "total_value" if "total_value" in fact.columns else "total_sales"
     return fact.select("category_id", F.col("time").cast("timestamp_ntz").alias("ds"),
-                       F.col("total_sales").cast("double").alias("y"))
+                       F.col(y).cast("double").alias("y"))
 
 
 def series_stats(train: DataFrame, keys: list[str]) -> DataFrame:

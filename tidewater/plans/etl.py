@@ -18,14 +18,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import store
+from ..functions import exact
 from ..functions.parsing import hour_of
 from ..operators import dims, ingest
-from ..schemas import LEDGER, MONEY, RAW_SALE_COLUMNS
+from ..schemas import FACT_DELTA, LEDGER, RAW_SALE_COLUMNS
 from ..sources import sales_files
 from ..util import materialize
 
 OUTCOME = ("file_name string, status string, n_records long, n_malformed long, n_valid long, "
-           "n_out_of_range long")
+           "n_wide long")
+SUMS = ["sales", "high", "low", "quantity"]
 
 
 def pending_files(spark: SparkSession, sales_dir: str, ledger_path: str,
@@ -40,8 +42,9 @@ def pending_files(spark: SparkSession, sales_dir: str, ledger_path: str,
 
 
 def file_totals(records: DataFrame) -> DataFrame:
-    """Records reduced to one row per (file, field count, hour, category): number of records,
-    of valid ones and of sales too large for the exact types, totals, the place of the first record, and what that one adds.
+    """Records reduced to one row per (file, field count, hour, category, exponent of wide sales):
+    number of records, of valid and of wide ones, exact sums, the place of the first record, and
+    what that one adds.
 
     The first record of a file is its header, which counts for nothing even if it reads like
     a sale; its share is kept apart so that it can be taken off again."""
@@ -52,22 +55,24 @@ def file_totals(records: DataFrame) -> DataFrame:
         "file_name", "place", "whole", "width", "category_id",
         ingest._quantity(raw).alias("q"), ingest._price(raw).alias("p"),
         ingest._price_value(raw).alias("v"), ingest._stamp(raw).alias("ts"))
-    exact = F.col("q").try_cast("decimal(11,0)")
-    sale = F.coalesce(F.col("whole") & (F.col("width") >= 6) & (F.col("q") > 0) & (F.col("v") > 0)
-                      & F.col("ts").isNotNull(), F.lit(False))
-    fits = exact.isNotNull() & F.col("p").isNotNull()
-    valid = sale & fits
-    rows = typed.select(
-        "file_name", "place", "whole", "width", valid.alias("ok"), (sale & ~fits).alias("out"),
-        F.when(valid, hour_of(F.col("ts"))).alias("time"),
-        F.when(valid, F.col("category_id")).alias("category_id"),
-        F.when(valid, (exact * F.col("p")).cast(MONEY)).alias("sales"),
-        F.when(valid, F.col("q")).alias("quantity"))
-    return (rows.groupBy("file_name", "whole", "width", "time", "category_id")
-            .agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("ok").cast("long")).alias("n_ok"),
-                 F.sum(F.col("out").cast("long")).alias("n_out"), F.sum("sales").alias("sales"), F.sum("quantity").alias("quantity"),
-                 F.min_by(F.struct("place", "ok", "out", "sales", "quantity"),
-                                                  "place").alias("first")))
+    q, p, v = F.col("q"), F.col("p"), F.col("v")
+    valid = F.coalesce(F.col("whole") & (F.col("width") >= 6) & (q > 0) & (v > 0)
+                       & F.col("ts").isNotNull(), F.lit(False))
+    judged = typed.select("*", valid.alias("ok"), (valid & exact.is_wide(q, p, v)).alias("wide"))
+    ok, wide = F.col("ok"), F.col("wide")
+    rows = judged.select(
+        "file_name", "place", "whole", "width", "ok", "wide",
+        F.when(ok, hour_of(F.col("ts"))).alias("time"),
+        F.when(ok, F.col("category_id")).alias("category_id"),
+        F.when(wide, exact.exponent(v)).alias("exp10"),
+        F.when(ok & ~wide, exact.narrow_revenue(q, p)).alias("sales"),
+        F.when(wide, exact.wide_high(q, v)).alias("high"),
+        F.when(wide, exact.wide_low(q, v)).alias("low"),
+        F.when(ok, q.cast("decimal(19,0)")).alias("quantity"))
+    return (rows.groupBy("file_name", "whole", "width", "time", "category_id", "exp10")
+            .agg(F.count(F.lit(1)).alias("n"), F.sum(ok.cast("long")).alias("n_ok"),
+                 F.sum(wide.cast("long")).alias("n_wide"), *[F.sum(c).alias(c) for c in SUMS],
+                 F.min_by(F.struct("place", "ok", "wide", *SUMS), "place").alias("first")))
 
 
 def load_outcome(totals: DataFrame, todo: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -75,26 +80,26 @@ def load_outcome(totals: DataFrame, todo: DataFrame) -> tuple[DataFrame, DataFra
 
     A file is FAILED if it has no record at all (empty: no header), a badly quoted line, or a
     record whose field count differs from the header's; records that are all too short are
-    skipped and the file is SUCCESS. ``n_out_of_range`` counts the records of a SUCCESS file that
-    are sales but too large for the exact types, which the deltas leave out."""
+    skipped and the file is SUCCESS. ``n_wide`` counts the valid records of a SUCCESS file that the
+    wide sums hold (``functions/exact.py``)."""
     head = totals.groupBy("file_name").agg(
-        F.min_by(F.struct("width", "time", "category_id", "first.place"), "first.place").alias("h"))
+        F.min_by(F.struct("width", "first.place"), "first.place").alias("h"))
     joined = totals.join(head, "file_name")
     is_head = F.col("first.place") == F.col("h.place")
+    # A difference of two 38-digit decimals would lose their last decimal.
+    spare = lambda c: F.col(c).cast(exact.SUM) if c.endswith("sales") else F.col(c)
+    less = lambda c: F.when(is_head, F.coalesce(spare(f"first.{c}"), F.lit(0))).otherwise(F.lit(0))
     taken = joined.select(
-        "file_name", "time", "category_id", "width", F.col("h.width").alias("header"), "whole",
-        (F.col("n") - is_head.cast("long")).alias("n"),
+        "file_name", "time", "category_id", "exp10", "width", F.col("h.width").alias("header"),
+        "whole", (F.col("n") - is_head.cast("long")).alias("n"),
         (F.col("n_ok") - (is_head & F.col("first.ok")).cast("long")).alias("n_ok"),
-        (F.col("n_out") - (is_head & F.col("first.out")).cast("long")).alias("n_out"),
-        (F.col("sales") - F.when(is_head, F.coalesce("first.sales", F.lit(0))).otherwise(F.lit(0)))
-        .cast(MONEY).alias("sales"),
-        (F.col("quantity") - F.when(is_head, F.coalesce("first.quantity", F.lit(0)))
-         .otherwise(F.lit(0))).alias("quantity"))
+        (F.col("n_wide") - (is_head & F.col("first.wide")).cast("long")).alias("n_wide"),
+        *[(spare(c) - less(c)).cast(joined.schema[c].dataType).alias(c) for c in SUMS])
     bad = ~F.col("whole") | (F.col("width") != F.col("header"))
     per_file = taken.groupBy("file_name").agg(
         F.sum("n").alias("n_records"), F.sum(F.when(bad, F.col("n")).otherwise(0)).alias("_bad"),
         F.max(~F.col("whole")).alias("_quote"), F.sum("n_ok").alias("_ok"),
-        F.sum("n_out").alias("_out"))
+        F.sum("n_wide").alias("_wide"))
     failed = F.col("n_records").isNull() | (F.col("_bad") > 0) | F.col("_quote")
     outcome = todo.select("file_name", "file_mtime").join(per_file, "file_name", "left").select(
         "file_name", F.when(failed, F.lit("FAILED")).otherwise(F.lit("SUCCESS")).alias("status"),
@@ -102,25 +107,26 @@ def load_outcome(totals: DataFrame, todo: DataFrame) -> tuple[DataFrame, DataFra
         F.greatest(F.coalesce("_bad", F.lit(0)),
                    F.coalesce(F.col("_quote"), F.lit(False)).cast("long")).alias("n_malformed"),
         F.when(failed, F.lit(0)).otherwise(F.col("_ok")).cast("long").alias("n_valid"),
-        F.when(failed, F.lit(0)).otherwise(F.col("_out")).cast("long").alias("n_out_of_range"),
+        F.when(failed, F.lit(0)).otherwise(F.col("_wide")).cast("long").alias("n_wide"),
         "file_mtime")
     good = outcome.where("status = 'SUCCESS'").select("file_name")
     delta = (taken.where("n_ok > 0").join(good, "file_name")
-             .groupBy(F.col("file_name").alias("source_file"), "time", "category_id")
-             .agg(F.sum("sales").cast(MONEY).alias("total_sales"),
-                  F.sum("quantity").cast("long").alias("total_quantity")))
+             .groupBy(F.col("file_name").alias("source_file"), "time", "category_id", "exp10")
+             .agg(*[F.sum(c).alias(c) for c in SUMS])
+             .withColumnsRenamed({"sales": "total_sales", "high": "wide_high", "low": "wide_low",
+                                  "quantity": "total_quantity"})
+             .select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in FACT_DELTA]))
     # A marker row per loaded file, so that a file without valid rows replaces its old delta.
-    markers = good.select(
-        F.col("file_name").alias("source_file"), F.lit(None).cast("timestamp_ntz").alias("time"),
-        F.lit(None).cast("string").alias("category_id"), F.lit(None).cast(MONEY).alias("total_sales"),
-        F.lit(None).cast("long").alias("total_quantity"))
+    markers = good.select(*[
+        (F.col("file_name") if f.name == "source_file" else F.lit(None)).cast(f.dataType).alias(f.name)
+        for f in FACT_DELTA])
     return outcome, delta.unionByName(markers)
 
 
 def load_sales(spark: SparkSession, sales_dir: str, fact_path: str, ledger_path: str,
                as_of, by_name_only: bool = True) -> DataFrame:
     """Run one load cycle. Returns the per-file outcome (file_name, status, n_records,
-    n_malformed, n_valid, n_out_of_range)."""
+    n_malformed, n_valid, n_wide)."""
     todo = materialize(pending_files(spark, sales_dir, ledger_path, by_name_only))
     # Spark scans a list of paths; it is as long as the folder's listing, which its file index
     # holds on the driver anyway.

@@ -34,6 +34,19 @@ HOURLY_FACT = T.StructType([
     T.StructField("total_quantity", T.LongType()),
 ])
 
+# One source file's part of the fact. Sales that ``MONEY`` cannot sum exactly are kept as integers
+# per power of ten (functions/exact.py): ``exp10`` is null in rows of narrow sales.
+FACT_DELTA = T.StructType([
+    T.StructField("time", T.TimestampNTZType()),
+    T.StructField("category_id", T.StringType()),
+    T.StructField("exp10", T.IntegerType()),
+    T.StructField("total_sales", MONEY),
+    T.StructField("wide_high", T.DecimalType(38, 0)),
+    T.StructField("wide_low", T.DecimalType(38, 0)),
+    T.StructField("total_quantity", T.DecimalType(38, 0)),
+    T.StructField("source_file", T.StringType()),
+])
+
 CATEGORIES = T.StructType([
     T.StructField("category_id", T.StringType()),
     T.StructField("category_name", T.StringType()),

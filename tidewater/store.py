@@ -27,7 +27,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .schemas import MONEY
+from .functions import exact
+from .schemas import FACT_DELTA
 from .util import materialize
 
 
@@ -44,15 +45,15 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 # ------------------------------------------------------------------------ per-file deltas
 def write_file_deltas(per_file: DataFrame, fact_path: str) -> None:
-    """Write per-file hourly deltas (time, category_id, total_sales, total_quantity,
-    source_file); only the partitions of the files present are replaced.
+    """Write per-file hourly deltas (``FACT_DELTA``); only the partitions of the files present
+    are replaced.
 
     Rows are sorted by time inside each file, so parquet min/max statistics let time-range
     reads skip row groups (the role of the reference's time partitioning) without a second
     partition level that a re-loaded file could leave stale."""
-    (per_file.select("time", "category_id", "total_sales", "total_quantity", "source_file")
+    (per_file.select(*FACT_DELTA.names)
      .repartition("source_file")
-     .sortWithinPartitions("source_file", "time", "category_id")
+     .sortWithinPartitions("source_file", "time", "category_id", "exp10")
      .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("source_file").parquet(fact_path))
 
@@ -60,15 +61,27 @@ def write_file_deltas(per_file: DataFrame, fact_path: str) -> None:
 def read_fact(spark: SparkSession, fact_path: str, start=None, end=None) -> DataFrame:
     """The fact: sum of the per-file deltas per (hour, category) (A2), optionally for
     ``start <= time < end`` (pushed to the parquet scan). Rows without a stamp only mark that
-    a file was loaded."""
-    deltas = spark.read.parquet(fact_path).where(F.col("time").isNotNull())
+    a file was loaded.
+
+    ``total_value`` is the total as a double, whatever its size; ``total_sales`` is null when the
+    total has over 25 digits before the point, ``total_quantity`` when it is beyond a long. An hour
+    and category has at most one wide sum per power of ten that a double can have (some 650)."""
+    deltas = spark.read.schema(FACT_DELTA).parquet(fact_path).where(F.col("time").isNotNull())
     if start is not None:
         deltas = deltas.where(F.col("time") >= F.lit(start).cast("timestamp_ntz"))
     if end is not None:
         deltas = deltas.where(F.col("time") < F.lit(end).cast("timestamp_ntz"))
-    return (deltas.groupBy("time", "category_id")
-            .agg(F.sum("total_sales").cast(MONEY).alias("total_sales"),
-                 F.sum("total_quantity").cast("long").alias("total_quantity")))
+    sums = deltas.groupBy("time", "category_id", "exp10").agg(
+        *[F.sum(c).alias(c) for c in ("total_sales", "wide_high", "wide_low", "total_quantity")])
+    wide = F.when(F.col("exp10").isNotNull(), F.struct(
+        "exp10", F.col("wide_high").alias("high"), F.col("wide_low").alias("low")))
+    merged = sums.groupBy("time", "category_id").agg(
+        F.max("total_sales").alias("narrow"), F.collect_list(wide).alias("wide"),
+        F.sum("total_quantity").alias("quantity"))
+    return merged.select(
+        "time", "category_id", exact.total_money(F.col("narrow"), F.col("wide")).alias("total_sales"),
+        F.col("quantity").try_cast("long").alias("total_quantity"),
+        exact.total_value(F.col("narrow"), F.col("wide")).alias("total_value"))
 
 
 # ------------------------------------------------------------------------------ snapshots
