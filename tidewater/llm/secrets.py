@@ -1,9 +1,9 @@
 """Secret scan in native column expressions.
 
 Three fixed patterns give the base spans. On top, candidate strings (runs of key characters)
-are scanned with a sliding window: the window's Shannon entropy is kept up to date by the
-counts of the one character that leaves and the one that enters, against a limit that depends
-on the candidate's character class. Known harmless shapes are suppressed by an allow list.
+are scanned with a sliding window: the counts of its characters are carried along, changed by the
+one character that leaves and the one that enters, and so is its Shannon entropy, which is held
+against a limit that depends on the candidate's character class. Known harmless shapes are suppressed by an allow list.
 Spans are code points, the end exclusive.
 
 Match positions come from one split and one extraction per pattern: the lengths of the pieces
@@ -18,6 +18,7 @@ candidates are scanned whole; the patterns need no stack per character.
 from __future__ import annotations
 
 import math
+import string
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,7 +33,10 @@ BASE = {
     "hex": (r"[0-9a-f]{16,}", 0, 16),
 }
 CANDIDATE = r"[A-Za-z0-9+/_-]{20,}={0,2}"
-# class -> (pattern, window, least entropy in bits); the first that fits counts.
+# The characters of candidates; a window's counts are packed into longs, five bits for each.
+ALPHABET = string.ascii_letters + string.digits + "+/_-="
+PER_LONG = 12
+# class -> (pattern, window (under 32), least entropy in bits); the first that fits counts.
 CLASSES = [
     ("hex", r"^[0-9a-fA-F]+$", 16, 3.0),
     ("alnum", r"^[A-Za-z0-9]+$", 20, 3.7),
@@ -87,10 +91,21 @@ def _any_rlike(value: Column, patterns: list[str]) -> Column:
     return out
 
 
+def _long(code: Column) -> Column:
+    """Which of the packed longs holds a character's count."""
+    return F.call_function("div", code, F.lit(PER_LONG)).cast("int")
+
+
+def _shift(code: Column) -> Column:
+    return code % PER_LONG * 5
+
+
 def _scan(value: Column, cand: Column) -> Column:
     """From the first to the last hot window of a candidate, as a span of the text."""
-    table = F.array(*[F.lit(n * math.log2(n) if n else 0.0) for n in range(
-        max(c[2] for c in CLASSES) + 2)])
+    f = lambda n: n * math.log2(n) if n else 0.0
+    # what the n-th copy of a character adds to the window's sum of n * log2(n)
+    gain = F.array(*[F.lit(f(n) - f(n - 1) if n else 0.0) for n in range(
+        max(c[2] for c in CLASSES) + 1)])
 
     def by_class(pick) -> Column:
         out = None
@@ -101,31 +116,47 @@ def _scan(value: Column, cand: Column) -> Column:
 
     window = by_class(lambda w, h: w)
     most = by_class(lambda w, h: w * (math.log2(w) - h) + 1e-9)
-    setup = F.struct(F.split(value, "").alias("ch"), window.alias("w"), most.alias("most"))
+    setup = F.struct(
+        F.transform(F.split(value, ""), lambda c: F.position(c, F.lit(ALPHABET)) - 1).alias("ch"),
+        window.alias("w"), most.alias("most"))
 
     def one(env: Column) -> Column:
         ch, w = env["ch"], env["w"]
-        f = lambda n: F.element_at(table, n + 1)
-        count = lambda start, size, x: F.size(F.filter(
-            F.slice(ch, start, size), lambda y: y == x))
-
-        def step(acc: Column, i: Column) -> Column:
-            hot = (i > w) & (acc["s"] <= env["most"])  # of the window that ends before i
-            gone = F.element_at(ch, F.greatest(i - w, F.lit(1)))
-            n_out = count(F.greatest(i - w, F.lit(1)), w, gone)
-            new = F.element_at(ch, i)
-            n_in = count(F.greatest(i - w + 1, F.lit(1)), F.least(i, w) - 1, new)
+        # per place: the character that enters and, from the first full window on, the one that
+        # leaves, each with the long that holds its count and the shift of the count in it
+        moves = F.transform(F.sequence(F.lit(1), F.size(ch)), lambda i: F.struct(
+            i.alias("i"), F.element_at(ch, i).alias("new"),
+            F.when(i > w, F.element_at(ch, F.greatest(i - w, F.lit(1)))).otherwise(F.lit(-1))
+            .alias("gone")))
+        moves = F.transform(moves, lambda x: F.struct(
+            x["i"].alias("i"), (x["new"] == x["gone"]).cast("int").alias("same"),
+            _long(x["new"]).alias("nl"), _shift(x["new"]).alias("ns"),
+            F.when(x["gone"] < 0, F.lit(-1)).otherwise(_long(x["gone"])).alias("gl"),
+            F.greatest(_shift(x["gone"]), F.lit(0)).alias("gs")))
+        bit = lambda shift: F.call_function("shiftleft", F.lit(1).cast("long"), shift)
+
+        def count(acc: Column, place: Column, shift: Column) -> Column:
+            return F.call_function("shiftright", F.get(acc["c"], place), shift).bitwiseAND(31)
+
+        def step(acc: Column, x: Column) -> Column:
+            hot = (x["i"] > w) & (acc["s"] <= env["most"])  # of the window that ends before i
+            n_out = F.coalesce(count(acc, x["gl"], x["gs"]), F.lit(0))
+            n_in = count(acc, x["nl"], x["ns"]) + 1 - x["same"]
             return F.struct(
-                (acc["s"] + F.when(i > w, f(n_out - 1) - f(n_out)).otherwise(F.lit(0.0))
-                 + f(n_in + 1) - f(n_in)).alias("s"),
-                F.when(hot & (acc["a"] == 0), i - w).otherwise(acc["a"]).alias("a"),
-                F.when(hot, i - 1).otherwise(acc["b"]).alias("b"))
-
-        zero = F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("a"), F.lit(0).alias("b"))
+                (acc["s"] - F.get(gain, n_out.cast("int")) + F.get(gain, n_in.cast("int"))).alias("s"),
+                F.when(hot & (acc["a"] == 0), x["i"] - w).otherwise(acc["a"]).alias("a"),
+                F.when(hot, x["i"] - 1).otherwise(acc["b"]).alias("b"),
+                F.transform(acc["c"], lambda y, k: y
+                            + F.when(k == x["nl"], bit(x["ns"])).otherwise(F.lit(0).cast("long"))
+                            - F.when(k == x["gl"], bit(x["gs"])).otherwise(F.lit(0).cast("long")))
+                .alias("c"))
+
+        zero = F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("a"), F.lit(0).alias("b"), F.array(*[
+            F.lit(0).cast("long")] * (-(-len(ALPHABET) // PER_LONG))).alias("c"))
         n = F.size(ch)
-        # one step beyond the end judges the last window; it adds a null character
+        # the last window has no step after it
         return F.aggregate(
-            F.sequence(F.lit(1), n), zero, step,
+            moves, zero, step,
             lambda acc: F.struct(
                 F.when((acc["s"] <= env["most"]) & (n >= w) & (acc["a"] == 0), n - w + 1)
                 .otherwise(acc["a"]).alias("a"),
